@@ -1,13 +1,18 @@
 """All registered queries of the engine, without the training-data operators."""
 
+from __future__ import annotations
+
+from plumbline.plans import series_queries  # noqa: F401
+from plumbline.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["q088_badge_board"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
