@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import finding_queries, series_queries  # noqa: F401
+from plumbline.plans import finding_queries, series_queries, trace_queries  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 

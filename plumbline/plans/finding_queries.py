@@ -229,11 +229,11 @@ def _(t):
 
 
 #: Observations: users as shapes, event types as causes; some are labelled false alarms.
-OBS = """o AS (SELECT 'u' || user_id AS fingerprint, event_type AS root_cause, CASE WHEN event_type = 'view' THEN 'false_alarm' ELSE 'real' END AS label, round(0.5 + (event_id % 50) / 100.0, 2)::DOUBLE AS confidence, event_id AS "asof" FROM events)"""
+OBS = """o AS (SELECT 'u' || user_id || '.' || (event_id % 8) AS fingerprint, event_type AS root_cause, CASE WHEN event_type = 'view' THEN 'false_alarm' ELSE 'real' END AS label, round(0.5 + (event_id % 50) / 100.0, 2)::DOUBLE AS confidence, event_id AS "asof" FROM events)"""
 
 
 def observations(t):
-    return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fingerprint"), F.col("event_type").alias("root_cause"), F.when(F.col("event_type") == "view", "false_alarm").otherwise("real").alias("label"), F.round(0.5 + (F.col("event_id") % 50) / 100.0, 2).alias("confidence"), F.col("event_id").alias("asof"))
+    return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("."), (F.col("event_id") % 8).cast("string")).alias("fingerprint"), F.col("event_type").alias("root_cause"), F.when(F.col("event_type") == "view", "false_alarm").otherwise("real").alias("label"), F.round(0.5 + (F.col("event_id") % 50) / 100.0, 2).alias("confidence"), F.col("event_id").alias("asof"))
 
 
 MEMORY = f"""{OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint, root_cause ORDER BY "asof") AS nth FROM o),
