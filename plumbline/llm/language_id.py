@@ -105,6 +105,8 @@ def forward_backward(local: np.ndarray, step: np.ndarray, start: np.ndarray, len
 
 
 def positive(scores: np.ndarray) -> np.ndarray:
+    if not scores.size:
+        return scores
     return np.exp(scores - scores.max(axis=-1, keepdims=True)) + 1e-12
 
 

@@ -116,11 +116,14 @@ def test_codec_equals_the_library(library):
     letters = "aaeeiittnnsshhrrdlou     \n▁éüßñ.,-0123456789\x00<>\t日本語😀𝔘ABCDE"
     texts = ["", " ", "  a ", "▁", " ▁a", "<s>", "<0x0A>", "\n\n x", "a" * 3000, "the" * 500, "   " * 50, "‍�", "hello world " * 3]
     texts += ["".join(r.choice(letters) for _ in range(r.randrange(1, 60))) for _ in range(4000)]
+    texts += [" ".join("".join(r.choice("aeitn\n\x00é") for _ in range(r.randrange(1, 5))) for _ in range(9)) + r.choice(["", " ", "\n"]) for _ in range(2000)]
     texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)) for _ in range(200)]
     for t in texts:
         ids = library.encode(t)
         assert codec.encode(t) == ids, t
         assert codec.decode(ids) == library.decode(ids), t
+        want = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
+        assert codec.digest(t) == (len(ids), *want), t
 
 
 def test_decode_of_broken_bytes(library):
