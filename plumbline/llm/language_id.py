@@ -68,9 +68,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))[:-1]]).astype(np.int64)
 
 
-def forward_backward(local: np.ndarray, step: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def forward_backward(local: np.ndarray, step: np.ndarray, start: np.ndarray, lengths: np.ndarray, messages: bool = False):
     """Label probabilities of each word. local: positive label weights of the words, sequence after sequence; step: positive transition weights.
 
+    messages: also what comes to a word from its left with its own weights, and from its right with its own weights, each scaled.
+
     Sequences run side by side, longest first, so that place t holds those with more than t words.
     """
     order = np.argsort(-lengths, kind="stable")
@@ -84,6 +86,7 @@ def forward_backward(local: np.ndarray, step: np.ndarray, start: np.ndarray, len
         at[begins[t] : begins[t + 1]] = offsets[: alive[t]] + t
     b = local[at]
     forward = np.empty_like(b)
+    ahead, behind = (np.empty_like(b), np.empty_like(b)) if messages else (None, None)
     a = None
     for t in range(longest):
         n, rows = alive[t], slice(begins[t], begins[t + 1])
@@ -96,12 +99,18 @@ def forward_backward(local: np.ndarray, step: np.ndarray, start: np.ndarray, len
         if n > len(after):
             after = np.concatenate([after, np.ones((n - len(after), b.shape[1]), b.dtype)])
         p = forward[rows] * after
+        if messages:
+            ahead[rows], behind[rows] = forward[rows], b[rows] * after
         forward[rows] = p / p.sum(axis=1, keepdims=True)
         after = (b[rows] * after) @ step.T
         after = after / after.sum(axis=1, keepdims=True)
     out = np.empty_like(forward)
     out[at] = forward
-    return out
+    if not messages:
+        return out
+    left, right = np.empty_like(forward), np.empty_like(forward)
+    left[at], right[at] = ahead, behind
+    return out, left, right
 
 
 def positive(scores: np.ndarray) -> np.ndarray:
@@ -147,7 +156,7 @@ class Field:
             lengths = np.array([len(r) for r, _ in some])
             local = positive(np.add.reduceat(self.weights[found], begins, axis=0)[x].astype(np.float64))
             step, start = positive(self.step.ravel()).reshape(k, k), positive(self.start)
-            p = forward_backward(local, step, start, lengths)
+            p, ahead, behind = forward_backward(local, step, start, lengths, True)
             error = p.copy()
             error[np.arange(len(y)), y] -= 1
             by_word = np.stack([np.bincount(x, error[:, c], len(names)) for c in range(k)], axis=1)
@@ -156,8 +165,8 @@ class Field:
             inner = np.ones(len(y), bool)
             inner[first] = False
             left, right = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-            # expected transitions, from the marginals of both ends and the transition weights
-            joint = p[left][:, :, None] * step * p[right][:, None, :]
+            # probabilities of the pairs of neighbours
+            joint = ahead[left][:, :, None] * step * behind[right][:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
             seen = np.bincount(y[left] * k + y[right], minlength=k * k).reshape(k, k)
             g_step = (joint.sum(axis=0) - seen) / len(y)

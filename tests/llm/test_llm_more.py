@@ -18,14 +18,21 @@ def test_forward_backward_equals_enumeration():
     lengths = np.array([3, 1, 4, 2])
     local, step, start = r.random((lengths.sum(), 3)) + 0.1, r.random((3, 3)) + 0.1, r.random(3) + 0.1
     got, at = language_id.forward_backward(local, step, start, lengths), 0
+    same, left, right = language_id.forward_backward(local, step, start, lengths, True)
+    assert np.allclose(got, same)
     for n in lengths:
-        want = np.zeros((n, 3))
+        want, pairs = np.zeros((n, 3)), np.zeros((max(n - 1, 0), 3, 3))
         for path in product(range(3), repeat=int(n)):
             w = start[path[0]] * local[at, path[0]]
             for t in range(1, n):
                 w *= step[path[t - 1], path[t]] * local[at + t, path[t]]
             for t in range(n):
                 want[t, path[t]] += w
+            for t in range(n - 1):
+                pairs[t, path[t], path[t + 1]] += w
+        for t in range(n - 1):
+            joint = left[at + t][:, None] * step * right[at + t + 1][None, :]
+            assert np.allclose(joint / joint.sum(), pairs[t] / pairs[t].sum())
         assert np.allclose(got[at : at + n], want / want.sum(axis=1, keepdims=True))
         at += n
 
