@@ -19,6 +19,7 @@ and null ids are kept, other columns are not touched.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 250_000
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -45,32 +46,30 @@ def load_vocabulary(path: str) -> dict:
     order = sorted(pieces, key=lambda p: (-model.get_score(pieces[p]), pieces[p]))
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece holds a space mark inside; words can't be encoded one by one")
+    if any("\n" in p for p in pieces):
+        raise ValueError("a piece holds a line end; lines can't be encoded one by one")
     return {"pieces": pieces, "rank": {p: r for r, p in enumerate(order)}, "bytes": {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}, "unknown": model.unk_id()}
 
 
 class Codec:
     def __init__(self, vocabulary: dict):
         self.ids, self.rank, self.bytes, self.unknown = vocabulary["pieces"], vocabulary["rank"], vocabulary["bytes"], vocabulary["unknown"]
-        self.halves: dict[str, tuple[str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.values = {i: b for b, i in self.bytes.items()}
+        self.characters = {p for p in self.ids if len(p) == 1}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
 
-    @cached_property
-    def names(self) -> dict[int, str]:
-        return {i: p for p, i in self.ids.items()}
-
-    @cached_property
-    def values(self) -> dict[int, int]:
-        return {i: b for b, i in self.bytes.items()}
-
     @cached_property
     def automaton(self):
+        """Reports the pieces that end at a place, longest first; pieces that merging can't reach are left out."""
         import ahocorasick
 
         out = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece, i in self.ids.items():
             if len(piece) == 1 or self.split(piece):
-                out.add_word(piece, piece)
+                out.add_word(piece, (len(piece), i))
         out.make_automaton()
         return out
 
@@ -89,14 +88,6 @@ class Codec:
         return self.halves[piece]
 
     def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= 4 * CACHE:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self._compatible(left, right)
-        return found
-
-    def _compatible(self, left: str, right: str) -> bool:
         before = 1 << 60  # merges at the seam count that come before this rank
         while True:
             if self.rank.get(left + right, 1 << 60) < before:
@@ -109,51 +100,59 @@ class Codec:
             else:  # of two equal merges the left one comes first, and the seam is left of this one
                 before, right = made[1] + 1, self.split(right)[0]
 
-    def run(self, word: str) -> list[str]:
-        """Pieces of a run of characters that all have pieces."""
-        if self.split(word) and word in self.ids:
-            return [word]
-        ends: list[list[str]] = [[] for _ in word]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        last: list[str] = []
-        for end, found in enumerate(ends):
-            for piece in found:
-                start = end + 1 - len(piece)
-                if start == 0 or self.compatible(last[start - 1], piece):
-                    last.append(piece)
-                    break
-            else:
-                raise AssertionError(f"no piece ends at {end} of {word[:80]!r}")
+    def run(self, word: str) -> list[int]:
+        """Ids of a run of characters that all have pieces."""
+        last, pairs, names = [0] * (len(word) + 1), self.pairs, self.names
+        for end, (size, piece) in self.automaton.iter(word):
+            if last[end + 1]:
+                continue
+            if size > end:
+                last[end + 1] = piece
+                continue
+            left = last[end + 1 - size]
+            fits = pairs.get(left << 20 | piece)
+            if fits is None:
+                if len(pairs) >= CACHE:
+                    pairs.clear()
+                fits = pairs[left << 20 | piece] = self.compatible(names[left], names[piece])
+            if fits:
+                last[end + 1] = piece
         out, at = [], len(word)
         while at:
-            out.append(last[at - 1])
-            at -= len(last[at - 1])
-        return out[::-1]
+            out.append(last[at])
+            at -= len(names[last[at]])
+        out.reverse()
+        return out
 
     def word(self, word: str) -> list[int]:
+        if self.characters.issuperset(word):
+            return self.run(word)
         out: list[int] = []
         start = 0
         for at in range(len(word) + 1):
-            if at == len(word) or word[at] not in self.ids:
+            if at == len(word) or word[at] not in self.characters:
                 if at > start:
-                    out += [self.ids[p] for p in self.run(word[start:at])]
+                    out += self.run(word[start:at])
                 if at < len(word):
                     out += [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
                 start = at + 1
         return out
 
-    def _entry(self, word: str) -> tuple[str, int, str]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = self.word(word)
-            found = self.words[word] = (",".join(map(str, ids)), len(ids), self._joined(ids))
+    def _entry(self, word: str, key: str) -> tuple[str, int, str]:
+        """What a word gives, kept under key."""
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        ids = self.word(word)
+        found = self.words[key] = (",".join(map(str, ids)), len(ids), self._joined(ids))
         return found
 
     def _joined(self, ids: list[int]) -> str:
         """Text of the ids, with spaces for marks; runs of bytes are read as UTF-8, and a byte that can't be is replaced by itself."""
+        names = self.names
+        try:
+            return "".join([names[i] for i in ids]).replace(MARK, " ")
+        except KeyError:  # bytes among them
+            pass
         out, run = [], bytearray()
         for i in [*ids, None]:
             if i in self.values:
@@ -178,8 +177,15 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, digest of the ids and digest of the decoded text."""
-        entry, known = self._entry, self.words.get
-        found = [known(w) or entry(w) for w in self._words(text)]
+        entry, known, found = self._entry, self.words.get, []
+        if not text or MARK in text or "  " in text or text[0] == " ":
+            found = [known("\n\n" + w) or entry(w, "\n\n" + w) for w in self._words(text)]
+        else:  # single spaces: a word without a line end in front is one with a mark in front
+            for i, line in enumerate(text.split("\n")):
+                words = line.split(" ")
+                if i:
+                    words[0] = "\n" + words[0]
+                found += [known(w) or entry(w if w[:1] == "\n" else MARK + w, w) for w in words]
         ids = ",".join([f[0] for f in found])
         decoded = "".join([f[2] for f in found]).removeprefix(" ")
         return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
@@ -235,7 +241,11 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(shared.value)
         for batch in batches:
-            rows = [(d, *codec.digest(t)) for d, t in zip(batch["doc_id"], batch["text"])]
+            gc.disable()  # words that are kept are many small objects, and none of them is in a cycle
+            try:
+                rows = [(d, *codec.digest(t)) for d, t in zip(batch["doc_id"], batch["text"])]
+            finally:
+                gc.enable()  # the worker goes on to other tasks
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
