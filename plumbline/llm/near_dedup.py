@@ -37,7 +37,7 @@ SIFT = 70
 #: Members of a block when a bucket is compared member by member.
 BLOCK = 128
 #: Word hashes that a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
