@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import cost_queries, finding_queries, retrieval_queries, series_queries, trace_queries  # noqa: F401
+from plumbline.plans import cost_queries, finding_queries, retrieval_queries, series_queries, source_queries, trace_queries  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 

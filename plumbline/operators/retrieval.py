@@ -54,9 +54,12 @@ def tokens(text: Column) -> Column:
     """Article numbers, Latin words with light plural folding, and bigrams of CJK characters."""
     low = F.lower(F.coalesce(text, F.lit("")))
     articles = F.regexp_extract_all(low, F.lit(r"第[一二三四五六七八九十百千零\d]+条"), F.lit(0))
-    latin = F.transform(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(F.substring(w, 1, F.length(w) - 3), F.lit("y"))).when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w))
-    runs = F.regexp_extract_all(low, F.lit(r"[一-鿿]{2,}"), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    ends = lambda w, *tails: F.substring(w, -len(tails[0]), len(tails[0])).isin(*tails)
+    less = lambda w, n: F.substring(w, 1, F.length(w) - n)
+    folded = lambda w: F.when(F.length(w) <= 4, w).when(ends(w, "ies"), F.concat(less(w, 3), F.lit("y"))).when(ends(w, "es") & ~ends(w, "ses"), less(w, 2)).when(ends(w, "s") & ~ends(w, "ss"), less(w, 1)).otherwise(w)
+    latin = F.transform(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0)), folded)
+    cjk = F.regexp_replace(low, "[^一-鿿]", "")
+    grams = F.when(F.length(cjk) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(cjk) - 1, F.lit(1))), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
     return F.concat(articles, latin, grams)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import retrieval as re_
 from plumbline.plans.registry import query
 
-FOLD = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END"
+FOLD = "CASE WHEN length(w) <= 4 THEN w WHEN w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN w LIKE '%es' AND w NOT LIKE '%ses' THEN substr(w, 1, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END"
 
 
 def toks(x):
