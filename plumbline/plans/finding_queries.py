@@ -9,32 +9,30 @@ from plumbline.operators import badges, metrics, probes, questions
 from plumbline.operators import trading_calendar as cal
 from plumbline.plans.inputs import ASOF, SERIES, series, suspensions
 from plumbline.plans.registry import query
-from plumbline.plans.series_queries import COMPLETE, DAY, DEPTH, DRIFT, DRIFT_CTE, FAULTY, FRESH, ISLANDS, NULLED, RAW, SHORT, UNIQUE, VALID, S, calendar, faulty, limits, nulled, raw, short
+from plumbline.plans.series_queries import COMPLETE, DEPTH, DRIFT, DRIFT_CTE, FAULTY, FRESH, ISLANDS, NULLED, RAW, SHORT, UNIQUE, VALID, S, calendar, day, faulty, limits, nulled, raw, short
 
 ONE = "1998-06-15"
-THE_DAY = F.to_date(F.lit(ONE))
 LO, HI = "1997-03-03", "1999-10-29"
-L, H = F.to_date(F.lit(LO)), F.to_date(F.lit(HI))
 
 
 @query("q059_row_count_metric", f"WITH s AS ({SERIES}) SELECT count(*) AS value, count(*) >= 3000 AS ok FROM s WHERE date = DATE '{ONE}'")
 def _(t):
-    return metrics.row_count(series(t), THE_DAY)
+    return metrics.row_count(series(t), F.to_date(F.lit(ONE)))
 
 
 @query("q060_null_rate_metric", f"WITH s AS ({SERIES}), {NULLED} SELECT round(count(*) FILTER (volume IS NULL) / count(*), 6) AS value, count(*) FILTER (volume IS NULL) / count(*) <= 0.02 AS ok FROM z WHERE date = DATE '{ONE}'")
 def _(t):
-    return metrics.null_rate(nulled(t), "volume", THE_DAY).withColumn("value", F.round("value", 6))
+    return metrics.null_rate(nulled(t), "volume", F.to_date(F.lit(ONE))).withColumn("value", F.round("value", 6))
 
 
 @query("q061_distinct_entities_metric", f"WITH s AS ({SERIES}) SELECT count(DISTINCT symbol) AS value FROM s WHERE date = DATE '{ONE}'")
 def _(t):
-    return metrics.distinct_entities(series(t), THE_DAY)
+    return metrics.distinct_entities(series(t), F.to_date(F.lit(ONE)))
 
 
 @query("q062_lag_days_metric", f"WITH s AS ({SERIES}) SELECT (DATE '{ASOF}' - max(date))::INT AS value FROM s WHERE date <= DATE '{ASOF}'")
 def _(t):
-    return metrics.lag_days(series(t), DAY)
+    return metrics.lag_days(series(t), day())
 
 
 @query("q063_latest_value_metric", f"WITH s AS ({SERIES}) SELECT symbol, round(arg_max(close, date), 3) AS value, max(date) AS date FROM s GROUP BY 1", "date")
@@ -47,19 +45,19 @@ CHANGE = f"SELECT symbol, round((arg_max(close, date) FILTER (date <= DATE '{HI}
 
 @query("q064_change_metric", f"WITH s AS ({SERIES}) {CHANGE}")
 def _(t):
-    return metrics.pct_change(series(t), L, H).withColumn("value", F.round("value", 2))
+    return metrics.pct_change(series(t), F.to_date(F.lit(LO)), F.to_date(F.lit(HI))).withColumn("value", F.round("value", 2))
 
 
 @query("q065_cross_check", f"WITH s AS ({SERIES}), a AS ({CHANGE}) SELECT symbol, CASE WHEN symbol = 'S02' THEN 'not_verifiable' WHEN symbol < 'S04' THEN 'mismatch' ELSE 'verified' END AS status FROM a")
 def _(t):
-    a = metrics.pct_change(series(t), L, H)
+    a = metrics.pct_change(series(t), F.to_date(F.lit(LO)), F.to_date(F.lit(HI)))
     off = F.when(F.col("symbol") == "S02", None).when(F.col("symbol") < "S04", F.col("value") + 1).otherwise(F.col("value"))
-    return metrics.verify(a, metrics.midpoint_change(series(t), L, H).withColumn("value", off), ["symbol"], 0.1).select("symbol", "status")
+    return metrics.verify(a, metrics.midpoint_change(series(t), F.to_date(F.lit(LO)), F.to_date(F.lit(HI))).withColumn("value", off), ["symbol"], 0.1).select("symbol", "status")
 
 
 @query("q066_midpoint_product", f"WITH s AS ({SERIES}) SELECT symbol, round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 2) AS value FROM s WHERE date BETWEEN DATE '{LO}' AND DATE '{HI}' GROUP BY 1")
 def _(t):
-    return metrics.midpoint_change(series(t), L, H).withColumn("value", F.round("value", 2))
+    return metrics.midpoint_change(series(t), F.to_date(F.lit(LO)), F.to_date(F.lit(HI))).withColumn("value", F.round("value", 2))
 
 
 RUNS = (("r1", "daily", '{"symbol": "S04"}', "failed", "2001-01-01 00:00:00"), ("r2", "daily", '{"symbol": "S04"}', "failed", "2000-01-01 00:00:00"), ("r3", "raw", "{}", "failed", "2001-01-02 00:00:00"), ("r4", "daily", '{"symbol": "S09"}', "success", "2001-01-03 00:00:00"), ("r5", "daily", '{"symbol": "S13"}', "failed", "2001-02-03 00:00:00"))
@@ -71,7 +69,7 @@ def loads(t):
 
 
 def gap_findings(t):
-    return probes.freshness(series(t), calendar(t), DAY).unionByName(probes.completeness(series(t), calendar(t), DAY))
+    return probes.freshness(series(t), calendar(t), day()).unionByName(probes.completeness(series(t), calendar(t), day()))
 
 
 KEYED = 'probe, table_name, symbol, metric, start, "end"'
@@ -110,7 +108,7 @@ dep AS (SELECT *, CASE WHEN list_date IS NOT NULL AND expected > 0 AND value / e
 
 @query("q069_history_depth_attribution", f"WITH {S}, {DEPTH_CTE} SELECT symbol, value::DOUBLE AS value, root_cause, CASE WHEN root_cause = 'missing_rows' THEN 'P1' ELSE 'OK' END AS severity FROM dep")
 def _(t):
-    return at.depth(probes.history_depth(short(t)), calendar(t), listed(t), DAY).select("symbol", "value", "root_cause", "severity")
+    return at.depth(probes.history_depth(short(t)), calendar(t), listed(t), day()).select("symbol", "value", "root_cause", "severity")
 
 
 RIGHTS = "ev AS (SELECT symbol, date, 'ex_rights' AS kind FROM s WHERE symbol < 'S10' AND dayofyear(date) = 99)"
@@ -216,7 +214,7 @@ def _(t):
     ev = at.has_event(d, events(t), "ex_rights").withColumn("ex_rights", F.lit(True))
     rows = cal.trading_days_between(d.select(*at.KEY), calendar(t), "start", "end", "days_expected")
     rows = rows.join(peers, at.KEY, "left").join(present, at.KEY, "left").join(ev, at.KEY, "left")
-    return rows.select(*at.KEY, (F.col("end") >= DAY).alias("at_tail"), F.coalesce("days_present", F.lit(0)).alias("days_present"), "days_expected", F.coalesce("peers", F.lit(0)).alias("peers"), F.coalesce("ex_rights", F.lit(False)).alias("ex_rights"))
+    return rows.select(*at.KEY, (F.col("end") >= day()).alias("at_tail"), F.coalesce("days_present", F.lit(0)).alias("days_present"), "days_expected", F.coalesce("peers", F.lit(0)).alias("peers"), F.coalesce("ex_rights", F.lit(False)).alias("ex_rights"))
 
 
 BUCKET = "CASE WHEN value < 0 THEN '<0' WHEN value < 1 THEN '<1' WHEN value < 2 THEN '<2' WHEN value < 5 THEN '<5' WHEN value < 8 THEN '<8' WHEN value < 20 THEN '<20' WHEN value < 100 THEN '<100' ELSE '>=100' END"
@@ -225,7 +223,7 @@ PRINTED = f"""probe || '|' || metric || '|' || {BUCKET} || '|' || CASE WHEN "end
 
 @query("q080_shape_fingerprint", f"WITH {S}, {ISLANDS} SELECT fingerprint, count(*) AS n FROM (SELECT {PRINTED} AS fingerprint FROM ({FRESH} UNION ALL {COMPLETE})) GROUP BY 1")
 def _(t):
-    return gap_findings(t).select(at.fingerprint(DAY).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
+    return gap_findings(t).select(at.fingerprint(day()).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 #: Observations: users as shapes, event types as causes; some are labelled false alarms.
@@ -271,7 +269,7 @@ SELECT dd.date, count(s.symbol) AS present, coalesce(string_agg(CASE WHEN s.symb
 def _(t):
     s = series(t)
     first = s.groupBy("symbol").agg(F.min("date").alias("first"))
-    days = first.join(F.broadcast(calendar(t)), (F.col("date") >= F.col("first")) & (F.col("date") <= DAY)).select("symbol", "date").join(s.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    days = first.join(F.broadcast(calendar(t)), (F.col("date") >= F.col("first")) & (F.col("date") <= day())).select("symbol", "date").join(s.select("symbol", "date"), ["symbol", "date"], "left_anti")
     return at.present_on(days, s, s).withColumn("lacking", F.array_join("lacking", ","))
 
 
@@ -470,11 +468,11 @@ def _(t):
 @query("q088_badge_board", """WITH n AS (SELECT count(*) > 0 AS dup FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)), cols AS (SELECT unnest(['l_orderkey', 'l_linenumber', 'l_extendedprice', 'l_quantity', 'l_shipdate', 'l_returnflag']) AS "column")
 SELECT 'lineitem' AS table_name, "column", CASE WHEN dup THEN 'unusable' WHEN "column" = 'l_shipdate' THEN 'caution' ELSE 'baseline' END AS level FROM n, cols""")
 def _(t):
-    from plumbline.plans.series_queries import ASOF_DAY, D, generic_probes
+    from plumbline.plans.series_queries import D, generic_probes, later_day
 
     spec = generic_probes.Spec("lineitem", tuple(D(c, k, False) for c, k in (("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("l_extendedprice", "numeric"), ("l_quantity", "numeric"), ("l_shipdate", "datetime"), ("l_returnflag", "text"))), ("l_orderkey", "l_linenumber"), "l_shipdate", "l_returnflag")
     rows = t.lineitem.select(*[c.name for c in spec.columns])
-    found = at.generic(generic_probes.run(rows, spec, ASOF_DAY), rules(t)).withColumn("table_name", F.lit("lineitem")).withColumn("suppressed", F.lit(False))
+    found = at.generic(generic_probes.run(rows, spec, later_day()), rules(t)).withColumn("table_name", F.lit("lineitem")).withColumn("suppressed", F.lit(False))
     observed = t.spark.createDataFrame([("lineitem", c.name) for c in spec.columns], "table_name string, column string")
     every = found.where(F.col("column") == "*").drop("column").join(F.broadcast(observed), "table_name")
     return badges.board(found.where(F.col("column") != "*").unionByName(every), observed).select("table_name", "column", "level")

@@ -9,7 +9,12 @@ from plumbline.operators import trading_calendar as cal
 from plumbline.plans.inputs import ASOF, CALENDAR, HOLIDAYS, SERIES, SUSPENSION_SQL, series, suspensions
 from plumbline.plans.registry import query
 
-DAY = F.to_date(F.lit(ASOF))
+
+
+def day():
+    return F.to_date(F.lit(ASOF))
+
+
 S = f"s AS ({SERIES}), c AS ({CALENDAR}), halt AS ({SUSPENSION_SQL})"
 
 
@@ -42,7 +47,7 @@ def _(t):
 
 @query("q038_staleness", f"WITH {S}, l AS (SELECT symbol, max(date) AS last FROM s GROUP BY 1), e AS (SELECT max(date) AS expected FROM c WHERE date < DATE '{ASOF}') SELECT symbol, last, (SELECT count(*) FROM c WHERE c.date > last AND c.date <= expected) AS lag_days FROM l, e", "last")
 def _(t):
-    return cal.staleness(series(t).groupBy("symbol").agg(F.max("date").alias("last")), calendar(t), "last", DAY).select("symbol", "last", "lag_days")
+    return cal.staleness(series(t).groupBy("symbol").agg(F.max("date").alias("last")), calendar(t), "last", day()).select("symbol", "last", "lag_days")
 
 
 @query("q039_suspension_days", f"WITH {S} SELECT DISTINCT halt.symbol, c.date FROM halt JOIN c ON c.date BETWEEN begin_date AND coalesce(end_date, begin_date)", "date")
@@ -70,7 +75,7 @@ ISLANDS = f"{MISSING}, i AS (SELECT symbol, date, day_no - row_number() OVER (PA
 def _(t):
     s = series(t)
     first = s.groupBy("symbol").agg(F.min("date").alias("first"))
-    expected = first.join(F.broadcast(calendar(t)), (F.col("date") >= F.col("first")) & (F.col("date") <= DAY)).select("symbol", "date", "day_no")
+    expected = first.join(F.broadcast(calendar(t)), (F.col("date") >= F.col("first")) & (F.col("date") <= day())).select("symbol", "date", "day_no")
     return cal.collapse(expected.join(s.select("symbol", "date"), ["symbol", "date"], "left_anti")).drop("sample")
 
 
@@ -89,12 +94,12 @@ COMPLETE = """SELECT 'completeness' AS probe, 'daily' AS table_name, symbol, 'mi
 
 @query("q042_freshness_probe", f"WITH {S} {shaped(FRESH)}", "start end")
 def _(t):
-    return flat(probes.freshness(series(t), calendar(t), DAY))
+    return flat(probes.freshness(series(t), calendar(t), day()))
 
 
 @query("q043_completeness_probe", f"WITH {S}, {ISLANDS} {shaped(COMPLETE)}", "start end")
 def _(t):
-    return flat(probes.completeness(series(t), calendar(t), DAY))
+    return flat(probes.completeness(series(t), calendar(t), day()))
 
 
 RAW = "SELECT printf('S%02d', l_suppkey % 25) AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem"
@@ -210,13 +215,16 @@ def _(t):
 @query("q051_probe_union", f"WITH {S}, {ISLANDS}, {SHORT}, {FAULTY}, raw AS ({RAW}) " + " UNION ALL ".join(shaped(x) for x in (FRESH, COMPLETE, UNIQUE, VALID, DEPTH)), "start end")
 def _(t):
     s = series(t)
-    return flat(probes.union(lambda: probes.freshness(s, calendar(t), DAY), lambda: probes.completeness(s, calendar(t), DAY), lambda: probes.uniqueness({"raw": raw(t)}), lambda: probes.validity(faulty(t), limits(t)), lambda: probes.history_depth(short(t)), lambda: probes.validity(s.drop("close"), None)))
+    return flat(probes.union(lambda: probes.freshness(s, calendar(t), day()), lambda: probes.completeness(s, calendar(t), day()), lambda: probes.uniqueness({"raw": raw(t)}), lambda: probes.validity(faulty(t), limits(t)), lambda: probes.history_depth(short(t)), lambda: probes.validity(s.drop("close"), None)))
 
 
 # Generic probes.
 D = generic_probes.Declared
 LINEITEM = generic_probes.Spec("lineitem", (D("l_orderkey", "numeric", False), D("l_linenumber", "numeric", False), D("l_extendedprice", "numeric"), D("l_quantity", "numeric"), D("l_shipdate", "datetime", False), D("l_comment", "text"), D("l_returnflag", "numeric")), ("l_orderkey", "l_linenumber"), "l_shipdate", "l_returnflag", outliers=0.001)
-ASOF_DAY = F.to_date(F.lit("2002-06-29"))
+
+
+def later_day():
+    return F.to_date(F.lit("2002-06-29"))
 
 
 @query("q052_schema_conformance", """SELECT * FROM (VALUES ('schema', 'l_comment', 'column_missing', 1.0::DOUBLE, 1.0::DOUBLE, 'P1'), ('schema', 'l_discount', 'column_extra', 1.0, 1.0, 'P2'), ('schema', 'l_linestatus', 'column_extra', 1.0, 1.0, 'P2'), ('schema', 'l_partkey', 'column_extra', 1.0, 1.0, 'P2'),
@@ -248,7 +256,7 @@ def _(t):
 @query("q055_freshness_and_future", """SELECT 'freshness' AS probe, '*' AS "column", 'stale_days' AS metric, floor(epoch(TIMESTAMP '2002-06-29' - max(l_shipdate)) / 86400)::DOUBLE AS value, 7.0::DOUBLE AS threshold, 'P1' AS severity FROM lineitem
 UNION ALL SELECT 'freshness', '*', 'future_timestamps', -floor(epoch(TIMESTAMP '2000-01-01' - max(ts)) / 86400), 0.0, 'P2' FROM events""")
 def _(t):
-    return generic_probes.freshness(t.lineitem, LINEITEM, ASOF_DAY).union(generic_probes.freshness(t.events, EVENTS, F.to_date(F.lit("2000-01-01"))))
+    return generic_probes.freshness(t.lineitem, LINEITEM, later_day()).union(generic_probes.freshness(t.events, EVENTS, F.to_date(F.lit("2000-01-01"))))
 
 
 def outlier_sql(table, group, columns, least):
