@@ -99,8 +99,8 @@ def window_ratios(findings: DataFrame, series: DataFrame, value: str = "volume",
 
 def co_movement(findings: DataFrame, series: DataFrame, sectors: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Of each finding: entities with a ratio, those that doubled, peers of the sector that doubled, the largest index ratio."""
-    own = F.broadcast(sectors.select(F.col("symbol"), F.col("sector").alias("own_sector")))
-    peer = F.broadcast(sectors.select(F.col("symbol").alias("entity"), F.col("sector").alias("peer_sector")))
+    own = sectors.select(F.col("symbol"), F.col("sector").alias("own_sector"))
+    peer = sectors.select(F.col("symbol").alias("entity"), F.col("sector").alias("peer_sector"))
     r = window_ratios(findings, series).where("ratio is not null").join(own, "symbol", "left").join(peer, "entity", "left")
     same = (F.col("own_sector") == F.col("peer_sector")) & (F.col("own_sector") != "") & (F.col("entity") != F.col("symbol"))
     out = r.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(F.col("ratio") >= 2).alias("n_ge2"), F.count_if(F.col("ratio") >= 3).alias("n_ge3"), F.count_if(F.col("ratio") >= 5).alias("n_ge5"), F.count_if((F.col("ratio") >= 2) & same).alias("sector_peers"))

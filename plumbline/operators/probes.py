@@ -61,7 +61,7 @@ def uniqueness(tables: dict[str, DataFrame]) -> DataFrame:
 
 def validity(series: DataFrame, limits: DataFrame | None = None, table: str = "daily") -> DataFrame:
     """Rows that break a rule, one finding for each symbol and rule."""
-    rows = series if limits is None else series.join(F.broadcast(limits.select("symbol", "price_limit")), "symbol", "left")
+    rows = series if limits is None else series.join(limits.select("symbol", "price_limit"), "symbol", "left")
     limit = (F.lit(0.10) if limits is None else F.coalesce("price_limit", F.lit(0.10))) * 100
     rules = {"non_positive_close": F.col("close") <= 0, "pct_chg_out_of_limit": F.abs("pct_chg") > limit + 1e-6, "high_lt_low": F.col("high") < F.col("low"), "non_positive_volume": F.col("volume") <= 0}
     broken = F.explode(F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull()))
