@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import GAP, checkpointed
 
+#: Sources up to which their table goes to every task; more are joined by source.
+SMALL = 20_000
 #: Documents in a block of a permutation, about.
 BLOCK_ROWS = 4096
 DIGEST_SPACE = float(1 << 32)
@@ -39,6 +41,10 @@ def digest(seed: int, doc_id: Column, pass_no: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), pass_no.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def _sized(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= SMALL else sources
+
+
 def _block(key: Column, blocks: Column) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / DIGEST_SPACE * blocks).cast("bigint")
 
@@ -97,6 +103,7 @@ def plan(documents: DataFrame, target_entropy: float | None = None, repetition_l
     passes = F.when(t > 0, F.round(tokens * F.col("weight") / t, 9)).otherwise(1.0)
     sources = totals.withColumn("weight", weight).withColumn("passes", passes).withColumn("whole", F.floor("passes").cast("int"))
     sources = sources.withColumn("left", (F.col("passes") - F.col("whole")) * t).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_ROWS))
+    sources = checkpointed(sources)
     return sources.join(_cuts(documents, sources, seed), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source").withColumn("tau", F.lit(tau))
 
 
@@ -104,7 +111,7 @@ def _cuts(documents: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """The last digest of the last part of a pass, for each source that has one."""
     s = sources.where("left > 0").select(F.col("source").alias("cut_source"), "whole", "left", "blocks")
     slim = documents.select(F.col("source").alias("src"), F.col("doc_id").alias("id"), n_tokens(F.col("text")).alias("n"))
-    keyed = slim.join(s, F.col("src").eqNullSafe(F.col("cut_source"))).withColumn("key", digest(seed, F.col("id"), F.col("whole") + 1))
+    keyed = slim.join(_sized(s), F.col("src").eqNullSafe(F.col("cut_source"))).withColumn("key", digest(seed, F.col("id"), F.col("whole") + 1))
     keyed = keyed.select("cut_source", "left", "key", "n", _block(F.col("key"), F.col("blocks")).alias("block"))
     sums = keyed.groupBy("cut_source", "left", "block").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(W.partitionBy("cut_source").orderBy("block"))
@@ -119,7 +126,7 @@ def mix(documents: DataFrame, target_entropy: float | None = None, repetition_li
     """The documents' columns, with mix_pass (from 1) and mix_key (order within the pass); a row for each time a document is passed."""
     p = plan(documents, target_entropy, repetition_limit, budget, seed)
     p = checkpointed(p.select(F.col("source").alias("mix_source"), F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut")))
-    joined = documents.join(p, F.col("source").eqNullSafe(F.col("mix_source")))
+    joined = documents.join(_sized(p), F.col("source").eqNullSafe(F.col("mix_source")))
     last = F.col("mix_whole") + 1
     in_last = F.col("mix_cut").isNotNull() & (digest(seed, F.col("doc_id"), last) <= F.col("mix_cut"))
     n = F.col("mix_whole") + F.when(in_last, 1).otherwise(0)
