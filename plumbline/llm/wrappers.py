@@ -2,16 +2,19 @@
 
 A page is a stream of tokens: the containers (element paths with classes and ids) in which its blocks
 stand, and their texts. Equal neighbours, and groups of neighbours that repeat, are folded into repeated
-groups. A wrapper is such a stream in which every element is plain, optional or repeated and its text is
-constant or a slot. Wrappers are aligned one by one: what is on both sides is merged (unequal texts
-become a slot), what is on one side becomes optional. That is the union-free case: there are no
-alternatives. A host's pages are aligned in groups of bounded size, then the wrappers of the groups,
-until one is left, so a host with a third of all pages is no large group.
-
-Text is taken from the slots of the wrapper. A page with an article (or main) element gives what stands
-in it; other pages give all slots whose texts vary between pages and aren't mostly links. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments are known by their elements,
-classes and ids, on all pages.
+groups. A wrapper is such a stream in which every element is plain, optional or repeated and has the
+texts that stand in it on all its pages (its constants); what else stands in it is a slot. Wrappers are
+aligned one by one: what is on both sides is merged (texts of one side become a slot), what is on one
+side becomes optional. That is the union-free case: there are no alternatives. A host's pages are
+aligned in groups of bounded size, then the wrappers of the groups, until one is left, so a host with a
+third of all pages is no large group. Pages of a host with the same blocks count once.
+
+The text of every page is taken from the slots of the wrapper of its host. An article (or main) element
+is evidence only: in it lists of links stay, and a constant must be on 2 * MIN_PAGES pages and on most
+pages of the host. Outside it lists of links go, and an element that too few pages have goes where the
+article holds the larger part of the page's text. Where constants alone stand in an article and the
+page has no slot, the article stays. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments are known by their elements, classes and ids, on all pages.
 
 Defined results: null and empty html give an empty text. A null or odd url belongs to the host "". With
 fewer than MIN_PAGES pages of an element nothing counts as constant. Pages are extracted row by row, so
@@ -27,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,22 +164,32 @@ def _short(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
 
 
-# A wrapper element: [path, optional, repeated, text digest or None for a slot, pages, characters, characters in links]
+# A wrapper element: [path, optional, repeated, digests of the texts on all its pages, pages, characters, characters in links].
+# The first element of a wrapper has the path PAGES and counts the pages.
+PAGES = "*"
 
 
 def stream(page: str | None) -> list[list]:
     """The folded stream of a page, as a wrapper of one page."""
-    out: list[list] = []
+    out: list[list] = [[PAGES, False, False, [], 1, 0, 0]]
     for path, _, text, linked in blocks(page):
-        if out and out[-1][0] == path:
+        if out[-1][0] == path:
             last = out[-1]
-            last[2], last[3] = True, _short(last[3] + _short(text))
+            last[2], last[3] = True, _either(last[3], [_short(text)])
             last[5], last[6] = last[5] + len(text), last[6] + linked
         else:
-            out.append([path, False, False, _short(text), 1, len(text), linked])
+            out.append([path, False, False, [_short(text)], 1, len(text), linked])
     return folded(out)
 
 
+def _either(a: list[str], b: list[str]) -> list[str]:
+    return sorted({*a, *b})
+
+
+def _both(a: list[str], b: list[str]) -> list[str]:
+    return sorted({*a}.intersection(b))
+
+
 def folded(elements: list[list], longest: int = 8) -> list[list]:
     """Groups of two and more elements that repeat side by side are folded into one repeated group."""
     for size in range(2, longest + 1):
@@ -185,7 +199,7 @@ def folded(elements: list[list], longest: int = 8) -> list[list]:
             while len(out) >= 2 * size and [x[0] for x in out[-size:]] == [x[0] for x in out[-2 * size : -size]]:
                 for a, b in zip(out[-2 * size : -size], out[-size:]):
                     a[2], a[1] = True, a[1] or b[1]
-                    a[3] = a[3] if a[3] == b[3] else _short((a[3] or "") + (b[3] or ""))
+                    a[3] = _either(a[3], b[3])
                     a[5], a[6] = a[5] + b[5], a[6] + b[6]
                 del out[-size:]
         elements = out
@@ -198,7 +212,7 @@ def _summed(elements: list[list]) -> list[list]:
     for e in elements[LONGEST:]:
         if e[0] in tail:
             t = tail[e[0]]
-            t[2], t[3], t[5], t[6] = True, _short((t[3] or "") + (e[3] or "")), t[5] + e[5], t[6] + e[6]
+            t[2], t[3], t[5], t[6] = True, _both(t[3], e[3]), t[5] + e[5], t[6] + e[6]
         else:
             tail[e[0]] = e
     return elements[:LONGEST] + list(tail.values())[:LONGEST]
@@ -210,7 +224,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     for kind, i, j, k, m in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
         if kind == "equal":
             for x, y in zip(a[i:j], b[k:m]):
-                out.append([x[0], x[1] or y[1], x[2] or y[2], x[3] if x[3] == y[3] else None, x[4] + y[4], x[5] + y[5], x[6] + y[6]])
+                out.append([x[0], x[1] or y[1], x[2] or y[2], _both(x[3], y[3]), x[4] + y[4], x[5] + y[5], x[6] + y[6]])
         else:
             out += [[x[0], True, *x[2:]] for x in (*a[i:j], *b[k:m])]
     return out if len(out) <= 2 * LONGEST else _summed(out)
@@ -222,7 +236,7 @@ def host(url: Column) -> Column:
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"host": b["host"], "key": b["key"], "wrapper": [json.dumps(stream(p), separators=(",", ":")) for p in b["html"]]})
+        yield pd.DataFrame({"host": b["host"], "wrapper": [json.dumps(stream(p), separators=(",", ":")) for p in b["html"]]})
 
 
 def _aligned(group: pd.DataFrame) -> pd.DataFrame:
@@ -235,8 +249,8 @@ def _aligned(group: pd.DataFrame) -> pd.DataFrame:
 def infer(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of all pages of each host."""
     shape = "host string, key long, wrapper string"
-    rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("key"), "html")
-    rows = checkpointed(rows.mapInPandas(_streams, shape))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_streams, "host string, wrapper string")
+    rows = checkpointed(rows.groupBy("host", F.xxhash64("wrapper").alias("key")).agg(F.first("wrapper").alias("wrapper")))
     while True:
         sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
         largest = sizes.agg(F.max("n")).first()[0] or 0
@@ -248,30 +262,49 @@ def infer(pages: DataFrame) -> DataFrame:
             return rows.select("host", "wrapper")
 
 
-def template(wrapper: str) -> list[str]:
-    """Paths of a wrapper that are not main text on a page without an article: constant texts and lists of links."""
-    by: dict[str, list[bool]] = {}
-    for path, _, _, text, pages, chars, linked in json.loads(wrapper):
-        by.setdefault(path, []).append((text is not None and pages >= MIN_PAGES) or 2 * linked > chars)
-    return sorted(p for p, flags in by.items() if all(flags))
+class Template(NamedTuple):
+    """What a wrapper says: (path, digest) of constants, of those that hold in an article too, paths of lists of links, paths that enough pages have."""
+
+    constant: frozenset = frozenset()
+    firm: frozenset = frozenset()
+    links: frozenset = frozenset()
+    proven: frozenset = frozenset()
+
+
+def template(wrapper: str | None) -> Template:
+    elements = json.loads(wrapper or "[]")
+    total = sum(e[4] for e in elements if e[0] == PAGES)
+    constant, firm, proven, sizes = set(), set(), set(), {}
+    for path, _, _, texts, pages, chars, linked in elements:
+        c, k = sizes.get(path, (0, 0))
+        sizes[path] = c + chars, k + linked
+        if pages >= MIN_PAGES:
+            proven.add(path)
+            constant.update((path, x) for x in texts)
+            if pages >= 2 * MIN_PAGES and 2 * pages > total:
+                firm.update((path, x) for x in texts)
+    return Template(frozenset(constant), frozenset(firm), frozenset(p for p, (c, k) in sizes.items() if 2 * k > c), frozenset(proven))
 
 
-def main_text(page: str | None, constant: set[str]) -> str:
+def main_text(page: str | None, known: Template | set) -> str:
+    known = known or Template()
     found = blocks(page)
-    if any(main for _, main, _, _ in found):
-        return "\n\n".join(text for _, main, text, _ in found if main)
-    return "\n\n".join(text for path, _, text, _ in found if path not in constant)
+    slots = [(path, main, text) for path, main, text, _ in found if (path, _short(text)) not in (known.firm if main else known.constant) and (main or path not in known.links)]
+    inside = sum(len(text) for _, main, text in slots if main)
+    if inside and 2 * inside >= sum(len(text) for _, _, text in slots):
+        slots = [x for x in slots if x[1] or x[0] in known.proven]
+    return "\n\n".join([text for _, _, text in slots] or [text for _, main, text, _ in found if main])
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str | None, set[str]] = {None: set()}
+    known: dict[str | None, Template] = {}
     for b in batches:
         rows = []
         for page_id, url, html, wrapper in zip(b["page_id"], b["url"], b["html"], b["wrapper"]):
             if wrapper not in known:
                 if len(known) > 2000:
-                    known = {None: set()}
-                known[wrapper] = set(template(wrapper))
+                    known = {}
+                known[wrapper] = template(wrapper)
             text = main_text(html, known[wrapper])
             rows.append((page_id, url, text, len(text)))
         yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})

@@ -117,6 +117,22 @@ def test_extraction_over_pages(spark):
         assert r["text"] and "var t" not in r["text"] and "&copy;" not in r["text"] and r["n_chars"] == len(r["text"]) and len(r["text"]) <= len(inside)
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+
+
+def test_wrapper_decides_inside_and_beside_an_article(spark):
+    inside = [f"<body><article><h1>Head {i}</h1><p>Text {i}</p><p>Share this with friends</p><div class=bio>Written by our desk</div></article></body>" for i in range(90)]
+    got = texts_of(spark, inside)
+    assert all(got[i] == f"Head {i}\n\nText {i}" for i in range(90))
+    beside = [f"<body><div class=story><p>{'Long main text ' * 9}{i}</p><p>Always here</p></div><article><p>Teaser {i}</p></article></body>" for i in range(90)]
+    got = texts_of(spark, beside)
+    assert all(f"{'Long main text ' * 9}{i}" in got[i] and "Always here" not in got[i] for i in range(90))
+    assert "Long main text" in texts_of(spark, beside[:1])[0]
+    assert set(texts_of(spark, ["<article><p>The same page</p></article>"] * 20).values()) == {"The same page"}
+
+
 def record(i, html):
     return (i, f"http://x/{i}", html)
 
