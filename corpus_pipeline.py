@@ -2,7 +2,8 @@
 
 toxicity      documents that the model rejects (score of 0.5 or more) go
 line_dedup    later repeats of passages are cut out of the texts; a document that is nothing else goes
-near_dedup    of each group of near duplicates one document stays, the one with the smallest doc_id
+near_dedup    of each group of near duplicates (similarity of 0.80 or more) one document stays, the one
+              with the smallest doc_id
 mixing        sources are passed so often as their weights ask; every document is passed at least once
 encoding      each text is encoded and decoded; digests of both
 
@@ -35,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs).select(*docs.columns)
+    return near_dedup.drop_near_duplicates(docs, percent=80).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

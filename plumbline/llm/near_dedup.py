@@ -8,8 +8,9 @@ with the centre is compared member by member, block against block, in tasks that
 a time and give back only the links that join something new. So no bucket is capped and no list of all
 pairs is written.
 
-With 20 bands of 5 rows a pair at similarity 0.85 shares no band once in 120,000 cases; the signature
-sift (0.70 of 100 minima) loses such a pair once in about 20,000.
+Bands and sift follow from the percent asked for. At 85, with 20 bands of 5 of the 100 minima, a pair at
+the threshold shares no band once in 120,000 cases, and the sift (70 equal minima) loses such a pair once
+in about 20,000. At 80, with 25 bands of 4 and a sift of 64, it is once in 500,000 and once in about 16,000.
 
 Defined results: null or empty texts and texts without words have no shingles and are linked with
 nothing. Rows with a null doc_id take no part in links: component_id is null and kept is true. Rows
@@ -19,7 +20,9 @@ that share a doc_id are one node: what links one links all. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,8 +35,9 @@ from plumbline.llm.common import checkpointed
 from plumbline.llm.components import components
 
 WORDS = 5
-BANDS, ROWS = 20, 5
-SIFT = 70
+MINIMA = 100
+#: Share of pairs at the threshold that may have no band in common, and that the sift may lose.
+NO_BAND, NO_SIFT = 1e-5, 1e-4
 #: Members of a block when a bucket is compared member by member.
 BLOCK = 128
 #: Word hashes that a worker keeps.
@@ -41,6 +45,22 @@ CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest bands of which a pair at the threshold still shares one."""
+    rows = max((r for r in range(1, 21) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= NO_BAND), default=1)
+    return MINIMA // rows, rows
+
+
+@lru_cache
+def sift(percent: int) -> int:
+    """Equal minima that a pair at the threshold has all but surely."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < MINIMA and (below := below + comb(MINIMA, k) * p**k * (1 - p) ** (MINIMA - k)) <= NO_SIFT:
+        k += 1
+    return k
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
@@ -81,16 +101,19 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, (a, b) = _Hashes(), _family(BANDS * ROWS)
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            s = shingles(text, hashes)
-            m = minima(s, a, b) if len(s) else None
-            bands = [xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)] if len(s) else None
-            rows.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, m.tobytes() if len(s) else None, bands))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "signature", "bands"]).astype({"doc_id": "Int64"})
+def _sign(n: int, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, (a, b) = _Hashes(), _family(MINIMA)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                s = shingles(text, hashes)
+                m = minima(s, a, b) if len(s) else None
+                bands = [xxhash.xxh64_intdigest(m[i * width : (i + 1) * width].tobytes(), seed=i) - (1 << 63) for i in range(n)] if len(s) else None
+                rows.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, m.tobytes() if len(s) else None, bands))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "signature", "bands"]).astype({"doc_id": "Int64"})
+
+    return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,14 +122,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(t, hashes).view(np.int64) for t in batch["text"]]})
 
 
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_hash, signature and bands."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sign, "doc_id long, n_shingles long, set_hash string, signature binary, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sign(*banding(percent)), "doc_id long, n_shingles long, set_hash string, signature binary, bands array<long>")
 
 
-@F.pandas_udf(T.BooleanType())
-def _sifted(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([100 * int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= SIFT * BANDS * ROWS for x, y in zip(a, b)], dtype=bool)
+def _sifted(least: int):
+    @F.pandas_udf(T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= least for x, y in zip(a, b)], dtype=bool)
+
+    return run
 
 
 def _joined_within(percent: int):
@@ -155,7 +181,7 @@ def links(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFra
     info = reps.select("id", "n", "signature")
     lead = info.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("signature").alias("ls"))
     pairs = pairs.join(info, "id").join(lead, "leader").where(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
-    pairs = checkpointed(pairs.where(_sifted("signature", "ls")).select("leader", "id"))
+    pairs = checkpointed(pairs.where(_sifted(sift(percent))("signature", "ls")).select("leader", "id"))
 
     wanted = pairs.select("leader").union(pairs.select("id")).distinct().withColumnRenamed("leader", "doc_id")
     sets = _sets_of(texts, wanted)
@@ -189,7 +215,7 @@ def _rest(texts: DataFrame, member: DataFrame, star: DataFrame, percent: int) ->
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of documents."""
-    signed = checkpointed(signatures(documents))
+    signed = checkpointed(signatures(documents, percent))
     component = components(links(documents, signed, percent))
     reps = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     named = reps.join(component, reps["rep"] == component["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))

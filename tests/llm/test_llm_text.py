@@ -69,6 +69,22 @@ def test_near_duplicates_match_brute_force(spark, small):
     assert len({v for k, v in want.items() if k >= 10_000}) > 3
 
 
+def test_near_stage_of_the_pipeline_drops_pairs_from_80_percent(spark):
+    import corpus_pipeline
+
+    r, rows = random.Random(80), []
+    for n, changes in [(200, 4), (185, 4), (180, 3)] * 40:  # similarity 0.815, 0.801 and 0.843
+        words = [f"w{r.getrandbits(60)}" for _ in range(n)]
+        other = [f"v{r.getrandbits(60)}" if k % 40 == 20 and k // 40 < changes else w for k, w in enumerate(words)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    want = near_dedup.brute_force(rows, 80)
+    assert all(want[i] == i - i % 2 for i in want) and set(near_dedup.brute_force(rows[:60], 85).values()) == set(range(60))
+    kept = corpus_pipeline.near(spark, frame(spark, [(i, t, "s") for i, t in rows]), "")
+    assert {x["doc_id"] for x in kept.collect()} == set(want.values())
+    assert near_dedup.banding(85) == (20, 5) and near_dedup.sift(85) == 70
+    assert (1 - 0.8 ** near_dedup.banding(80)[1]) ** near_dedup.banding(80)[0] < 1e-5
+
+
 def test_line_dedup_matches_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     r = random.Random(5)
