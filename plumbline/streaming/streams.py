@@ -71,7 +71,12 @@ def memory(observations: DataFrame) -> DataFrame:
     return observations.groupBy("fingerprint").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def to_end(query, seconds: int = 300, done: Callable[[], None] | None = None) -> None:
-    query.awaitTermination(seconds)
+def to_end(query, seconds: int | None = None, done: Callable[[], None] | None = None) -> None:
+    """Waits until all is written; with a limit, a query that takes longer is stopped and an error raised."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream took longer than {seconds} seconds")
     if done:
         done()

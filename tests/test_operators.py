@@ -182,3 +182,24 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     numbers = {int(n[1:4]) for n in entry.queries() if n[0] == "q"}
     assert numbers == set(range(1, 178))
+
+
+def test_streams_are_waited_for_to_the_end():
+    from plumbline.streaming import streams
+
+    class Slow:
+        limits, stopped = [], False
+
+        def awaitTermination(self, timeout=None):
+            self.limits.append(timeout)
+            return None if timeout is None else False
+
+        def stop(self):
+            self.stopped = True
+
+    q = Slow()
+    streams.to_end(q)
+    assert q.limits == [None] and not q.stopped
+    with pytest.raises(TimeoutError):
+        streams.to_end(q, 1)
+    assert q.stopped
