@@ -28,7 +28,7 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
@@ -42,7 +42,7 @@ from plumbline.llm.common import checkpointed
 GROUP = 64
 #: Pages that must have an element before its text can be called constant.
 MIN_PAGES = 3
-#: Elements of a wrapper; a longer stream folds its tail into the containers' parents.
+#: Elements of a wrapper in their order; the tail of a longer one has one element for each path.
 LONGEST = 400
 
 # Element names of HTML.
@@ -53,13 +53,16 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Parts of class and id names, and roles, of what is not main text.
+# Class and id names, and roles, of what is not main text.
 NOT_MAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation "
     "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets complementary contentinfo alert login".split()
 )
 
+# What may stand beside such names in a longer one, as in site-footer or related-posts.
+BESIDE = frozenset("area articles bar block body bottom box btn button buttons container form global inner item items left links list primary post posts right secondary section site text top wrap wrapper".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
@@ -74,17 +77,17 @@ def _marks(attributes: str) -> tuple[str, ...]:
 
 
 class _Open:
-    """An open element: name, path of containers, and whether its text is left out or is main."""
+    """An open element: name, path of containers, how its text is left out (0: not; 1: an article in it isn't; 2: whole) and whether it is main."""
 
     __slots__ = ("name", "path", "out", "main")
 
-    def __init__(self, name: str, path: str, out: bool, main: bool):
+    def __init__(self, name: str, path: str, out: int, main: bool):
         self.name, self.path, self.out, self.main = name, path, out, main
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
     """(container path, in an article, text, characters in links) of each block of visible text that can be main text or template."""
-    root = _Open("", "", False, False)
+    root = _Open("", "", 0, False)
     stack, out, parts = [root], [], []
     links = linked = 0
 
@@ -92,8 +95,9 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            top = next((e for e in reversed(stack) if e.name not in INLINE), root)
-            if text and not any(e.out for e in stack):
+            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name not in INLINE)
+            top = stack[at]
+            if text and not any(e.out for e in stack[at:]):
                 out.append((top.path, top.main, text, min(linked, len(text))))
             parts.clear()
         linked = 0
@@ -113,12 +117,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
             marks = _marks(attributes) if not m[2] else ()
             if not m[2] and (marks or HIDDEN.search(QUOTED.sub("", attributes))) and _not_main(name, marks, stack[-1], attributes):
                 flush()
-                stack.append(_Open(name, stack[-1].path, True, stack[-1].main))
+                stack.append(_Open(name, stack[-1].path, 2, stack[-1].main))
             elif m[2] and stack[-1].name == name:
                 flush()
                 stack.pop()
             elif not m[2] and any(e.out and e.name in INLINE for e in stack):
-                stack.append(_Open(name, stack[-1].path, False, stack[-1].main))
+                stack.append(_Open(name, stack[-1].path, 0, stack[-1].main))
             continue
         if name in VOID:
             parts.append(" ")
@@ -148,16 +152,24 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, int]]:
     return out
 
 
-def _not_main(name: str, marks: tuple[str, ...], up: _Open, attributes: str) -> bool:
-    if up.out or name in SKIPPED or name in OUTSIDE or (name == "header" and not up.main):
-        return True
-    if name in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    if name == "header":
-        return False
-    if any(not NOT_MAIN.isdisjoint(NAME.findall(x)) for x in marks):
+def _telling(mark: str) -> bool:
+    """Whether a whole class or id names what is not main text: all its parts do, or stand beside one that does."""
+    if mark in NOT_MAIN:
         return True
-    return bool(attributes) and bool(HIDDEN.search(QUOTED.sub("", attributes)) or "display:none" in attributes.replace(" ", "").lower())
+    parts = set(NAME.findall(mark))
+    return not parts.isdisjoint(NOT_MAIN) and parts <= NOT_MAIN | BESIDE
+
+
+def _not_main(name: str, marks: tuple[str, ...], up: _Open, attributes: str) -> int:
+    if up.out == 2 or name in SKIPPED or name in OUTSIDE or (name == "header" and not up.main):
+        return 2
+    if name in MAIN:
+        return up.out if any(map(_telling, marks)) else 0
+    if up.out or name in ("html", "body", "header", "h1", "h2", "h3", "h4", "h5", "h6"):
+        return up.out
+    if attributes and (HIDDEN.search(QUOTED.sub("", attributes)) or "display:none" in attributes.replace(" ", "").lower()):
+        return 2
+    return int(any(map(_telling, marks)))
 
 
 def _short(text: str) -> str:
@@ -203,19 +215,20 @@ def folded(elements: list[list], longest: int = 8) -> list[list]:
                     a[5], a[6] = a[5] + b[5], a[6] + b[6]
                 del out[-size:]
         elements = out
-    return elements[:LONGEST] if len(elements) <= LONGEST else _summed(elements)
+    return elements if len(elements) <= LONGEST else _summed(elements, _either)
 
 
-def _summed(elements: list[list]) -> list[list]:
-    """Long irregular streams: the tail has one repeated, optional element for each path, in order of first appearance."""
+def _summed(elements: list[list], texts: Callable[[list[str], list[str]], list[str]]) -> list[list]:
+    """Long irregular streams: the tail has one repeated, optional element for each path, in order of first appearance. In a page (_either) it has all texts, in a wrapper of more pages (_both) only what all have, and the pages add up."""
     tail: dict[str, list] = {}
+    total = elements[0][4]
     for e in elements[LONGEST:]:
         if e[0] in tail:
             t = tail[e[0]]
-            t[2], t[3], t[5], t[6] = True, _both(t[3], e[3]), t[5] + e[5], t[6] + e[6]
+            t[1], t[2], t[3], t[4], t[5], t[6] = True, True, texts(t[3], e[3]), min(total, t[4] + e[4]), t[5] + e[5], t[6] + e[6]
         else:
             tail[e[0]] = e
-    return elements[:LONGEST] + list(tail.values())[:LONGEST]
+    return elements[:LONGEST] + list(tail.values())
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -227,7 +240,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
                 out.append([x[0], x[1] or y[1], x[2] or y[2], _both(x[3], y[3]), x[4] + y[4], x[5] + y[5], x[6] + y[6]])
         else:
             out += [[x[0], True, *x[2:]] for x in (*a[i:j], *b[k:m])]
-    return out if len(out) <= 2 * LONGEST else _summed(out)
+    return out if len(out) <= 2 * LONGEST else _summed(out, _both)
 
 
 def host(url: Column) -> Column:

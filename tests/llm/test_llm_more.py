@@ -133,6 +133,27 @@ def test_wrapper_decides_inside_and_beside_an_article(spark):
     assert set(texts_of(spark, ["<article><p>The same page</p></article>"] * 20).values()) == {"The same page"}
 
 
+def test_class_names_count_as_whole_tokens_and_never_above_an_article():
+    for name in ("content has-sidebar", "no-comments", "with-menu", "page-header"):
+        assert wrappers.main_text(f"<div class='{name}'><article><h1>Head</h1><p>Text</p></article></div>", set()) == "Head\n\nText"
+        assert wrappers.main_text(f"<div class='{name}'><p>Text</p></div>", set()) == "Text"
+    assert wrappers.main_text("<div class='sidebar'><p>Side</p><article><p>Text</p></article></div>", set()) == "Text"
+    assert wrappers.main_text("<div class='site-footer'><p>x</p></div><div class=comments><article class=comment><p>me</p></article></div><p>Text</p>", set()) == "Text"
+
+
+def test_long_irregular_streams_keep_their_tails():
+    page = lambda i: "<body>" + "".join(f"<div class=k{i}x{j}><p>t{i} {j}</p></div>" for j in range(450)) + f"<div class=note><p>Always here</p></div><div class=story><p>Story {i}</p></div><div class=note><p>Always here</p></div><div class=story><p>More {i}</p></div></body>"
+    pages = [page(i) for i in range(6)]
+    out = wrappers.stream(pages[0])
+    for p in pages[1:]:
+        out = wrappers.align(out, wrappers.stream(p))
+    assert {x[0] for x in out} >= {f"/body/div.k{i}x{j}" for i in range(6) for j in range(450)}
+    known = wrappers.template(wrappers.json.dumps(out))
+    for i, p in enumerate(pages):
+        text = wrappers.main_text(p, known)
+        assert "Always here" not in text and text.endswith(f"Story {i}\n\nMore {i}") and f"t{i} 449" in text
+
+
 def record(i, html):
     return (i, f"http://x/{i}", html)
 
