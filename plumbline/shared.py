@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a new local one only in local mode (tests)."""
+    if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/written-{uuid.uuid4()}"
+    """A new folder under the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/written-{uuid.uuid4()}"
 
 
 def written(df: DataFrame) -> DataFrame:
