@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.shared import checkpoint_folder
+
 #: Words are maximal runs of anything but space and the characters 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; sets one of its own only where none is set (tests)."""
+    """Uses the folder that the cluster names; sets one of its own only in local mode (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(checkpoint_folder(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,3 +35,14 @@ def crc_mod(column: str, divisor: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df is called so (names don't differ by case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,7 +1,9 @@
 """Dealt operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,21 +169,60 @@ def mix_rows():
     return [(i, "w " * (1 + i % 5), "hot" if i % 3 else f"s{i % 4}") for i in range(300)]
 
 
-def test_mixing_limit_entropy_and_budget(spark):
-    df = frame(spark, mix_rows())
-    p = {r["source"]: r for r in mixing.plan(df, repetition_limit=2.0).collect()}
+def test_words_are_counted_as_runs(spark):
+    texts = [None, "", " ", "a", " a", "a ", "a  b\tc\n\x0bd\x1ce\x85f", "\u00a0", "x" * 5000 + " y"]
+    got = frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("doc_id", mixing.n_tokens(F.col("text")).alias("n")).orderBy("doc_id").collect()
+    assert [r["n"] for r in got] == [len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for t in texts]
+
+
+def test_mixing_limit_and_entropy(spark):
+    ledger = mixing.counted(frame(spark, mix_rows()))
+    p = {r["source"]: r for r in mixing.plan(ledger, repetition_limit=2.0).collect()}
     assert max(r["passes"] for r in p.values()) == pytest.approx(2, abs=1e-6) and p["hot"]["passes"] == 1
     assert abs(sum(r["weight"] for r in p.values()) - 1) < 1e-9
     for target in (0.9, 0.8):
-        w = [r["weight"] for r in mixing.plan(df, target_entropy=target, repetition_limit=None).collect()]
-        import math
-
+        w = [r["weight"] for r in mixing.plan(ledger, target_entropy=target, repetition_limit=None).collect()]
         assert -sum(x * math.log(x) for x in w) / math.log(len(w)) == pytest.approx(target, abs=1e-6)
-    total = mixing.source_totals(df).agg(F.sum("tokens")).first()[0]
-    got = mixing.mix(df, repetition_limit=3.0, budget=total * 0.5).select(mixing.n_tokens(F.col("text")).alias("n"), "source")
-    sums = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    for s, r in {r["source"]: r for r in mixing.plan(df, repetition_limit=3.0, budget=total * 0.5).collect()}.items():
-        assert 0 <= sums[s] - total * 0.5 * r["weight"] < 6
+    # the exponent against plain bisection, with a budget
+    t = {r["source"]: r["tokens"] for r in mixing.source_totals(ledger).collect()}
+    low, high, budget = 0.0, 1.0, 0.7 * sum(t.values())
+    for _ in range(40):
+        tau = (low + high) / 2
+        z = sum((n / max(t.values())) ** tau for n in t.values())
+        low, high = (low, tau) if max(budget * (n / max(t.values())) ** tau / z / n for n in t.values()) <= 1.2 * (1 + 1e-12) else (tau, high)
+    assert mixing.solve_exponent(mixing.source_totals(ledger), repetition_limit=1.2, budget=budget) == pytest.approx(high, abs=1e-11)
+
+
+@pytest.mark.parametrize("budget", [0.5, 3.2])
+def test_mixing_deals_a_budget_into_permuted_blocks(spark, monkeypatch, budget):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    df = frame(spark, mix_rows()).withColumn("mix_source", F.lit(1))
+    ledger = mixing.counted(df)
+    total = sum(1 + i % 5 for i in range(300))
+    plan = {r["source"]: r for r in mixing.plan(ledger, repetition_limit=9.0, budget=total * budget).collect()}
+    got = mixing.mix(df, repetition_limit=9.0, budget=total * budget).withColumn("n", mixing.n_tokens(F.col("text"))).collect()
+    words = {i: (len(t.split()), s) for i, t, s in mix_rows()}
+    key = lambda d, p: hashlib.md5(f"7:{p}:{d}".encode()).hexdigest()
+    want = []
+    for s, r in plan.items():
+        ids, left = [d for d, (_, x) in words.items() if x == s], total * budget * r["weight"]
+        for p in range(1, 20):
+            for d in sorted(ids, key=lambda d: key(d, p)):
+                if left > 1e-6:
+                    want.append((d, p))
+                    left -= words[d][0]
+        assert 0 <= sum(x["n"] for x in got if x["source"] == s) - total * budget * r["weight"] < 6
+    assert sorted((r["doc_id"], r["mix_pass"]) for r in got) == sorted(want)
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["mix_block"], []).append(r)
+    assert sorted(blocks) == list(range(len(blocks))) and len(blocks) == math.ceil(total * budget / 100)
+    for rows in blocks.values():
+        rows.sort(key=lambda r: r["mix_place"])
+        assert [r["mix_place"] for r in rows] == list(range(1, len(rows) + 1)) and [r["mix_key"] for r in rows] == sorted(key(r["doc_id"], r["mix_pass"]) for r in rows)
+    share = {k: sum(r["n"] for r in rows if r["source"] == "hot") / sum(r["n"] for r in rows) for k, rows in blocks.items()}
+    assert abs(sum(share.values()) / len(share) - plan["hot"]["weight"]) < 0.1
 
 
 def test_mixing_keeps_every_document_by_default(spark):
