@@ -1,32 +1,38 @@
 """Repeated passages of lines, by winnowing over line hashes.
 
-A document is the sequence of hashes of its non-blank lines. Windows are the shortest runs of lines
-with at least min_words words; the minimum of each window is its fingerprint, which is keyed by the
-window's content, so a very common line alone is no hot key. A run of that many words that occurs
-twice holds at least one whole window, hence the fingerprint is guaranteed. Equal fingerprints are
-joined with the first position that has them, the match is extended to both sides over equal lines,
-and the later run is deleted. "First" is by doc_id, then by the place in the document.
-
-Nothing of a fingerprint is gathered: the first position is a minimum. Rows are as many as lines.
+A document is the sequence of hashes of its non-blank lines, taken without outer white space. Windows
+are the shortest runs of lines with at least min_words words (Unicode white space splits words), from
+each line forwards and from each line backwards. Of each window the line with the least hash is selected,
+the rightmost of equal ones; a line that is the minimum of many windows is one fingerprint. A run of that
+many words that occurs twice holds a whole window, whose minimum is selected at both places, hence the
+fingerprint is guaranteed. Positions are joined by fingerprint: where a fingerprint occurs once, nothing
+repeats. The windows around the others are compared as a whole (128-bit digests), each with its first
+occurrence. A match so grows both ways, by the windows that end and that begin at its lines, up to the
+last line that both places share; the later of two equal runs is deleted. "First" is by doc_id, then by
+the place in the document.
+
+Nothing of a fingerprint or window is gathered: counts and first positions are aggregated, and a very
+frequent line or passage is dealt to several tasks where positions are joined.
 
 Defined results: null texts stay null; empty texts and texts with too few words never change. Rows with
 a null doc_id come last in order. Rows that share doc_id and text are one document that is repeated:
-they change alike and don't delete each other. Blank lines inside a deleted run go with it; those
-between kept lines stay. Extra columns are kept; the operator's own columns are prefixed.
+they change alike and don't delete each other. Blank lines between two deleted lines go
+with them; others stay. Extra columns are kept; a column named lines_runs is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed
+from plumbline.llm.common import own_names, spread_join
+from plumbline.shared import written
 
 MIN_WORDS = 50
 
@@ -41,37 +47,68 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
     for number, line in enumerate(text.split("\n") if text else ()):
         n = len(line.split())
         if n:
-            hashes.append(_signed(xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass"))))
+            hashes.append(xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")))
             numbers.append(number)
             words.append(n)
     return hashes, numbers, words
 
 
-def fingerprints(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(key, first line, last line) of each shortest window that begins at a line; the key is made of the window's minimum and content."""
-    out, end, total = [], 0, 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and total < min_words:
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs with min_words words that begin, and that end, at each line, in order."""
+    out, end, total = set(), 0, 0
+    for start in range(len(words)):
+        while end < len(words) and total < min_words:
             total += words[end]
             end += 1
         if total < min_words:
             break
-        window = hashes[start:end]
-        out.append((_signed(xxhash.xxh64_intdigest(np.array([min(window), *window], np.int64).tobytes())), start, end - 1))
+        out.add((start, end - 1))
         total -= words[start]
+    start = total = 0
+    for end in range(len(words)):
+        total += words[end]
+        while total - words[start] >= min_words:
+            total -= words[start]
+            start += 1
+        if total >= min_words:
+            out.add((start, end))
+    return sorted(out)
+
+
+def winnowed(hashes: list[int], spans: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Selected lines, each with the windows of which it is the rightmost minimum. Both ends of the windows never fall."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    falling: list[int] = []  # lines that may be a minimum: from the left ever larger hashes
+    head = next_line = 0
+    for start, end in spans:
+        while next_line <= end:
+            while len(falling) > head and hashes[falling[-1]] >= hashes[next_line]:
+                falling.pop()
+            falling.append(next_line)
+            next_line += 1
+        while falling[head] < start:
+            head += 1
+        out.setdefault(falling[head], []).append((start, end))
     return out
 
 
-def _lines(min_words: int):
+PICKS = "doc_id long, text_hash long, key long, firsts array<int>, lasts array<int>, nexts array<int>, digests array<binary>"
+
+
+def _picks(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 hashes, numbers, words = line_hashes(text)
-                windows = fingerprints(hashes, words, min_words)
-                if windows:
-                    rows.append((doc_id, _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))), hashes, numbers, [w[0] for w in windows], [w[1] for w in windows]))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "hashes", "numbers", "keys", "starts"]).astype({"doc_id": "Int64"})
+                if sum(words) < min_words:
+                    continue
+                own = _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+                numbers.append(numbers[-1] + 1)
+                raw = b"".join(h.to_bytes(8, "little") for h in hashes)
+                for at, spans in winnowed(hashes, windows(words, min_words)).items():
+                    rows.append((doc_id, own, _signed(hashes[at]), [numbers[a] for a, _ in spans], [numbers[b] for _, b in spans], [numbers[b + 1] for _, b in spans], [xxhash.xxh3_128_digest(raw[8 * a : 8 * b + 8]) for a, b in spans]))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "firsts", "lasts", "nexts", "digests"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -81,51 +118,29 @@ def _text_hash(text: pd.Series) -> pd.Series:
     return pd.Series([_signed(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in text], dtype="int64")
 
 
-def extended(own: np.ndarray, other: np.ndarray, starts: list[int], shift: int, same: bool) -> list[tuple[int, int]]:
-    """Maximal runs of equal lines, other[i - shift] == own[i], around the given lines; in one document the earlier run is left of the later one by itself."""
-    low, high = max(0, shift), min(len(own), len(other) + shift)
-    equal = np.zeros(len(own) + 1, bool)
-    equal[low:high] = own[low:high] == other[low - shift : high - shift]
-    out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            continue
-        first = last = s
-        while first > 0 and equal[first - 1]:
-            first -= 1
-        while equal[last + 1]:
-            last += 1
-        out.append((first, last))
-    return out
-
-
-def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            numbers = r.numbers
-            for first, last in extended(np.asarray(r.hashes), np.asarray(r.hashes0), list(r.at), int(r.shift), False):
-                rows.append((r.doc_id, r.text_hash, f"{numbers[first]}-{numbers[last]}"))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "run"]).astype({"doc_id": "Int64"})
+def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, key and the windows (first and last line, digest) of each selected line; next: the line after a window that isn't blank."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return rows.mapInPandas(_picks(min_words), PICKS)
 
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash and runs ("first-last" line numbers, joined by commas) of each document with later repeats."""
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    lines = checkpointed(lines.mapInPandas(_lines(min_words), "doc_id long, text_hash long, hashes array<long>, numbers array<int>, keys array<long>, starts array<int>"))
+    positions = written(fingerprints(documents, min_words))
+    shared = positions.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = spread_join(positions, shared, "key", ("doc_id", "text_hash", "firsts"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"))
-    marks = lines.select(place.alias("doc"), F.explode(F.arrays_zip("keys", "starts")).alias("w")).select("doc", F.col("w.keys").alias("key"), F.col("w.starts").alias("start"))
-    first = marks.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", F.col("f.doc").alias("doc0"), F.col("f.start").alias("start0"))
-    hits = marks.join(first, "key").where((F.col("doc") != F.col("doc0")) | (F.col("start") != F.col("start0")))
-    # one row for each diagonal: a document, the one that came first, and the distance of the lines
-    diagonals = hits.groupBy("doc", "doc0", (F.col("start") - F.col("start0")).alias("shift")).agg(F.collect_set("start").alias("at"))
-    diagonals = diagonals.select(F.col("doc.id").alias("doc_id"), F.col("doc.text").alias("text_hash"), F.col("doc0.id").alias("id0"), F.col("doc0.text").alias("hash0"), "shift", "at")
-    own = lines.select("doc_id", "text_hash", "hashes", "numbers").dropDuplicates(["doc_id", "text_hash"])
-    other = own.select(F.col("doc_id").alias("oid"), F.col("text_hash").alias("oh"), F.col("hashes").alias("hashes0"))
-    own = own.select(F.col("doc_id").alias("did"), F.col("text_hash").alias("dh"), "hashes", "numbers")
-    full = diagonals.join(own, F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("text_hash") == F.col("dh"))).join(other, F.col("id0").eqNullSafe(F.col("oid")) & (F.col("hash0") == F.col("oh")))
-    runs = full.select("doc_id", "text_hash", "hashes", "numbers", "hashes0", "shift", "at").mapInPandas(_extend, "doc_id long, text_hash long, run string")
-    return runs.groupBy("doc_id", "text_hash").agg(F.array_join(F.array_sort(F.collect_set("run")), ",").alias("runs"))
+    marks = written(again.select(place.alias("doc"), F.explode(F.arrays_zip("firsts", "lasts", "nexts", "digests")).alias("w")).select("doc", F.col("w.firsts").alias("first"), F.col("w.lasts").alias("last"), F.col("w.nexts").alias("next"), F.col("w.digests").alias("digest")))
+    origin = marks.groupBy("digest").agg(F.min(F.struct("doc", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").select("digest", "origin")
+    hits = spread_join(marks, origin, "digest", ("doc", "first")).where(F.struct("doc", "first") != F.col("origin"))
+    # a document's repeated windows with no line between them are one run; they are as many as its lines, about
+    order = W.partitionBy("doc").orderBy("first", "last")
+    reach = F.max("next").over(order.rowsBetween(W.unboundedPreceding, -1))
+    placed = hits.select("doc", "first", "last", F.when(reach >= F.col("first"), 0).otherwise(1).alias("begins"))
+    placed = placed.withColumn("run", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = placed.groupBy("doc", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("first", "last"))), lambda r: F.format_string("%d-%d", r["first"], r["last"]))
+    return runs.groupBy("doc").agg(F.array_join(named, ",").alias("runs")).select(F.col("doc.id").alias("doc_id"), F.col("doc.text").alias("text_hash"), "runs")
 
 
 def _dead(runs: str | None) -> set[int]:
@@ -153,9 +168,11 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, drop_emptied:
 
     drop_emptied: a document of which no word is left goes; others that had none to begin with stay.
     """
-    runs = repeated_runs(documents, min_words).select(F.col("doc_id").alias("lines_id"), F.col("text_hash").alias("lines_hash"), F.col("runs").alias("lines_runs"))
-    keyed = documents.withColumn("lines_own", _text_hash("text"))
-    rows = keyed.join(runs, keyed["doc_id"].cast("long").eqNullSafe(F.col("lines_id")) & (F.col("lines_own") == F.col("lines_hash")), "left").drop("lines_id", "lines_hash", "lines_own")
+    documents = documents.drop("lines_runs")
+    own, hashed, of = own_names(documents, "lines_own", "lines_hash", "lines_id")
+    runs = repeated_runs(documents, min_words).select(F.col("doc_id").alias(of), F.col("text_hash").alias(hashed), F.col("runs").alias("lines_runs"))
+    keyed = documents.withColumn(own, _text_hash("text"))
+    rows = keyed.join(runs, keyed["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(hashed)), "left").drop(of, hashed, own)
     rows = rows.withColumn("text", _without("text", "lines_runs"))
     return rows.where("lines_runs is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'") if drop_emptied else rows
 
@@ -163,32 +180,3 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, drop_emptied:
 def query(documents: DataFrame) -> DataFrame:
     rows = dedup_lines(documents.select("doc_id", "text"))
     return rows.select("doc_id", _count("lines_runs").alias("n_deleted"), F.col("lines_runs").alias("deleted_runs"), "text")
-
-
-def brute_force(rows: list[tuple[int, str]], min_words: int = MIN_WORDS) -> dict[int, str]:
-    """Texts by doc_id, from comparing every window with every earlier one; for tests."""
-    docs = sorted(rows)
-    lines = {d: line_hashes(t) for d, t in docs}
-    seen: dict[tuple, tuple[int, int]] = {}
-    out = {}
-    for d, t in docs:
-        h, numbers, w = lines[d]
-        dead: set[int] = set()
-        for s in range(len(h)):
-            e = s
-            while e < len(h) and sum(w[s:e]) < min_words:
-                e += 1
-            if sum(w[s:e]) < min_words:
-                break
-            if tuple(h[s:e]) not in seen:
-                seen[tuple(h[s:e])] = (d, s)
-                continue
-            d0, s0 = seen[tuple(h[s:e])]
-            h0, a, b = lines[d0][0], 0, e - s - 1
-            while s - a - 1 >= 0 and s0 - a - 1 >= 0 and h[s - a - 1] == h0[s0 - a - 1]:
-                a += 1
-            while s + b + 1 < len(h) and s0 + b + 1 < len(h0) and h[s + b + 1] == h0[s0 + b + 1]:
-                b += 1
-            dead |= set(range(numbers[s - a], numbers[s + b] + 1))
-        out[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dead)
-    return out

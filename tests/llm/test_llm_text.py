@@ -87,15 +87,60 @@ def test_near_stage_of_the_pipeline_drops_pairs_from_80_percent(spark):
     assert (1 - 0.8 ** near_dedup.banding(80)[1]) ** near_dedup.banding(80)[0] < 1e-5
 
 
+def without_later_runs(rows, min_words=50):
+    """Texts by doc_id: every pair of places whose common lines have min_words words loses them at the later place."""
+    docs = sorted((d, [(n, x.strip()) for n, x in enumerate(t.split("\n")) if x.split()], t) for d, t in rows)
+    places = {}
+    out = {}
+    for d, lines, t in docs:
+        dead = set()
+        for s, (_, line) in enumerate(lines):
+            for other, s0 in places.get(line, []):
+                n = 0
+                while s + n < len(lines) and s0 + n < len(other) and lines[s + n][1] == other[s0 + n][1]:
+                    n += 1
+                if sum(len(x.split()) for _, x in lines[s : s + n]) >= min_words:
+                    dead |= set(range(s, s + n))
+            places.setdefault(line, []).append((lines, s))
+        # blank lines between two deleted lines go with them
+        gone = {n for i in dead for n in range(lines[i][0], lines[i + 1][0] if i + 1 in dead else lines[i][0] + 1)}
+        out[d] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+def test_winnowing_selects_minima_of_windows():
+    r = random.Random(8)
+    for _ in range(200):
+        words = [r.choice((1, 5, 20, 49, 50, 80)) for _ in range(r.randrange(1, 40))]
+        hashes = [r.randrange(12) for _ in words]
+        spans = line_dedup.windows(words, 50)
+        want = {(s, e) for s in range(len(words)) for e in range(s, len(words)) if sum(words[s : e + 1]) >= 50 and (sum(words[s:e]) < 50 or sum(words[s + 1 : e + 1]) < 50)}
+        assert set(spans) == want
+        got = line_dedup.winnowed(hashes, spans)
+        assert sorted(x for v in got.values() for x in v) == spans
+        for at, some in got.items():
+            assert all(s <= at <= e and hashes[at] == min(hashes[s : e + 1]) and at == max(i for i in range(s, e + 1) if hashes[i] == hashes[at]) for s, e in some)
+
+
 def test_line_dedup_matches_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     r = random.Random(5)
     pool = [" ".join(f"p{r.randrange(900)}" for _ in range(n)) for n in (3, 7, 20, 30, 60, 55, 1, 25)]
     rows = [(d["doc_id"], d["text"]) for d in docs.collect()]
-    rows += [(5000 + i, "\n".join(r.choice([*pool, f"own {i} {r.random()}", ""]) for _ in range(r.randrange(1, 14)))) for i in range(120)]
-    got = {d["doc_id"]: d["text"] for d in line_dedup.dedup_lines(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
-    want = line_dedup.brute_force(rows)
+    rows += [(5000 + i, "\n".join(r.choice([*pool, f"own {i} {r.random()}", ""]) for _ in range(r.randrange(1, 14)))) for i in range(300)]
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    got = {d["doc_id"]: d["text"] for d in line_dedup.dedup_lines(df).collect()}
+    want = without_later_runs(rows)
     assert got == want and sum(got[i] != t for i, t in rows) > 30
+    selected = line_dedup.fingerprints(df).select(F.count("*").alias("n"), F.sum(F.size("digests")).alias("windows")).first()
+    assert selected["n"] < selected["windows"]
+
+
+def test_frequent_passages_are_dealt_to_several_tasks(spark):
+    passage = [" ".join(f"v{j}x{i}" for i in range(30)) for j in range(3)]
+    rows = [(i, "\n".join([f"own {i}", *passage, f"end {i}"]), "s") for i in range(2500)]
+    got = {d["doc_id"]: d["text"] for d in line_dedup.dedup_lines(frame(spark, rows).repartition(16)).collect()}
+    assert got == {i: t if i == 0 else f"own {i}\nend {i}" for i, t, _ in rows}
 
 
 def test_line_dedup_leaves_short_repeats_and_first_copies(spark):
