@@ -48,16 +48,21 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str, by: tuple[str, ...], least: int = 256, shares: int = 100_000) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: tuple[str, ...], how: str = "inner", counted: DataFrame | None = None, rows: int | None = None, least: int = 256, shares: int = 100_000) -> DataFrame:
     """big joined with small, where `on` is unique in small but may be very frequent in big.
 
     A key that has more than `least` rows and more than one in `shares` of all rows of big is dealt to
     several tasks, by a digest of the columns `by`; its row of small goes to each. There are at most
-    `shares` such keys, so their table may be sent to every task. big should be cheap to read twice.
+    `shares` such keys, so their table may be sent to every task. counted: rows with the keys of big,
+    where big itself isn't cheap to read twice; rows: how many, where known.
     """
-    limit = max(least, big.count() // shares)
+    counted = big if counted is None else counted
+    rows = counted.count() if rows is None else rows
+    if rows <= least:
+        return big.join(small, on, how)
+    limit = max(least, rows // shares)
     key, deals, deal = own_names(big, "spread_key", "spread_deals", "spread_deal")
-    hot = checkpointed(big.groupBy(F.col(on).alias(key)).agg(F.count("*").alias(deals)).where(F.col(deals) > limit).withColumn(deals, F.ceil(F.col(deals) / limit).cast("int")))
+    hot = checkpointed(counted.groupBy(F.col(on).alias(key)).agg(F.count("*").alias(deals)).where(F.col(deals) > limit).withColumn(deals, F.ceil(F.col(deals) / limit).cast("int")))
     dealt = big.join(F.broadcast(hot), F.col(on) == F.col(key), "left").withColumn(deal, F.pmod(F.xxhash64(*by), F.coalesce(deals, F.lit(1))).cast("int")).drop(key, deals)
     held = small.join(F.broadcast(hot), F.col(on) == F.col(key), "left").withColumn(deal, F.explode(F.sequence(F.lit(0), F.coalesce(deals, F.lit(1)) - 1))).drop(key, deals)
-    return dealt.join(held, [on, deal]).drop(deal)
+    return dealt.join(held, [on, deal], how).drop(deal)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed
+from plumbline.llm.common import checkpointed, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each larger neighbour of u is linked with the smallest of u and its neighbours."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = spread_join(both.where("v > u"), least, "u", ("v",), rows=n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.where("u <> v").distinct()
 
 
@@ -32,14 +32,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that can be reached) for all nodes of edges (u, v), longs.
 
     Null ends and loops are ignored; repeated edges count once. Every round ends in a checkpoint, and
-    no neighbourhood is gathered anywhere: minima are aggregated and joined back.
+    no neighbourhood is gathered anywhere: minima are aggregated and joined back, those of a node with
+    very many neighbours in several tasks.
     """
     edges = checkpointed(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges, state[0])))
         state, before = _state(edges), state
         if state == before:
             break

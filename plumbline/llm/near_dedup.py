@@ -3,10 +3,12 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased). Documents with equal sets
 are folded into one representative first, so copies cost one row each. Representatives whose minima
 agree in a whole band share a bucket. Each bucket is a star around its smallest member: pairs are
-sifted by their signatures and confirmed on the full sets. A bucket in which some member is not linked
-with the centre is compared member by member, block against block, in tasks that hold two blocks at
-a time and give back only the links that join something new. So no bucket is capped and no list of all
-pairs is written.
+sifted by their signatures and confirmed on the full sets, and large-star and small-star make components
+of the stars. A bucket whose members are then still of several components is looked at again: exact
+distances to its centre put its members in rings, and only members of different components in equal or
+neighbouring rings can be linked; these are compared on full sets, block against block, in tasks of
+bounded size that give back only the links that join something new. So no bucket is capped and no list
+of all pairs is written. A centre or band that very many share is dealt to several tasks.
 
 Bands and sift follow from the percent asked for. At 85, with 20 bands of 5 of the 100 minima, a pair at
 the threshold shares no band once in 120,000 cases, and the sift (70 equal minima) loses such a pair once
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, product
 from math import comb
 
 import numpy as np
@@ -31,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed
+from plumbline.llm.common import checkpointed, own_names, spread_join
 from plumbline.llm.components import components
+from plumbline.shared import written
 
 WORDS = 5
 MINIMA = 100
 #: Share of pairs at the threshold that may have no band in common, and that the sift may lose.
 NO_BAND, NO_SIFT = 1e-5, 1e-4
-#: Members of a block when a bucket is compared member by member.
-BLOCK = 128
+#: Members and shingles of a block when a bucket is compared member by member, about.
+BLOCK, BLOCK_SHINGLES = 128, 200_000
 #: Word hashes that a worker keeps.
 CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,119 +138,137 @@ def _sifted(least: int):
     return run
 
 
-def _joined_within(percent: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between members of two blocks that are not yet joined here; members sorted, so that the result doesn't depend on row order."""
-        group = group.sort_values(["block", "id"]).reset_index(drop=True)
-        ids, sets = group["id"].to_numpy(), [np.asarray(s) for s in group["s"]]
-        root = {i: i for i in ids}
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, ok in zip(ids, group["linked"]):
-            if ok:
-                root[top(i)] = top(int(group["leader"].iloc[0])) if int(group["leader"].iloc[0]) in root else top(i)
-        left, right = group["left"].iloc[0], group["right"].iloc[0]
-        first = [k for k, x in enumerate(group["block"]) if x == left]
-        second = [k for k, x in enumerate(group["block"]) if x == right]
-        pairs = combinations(first, 2) if left == right else ((x, y) for x in first for y in second)
+def _joined_between(percent: int):
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        """Links between the components of a task's two blocks that nothing joins yet; rows sorted, so that the result doesn't depend on their order."""
+        task = task.sort_values(["side", "id"]).reset_index(drop=True)
+        component, sets = [int(c) for c in task["component"]], [np.asarray(s) for s in task["s"]]
+        root = {c: c for c in component}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        first, second = ([k for k, x in enumerate(task["side"]) if x == side] for side in (0, 1))
         out = []
-        for x, y in pairs:
+        for x, y in product(first, second) if second else combinations(first, 2):
             low, high = sorted((len(sets[x]), len(sets[y])))
-            if 100 * low < percent * high or top(ids[x]) == top(ids[y]):
+            if 100 * low < percent * high or top(component[x]) == top(component[y]):
                 continue
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * both >= percent * (low + high - both):
-                root[top(ids[x])] = top(ids[y])
-                out.append((ids[x], ids[y]))
+                root[top(component[x])] = top(component[y])
+                out.append((component[x], component[y]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def links(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
-    """Edges (u, v) between representatives: enough of them to join all that similarity joins."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    reps = checkpointed(signed.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    member = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    member = checkpointed(member.join(shared, "bucket").where("id <> leader"))
-
-    pairs = member.select("leader", "id").distinct()
-    info = reps.select("id", "n", "signature")
-    lead = info.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("signature").alias("ls"))
-    pairs = pairs.join(info, "id").join(lead, "leader").where(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
-    pairs = checkpointed(pairs.where(_sifted(sift(percent))("signature", "ls")).select("leader", "id"))
-
-    wanted = pairs.select("leader").union(pairs.select("id")).distinct().withColumnRenamed("leader", "doc_id")
-    sets = _sets_of(texts, wanted)
-    both = F.size(F.array_intersect("s", "ls"))
-    found = pairs.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("ls")), "leader")
-    star = checkpointed(found.where(100 * both >= percent * (F.size("s") + F.size("ls") - both)).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
-    return star.union(_rest(texts, member, star, percent))
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and s, the shingles, of the wanted doc_ids, written once."""
+    return written(texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, s array<long>"))
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    return texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, s array<long>")
+def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (leader, id) with the sizes of their sets, n and ln, and of what both have. A leader of many is dealt to several tasks."""
+    mine = pairs.join(sets, "id")
+    theirs = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
+    met = spread_join(mine, theirs, "leader", ("id",), counted=pairs)
+    return met.select("leader", "id", F.size("s").alias("n"), F.size("ls").alias("ln"), F.size(F.array_intersect("s", "ls")).alias("both"))
 
 
-def _rest(texts: DataFrame, member: DataFrame, star: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets in which some member isn't linked with the centre, but for buckets of two, whose only pair is done."""
-    state = member.where("size > 2").join(star.select(F.col("u").alias("leader"), F.col("v").alias("id"), F.lit(True).alias("linked")), ["leader", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    state = checkpointed(state)
-    open_buckets = state.groupBy("bucket").agg(F.max(~F.col("linked")).alias("open"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("what"), F.max("size").alias("size"), F.max("leader").alias("leader")).where("open")
-    # buckets with the same members are compared once
-    open_buckets = open_buckets.groupBy("what", "size", "leader").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = state.join(open_buckets.select("bucket"), "bucket").select("bucket", "leader", "id", "linked", blocks.alias("blocks"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _stars(texts: DataFrame, reps: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between members of a bucket and its centre."""
+    pairs = checkpointed(member.select("leader", "id").distinct())
+    info = reps.select("id", "n", "signature")
+    lead = info.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("signature").alias("ls"))
+    met = spread_join(pairs.join(info, "id"), lead, "leader", ("id",), counted=pairs).where(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
+    near = checkpointed(met.where(_sifted(sift(percent))("signature", "ls")).select("leader", "id"))
+    sets = _sets_of(texts, near.select("leader").union(near.select("id")).distinct().withColumnRenamed("leader", "doc_id"))
+    return checkpointed(_with_both(near, sets).where(100 * F.col("both") >= percent * (F.col("n") + F.col("ln") - F.col("both"))).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
+
+
+def _between(texts: DataFrame, member: DataFrame, component: DataFrame, percent: int) -> DataFrame | None:
+    """Edges (u, v) between components that meet in a bucket and that the stars left apart; None if there are no such buckets.
+
+    Distance is 1 - similarity, a metric: two members can only be linked if their distances to the centre
+    differ by no more than linked members are apart. So members are put in rings of that width around
+    the centre, and only those of equal and neighbouring rings are compared; of the bucket's largest
+    component, no two members are.
+    """
+    if percent >= 100:
+        return None
+    rows = member.where("size > 2").select("bucket", "leader", "id", "size")
+    rows = rows.union(rows.select("bucket", "leader", F.col("leader").alias("id"), "size").distinct())
+    rows = rows.join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = checkpointed(rows)
+    state = rows.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("what"), F.first("size").alias("size"), F.first("leader").alias("leader")).where("open")
+    # buckets with the same members are compared once
+    wanted = checkpointed(state.groupBy("what", "size", "leader").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    if wanted.isEmpty():
+        return None
+    rows = checkpointed(spread_join(rows.drop("size"), wanted, "bucket", ("id",)))
     sets = _sets_of(texts, rows.select(F.col("id").alias("doc_id")).distinct())
-    # each block meets every block once: at (smaller, larger)
-    meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    return meets.join(sets, "id").groupBy("bucket", "left", "right").applyInPandas(_joined_within(percent), "u long, v long")
+
+    pairs = checkpointed(rows.where("id <> leader").select("leader", "id").distinct())
+    rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
+    rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
+    rows = checkpointed(rows)
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = spread_join(rows, sizes, "bucket", ("id",)).withColumn("minor", F.col("component") != F.col("largest"))
+    # a block: members of one ring, either of the largest component or of the others
+    rows = checkpointed(rows.select("bucket", "id", "component", F.struct("ring", "minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")))
+    blocks = rows.select("bucket", "block").distinct()
+    others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"))
+    tasks = blocks.where("block.minor").join(others, (F.col("bucket") == F.col("b2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
+    tasks = checkpointed(tasks)
+    left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
+    right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
+    return left.union(right).join(sets, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
+
+
+def joined(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
+    """node and component of all representatives that are linked with another."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    reps = checkpointed(signed.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    member = checkpointed(reps.select("id", F.explode("bands").alias("bucket")))
+    shared = member.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    member = checkpointed(spread_join(member, shared, "bucket", ("id",)).where("id <> leader"))
+    # what links one row of a doc_id links its rows with other texts
+    several = signed.where("doc_id is not null and set_hash is not null").groupBy("doc_id").agg((F.min("set_hash") < F.max("set_hash")).alias("several")).where("several")
+    same = signed.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").join(reps.select("set_hash", "id"), "set_hash").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    found = checkpointed(components(_stars(texts, reps, member, percent).union(same.where("u <> v"))))
+    between = _between(texts, member, found, percent)
+    if between is None:
+        return found
+    # components that are linked with each other, under the name of the smallest
+    renamed = components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    known = found.union(renamed.select(F.col("part").alias("node"), F.col("part").alias("component")).join(found.select("node"), "node", "left_anti"))
+    return spread_join(known, renamed.withColumnRenamed("part", "component"), "component", ("node",), how="left", counted=found).select("node", F.coalesce("whole", "component").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of documents."""
     signed = checkpointed(signatures(documents, percent))
-    component = components(links(documents, signed, percent))
+    component = joined(documents, signed, percent)
     reps = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     named = reps.join(component, reps["rep"] == component["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    rows = signed.select("doc_id", "n_shingles", "set_hash")
+    some = spread_join(rows.where("set_hash is not null"), named, "set_hash", ("doc_id",), how="left")
+    rows = some.select("doc_id", "n_shingles", "component").union(rows.where("set_hash is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; columns as they were."""
-    gone = near_duplicates(documents, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("gone_id"), "left_anti")
+    (of,) = own_names(documents, "gone_id")
+    gone = near_duplicates(documents, percent).where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    return documents.join(gone, documents["doc_id"] == F.col(of), "left_anti")
 
 
 def query(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents)
-
-
-def brute_force(rows: list[tuple[int | None, str | None]], percent: int = 85, words: int = WORDS) -> dict[int, int]:
-    """component_id by doc_id, by comparing all pairs of string shingles; for tests."""
-    sets = {}
-    for doc_id, text in rows:
-        w = (text or "").encode().lower().split()
-        sets[doc_id] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-    ids = sorted(i for i in sets if i is not None)
-    out = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in combinations(ids, 2):
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]) and out[a] != out[b]:
-                out[a] = out[b] = min(out[a], out[b])
-                changed = True
-    return out

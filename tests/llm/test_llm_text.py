@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,13 +60,72 @@ def test_components_long_chain_and_hub(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
 
 
+def compared(rows, percent=85, words=5):
+    """component_id by doc_id, by comparing all pairs of string shingles."""
+    sets = {}
+    for doc_id, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[doc_id] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    out = {i: i for i in ids}
+    linked = [(a, b) for a, b in combinations(ids, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if out[a] != out[b]:
+                out[a] = out[b] = min(out[a], out[b])
+                changed = True
+    return out
+
+
+def test_buckets_with_several_groups_lose_no_link(spark, monkeypatch):
+    """All documents in one bucket: chains whose ends are far from the centre, strangers, and a group of its own."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    r = random.Random(21)
+    word = lambda: f"w{r.getrandbits(60)}"
+    chains = []
+    for _ in range(4):
+        now = [word() for _ in range(120)]
+        for _ in range(14):  # each a step from the one before, the last far from the first
+            chains.append(list(now))
+            at = r.randrange(110)
+            now[at : at + 3] = [word() for _ in range(3)]
+    chains += [[word() for _ in range(100)] for _ in range(15)]
+    r.shuffle(chains)
+    rows = [(i, " ".join(w)) for i, w in enumerate(chains)]
+    want = compared(rows)
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    texts = df.select("doc_id", "text")
+    member = spark.range(1, len(rows)).select("id", F.lit(1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("leader"), F.lit(len(rows)).cast("long").alias("size"))
+    edges = spark.createDataFrame([(0, i) for i in want if i and want[i] == 0 and i % 2], "u long, v long")
+    found = components.components(edges)
+    got = components.components(near_dedup._between(texts, member, found, 85).union(edges)).collect()
+    assert {r["node"]: r["component"] for r in got} == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    assert len(set(want.values())) > 15
+
+
+def test_rows_that_share_a_doc_id_are_one_node(spark):
+    a, b = near_copies(1, 5)[0], near_copies(1, 6)[0]
+    got = near_dedup.near_duplicates(frame(spark, [(3, a, "s"), (7, a, "s"), (7, b, "s"), (9, b, "s"), (None, b, "s")])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False)]
+
+
+def test_large_groups_of_copies_are_dealt_to_several_tasks(spark):
+    r = random.Random(31)
+    base = [f"w{r.getrandbits(50)}" for _ in range(400)]
+    rows = [(i, " ".join([*base[:200], f"x{i}", *base[200:]]), "s") for i in range(1500)] + [(2000 + i, " ".join(base), "s") for i in range(600)]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert {x["component_id"] for x in got} == {0} and sum(x["kept"] for x in got) == 1
+
+
 def test_near_duplicates_match_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     extra = near_copies(150, 1) + near_copies(60, 2, 40) + ["A b", "a B", "only one"] + near_copies(3, 3, 200) * 3
     rows += [(10_000 + i, t) for i, t in enumerate(extra)] + [(20_000, None), (20_001, "")]
     got = near_dedup.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows])).collect()
-    want = near_dedup.brute_force(rows)
+    want = compared(rows)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(rows)
     assert len({v for k, v in want.items() if k >= 10_000}) > 3
@@ -79,8 +139,8 @@ def test_near_stage_of_the_pipeline_drops_pairs_from_80_percent(spark):
         words = [f"w{r.getrandbits(60)}" for _ in range(n)]
         other = [f"v{r.getrandbits(60)}" if k % 40 == 20 and k // 40 < changes else w for k, w in enumerate(words)]
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
-    want = near_dedup.brute_force(rows, 80)
-    assert all(want[i] == i - i % 2 for i in want) and set(near_dedup.brute_force(rows[:60], 85).values()) == set(range(60))
+    want = compared(rows, 80)
+    assert all(want[i] == i - i % 2 for i in want) and set(compared(rows[:60], 85).values()) == set(range(60))
     kept = corpus_pipeline.near(spark, frame(spark, [(i, t, "s") for i, t in rows]), "")
     assert {x["doc_id"] for x in kept.collect()} == set(want.values())
     assert near_dedup.banding(85) == (20, 5) and near_dedup.sift(85) == 70
