@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,15 +31,35 @@ def run_lengths(rows: DataFrame, keys: list[str], order: list[str], value: str)
     return runs.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("length"), F.min("place").alias("first_place"))
 
 
-def as_of(questions: DataFrame, facts: DataFrame, key: str, day: str, at: str, values: list[str]) -> DataFrame:
-    """For each question the values of the latest fact on or before its day, without a many-to-many join.
+def as_of(questions: DataFrame, facts: DataFrame, key: str, day: str, at: str, values: list[str], after: bool = False, width: int = 32) -> DataFrame:
+    """For each question the values of the latest fact on or before its day (after: the first on or after it), without a many-to-many join.
 
-    Both sides are put into one order per key: facts before questions of the same day, and the last fact
-    is carried forward.
+    Both sides are put into one order per key and bucket of `width` days: facts before questions of the
+    same day, and the last fact is carried on. What a bucket begins with is carried over a table that
+    has one row for each key and bucket, so that no task orders all of a key.
     """
-    q = questions.withColumn("_q", F.lit(1)).withColumn("_day", F.col(day)).withColumn("_fact", F.lit(None).cast(facts.select(F.struct(at, *values).alias("s")).schema["s"].dataType))
-    f = facts.select(F.col(key), F.lit(0).alias("_q"), F.col(at).alias("_day"), F.struct(at, *values).alias("_fact"))
+    fact = F.struct(at, *values)
+    number = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / width).cast("int")
+    order = (lambda c: F.desc(c)) if after else (lambda c: F.asc(c))
+    q = questions.withColumn("_q", F.lit(1)).withColumn("_day", F.col(day)).withColumn("_fact", F.lit(None).cast(facts.select(fact.alias("s")).schema["s"].dataType)).withColumn("_bucket", number(day))
+    f = facts.select(F.col(key), F.lit(0).alias("_q"), F.col(at).alias("_day"), fact.alias("_fact"), number(at).alias("_bucket"))
     both = q.unionByName(f, allowMissingColumns=True)
-    carried = F.last("_fact", True).over(W.partitionBy(key).orderBy("_day", "_q").rowsBetween(W.unboundedPreceding, 0))
-    out = both.withColumn("_found", carried).where("_q = 1")
+    best = (F.min_by if after else F.max_by)("_fact", F.when(F.col("_q") == 0, F.col("_day")))
+    edges = both.groupBy(key, "_bucket").agg(best.alias("_edge"))
+    before = F.last("_edge", True).over(W.partitionBy(key).orderBy(order("_bucket")).rowsBetween(W.unboundedPreceding, -1))
+    edges = edges.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), before.alias("_before"))
+    both = both.join(edges, F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    carried = F.last("_fact", True).over(W.partitionBy(key, "_bucket").orderBy(order("_day"), "_q").rowsBetween(W.unboundedPreceding, 0))
+    out = both.withColumn("_found", F.coalesce(carried, "_before")).where("_q = 1")
     return out.select(*questions.columns, *[F.col(f"_found.{c}").alias(f"found_{c}") for c in [at, *values]])
+
+
+def running(rows: DataFrame, key: str, at: str, sums: dict[str, Column], width: int = 32) -> DataFrame:
+    """Adds sums of an expression over a key's rows up to each day, by buckets of `width` days, so that no task orders all of a key."""
+    b = rows.withColumn("_bucket", F.floor(F.datediff(F.col(at), F.lit("1970-01-01")) / width).cast("int"))
+    inside = W.partitionBy(key, "_bucket").orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = b.groupBy(key, "_bucket").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    totals = totals.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    out = b.join(totals, F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return out.select(*rows.columns, *[(F.sum(e).over(inside) + F.col(f"_t_{n}")).alias(n) for n, e in sums.items()])

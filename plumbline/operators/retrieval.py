@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from plumbline.operators.prepare import blocks
 
 K1, B, FIELD_WEIGHT, FLOOR = 1.5, 0.75, 2.0, 0.25
-# Patterns of personal data, in the order in which they are masked.
-PII = (r"\b\d{17}[\dXx]\b", r"\b1[3-9]\d{9}\b", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d{16,19}\b", r"\b\d{4}(?:[ -]\d{4}){3}\b")
+# Patterns of personal data, in the order in which they are masked: identity numbers, mobile numbers, addresses, card numbers in one piece and in groups.
+PII = (
+    r"\b\d{6}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])\d{3}[\dXx]\b", r"\b1[3-9]\d{9}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    r"\b\d{16,19}\b", r"\b\d{4} \d{4} \d{4} \d{4}(?: \d{1,3})?\b",
+)
 
 
 def split_long(lines: Column, cap: int, overlap: int = 2, tail: int = 0) -> Column:
@@ -179,14 +182,28 @@ def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8, most: int =
     return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("text"))
 
 
-def masked(text: Column) -> tuple[Column, Column]:
-    """Text with personal data masked (3 first and 2 last characters stay) and the number of places."""
-    hits = F.lit(0)
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def masked(text: Column) -> Column:
+    """text and hits: the text with personal data masked (3 first and 2 last characters stay, all of up to 5 go) and the number of places. Only the places found are changed. Words are as in Unicode."""
+    mask = lambda x: F.when(F.length(x) <= 5, F.repeat(F.lit("*"), F.length(x))).otherwise(F.concat(F.substring(x, 1, 3), F.repeat(F.lit("*"), F.length(x) - 5), F.substring(x, -2, 2)))
+    # a text is its parts between the places and the places themselves, in turn
+    joined = lambda parts, found: F.array_join(F.zip_with(parts, F.transform(found, mask), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    state = F.struct(text.alias("text"), F.lit(0).alias("hits"))
     for p in PII:
-        hits = hits + F.regexp_count(text, F.lit(p))
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-        text = F.aggregate(found, text, lambda t, x: F.replace(t, x, F.concat(F.substring(x, 1, 3), F.repeat(F.lit("*"), F.greatest(F.length(x) - 5, F.lit(0))), F.substring(x, -2, 2))))
-    return text, hits
+        state = _let(state, _masking("(?U)" + p, joined))
+    return state
+
+
+def _masking(pattern: str, joined):
+    def one(s: Column) -> Column:
+        cut = lambda found: F.struct(joined(F.split(s["text"], pattern), found).alias("text"), (s["hits"] + F.size(found)).alias("hits"))
+        return F.when(s["text"].rlike(pattern), _let(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), cut)).otherwise(s)
+
+    return one
 
 
 def is_verbatim(header: Column, text: Column) -> Column:

@@ -9,6 +9,7 @@ from plumbline.operators import badges, metrics, probes, questions
 from plumbline.operators import trading_calendar as cal
 from plumbline.plans.inputs import ASOF, SERIES, series, suspensions
 from plumbline.plans.registry import query
+from plumbline.shared import written
 from plumbline.plans.series_queries import COMPLETE, DEPTH, DRIFT, DRIFT_CTE, FAULTY, FRESH, ISLANDS, NULLED, RAW, SHORT, UNIQUE, VALID, S, calendar, day, faulty, limits, nulled, raw, short
 
 ONE = "1998-06-15"
@@ -402,12 +403,13 @@ def asked(t):
     return t.orders.select(F.col("o_orderkey").alias("q_id"), F.format_string("S%02d", F.col("o_custkey") % 25).alias("symbol"), F.when(m == 0, "price").when(m == 1, "change").otherwise("aggregate").alias("intent"), F.to_date("o_orderdate").alias("start"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 20 as int))").alias("end"))
 
 
-@query("q099_as_of_price", f'WITH s AS ({SERIES}), {Q} SELECT q_id, q.symbol, s.date AS used, round(s.close, 3) AS value FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.date <= q."end"', "used")
+@query("q099_as_of_price", f'WITH s AS ({SERIES}), {Q} SELECT q_id, q.symbol, s.date AS used, s.close AS value FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.date <= q."end"', "used")
 def _(t):
-    return questions.prices(asked(t), series(t)).select("q_id", "symbol", "used", F.round("value", 3).alias("value"))
+    return questions.prices(asked(t), series(t)).select("q_id", "symbol", "used", "value")
 
 
-SPAN = 'sp AS (SELECT q.q_id, q.symbol, arg_min(close, date) AS a, arg_max(close, date) AS b, min(date) AS first, max(date) AS last, count(date) AS rows, avg(volume) AS v FROM q LEFT JOIN s ON s.symbol = q.symbol AND s.date BETWEEN start AND "end" GROUP BY 1, 2)'
+SPAN = """fs AS (SELECT q_id, s.close AS a FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.date >= q.start), ls AS (SELECT q_id, s.close AS b FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.date <= q."end"),
+sp AS (SELECT q.q_id, q.symbol, any_value(a) AS a, any_value(b) AS b, coalesce(min(date), any_value(start)) AS first, coalesce(max(date), any_value("end")) AS last, count(date) AS rows, avg(volume) AS v FROM q JOIN fs USING (q_id) JOIN ls USING (q_id) LEFT JOIN s ON s.symbol = q.symbol AND s.date BETWEEN start AND "end" GROUP BY 1, 2)"""
 
 
 @query("q100_range_change", f"WITH s AS ({SERIES}), {Q}, {SPAN} SELECT q_id, symbol, round((b / a - 1) * 100, 4) AS value, first, last, rows FROM sp", "first last")
@@ -421,14 +423,14 @@ def _(t):
 
 
 GUARD = f"""WITH {S}, {Q}, {SPAN}, us AS (SELECT q_id, s.date AS used FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.date <= q."end"),
-g AS (SELECT q.q_id, intent, used, "end", first, last, EXISTS (SELECT 1 FROM halt WHERE halt.symbol = q.symbol AND begin_date <= "end" AND CASE WHEN intent = 'price' THEN "end" ELSE start END <= coalesce(end_date, begin_date)) AS hit FROM q JOIN us USING (q_id) JOIN sp USING (q_id)),
-gd AS (SELECT q_id, intent, used, "end", CASE WHEN NOT hit THEN 'none' WHEN intent = 'change' AND first = last THEN 'gap_span' WHEN intent = 'price' THEN 'stale_price' WHEN intent = 'aggregate' THEN 'calendar_mismatch' ELSE 'suspended_window' END AS flag FROM g)"""
+g AS (SELECT q.q_id, intent, coalesce(used, (SELECT min(begin_date) FROM halt WHERE halt.symbol = q.symbol AND begin_date <= "end" AND "end" <= coalesce(end_date, begin_date))) AS used, "end", rows, EXISTS (SELECT 1 FROM halt WHERE halt.symbol = q.symbol AND begin_date <= "end" AND CASE WHEN intent = 'price' THEN "end" ELSE start END <= coalesce(end_date, begin_date)) AS hit FROM q JOIN us USING (q_id) JOIN sp USING (q_id)),
+gd AS (SELECT q_id, intent, used, "end", CASE WHEN NOT hit THEN 'none' WHEN intent = 'change' AND rows <= 1 THEN 'gap_span' WHEN intent = 'price' THEN 'stale_price' WHEN intent = 'aggregate' THEN 'calendar_mismatch' ELSE 'suspended_window' END AS flag FROM g)"""
 
 
 def answered(t):
     q, s = asked(t), series(t)
-    used = questions.prices(q, s).select("q_id", "used").join(questions.changes(q, s).select("q_id", "first", "last"), "q_id")
-    return questions.guarded(q, suspensions(t), calendar(t), used)
+    spans = questions.spans(q, s)  # the last price on or before the end of a range is that of its day
+    return questions.guarded(q, suspensions(t), calendar(t), spans.select("q_id", "used", "rows"))
 
 
 @query("q102_answer_guard", f"""{GUARD} SELECT q_id, intent, flag, CASE flag WHEN 'none' THEN 'baseline' WHEN 'gap_span' THEN 'unusable' ELSE 'caution' END AS level, CASE WHEN flag = 'stale_price' THEN (SELECT count(*) FROM c WHERE c.date > used AND c.date <= "end") END AS lag FROM gd""")
@@ -439,27 +441,36 @@ def _(t):
 @query("q103_trap_evaluation", f"""{GUARD}, e AS (SELECT flag <> 'none' AS got, q_id % 7 = 0 OR flag <> 'none' AS trap FROM gd), n AS (SELECT count(*) FILTER (got AND trap) AS tp, count(*) FILTER (got AND NOT trap) AS fp, count(*) FILTER (NOT got AND trap) AS fn, count(*) FILTER (NOT got AND NOT trap) AS tn FROM e)
 SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fp, 0), 6) AS precision FROM n""")
 def _(t):
-    a = answered(t)
+    a = written(answered(t))
     return questions.trap_scores(a, a.select("q_id", ((F.col("q_id") % 7 == 0) | (F.col("flag") != "none")).alias("trap")))
 
 
-TEXTS = """tx AS (SELECT o_orderkey AS q_id, CASE o_orderkey % 3 WHEN 0 THEN 'Price of ' || printf('S%02d', o_custkey % 25) || ' on ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'What change had acme in ' || strftime(o_orderdate, '%Y-%m') || '?' ELSE 'average volume of ' || printf('S%02d', o_custkey % 25) || ' from 1997-01-02 to 1997-02-03' END AS text, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
-SLOTS = """sl AS (SELECT q_id, CASE WHEN q_id % 3 = 1 THEN 'S01' ELSE printf('S%02d', o_custkey % 25) END AS symbol, CASE q_id % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'change' ELSE 'aggregate' END AS intent, CASE q_id % 3 WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d)::DATE ELSE DATE '1997-01-02' END AS start, CASE q_id % 3 WHEN 0 THEN d WHEN 1 THEN last_day(d) ELSE DATE '1997-02-03' END AS "end" FROM tx)"""
+# Question texts of six forms; names stand in texts too.
+TEXTS = """tx AS (SELECT o_orderkey AS q_id, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
+SLOTS = """sl AS (SELECT q_id, CASE WHEN q_id % 3 = 1 THEN 'S01' ELSE printf('S%02d', o_custkey % 25) END AS symbol, CASE q_id % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'change' ELSE 'aggregate' END AS intent,
+CASE q_id % 6 WHEN 1 THEN date_trunc('month', d)::DATE WHEN 4 THEN d WHEN 2 THEN least(d, DATE '1997-01-02') WHEN 5 THEN least(d, make_date(year(d), 2, 3)) END AS start,
+CASE q_id % 6 WHEN 1 THEN last_day(d) WHEN 4 THEN (d + INTERVAL 40 DAY)::DATE WHEN 2 THEN greatest(d, DATE '1997-01-02') WHEN 5 THEN greatest(d, make_date(year(d), 2, 3)) END AS "end", CASE WHEN q_id % 3 = 0 OR q_id % 6 = 5 AND month(d) = 2 AND day(d) = 3 THEN d END AS as_of FROM tx),
+s2 AS (SELECT * REPLACE (CASE WHEN q_id % 6 IN (2, 5) AND start = "end" THEN NULL ELSE start END AS start, CASE WHEN q_id % 6 IN (2, 5) AND start = "end" THEN NULL ELSE "end" END AS "end", CASE WHEN q_id % 6 = 2 AND start = "end" THEN start ELSE as_of END AS as_of) FROM sl)"""
 
 
 def parsed(t):
-    m, code = F.col("o_orderkey") % 3, F.format_string("S%02d", F.col("o_custkey") % 25)
-    day, month = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM")
-    text = F.when(m == 0, F.concat(F.lit("Price of "), code, F.lit(" on "), day)).when(m == 1, F.concat(F.lit("What change had acme in "), month, F.lit("?"))).otherwise(F.concat(F.lit("average volume of "), code, F.lit(" from 1997-01-02 to 1997-02-03")))
+    code, m = F.format_string("S%02d", F.col("o_custkey") % 25), F.col("o_orderkey") % 6
+    han = lambda d: F.concat(F.year(d), F.lit("年"), F.month(d), F.lit(" 月 "), F.dayofmonth(d), F.lit("日"))
+    day, later = F.col("o_orderdate"), F.date_add("o_orderdate", 40)
+    text = (
+        F.when(m == 0, F.concat(F.lit("Price of "), code, F.lit(" on "), F.date_format(day, "yyyy-M-d"))).when(m == 1, F.concat(F.lit("What change had Acme in "), F.date_format(day, "yyyy-MM"), F.lit("?")))
+        .when(m == 2, F.concat(F.lit("average volume of "), code, F.lit(" from "), F.date_format(day, "yyyy-MM-dd"), F.lit(" to 1997-01-02"))).when(m == 3, F.concat(code, F.lit(" "), han(day), F.lit("的收盘价是多少")))
+        .when(m == 4, F.concat(F.lit("Acme从"), F.date_format(later, "yyyy-MM-dd"), F.lit("往回到"), F.date_format(day, "yyyy-M-dd"), F.lit("涨了多少"))).otherwise(F.concat(code, F.lit(" "), han(day), F.lit("到2月3日的日均成交量")))
+    )
     return questions.slots(t.orders.select(F.col("o_orderkey").alias("q_id"), text.alias("text")), t.spark.createDataFrame([("Acme", "S01"), ("Zenith", "S02")], "name string, symbol string"))
 
 
-@query("q104_rule_slots", f"WITH {TEXTS}, {SLOTS} SELECT * FROM sl", "start end")
+@query("q104_rule_slots", f"WITH {TEXTS}, {SLOTS} SELECT * FROM s2", "start end as_of")
 def _(t):
     return parsed(t)
 
 
-@query("q105_slot_diff", f"WITH {TEXTS}, {SLOTS}, {Q} SELECT q_id, sl.symbol = q.symbol AS symbol_ok, sl.intent = q.intent AS intent_ok, sl.start = q.start AS start_ok FROM sl JOIN q USING (q_id)")
+@query("q105_slot_diff", f"WITH {TEXTS}, {SLOTS}, {Q} SELECT q_id, s2.symbol = q.symbol AS symbol_ok, s2.intent = q.intent AS intent_ok, s2.start IS NOT DISTINCT FROM q.start AS start_ok FROM s2 JOIN q USING (q_id)")
 def _(t):
     return questions.slot_diff(parsed(t), asked(t), ["symbol", "intent", "start"])
 

@@ -150,15 +150,16 @@ def _(t):
     return re_.rebuilt_tables(t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, cells).otherwise(F.col("text")).alias("text")))
 
 
-MASK_CTE, _last = [], "text"
+MASK_CTE = []
 for _i, _p in enumerate(re_.PII):
-    MASK_CTE.append(f"m{_i} AS (SELECT doc_id, hits + len(regexp_extract_all({_last}, '{_p}')) AS hits, list_reduce(list_concat([{_last}], list_distinct(regexp_extract_all({_last}, '{_p}'))), lambda t, m: replace(t, m, substr(m, 1, 3) || repeat('*', greatest(length(m) - 5, 0)) || substr(m, -2))) AS text FROM {'m' + str(_i - 1) if _i else '(SELECT doc_id, 0 AS hits, text FROM documents)'})")
+    _from = f"m{_i - 1}" if _i else "(SELECT doc_id, 0 AS hits, text FROM documents)"
+    MASK_CTE.append(f"""m{_i} AS (SELECT doc_id, hits + len(ms) AS hits, CASE WHEN len(ms) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(CASE WHEN length(ms[i]) <= 5 THEN repeat('*', length(ms[i]))
+  ELSE substr(ms[i], 1, 3) || repeat('*', length(ms[i]) - 5) || substr(ms[i], -2) END, '')), '') END AS text FROM (SELECT *, regexp_split_to_array(text, '{_p}') AS parts, regexp_extract_all(text, '{_p}') AS ms FROM {_from}))""")
 
 
 @query("q165_pii_masking", "WITH " + ", ".join(MASK_CTE) + f" SELECT doc_id, hits, md5(text) AS masked FROM m{len(re_.PII) - 1}")
 def _(t):
-    text, hits = re_.masked(F.col("text"))
-    return t.documents.select("doc_id", hits.cast("long").alias("hits"), F.md5(text).alias("masked"))
+    return t.documents.select("doc_id", re_.masked(F.col("text")).alias("m")).select("doc_id", F.col("m.hits").cast("long").alias("hits"), F.md5("m.text").alias("masked"))
 
 
 @query("q166_verbatim_flag", "SELECT doc_id, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) >= 0.04 * greatest(length(text), 1) AS verbatim FROM documents")

@@ -135,9 +135,35 @@ def test_flattened_tables(spark):
 def test_tokens_and_masks(spark):
     r = spark.createDataFrame([("第十二条 Companies discuss classes 投资基金",)], "t string").select(retrieval.tokens(F.col("t")).alias("x")).first()["x"]
     assert r == ["第十二条", "company", "discuss", "classe", "第十", "十二", "二条", "条投", "投资", "资基", "基金"]
-    m, n = retrieval.masked(F.col("t"))
-    row = spark.createDataFrame([("call 13912345678 or a.b@c.org",)], "t string").select(m.alias("m"), n.alias("n")).first()
-    assert row["m"] == "call 139******78 or a.b****rg" and row["n"] == 2
+    texts = {
+        "call 13912345678 or a.b@c.org": ("call 139******78 or a.b****rg", 2), "a13912345678b 13912345678": ("a13912345678b 139******78", 1), "123456789012345678": ("123*************78", 1),
+        "110101199003071234 110101199013071234": ("110*************34 110*************34", 2), "1234 5678 9012 3456 78 1234-5678-9012-3456": ("123*****************78 1234-5678-9012-3456", 1), "手机13912345678": ("手机13912345678", 0),
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", retrieval.masked(F.col("t")).alias("m")).collect()
+    assert {r["t"]: (r["m"]["text"], r["m"]["hits"]) for r in got} == texts
+
+
+def test_question_slots_and_guard(spark):
+    names = spark.createDataFrame([("中芯国际", "688981"), ("Acme", "S01")], "name string, symbol string")
+    texts = {
+        "600519 在 2025 年 9 月 4 日的收盘价": ("600519", "price", None, None, "2025-09-04"), "中芯国际2025年9月5日到9月1日涨了多少": ("688981", "change", "2025-09-01", "2025-09-05", None),
+        "from 1997-02-03 to 1997-01-02 Acme average": ("S01", "aggregate", "1997-01-02", "1997-02-03", None), "9月4日多少钱": (None, "price", None, None, None), "2025 年 2 月的日均成交量": (None, "aggregate", "2025-02-01", "2025-02-28", None),
+        "2025-2-30": (None, "price", None, None, None), "": (None, "price", None, None, None),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "q_id int, text string")
+    got = {r["q_id"]: (r["symbol"], r["intent"], *[str(r[c]) if r[c] else None for c in ("start", "end", "as_of")]) for r in questions.slots(df, names).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    day = lambda d: F.to_date(F.lit(d))
+    series = spark.createDataFrame([("A", f"2025-{m:02d}-{d:02d}", float(m * 100 + d), 10.0 * d) for m, d in ((1, 2), (1, 3), (1, 6), (3, 10), (3, 11))], "symbol string, date string, close double, volume double").withColumn("date", F.to_date("date"))
+    asked = spark.createDataFrame([(1, "A", "change", "2025-01-02", "2025-01-06"), (2, "A", "change", "2025-01-10", "2025-02-20"), (3, "A", "aggregate", "2025-01-03", "2025-03-10"), (4, "B", "change", "2025-01-03", "2025-03-10")], "q_id int, symbol string, intent string, start string, end string")
+    asked = asked.withColumn("start", F.to_date("start")).withColumn("end", F.to_date("end"))
+    changed = {r["q_id"]: (r["value"], str(r["first"]), str(r["last"]), r["rows"]) for r in questions.changes(asked, series).collect()}
+    assert changed[1] == (round((106 / 102 - 1) * 100, 4), "2025-01-02", "2025-01-06", 3) and changed[2] == (round((106 / 310 - 1) * 100, 4), "2025-01-10", "2025-02-20", 0) and changed[4][0] is None and changed[4][3] == 0
+    assert {r["q_id"]: (r["rows"], r["value"]) for r in questions.aggregates(asked, series).collect()}[3] == (3, round((30 + 60 + 100) / 3, 2))
+    halts = spark.createDataFrame([("A", "2025-01-08", "2025-03-05")], "symbol string, begin_date string, end_date string").select("symbol", F.to_date("begin_date").alias("begin_date"), F.to_date("end_date").alias("end_date"))
+    calendar = spark.sql("select explode(sequence(date'2025-01-01', date'2025-04-01')) as date").withColumn("day_no", F.datediff("date", day("2024-12-31")))
+    flags = {r["q_id"]: (r["flag"], r["level"]) for r in questions.guarded(asked, halts, calendar, questions.spans(asked, series).select("q_id", "used", "rows")).collect()}
+    assert flags == {1: ("none", "baseline"), 2: ("gap_span", "unusable"), 3: ("calendar_mismatch", "caution"), 4: ("none", "baseline")}
 
 
 def test_plain_text_and_blocks(spark):
