@@ -1,7 +1,9 @@
 """Text preparation and retrieval as corpus jobs.
 
-Chunks: doc_id, chunk_no, header, text, is_preamble. Postings, document frequencies and lengths are plain
-tables, so scoring is a join of query tokens with postings on the token, a sum, and ranking windows.
+Chunks: doc_id, chunk_no, header, text, is_preamble, made of a document without a shuffle. Units are the
+chunks that are searched, with the tokens of their body and of their fields, written once. Document
+frequencies come from the units' distinct tokens; only tokens that queries have meet queries, summed per
+unit before anything is ranked.
 """
 
 from __future__ import annotations
@@ -10,9 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.prepare import blocks
+from plumbline.shared import written
 
+# Parameters of scores.
 K1, B, FIELD_WEIGHT, FLOOR = 1.5, 0.75, 2.0, 0.25
+#: Query tokens up to which they go to every task.
+SENT = 200_000
+# Ends of lines; tokens of articles; short labels, with and without CJK characters.
+LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ARTICLE = "第[一二三四五六七八九十百千]+条"
+LABEL, LATIN_LABEL = r"^[\u4e00-\u9fffA-Za-z0-9，、（）()\s%．.]{1,14}$", r"^[\sA-Za-z0-9$_(),.%/\-'\"]{1,48}$"
+# Terms that stand for each other in queries.
+SYNONYMS = (
+    ("revenue", "revenues", "net sales", "total revenue", "net revenues"), ("net income", "net earnings", "net profit"), ("operating income", "income from operations", "operating profit"),
+    ("earnings per share", "diluted eps", "eps"), ("cash flow", "cash flows from operating", "operating cash flow"), ("shareholders equity", "stockholders equity", "total equity"),
+    ("cost of revenue", "cost of sales", "cost of goods sold", "cogs"), ("gross margin", "gross profit"), ("research and development", "r&d"), ("long-term debt", "long term debt", "notes payable"),
+)
 # Patterns of personal data, in the order in which they are masked: identity numbers, mobile numbers, addresses, card numbers in one piece and in groups.
 PII = (
     r"\b\d{6}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])\d{3}[\dXx]\b", r"\b1[3-9]\d{9}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
@@ -20,43 +35,75 @@ PII = (
 )
 
 
-def split_long(lines: Column, cap: int, overlap: int = 2, tail: int = 0) -> Column:
-    """Pieces of lines of at most cap characters: lines are gathered, the last `overlap` of a piece begin the next, longer lines are cut hard, a short tail joins the piece before it."""
-    cut = F.flatten(F.transform(lines, lambda l: F.when(F.length(l) <= cap, F.array(l)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(l) / cap).cast("int") - 1, F.lit(0))), lambda i: F.substring(l, i * cap + 1, F.lit(cap))))))
-    strings = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.expr("cast(array() as array<array<string>>)").alias("done"), strings.alias("now"), F.lit(0).alias("size"))
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
 
-    def add(s, line):
-        n = F.length(line) + 1
-        full = (s["size"] + n > cap + 1) & (F.size(s["now"]) > 0)
-        kept = F.slice(s["now"], F.greatest(F.size(s["now"]) - overlap + 1, F.lit(1)), overlap)
-        kept_size = F.aggregate(kept, F.lit(0), lambda a, x: a + F.length(x) + 1)
-        fits = kept_size + n <= cap + 1
-        next_now = F.when(fits, F.concat(kept, F.array(line))).otherwise(F.array(line))
-        next_size = F.when(fits, kept_size + n).otherwise(n)
-        return F.struct(F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(full, next_now).otherwise(F.concat(s["now"], F.array(line))).alias("now"), F.when(full, next_size).otherwise(s["size"] + n).alias("size"))
 
-    pieces = F.aggregate(cut, start, add, lambda s: F.concat(s["done"], F.filter(F.array(s["now"]), lambda x: F.size(x) > 0)))
-    joined = F.transform(pieces, lambda p: F.array_join(p, "\n"))
-    if not tail:
-        return joined
-    short = (F.size(joined) > 1) & (F.length(F.element_at(joined, -1)) < tail)
-    n = F.size(joined)
-    return F.when(short, F.concat(F.slice(joined, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat_ws("\n", F.element_at(joined, F.greatest(n - 1, F.lit(1))), F.element_at(joined, -1))))).otherwise(joined)
+def _lines(text: Column) -> Column:
+    """Lines of a text; an end of line at its end begins no other."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_ENDS, "\n")
+    return F.when(t == "", _none()).otherwise(F.split(F.regexp_replace(t, r"\n$", ""), "\n"))
+
 
+def _none() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
-def chunks(docs: DataFrame, cap: int = 2400, start: str = r"^## ") -> DataFrame:
-    """Blocks at headings, the first is the preamble; empty blocks go, long ones are split and numbered."""
-    b = blocks(docs, start).where(F.trim("body") != "")
-    p = b.select("doc_id", "block", "header", F.posexplode(split_long(F.split("body", "\n"), cap)).alias("part", "text"))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("block", "part")).cast("long")
-    return p.select("doc_id", n.alias("chunk_no"), F.coalesce("header", F.lit("")).alias("header"), "text", (F.col("block") == 0).alias("is_preamble"))
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def split_long(lines: Column, cap: int, overlap: int = 2) -> Column:
+    """Pieces of lines of about cap characters. The last `overlap` lines of a piece begin the next; a longer line stands alone, cut hard; a tail of less than a quarter joins the piece before it."""
+    start = F.struct(_none().alias("done"), _none().alias("now"), F.lit(0).alias("size"))
+    flushed = lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], "\n")))).otherwise(s["done"])
+    state = lambda done, now, size: F.struct(done.alias("done"), now.alias("now"), size.alias("size"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, l: n + F.length(l))
+
+    def add(s, line):
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(line) / cap).cast("int") - 1, F.lit(0))), lambda i: F.substring(line, i * cap + 1, F.lit(cap)))
+        kept = F.slice(s["now"], F.greatest(F.size(s["now"]) - overlap + 1, F.lit(1)), overlap)
+        alone = state(F.concat(flushed(s), cut), _none(), F.lit(0))
+        full = state(flushed(s), F.concat(kept, F.array(line)), total(kept) + F.length(line))
+        more = state(s["done"], F.concat(s["now"], F.array(line)), s["size"] + F.length(line))
+        return F.when(F.length(line) > cap, alone).when((F.size(s["now"]) > 0) & (s["size"] + F.length(line) > cap), full).otherwise(more)
+
+    def end(s):
+        tail, n = F.array_join(s["now"], "\n"), F.size(s["done"])
+        joins = (n > 0) & (F.length(tail) < cap // 4)
+        joined = F.concat(F.slice(s["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws("\n", F.element_at(s["done"], -1), tail)))
+        return F.when(F.size(s["now"]) == 0, s["done"]).when(joins, joined).otherwise(F.concat(s["done"], F.array(tail)))
+
+    return F.aggregate(lines, start, add, end)
+
+
+def chunks(docs: DataFrame, cap: int = 0) -> DataFrame:
+    """Blocks at lines that begin with "## "; the first line is the title, what follows it the preamble. Empty blocks go; with a cap, long ones are split and numbered."""
+    lines = _lines(F.col("text"))
+    d = docs.select("doc_id", F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n").alias("rest"), F.coalesce(F.get(lines, F.lit(0)), F.col("doc_id").cast("string")).alias("title"))
+    title = _bare(F.regexp_replace("title", "^[# ]+", ""))
+
+    def block(x, i):
+        # after the first, a part begins with its header
+        body = _bare(F.when(i == 0, x).otherwise(F.substring(x, F.length(F.substring_index(x, "\n", 1)) + 1, F.length(x))))
+        return F.struct(F.when(i == 0, title).otherwise(_bare(F.substring_index(x, "\n", 1))).alias("header"), body.alias("body"), (i == 0).alias("is_preamble"))
+
+    blocks = F.filter(F.transform(F.split(F.concat(F.lit("\n"), "rest"), "\n## "), block), lambda b: b["body"] != "")
+    named = lambda p, n, i: F.when(n > 1, F.concat(F.format_string("（%d/%d）\n", i + 1, n), p)).otherwise(p)
+    if cap:
+        pieces = lambda b: split_long(F.split(b["body"], "\n"), cap)
+        numbered = lambda b, ps: F.transform(ps, lambda p, i: F.struct(b["header"].alias("header"), named(p, F.size(ps), i).alias("text"), b["is_preamble"].alias("is_preamble")))
+        parts = F.flatten(F.transform(blocks, lambda b: _let(pieces(b), lambda ps: numbered(b, ps))))
+    else:
+        parts = F.transform(blocks, lambda b: F.struct(b["header"].alias("header"), b["body"].alias("text"), b["is_preamble"].alias("is_preamble")))
+    return d.select("doc_id", F.posexplode(parts).alias("n", "c")).select("doc_id", (F.col("n") + 1).cast("long").alias("chunk_no"), "c.header", "c.text", "c.is_preamble")
 
 
 def tokens(text: Column) -> Column:
     """Article numbers, Latin words with light plural folding, and bigrams of CJK characters."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    articles = F.regexp_extract_all(low, F.lit(r"第[一二三四五六七八九十百千零\d]+条"), F.lit(0))
+    articles = F.regexp_extract_all(low, F.lit(ARTICLE), F.lit(0))
     ends = lambda w, *tails: F.substring(w, -len(tails[0]), len(tails[0])).isin(*tails)
     less = lambda w, n: F.substring(w, 1, F.length(w) - n)
     folded = lambda w: F.when(F.length(w) <= 4, w).when(ends(w, "ies"), F.concat(less(w, 3), F.lit("y"))).when(ends(w, "es") & ~ends(w, "ses"), less(w, 2)).when(ends(w, "s") & ~ends(w, "ss"), less(w, 1)).otherwise(w)
@@ -66,51 +113,61 @@ def tokens(text: Column) -> Column:
     return F.concat(articles, latin, grams)
 
 
-def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """query_id, text with the other terms of each synonym group (grp, term) that a whole word of the query hits, once."""
-    s = F.broadcast(synonyms)
-    hit = queries.join(s, F.expr("array_contains(split(lower(text), '[^a-z0-9]+'), term)")).select("query_id", "grp").distinct()
-    extra = hit.join(s, "grp").join(queries.select("query_id", F.col("text").alias("q")), "query_id").where(~F.expr("array_contains(split(lower(q), '[^a-z0-9]+'), term)")).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("extra"))
-    return queries.join(extra, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "extra").alias("text"))
-
-
-def field_text(header: Column, text: Column) -> Column:
-    """The header and short label lines; rows of a table give their cells."""
-    labels = F.filter(F.split(text, "\n"), lambda l: (F.length(l) <= 40) & (l.rlike(r"[:：]\s*$") | l.contains("|")))
-    return F.concat_ws(" ", header, F.replace(F.array_join(labels, " "), F.lit("|"), F.lit(" ")))
-
-
-def postings(rows: DataFrame, id_column: str, text: Column) -> DataFrame:
-    """id, token, tf, len."""
-    t = rows.select(F.col(id_column).alias("id"), tokens(text).alias("t")).withColumn("len", F.size("t"))
-    return t.select("id", "len", F.explode("t").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def bm25(posted: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score (Okapi; a negative idf becomes FLOOR of the mean idf). rows: id, len of all units; queries: query_id, token (with repeats)."""
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    df = posted.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
-    idf = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")))
-    q = queries.groupBy("query_id", "token").agg(F.count("*").alias("qtf")).join(idf.select("token", "idf", "mean_len"), "token")
-    hits = q.join(posted, "token")
+def expand(text: Column, groups: tuple = SYNONYMS) -> Column:
+    """The query with the other terms of each group of which it holds one as whole words, once."""
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"(?U)\s+", " "), F.lit(" "))
+    escaped = lambda t: "".join(c if c.isalnum() or c == " " else "\\" + c for c in t)
+    hit = {t: low.rlike(r"(?<![a-z0-9])" + escaped(t) + r"(?![a-z0-9])") for g in groups for t in g}
+    some = [F.when(F.greatest(*[hit[t] for t in g]), F.array(*[F.when(~hit[t], F.lit(t)) for t in g])).otherwise(_none()) for g in groups]
+    return F.concat_ws(" ", text, F.nullif(F.array_join(F.array_distinct(F.array_compact(F.flatten(F.array(*some)))), " "), F.lit("")))
+
+
+def field_tokens(header: Column, text: Column) -> Column:
+    """Tokens of the header and of short labels: lines, or cells of lines with a bar. Without CJK characters a label needs a letter."""
+    cells = F.flatten(F.transform(_lines(text), lambda l: F.split(l, r"\|")))
+    labels = F.filter(F.transform(cells, _bare), lambda c: F.when(c.rlike("[一-鿿]"), c.rlike("(?U)" + LABEL)).otherwise(c.rlike("(?U)" + LATIN_LABEL) & c.rlike("[A-Za-z]")))
+    return F.concat(tokens(header), F.flatten(F.transform(labels, tokens)))
+
+
+def units(chunked: DataFrame) -> DataFrame:
+    """doc_id, chunk_no and the tokens of body and fields of the chunks that are searched: no preambles, but where a document has nothing else. Written once."""
+    has_more = F.max(~F.col("is_preamble")).over(W.partitionBy("doc_id"))
+    kept = chunked.withColumn("more", has_more).where("not is_preamble or not more")
+    return written(kept.select("doc_id", "chunk_no", tokens(F.col("text")).alias("body"), field_tokens(F.col("header"), F.col("text")).alias("field")))
+
+
+def bm25(searched: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, chunk_no, score of units that share a token with a query (query_id, text): body plus FIELD_WEIGHT times fields.
+
+    Okapi; a negative idf becomes FLOOR of the channel's mean idf. Queries are expanded.
+    """
+    each = lambda what: F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.size(c).alias("len"), what(c).alias("t")) for c in ("body", "field")]))
+    stats = searched.select(each(lambda c: F.lit(0)).alias("x")).groupBy("x.channel").agg(F.count("*").alias("n"), F.avg("x.len").alias("mean_len"))
+    df = searched.select(each(F.array_distinct).alias("x")).select("x.channel", F.explode("x.t").alias("token")).groupBy("channel", "token").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(stats), "channel").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # a row for each channel
+    idf = written(idf)
+    mean = idf.groupBy("channel").agg(F.avg("raw").alias("mean_idf"))
+    idf = idf.join(F.broadcast(mean), "channel").withColumn("idf", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")))
+    asked = queries.select("query_id", F.explode(tokens(expand(F.col("text")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    q = written(asked.join(idf.select("channel", "token", "idf", "mean_len"), "token"))
+    few = lambda d: F.broadcast(d) if d.count() <= SENT else d
+    wanted = q.select("token").distinct()
+    found = searched.select("doc_id", "chunk_no", each(F.col).alias("x")).select("doc_id", "chunk_no", "x.channel", "x.len", F.explode("x.t").alias("token")).join(few(wanted), "token", "left_semi")
+    tf = found.groupBy("doc_id", "chunk_no", "channel", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-
+    weight = F.when(F.col("channel") == "field", FIELD_WEIGHT).otherwise(1.0)
+    return tf.join(few(q), ["channel", "token"]).groupBy("query_id", "doc_id", "chunk_no").agg(F.sum(weight * part).alias("score"))
 
-def lengths(rows: DataFrame, id_column: str, text: Column) -> DataFrame:
-    return rows.select(F.col(id_column).alias("id"), F.size(tokens(text)).alias("len"))
 
+def allowed(scores: DataFrame, documents: DataFrame) -> DataFrame:
+    """Scores within the documents (query_id, doc_id) that a query names; of all documents where it names none."""
+    named = documents.select("query_id", F.lit(True).alias("names")).distinct()
+    inside = scores.join(documents.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    return inside.unionByName(scores.join(named, "query_id", "left_anti"))
 
-def weighted(body: DataFrame, field: DataFrame) -> DataFrame:
-    """Body score plus FIELD_WEIGHT times the field score."""
-    f = field.select("query_id", "id", F.col("score").alias("f"))
-    return body.join(f, ["query_id", "id"], "full_outer").select("query_id", "id", (F.coalesce("score", F.lit(0.0)) + FIELD_WEIGHT * F.coalesce("f", F.lit(0.0))).alias("score"))
 
-
-def top(scores: DataFrame, k: int, per: list[str], tie: str) -> DataFrame:
-    w = W.partitionBy(*per).orderBy(F.desc("score"), tie)
+def top(scores: DataFrame, k: int, per: list[str], *ties: str) -> DataFrame:
+    w = W.partitionBy(*per).orderBy(F.desc("score"), *ties)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -119,18 +176,21 @@ def document_scores(scores: DataFrame, best: int = 3) -> DataFrame:
     return top(scores, best, ["query_id", "doc_id"], "chunk_no").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def rotating(ranked: DataFrame, cap: int) -> DataFrame:
-    """group_id, id, place: lists of several queries (group_id, query_no, rank, id) merged in turns, each id once, cut at cap."""
-    first = ranked.withColumn("n", F.row_number().over(W.partitionBy("group_id", "id").orderBy("rank", "query_no"))).where("n = 1")
-    return first.withColumn("place", F.row_number().over(W.partitionBy("group_id").orderBy("rank", "query_no"))).where(F.col("place") <= cap).select("group_id", "id", "place")
+def rotating(ranked: DataFrame, cap: int, ids: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
+    """group_id, ids, place: lists of several queries (group_id, query_no, rank, ids) merged in turns, each chunk once, cut at cap."""
+    first = ranked.withColumn("n", F.row_number().over(W.partitionBy("group_id", *ids).orderBy("rank", "query_no"))).where("n = 1")
+    return first.withColumn("place", F.row_number().over(W.partitionBy("group_id").orderBy("rank", "query_no"))).where(F.col("place") <= cap).select("group_id", *ids, "place")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of bounded queries (query_id, q) against all vectors (id, v); each vector is normalised once."""
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 256) -> DataFrame:
+    """query_id, id, score, rank: the k nearest (id, v) of each query (query_id, q), by comparison with all. Queries meet vectors in blocks; each task keeps k for a query before anything is shuffled."""
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    q = F.broadcast(queries.select("query_id", unit(F.col("q").cast("array<double>")).alias("q")))
+    blocks = F.lit(max(1, -(-queries.count() // block)))
+    q = queries.select("query_id", unit(F.col("q").cast("array<double>")).alias("q")).groupBy(F.pmod(F.xxhash64("query_id"), blocks).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
     v = vectors.select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    return v.crossJoin(q).select("query_id", "id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))  # a stated query set against all rows
+    dot = lambda x: F.aggregate(F.zip_with("v", x, lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
+    pairs = v.crossJoin(q).select("id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"]), 6).alias("score")))).alias("x"))  # a stated query set against all rows, in blocks
+    return top(pairs.select("x.query_id", "id", "x.score"), k, ["query_id"], "id")
 
 
 def fused(a: DataFrame, b: DataFrame, weight_a: float = 1.0, weight_b: float = 1.0, k: int = 60) -> DataFrame:
@@ -182,11 +242,6 @@ def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8, most: int =
     return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("text"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def masked(text: Column) -> Column:
     """text and hits: the text with personal data masked (3 first and 2 last characters stay, all of up to 5 go) and the number of places. Only the places found are changed. Words are as in Unicode."""
     mask = lambda x: F.when(F.length(x) <= 5, F.repeat(F.lit("*"), F.length(x))).otherwise(F.concat(F.substring(x, 1, 3), F.repeat(F.lit("*"), F.length(x) - 5), F.substring(x, -2, 2)))

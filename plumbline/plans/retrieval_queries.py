@@ -14,20 +14,23 @@ def toks(x):
     return f"list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), lambda w: {FOLD})"
 
 
-MD = "md AS (SELECT doc_id, replace(text, chr(10), chr(10) || '## ') AS text FROM documents)"
+# Every other line becomes a heading; documents of two lines have a preamble only.
+MD = "md AS (SELECT doc_id, regexp_replace(text, '\n([^\n]*\n)', chr(10) || '## \\1', 'g') AS text FROM documents)"
 
 
 def md(t):
-    return t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n## ")).alias("text"))
+    return t.documents.select("doc_id", F.regexp_replace("text", r"\n([^\n]*\n)", "\n## $1").alias("text"))
 
 
-CHUNKS = f"""{MD}, li AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM md)), bl AS (SELECT *, sum((line LIKE '## %')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM li),
-bk AS (SELECT doc_id, block, arg_min(line, i) AS first, string_agg(line, chr(10) ORDER BY i) AS text FROM bl GROUP BY 1, 2), ck AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS chunk_no, CASE WHEN block > 0 THEN first ELSE '' END AS header, text, block = 0 AS is_preamble FROM bk WHERE trim(text, ' ') <> '')"""
+BARE = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+CHUNKS = f"""{MD}, li AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM md))), bl AS (SELECT *, sum((i > 1 AND line LIKE '## %')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM li),
+bk AS (SELECT doc_id, block, arg_min(line, i) AS first, coalesce({BARE.format("string_agg(CASE WHEN i = 1 OR i > 1 AND line LIKE '## %' THEN NULL ELSE line END, chr(10) ORDER BY i)")}, '') AS text FROM bl GROUP BY 1, 2),
+ck AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS chunk_no, CASE WHEN block > 0 THEN {BARE.format("substr(first, 4)")} ELSE {BARE.format("ltrim(first, '# ')")} END AS header, text, block = 0 AS is_preamble FROM bk WHERE text <> '')"""
 
 
 @query("q150_heading_chunks", f"WITH {CHUNKS} SELECT * FROM ck")
 def _(t):
-    return re_.chunks(md(t), cap=10_000_000)
+    return re_.chunks(md(t))
 
 
 @query("q151_long_block_split")
@@ -40,82 +43,108 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(re_.tokens(F.col("text")), " ").alias("tokens"))
 
 
-SYN = ((1, "the"), (1, "das"), (1, "la"), (2, "and"), (2, "und"), (2, "et"))
+SYN = "sy AS (SELECT * FROM (VALUES " + ", ".join(f"({g}, {i}, '{w}')" for g, words in enumerate(re_.SYNONYMS) for i, w in enumerate(words)) + ") AS x(grp, ord, term))"
+ASKED = "aq AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 0 THEN ' Net  Sales and EPS?' WHEN 1 THEN ' epsilon of r&d, long-term debt' ELSE '' END AS text FROM benchmark)"
+EXPANDED = f"""{SYN}, {ASKED}, ah AS (SELECT query_id, grp, ord, term, regexp_matches(' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ', '[^a-z0-9]' || regexp_escape(term) || '[^a-z0-9]') AS hit FROM aq, sy),
+ax AS (SELECT query_id, string_agg(term, ' ' ORDER BY grp, ord) FILTER (NOT hit) AS extra FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id, grp) AS named FROM ah) WHERE named GROUP BY 1), eq AS (SELECT query_id, concat_ws(' ', text, extra) AS text FROM aq LEFT JOIN ax USING (query_id))"""
 
 
-@query("q153_query_expansion", "WITH sy AS (SELECT * FROM (VALUES " + ", ".join(f"({g}, '{w}')" for g, w in SYN) + """) AS x(grp, term)), q AS (SELECT item_id AS query_id, text, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM benchmark),
-h AS (SELECT DISTINCT query_id, grp FROM q JOIN sy ON list_contains(w, term)), e AS (SELECT h.query_id, string_agg(DISTINCT term, ' ' ORDER BY term) AS extra FROM h JOIN sy USING (grp) JOIN q USING (query_id) WHERE NOT list_contains(w, term) GROUP BY 1)
-SELECT query_id, concat_ws(' ', text, extra) AS text FROM q LEFT JOIN e USING (query_id)""")
+def asked(t):
+    more = F.when(F.col("item_id") % 4 == 0, " Net  Sales and EPS?").when(F.col("item_id") % 4 == 1, " epsilon of r&d, long-term debt").otherwise("")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.concat("text", more).alias("text"))
+
+
+@query("q153_query_expansion", f"WITH {EXPANDED} SELECT * FROM eq")
 def _(t):
-    return re_.expand(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), t.spark.createDataFrame(list(SYN), "grp int, term string"))
+    return asked(t).select("query_id", re_.expand(F.col("text")).alias("text"))
+
 
+# Chunks whose last line is a label line and a row of cells, so that fields have something to tell.
+LABELLED = rf"""{CHUNKS}, lb AS (SELECT doc_id, chunk_no, is_preamble, header, text || chr(10) || 'Total net sales' || chr(10) || substr(text, 1, 20) || ' | ' || doc_id || ' | 2018 | ' || substr(text, 5, 60) AS text FROM ck),
+lc AS (SELECT doc_id, chunk_no, header, text, is_preamble, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, '|'))), lambda c: {BARE.format("c")}), lambda c: regexp_full_match(c, '[\sA-Za-z0-9$_(),.%/\-''"]{{1,48}}') AND regexp_matches(c, '[A-Za-z]')) AS labels FROM lb),
+fi AS (SELECT doc_id, chunk_no, text, is_preamble, list_concat({toks("header")}, flatten(list_transform(labels, lambda c: {toks("c")}))) AS field FROM lc)"""
 
-LABELLED = "lb AS (SELECT doc_id, 'Title ' || doc_id AS header, replace(substr(text, 1, 300), ' ', CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '|' END) || chr(10) || 'Name:' || chr(10) || 'a | b' AS text FROM documents)"
 
+def labelled(t):
+    row = F.concat(F.substring("text", 1, 20), F.lit(" | "), F.col("doc_id").cast("string"), F.lit(" | 2018 | "), F.substring("text", 5, 60))
+    return re_.chunks(md(t)).withColumn("text", F.concat_ws("\n", "text", F.lit("Total net sales"), row))
 
-@query("q154_field_text", f"WITH {LABELLED} SELECT doc_id, concat_ws(' ', header, replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(l) <= 40 AND (regexp_matches(l, '[:：]\\s*$') OR contains(l, '|'))), ' '), '|', ' ')) AS fields FROM lb")
+
+@query("q154_field_text", f"WITH {LABELLED} SELECT doc_id, chunk_no, array_to_string(field, ' ') AS fields FROM fi")
 def _(t):
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 300)).otherwise(F.replace(F.substring("text", 1, 300), F.lit(" "), F.lit("|"))), F.lit("\nName:\na | b"))
-    return t.documents.select("doc_id", re_.field_text(F.concat(F.lit("Title "), F.col("doc_id").cast("string")), text).alias("fields"))
+    return labelled(t).select("doc_id", "chunk_no", F.array_join(re_.field_tokens(F.col("header"), F.col("text")), " ").alias("fields"))
 
 
-BM25 = f"""po AS (SELECT doc_id AS id, w AS token, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len({toks('text')}) AS len, unnest({toks('text')}) AS w FROM documents) GROUP BY 1, 2), st AS (SELECT count(*) AS n, avg(len({toks('text')})) AS mean_len FROM documents),
-df AS (SELECT token, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM po, st GROUP BY token, n), idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df), qt AS (SELECT item_id AS query_id, unnest({toks('text')}) AS token FROM benchmark),
-sc AS (SELECT query_id, id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len))) AS score FROM qt JOIN idf USING (token) JOIN po USING (token), st GROUP BY 1, 2)"""
+BM25 = f"""{LABELLED}, {EXPANDED}, un AS (SELECT doc_id, chunk_no, {toks('text')} AS body, field FROM (SELECT *, bool_or(NOT is_preamble) OVER (PARTITION BY doc_id) AS more FROM fi) WHERE NOT is_preamble OR NOT more),
+ch AS (SELECT doc_id, chunk_no, 'body' AS channel, body AS t FROM un UNION ALL SELECT doc_id, chunk_no, 'field', field FROM un), st AS (SELECT channel, count(*) AS n, avg(len(t)) AS mean_len FROM ch GROUP BY 1),
+po AS (SELECT doc_id, chunk_no, channel, token, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, chunk_no, channel, len(t) AS len, unnest(t) AS token FROM ch) GROUP BY 1, 2, 3, 4),
+df AS (SELECT channel, token, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM po JOIN st USING (channel) GROUP BY 1, 2), idf AS (SELECT channel, token, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY channel) ELSE raw END AS idf FROM df),
+qt AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({toks('text')}) AS token FROM eq) GROUP BY 1, 2),
+sc AS (SELECT query_id, doc_id, chunk_no, sum(CASE channel WHEN 'field' THEN 2.0 ELSE 1.0 END * qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_len))) AS score FROM qt JOIN idf USING (token) JOIN po USING (token, channel) JOIN st USING (channel) GROUP BY 1, 2, 3)"""
 
 
 def bm25(t):
-    text = F.col("text")
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(re_.tokens(text)).alias("token"))
-    return re_.bm25(re_.postings(t.documents, "doc_id", text), re_.lengths(t.documents, "doc_id", text), q)
+    return re_.bm25(re_.units(labelled(t)), asked(t))
+
 
+def rounded(df, places):
+    return df.withColumn("score", F.round("score", places))
 
-@query("q155_bm25", f"WITH {BM25} SELECT query_id, id, round(score, 4) AS score FROM sc")
+
+@query("q155_bm25", f"WITH {BM25} SELECT query_id, doc_id, chunk_no, round(score, 4) AS score FROM sc")
 def _(t):
-    return bm25(t).withColumn("score", F.round("score", 4))
+    return rounded(bm25(t), 4)
 
 
-@query("q156_document_scores", f"WITH {BM25}, d AS (SELECT query_id, id % 50 AS doc_id, score, row_number() OVER (PARTITION BY query_id, id % 50 ORDER BY score DESC, id) AS r FROM sc) SELECT query_id, doc_id, round(sum(score), 3) AS score FROM d WHERE r <= 3 GROUP BY 1, 2")
+@query("q156_document_scores", f"WITH {BM25}, d AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 6) DESC, chunk_no) AS r FROM sc) SELECT query_id, doc_id, round(sum(round(score, 6)), 3) AS score FROM d WHERE r <= 3 GROUP BY 1, 2")
 def _(t):
-    s = bm25(t).select("query_id", (F.col("id") % 50).alias("doc_id"), F.col("id").alias("chunk_no"), "score")
-    return re_.document_scores(s).withColumn("score", F.round("score", 3))
+    return rounded(re_.document_scores(rounded(bm25(t), 6)), 3)
+
+
+# Even queries name the documents in which they search.
+NAMED = "al AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 7 = item_id % 7 WHERE item_id % 2 = 0), sa AS (SELECT sc.* FROM sc WHERE query_id % 2 = 1 OR EXISTS (SELECT 1 FROM al WHERE al.query_id = sc.query_id AND al.doc_id = sc.doc_id))"
 
 
-@query("q157_top_k", f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 8")
+@query("q157_top_k", f"WITH {BM25}, {NAMED} SELECT query_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sa QUALIFY rank <= 8")
 def _(t):
-    return re_.top(bm25(t).withColumn("score", F.round("score", 6)), 8, ["query_id"], "id").select("query_id", "id", "rank")
+    sevens = t.documents.select("doc_id", (F.col("doc_id") % 7).alias("seven"))
+    names = t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("seven")).join(sevens, "seven").select("query_id", "doc_id")
+    return re_.top(re_.allowed(rounded(bm25(t), 6), names), 8, ["query_id"], "doc_id", "chunk_no").select("query_id", "doc_id", "chunk_no", "rank")
 
 
-RANKED = f"{BM25}, rk AS (SELECT query_id // 4 AS group_id, query_id AS query_no, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 8)"
+RANKED = f"{BM25}, rk AS (SELECT query_id // 4 AS group_id, query_id AS query_no, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sc QUALIFY rank <= 8)"
 
 
-@query("q158_rotating_merge", f"WITH {RANKED}, f AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY group_id, id ORDER BY rank, query_no) = 1) SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY rank, query_no) AS place FROM f QUALIFY place <= 12")
+@query("q158_rotating_merge", f"WITH {RANKED}, f AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY group_id, doc_id, chunk_no ORDER BY rank, query_no) = 1) SELECT group_id, doc_id, chunk_no, row_number() OVER (PARTITION BY group_id ORDER BY rank, query_no) AS place FROM f QUALIFY place <= 12")
 def _(t):
-    r = re_.top(bm25(t).withColumn("score", F.round("score", 6)), 8, ["query_id"], "id")
-    return re_.rotating(r.select(F.floor(F.col("query_id") / 4).alias("group_id"), F.col("query_id").alias("query_no"), "id", "rank"), 12)
+    r = re_.top(rounded(bm25(t), 6), 8, ["query_id"], "doc_id", "chunk_no")
+    return re_.rotating(r.select(F.floor(F.col("query_id") / 4).alias("group_id"), F.col("query_id").alias("query_no"), "doc_id", "chunk_no", "rank"), 12)
 
 
-QV = "qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10), cs AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, qv)"
+COSINES = """cs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+ct AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs QUALIFY rank <= 20)"""
 
 
 def cosines(t):
     e = t.embeddings
-    return re_.cosine(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return re_.cosine(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
-@query("q159_cosine", f"WITH {QV} SELECT query_id, id, round(score, 6) AS score FROM cs")
+@query("q159_cosine", f"WITH {COSINES} SELECT query_id, id, score, rank FROM ct")
 def _(t):
-    return cosines(t).withColumn("score", F.round("score", 6))
+    return cosines(t)
 
 
-FUSED = f"{BM25}, {QV}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM sc WHERE query_id < 10 QUALIFY r <= 20), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM cs QUALIFY r <= 20)"
+# Documents by text and by vector; a vector belongs to the document of its number, and every query has one.
+FUSED = f"""{BM25}, {COSINES}, d AS (SELECT query_id, doc_id AS id, round(sum(round(score, 6)), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 6) DESC, chunk_no) AS r FROM sc) WHERE r <= 3 GROUP BY 1, 2),
+a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM d QUALIFY r <= 20), b AS (SELECT query_id // 50 AS query_id, id, rank AS r FROM ct)"""
 
 
 @query("q160_rank_fusion", f"WITH {FUSED} SELECT query_id, id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(0.5 / (60 + b.r), 0), 8)::DOUBLE AS score FROM a FULL JOIN b USING (query_id, id)")
 def _(t):
-    a = re_.top(bm25(t).where("query_id < 10").withColumn("score", F.round("score", 6)), 20, ["query_id"], "id")
-    b = re_.top(cosines(t).withColumn("score", F.round("score", 6)), 20, ["query_id"], "id")
-    return re_.fused(a, b, 1.0, 0.5).withColumn("score", F.round("score", 8))
+    d = rounded(re_.document_scores(rounded(bm25(t), 6)), 4).withColumnRenamed("doc_id", "id")
+    b = cosines(t).withColumn("query_id", F.floor(F.col("query_id") / 50))
+    return rounded(re_.fused(re_.top(d, 20, ["query_id"], "id"), b, 1.0, 0.5), 8)
 
 
 @query("q161_hash_embedding", """WITH g AS (SELECT item_id AS id, substr(lower(text), i, 2) AS g FROM (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark)), b AS (SELECT id, ('0x' || substr(sha256(g), 14, 3))::INT % 256 AS bucket, count(*) AS n FROM g GROUP BY 1, 2)
@@ -134,16 +163,14 @@ def _(t):
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
-@query("q163_evidence_coverage", f"""WITH {BM25}, tk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 4), x AS (SELECT query_id AS q_id, text FROM tk JOIN documents ON id = doc_id),
+@query("q163_evidence_coverage", f"""WITH {BM25}, tk AS (SELECT query_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sc QUALIFY rank <= 4), x AS (SELECT query_id AS q_id, text FROM tk JOIN fi USING (doc_id, chunk_no)),
 j AS (SELECT q_id, {WORDS.format(x='x.text')} AS c, {WORDS.format(x='b.text')} AS e FROM x JOIN benchmark b ON b.item_id = q_id) SELECT q_id, 4 AS k, round(max(len(list_intersect(c, e)) / greatest(len(e), 1)), 6) AS coverage, max(len(list_intersect(c, e)) / greatest(len(e), 1)) >= 0.8 AS hit FROM j GROUP BY 1""")
 def _(t):
-    top = re_.top(bm25(t).withColumn("score", F.round("score", 6)), 4, ["query_id"], "id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    top = re_.top(rounded(bm25(t), 6), 4, ["query_id"], "doc_id", "chunk_no").join(labelled(t).select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
     b = t.benchmark.select(F.col("item_id").alias("q_id"), "text")
     return re_.coverage(b, top.select(F.col("query_id").alias("q_id"), F.lit(4).alias("k"), "text")).withColumn("coverage", F.round("coverage", 6))
 
 
-
-
 @query("q164_flattened_tables")
 def _(t):
     cells = F.concat(F.lit("intro line that is surely longer than a cell\n"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("\n")))
