@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, product
 from math import comb
 
 import numpy as np
@@ -139,10 +138,13 @@ def _sifted(least: int):
 
 
 def _joined_between(percent: int):
+    least = sift(percent)
+
     def run(task: pd.DataFrame) -> pd.DataFrame:
         """Links between the components of a task's two blocks that nothing joins yet; rows sorted, so that the result doesn't depend on their order."""
         task = task.sort_values(["side", "id"]).reset_index(drop=True)
         component, sets = [int(c) for c in task["component"]], [np.asarray(s) for s in task["s"]]
+        signs = np.stack([np.frombuffer(x, np.uint32) for x in task["signature"]])
         root = {c: c for c in component}
 
         def top(c: int) -> int:
@@ -151,16 +153,18 @@ def _joined_between(percent: int):
                 c = root[c]
             return c
 
-        first, second = ([k for k, x in enumerate(task["side"]) if x == side] for side in (0, 1))
+        first, second = (np.flatnonzero(task["side"] == side) for side in (0, 1))
         out = []
-        for x, y in product(first, second) if second else combinations(first, 2):
-            low, high = sorted((len(sets[x]), len(sets[y])))
-            if 100 * low < percent * high or top(component[x]) == top(component[y]):
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (low + high - both):
-                root[top(component[x])] = top(component[y])
-                out.append((component[x], component[y]))
+        for n, x in enumerate(first):
+            others = second if len(second) else first[n + 1 :]
+            for y in others[(signs[others] == signs[x]).sum(axis=1) >= least]:
+                low, high = sorted((len(sets[x]), len(sets[y])))
+                if 100 * low < percent * high or top(component[x]) == top(component[y]):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (low + high - both):
+                    root[top(component[x])] = top(component[y])
+                    out.append((component[x], component[y]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
@@ -190,13 +194,13 @@ def _stars(texts: DataFrame, reps: DataFrame, member: DataFrame, percent: int) -
     return checkpointed(_with_both(near, sets).where(100 * F.col("both") >= percent * (F.col("n") + F.col("ln") - F.col("both"))).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
 
 
-def _between(texts: DataFrame, member: DataFrame, component: DataFrame, percent: int) -> DataFrame | None:
+def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: DataFrame, percent: int) -> DataFrame | None:
     """Edges (u, v) between components that meet in a bucket and that the stars left apart; None if there are no such buckets.
 
     Distance is 1 - similarity, a metric: two members can only be linked if their distances to the centre
     differ by no more than linked members are apart. So members are put in rings of that width around
     the centre, and only those of equal and neighbouring rings are compared; of the bucket's largest
-    component, no two members are.
+    component, no two members are. Pairs are sifted by their signatures before their sets are compared.
     """
     if percent >= 100:
         return None
@@ -216,18 +220,19 @@ def _between(texts: DataFrame, member: DataFrame, component: DataFrame, percent:
     rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
     rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = checkpointed(rows)
-    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = spread_join(rows, sizes, "bucket", ("id",)).withColumn("minor", F.col("component") != F.col("largest"))
+    largest = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")))
+    sizes = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # a block: members of one ring, either of the largest component or of the others
-    rows = checkpointed(rows.select("bucket", "id", "component", F.struct("ring", "minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")))
+    rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")))
     blocks = rows.select("bucket", "block").distinct()
     others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"))
     tasks = blocks.where("block.minor").join(others, (F.col("bucket") == F.col("b2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
     tasks = checkpointed(tasks)
     left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
     right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
-    return left.union(right).join(sets, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
+    signed = sets.join(reps.select("id", "signature"), "id")
+    return left.union(right).join(signed, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
 
 
 def joined(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
@@ -241,7 +246,7 @@ def joined(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFr
     several = signed.where("doc_id is not null and set_hash is not null").groupBy("doc_id").agg((F.min("set_hash") < F.max("set_hash")).alias("several")).where("several")
     same = signed.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").join(reps.select("set_hash", "id"), "set_hash").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
     found = checkpointed(components(_stars(texts, reps, member, percent).union(same.where("u <> v"))))
-    between = _between(texts, member, found, percent)
+    between = _between(texts, reps, member, found, percent)
     if between is None:
         return found
     # components that are linked with each other, under the name of the smallest

@@ -1,7 +1,7 @@
 """What agent context costs and which of it is ever referred to.
 
 Flat inputs: turns (task, turn, prompt_tokens, chars, tools_chars), calls (task, turn, call, tool, args,
-result_code, payload), segments (calls' payloads cut to lines: task, turn, call, tool, seg, kind, text).
+result_code, payload), segments (parts of calls' payloads: task, turn, call, tool, seg, kind, text).
 """
 
 from __future__ import annotations
@@ -10,40 +10,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Words that say nothing about where a text came from.
-STOPWORDS = ("about", "after", "again", "being", "could", "false", "first", "other", "return", "should", "their", "there", "these", "thing", "value", "where", "which", "while", "would")
+from plumbline.operators.retrieval import lines_of
+
+# Words that say nothing about where a text came from; patterns of identifiers and paths, and of numbers.
+STOPWORDS = (
+    "true", "false", "none", "null", "self", "def", "class", "import", "return", "print", "src", "test", "tests", "py", "json", "txt", "ok", "error", "not_found", "not_implemented",
+    "read_file", "list_files", "search_code", "get_signature",
+)
+IDENTIFIER, NUMBER = r"[A-Za-z_][A-Za-z0-9_.:/<>-]*", r"\d+(?:\.\d+)?"
+# Patterns of a fenced file, of its top-level definitions and of its headings.
+FENCED, TOP_LEVEL, HEADING = r"(?s)^```[a-zA-Z]*\n(.*)\n```$", r"(?U)^(?:async\s+def|def|class)\s+(\w+)", r"(?m)^#{1,4} "
 LARGE, SMALL_SUM = 200, 2000
+#: Ranges of values in which places are counted.
+RANGES = 10_000
 
 
 def value_tokens(text: Column) -> Column:
-    """Distinct lower-cased ASCII identifiers and numbers."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0))
-    numbers = F.regexp_extract_all(low, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(words, numbers), lambda w: w.rlike("[a-z0-9]"))))
+    """Distinct identifiers, paths and numbers, lower-cased."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.concat(F.regexp_extract_all(t, F.lit(IDENTIFIER), F.lit(0)), F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: w.rlike("[^._:/<>-]"))))
 
 
 def distinctive(tokens: Column) -> Column:
-    """Tokens that can show where a text came from: no stopwords; numbers of 6, words of 5 characters."""
-    return F.filter(tokens, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) >= F.when(w.rlike(r"^[\d.]+$"), 6).otherwise(5)))
+    """Tokens that can show where a text came from: no stopwords; digits of 6, others of 5 characters."""
+    return F.filter(tokens, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) >= F.when(w.rlike(r"^\d+$"), 6).otherwise(5)))
 
 
 def field_record(text: Column, before: Column, most: int = 120) -> Column:
-    """tokens that are new in the context and tell something, with counts of those that are not."""
+    """Tokens that tell something and are new in the context, with counts of those that tell nothing, and of those that do but were there."""
     t = value_tokens(text)
-    new = F.array_except(t, before)
-    mine = distinctive(new)
-    return F.struct(F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.slice(F.array_sort(mine), 1, most).alias("tokens"), (F.size(mine) > most).alias("truncated"), (F.size(t) - F.size(new)).alias("n_preexisting"), (F.size(new) - F.size(mine)).alias("n_indistinct"))
+    telling = distinctive(t)
+    new = F.array_except(telling, before)
+    return F.struct(F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.slice(F.array_sort(new), 1, most).alias("tokens"), (F.size(new) > most).alias("truncated"), (F.size(telling) - F.size(new)).alias("n_preexisting"), (F.size(t) - F.size(telling)).alias("n_indistinct"))
+
+
+def _segment(kind: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+
+def _definitions(lines: Column) -> Column:
+    """Top-level definitions, each up to the next, with the decorators and comments right above."""
+    starts = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(TOP_LEVEL), i)), lambda i: i.isNotNull())
+    above = lambda s: F.aggregate(F.reverse(F.slice(lines, 1, s)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, l: F.struct((a["n"] + (a["on"] & F.ltrim(l).rlike("^[@#]")).cast("int")).alias("n"), (a["on"] & F.ltrim(l).rlike("^[@#]")).alias("on")), lambda a: a["n"])
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(lines))
+    return F.transform(starts, lambda s, k: _segment("block", F.array_join(F.slice(lines, s - above(s) + 1, end(k) - s + above(s)), "\n")))
+
+
+def _sections(body: Column) -> Column:
+    """What follows each heading; the whole if there is none."""
+    parts = F.split(body, HEADING)
+    return F.when(F.trim(body) == "", F.expr("array()")).when(F.size(parts) < 2, F.array(_segment("whole", body))).otherwise(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: _segment("section", x)))
+
+
+def _hits(lines: Column) -> Column:
+    """The lines before the first "### " and the groups that begin with one; nothing without a group."""
+    starts = F.filter(F.transform(lines, lambda l, i: F.when(l.startswith("### "), i)), lambda i: i.isNotNull())
+    head = F.array_join(F.slice(lines, 1, F.coalesce(F.get(starts, F.lit(0)), F.lit(0))), "\n")
+    groups = F.transform(starts, lambda s, k: _segment("hit", F.array_join(F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s), "\n")))
+    return F.when(F.size(starts) == 0, groups).otherwise(F.concat(F.when(F.trim(F.replace(head, F.lit("\n"))) != "", F.array(_segment("header", head))).otherwise(F.slice(groups, 1, 0)), groups))
 
 
-def segment_kind(line: Column) -> Column:
-    return F.when(line.rlike(r"^#{1,6} "), "heading").when(line.rlike(r"^\s*(def|class) "), "signature").when(line.rlike(r"^\S+:\d+:"), "hit").when(line.rlike(r"^[\w./-]+\.[a-z]{1,4}$"), "path").otherwise("text")
+def _signatures(lines: Column) -> Column:
+    filled = F.filter(lines, lambda l: F.trim(l) != "")
+    return F.when(F.get(filled, F.lit(0)).startswith("# "), F.transform(filled, lambda l, i: F.struct(F.when(i == 0, "header").otherwise("sig").alias("kind"), l.alias("text"))))
 
 
 def segments(calls: DataFrame) -> DataFrame:
-    """One row for each non-blank line of a payload whose result is ok."""
-    lines = calls.where("result_code = 'ok'").select("task", "turn", "call", "tool", F.posexplode(F.split("payload", "\n")).alias("seg", "text"))
-    return lines.where(F.trim("text") != "").withColumn("kind", segment_kind(F.col("text")))
+    """Parts of the payloads whose result is ok, by tool: paths, definitions or sections of a file, hits, signatures. A payload of unknown shape has none."""
+    c = calls.where("result_code = 'ok' and payload <> ''").withColumn("_l", lines_of(F.col("payload"))).withColumn("_b", F.when(F.col("payload").rlike(FENCED), F.regexp_extract("payload", FENCED, 1)))
+    kind = "array<struct<kind:string,text:string>>"
+    paths = F.transform(F.filter("_l", lambda l: F.trim(l) != ""), lambda l: _segment("path", F.trim(l)))
+    blocks = _definitions(lines_of(F.col("_b")))
+    of = F.when(F.col("tool") == "list_files", paths.cast(kind)).when((F.col("tool") == "read_file") & F.col("_b").isNotNull(), F.when(F.size(blocks) > 0, blocks.cast(kind)).otherwise(_sections(F.col("_b")).cast(kind)))
+    of = of.when(F.col("tool") == "search_code", _hits(F.col("_l")).cast(kind)).when(F.col("tool") == "get_signature", _signatures(F.col("_l")).cast(kind))
+    return c.select("task", "turn", "call", "tool", F.posexplode(of).alias("seg", "x")).select("task", "turn", "call", "tool", "seg", "x.kind", "x.text")
 
 
 def contexts(turns_text: DataFrame) -> DataFrame:
@@ -82,10 +123,26 @@ def per_tool(calls: DataFrame, judged_segments: DataFrame) -> DataFrame:
 
 
 def nearest_index(rows: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by nearest index: the value at place round(q * (n - 1)) of the order, half to even."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    placed = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.bround(q * (F.col("_n") - 1)), F.col(value))).alias(f"p{int(q * 100)}") for q in shares])
+    """Percentiles by nearest index: the value at place round(q * (n - 1)) of the order, half to even.
+
+    Equal values are counted first, and values are put into RANGES ranges between least and largest, so
+    that places come from sums over ranges and from sums within a range; no task orders a whole key.
+    """
+    k = [F.col(c) for c in keys]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    both = counts.alias("a").join(ends.alias("b"), on) if keys else counts.alias("a").crossJoin(ends.alias("b"))  # one row
+    spread = F.col("_hi") - F.col("_lo")
+    placed = both.select(*[F.col(f"a.{c}").alias(c) for c in keys], "_v", "_c", "_n", F.when(spread > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / spread * RANGES), F.lit(RANGES - 1))).otherwise(0).alias("_r"))
+    sums = placed.groupBy(*k, "_r").agg(F.sum("_c").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy(*(k or [F.lit(0)])).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_r").alias("_q"), before.alias("_before"))
+    joined = placed.join(sums, [F.col("_r") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]])
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy(*k, "_r").orderBy("_v"))
+    joined = joined.withColumn("_last", upto - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    at = lambda q: F.bround(q * (F.col("_n") - 1))
+    return joined.groupBy(*k).agg(*[F.max(F.when(at(q).between(F.col("_first"), F.col("_last")), F.col("_v"))).alias(f"p{int(q * 100)}") for q in shares])
 
 
 def chars_per_token(turns: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _lines(text: Column) -> Column:
+def lines_of(text: Column) -> Column:
     """Lines of a text; an end of line at its end begins no other."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_ENDS, "\n")
     return F.when(t == "", _none()).otherwise(F.split(F.regexp_replace(t, r"\n$", ""), "\n"))
@@ -80,7 +80,7 @@ def split_long(lines: Column, cap: int, overlap: int = 2) -> Column:
 
 def chunks(docs: DataFrame, cap: int = 0) -> DataFrame:
     """Blocks at lines that begin with "## "; the first line is the title, what follows it the preamble. Empty blocks go; with a cap, long ones are split and numbered."""
-    lines = _lines(F.col("text"))
+    lines = lines_of(F.col("text"))
     d = docs.select("doc_id", F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n").alias("rest"), F.coalesce(F.get(lines, F.lit(0)), F.col("doc_id").cast("string")).alias("title"))
     title = _bare(F.regexp_replace("title", "^[# ]+", ""))
 
@@ -124,7 +124,7 @@ def expand(text: Column, groups: tuple = SYNONYMS) -> Column:
 
 def field_tokens(header: Column, text: Column) -> Column:
     """Tokens of the header and of short labels: lines, or cells of lines with a bar. Without CJK characters a label needs a letter."""
-    cells = F.flatten(F.transform(_lines(text), lambda l: F.split(l, r"\|")))
+    cells = F.flatten(F.transform(lines_of(text), lambda l: F.split(l, r"\|")))
     labels = F.filter(F.transform(cells, _bare), lambda c: F.when(c.rlike("[一-鿿]"), c.rlike("(?U)" + LABEL)).otherwise(c.rlike("(?U)" + LATIN_LABEL) & c.rlike("[A-Za-z]")))
     return F.concat(tokens(header), F.flatten(F.transform(labels, tokens)))
 
@@ -267,7 +267,7 @@ def is_verbatim(header: Column, text: Column) -> Column:
     return header.rlike(r"^## *第.+条") | (digits >= 0.04 * F.greatest(F.length(text), F.lit(1)))
 
 
-def fact_lines(facts: DataFrame) -> DataFrame:
+def factlines_of(facts: DataFrame) -> DataFrame:
     """q_id, doc_id, header, chars of lines "[doc|header] text"; other lines have no doc_id."""
     l = facts.select("q_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     p = r"^\[([^|\]]+)\|([^\]]*)\]\s*(.*)$"

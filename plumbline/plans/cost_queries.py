@@ -11,20 +11,25 @@ STOP = "(" + ", ".join(f"'{w}'" for w in cost.STOPWORDS) + ")"
 
 
 def toks(x):
-    return f"list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(lower(coalesce({x}, '')), '[a-z_][a-z0-9_]*'), regexp_extract_all(lower(coalesce({x}, '')), '[0-9]+(?:\\.[0-9]+)?')), lambda w: regexp_matches(w, '[a-z0-9]'))))"
+    return f"list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(coalesce({x}, ''), '{cost.IDENTIFIER}'), regexp_extract_all(coalesce({x}, ''), '[0-9]+(?:\\.[0-9]+)?')), lambda w: lower(w)), lambda w: regexp_matches(w, '[^._:/<>-]'))))"
 
 
 def dist(x):
-    return f"list_filter({x}, lambda w: NOT list_contains([{STOP[1:-1]}], w) AND length(w) >= CASE WHEN regexp_matches(w, '^[0-9.]+$') THEN 6 ELSE 5 END)"
+    return f"list_filter({x}, lambda w: NOT list_contains([{STOP[1:-1]}], w) AND length(w) >= CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 6 ELSE 5 END)"
 
 
-CALLS = """ca AS (SELECT conv_id AS task, turn, turn AS call, 'tool' || (length(text) % 3) AS tool, 'k' || (length(text) % 4) AS args, CASE WHEN conv_id % 13 = 0 THEN 'error' ELSE 'ok' END AS result_code, text AS payload FROM conversations WHERE role = 'assistant'),
+# Tool outputs of four shapes: paths, a file of definitions in a fence, hits under headings, and one that no rule knows.
+CALLS = """ca AS (SELECT conv_id AS task, turn, turn AS call, CASE length(text) % 4 WHEN 0 THEN 'list_files' WHEN 1 THEN 'read_file' WHEN 2 THEN 'search_code' ELSE 'other' END AS tool, 'k' || (length(text) % 4) AS args, CASE WHEN conv_id % 13 = 0 THEN 'error' ELSE 'ok' END AS result_code,
+  CASE length(text) % 4 WHEN 1 THEN '```py' || chr(10) || replace(text, chr(10), chr(10) || 'def ') || chr(10) || '```' WHEN 2 THEN replace(text, chr(10), chr(10) || '### ') ELSE text END AS payload FROM conversations WHERE role = 'assistant'),
 tu AS (SELECT conv_id AS task, turn, length(text) AS chars, length(text) // 4 AS prompt_tokens, 100 AS tools_chars FROM conversations)"""
 
 
 def calls(t):
-    n = F.length("text")
-    return t.conversations.where("role = 'assistant'").select(F.col("conv_id").alias("task"), "turn", F.col("turn").alias("call"), F.concat(F.lit("tool"), (n % 3).cast("string")).alias("tool"), F.concat(F.lit("k"), (n % 4).cast("string")).alias("args"), F.when(F.col("conv_id") % 13 == 0, "error").otherwise("ok").alias("result_code"), F.col("text").alias("payload"))
+    m = F.length("text") % 4
+    tool = F.when(m == 0, "list_files").when(m == 1, "read_file").when(m == 2, "search_code").otherwise("other")
+    payload = F.when(m == 1, F.concat(F.lit("```py\n"), F.replace("text", F.lit("\n"), F.lit("\ndef ")), F.lit("\n```"))).when(m == 2, F.replace("text", F.lit("\n"), F.lit("\n### "))).otherwise(F.col("text"))
+    rows = t.conversations.where("role = 'assistant'")
+    return rows.select(F.col("conv_id").alias("task"), "turn", F.col("turn").alias("call"), tool.alias("tool"), F.concat(F.lit("k"), m.cast("string")).alias("args"), F.when(F.col("conv_id") % 13 == 0, "error").otherwise("ok").alias("result_code"), payload.alias("payload"))
 
 
 def turns(t):
@@ -41,11 +46,14 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.array_join(k, " ").alias("tokens"), F.size(cost.distinctive(k)).cast("long").alias("distinctive"))
 
 
-SEGS = """sg AS (SELECT task, turn, call, tool, i - 1 AS seg, l[i] AS text FROM (SELECT task, turn, call, tool, string_split(payload, chr(10)) AS l, unnest(range(1, len(string_split(payload, chr(10))) + 1)) AS i FROM ca WHERE result_code = 'ok') WHERE trim(l[i]) <> '')"""
+SEGS = """sl AS (SELECT task, turn, call, tool, string_split(payload, chr(10)) AS l FROM ca WHERE result_code = 'ok' AND payload <> ''), si AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM sl),
+sk AS (SELECT task, turn, call, tool, i, l, CASE tool WHEN 'list_files' THEN 'path' WHEN 'read_file' THEN CASE WHEN len(l) = 3 THEN 'whole' ELSE 'block' END WHEN 'search_code' THEN CASE WHEN i = 1 THEN 'header' ELSE 'hit' END END AS kind FROM si
+  WHERE CASE tool WHEN 'list_files' THEN trim(l[i]) <> '' WHEN 'read_file' THEN i < len(l) AND (len(l) = 3 AND i = 2 AND trim(l[2]) <> '' OR i > 2) WHEN 'search_code' THEN len(l) > 1 AND (i > 1 OR trim(l[1]) <> '') END),
+sg AS (SELECT task, turn, call, tool, kind, row_number() OVER (PARTITION BY task, turn ORDER BY i) - 1 AS seg, CASE tool WHEN 'list_files' THEN trim(l[i]) ELSE l[i] END AS text FROM sk)"""
 CTX = f"""tk AS (SELECT conv_id AS task, turn, unnest({toks('text')}) AS w FROM conversations), cx AS (SELECT task, turn, (SELECT list_distinct(list(w)) FROM tk WHERE tk.task = c.task AND tk.turn < c.turn) AS before, (SELECT list_distinct(list(w)) FROM tk WHERE tk.task = c.task AND tk.turn > c.turn) AS after FROM (SELECT DISTINCT conv_id AS task, turn FROM conversations) c)"""
 RECORDS = f"""re AS (SELECT sg.*, length(text) AS chars, {toks('text')} AS tk0, coalesce(before, []) AS before, coalesce(after, []) AS after FROM sg JOIN cx USING (task, turn)),
-rd AS (SELECT *, list_filter(tk0, lambda w: NOT list_contains(before, w)) AS fresh FROM re), rc AS (SELECT *, list_sort({dist('fresh')})[1:120] AS tokens, len(tk0) - len(fresh) AS n_preexisting FROM rd),
-ju AS (SELECT *, 'text' AS kind, len(list_intersect(tokens, after)) AS hits, CASE WHEN len(tokens) = 0 THEN 'unverifiable' WHEN len(list_intersect(tokens, after)) >= 1 THEN 'referenced' ELSE 'not_referenced_this_run' END AS verdict FROM rc)"""
+rd AS (SELECT *, {dist('tk0')} AS telling FROM re), rc AS (SELECT *, list_sort(list_filter(telling, lambda w: NOT list_contains(before, w)))[1:120] AS tokens, len(list_filter(telling, lambda w: list_contains(before, w))) AS n_preexisting, len(tk0) - len(telling) AS n_indistinct FROM rd),
+ju AS (SELECT *, len(list_intersect(tokens, after)) AS hits, CASE WHEN len(tokens) = 0 THEN 'unverifiable' WHEN len(list_intersect(tokens, after)) >= 1 THEN 'referenced' ELSE 'not_referenced_this_run' END AS verdict FROM rc)"""
 BASE = f"WITH {CALLS}, {SEGS}, {CTX}, {RECORDS}"
 
 
@@ -59,12 +67,12 @@ def judged(t):
     return cost.judged(records(t))
 
 
-@query("q123_field_records", f"{BASE} SELECT task, turn, seg::INT AS seg, chars, array_to_string(tokens, ' ') AS tokens, n_preexisting FROM rc")
+@query("q123_field_records", f"{BASE} SELECT task, turn, seg::INT AS seg, chars, array_to_string(tokens, ' ') AS tokens, n_preexisting, n_indistinct FROM rc")
 def _(t):
-    return records(t).select("task", "turn", "seg", F.col("chars").cast("long").alias("chars"), F.array_join("tokens", " ").alias("tokens"), F.col("n_preexisting").cast("long").alias("n_preexisting"))
+    return records(t).select("task", "turn", "seg", F.col("chars").cast("long").alias("chars"), F.array_join("tokens", " ").alias("tokens"), *[F.col(c).cast("long").alias(c) for c in ("n_preexisting", "n_indistinct")])
 
 
-@query("q124_payload_segments", f"WITH {CALLS}, {SEGS} SELECT task, turn, seg::INT AS seg, tool, 'text' AS kind, text FROM sg")
+@query("q124_payload_segments", f"WITH {CALLS}, {SEGS} SELECT task, turn, seg::INT AS seg, tool, kind, text FROM sg")
 def _(t):
     return cost.segments(calls(t)).drop("call")
 
@@ -94,7 +102,7 @@ def _(t):
     return cost.tool_flow(records(t), calls(t).withColumn("args", F.col("payload")))
 
 
-@query("q129_per_tool", f"{BASE}, x AS (SELECT tool, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars, count(*) FILTER (result_code = 'ok') AS ok FROM ca GROUP BY 1), y AS (SELECT tool, count(*) AS segments, sum(chars)::BIGINT AS segment_chars, count(*) FILTER (verdict = 'referenced') AS referenced, coalesce(sum(chars) FILTER (verdict = 'referenced'), 0)::BIGINT AS referenced_chars FROM ju GROUP BY 1) SELECT * FROM x LEFT JOIN y USING (tool)")
+@query("q129_per_tool", f"{BASE}, x AS (SELECT tool, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars, count(*) FILTER (result_code = 'ok') AS ok FROM ca GROUP BY 1), y AS (SELECT tool, count(*) AS segments, sum(chars)::BIGINT AS segment_chars, count(*) FILTER (verdict = 'referenced') AS referenced, coalesce(sum(chars) FILTER (verdict = 'referenced'), 0)::BIGINT AS referenced_chars FROM ju GROUP BY 1) SELECT x.*, coalesce(segments, 0) AS segments, coalesce(segment_chars, 0) AS segment_chars, coalesce(referenced, 0) AS referenced, coalesce(referenced_chars, 0) AS referenced_chars FROM x LEFT JOIN y USING (tool)")
 def _(t):
     return cost.per_tool(calls(t), judged(t))
 
@@ -105,7 +113,7 @@ def _(t):
     return r.select(F.round("total", 6).alias("total"), "turns", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
 
 
-TOOLS = tuple((f"tool{i}", "d" * (10 + i)) for i in range(6))
+TOOLS = tuple((n, "d" * (10 + i)) for i, n in enumerate(("list_files", "read_file", "search_code", "get_signature", "run_tests", "write_file")))
 
 
 @query("q131_uncalled_tools", f"WITH {CALLS}, tl AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in TOOLS) + ") AS x(tool, definition)), i AS (SELECT * FROM tl WHERE tool NOT IN (SELECT tool FROM ca)) SELECT count(*) AS tools, coalesce(sum(length(definition)), 0)::BIGINT AS chars, (SELECT count(*) FROM tu) AS turns, (coalesce(sum(length(definition)), 0) * (SELECT count(*) FROM tu))::BIGINT AS saving FROM i")
@@ -200,10 +208,10 @@ def _(t):
     return cost.bill(turns(t), calls(t))
 
 
-@query("q143_reference_profile", f"{BASE}, n AS (SELECT tool, count(*) FILTER (verdict = 'referenced') AS n FROM ju GROUP BY tool, task, turn, call), p AS (SELECT tool, n, row_number() OVER (PARTITION BY tool ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY tool) AS m FROM n), q AS (SELECT tool, max(n) FILTER (i = round_even(0.5 * (m - 1), 0)) AS p50, max(n) FILTER (i = round_even(0.9 * (m - 1), 0)) AS p90 FROM p GROUP BY 1) SELECT q.*, greatest(1, p90) AS cap, (SELECT round(avg((verdict = 'referenced')::INT), 6) FROM ju WHERE ju.tool = q.tool AND verdict <> 'unverifiable') AS rate FROM q")
+@query("q143_reference_profile", f"{BASE}, n AS (SELECT tool, count(*) FILTER (verdict = 'referenced') AS n FROM ju GROUP BY tool, task, turn, call), p AS (SELECT tool, n, row_number() OVER (PARTITION BY tool ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY tool) AS m FROM n), q AS (SELECT tool, max(n) FILTER (i = round_even(0.5 * (m - 1), 0)) AS p50, max(n) FILTER (i = round_even(0.9 * (m - 1), 0)) AS p90 FROM p GROUP BY 1), f AS (SELECT tool, kind, round(avg((verdict = 'referenced')::INT), 6) AS rate FROM ju WHERE verdict <> 'unverifiable' GROUP BY 1, 2) SELECT q.*, greatest(1, p90) AS cap, kind, rate FROM q LEFT JOIN f USING (tool)")
 def _(t):
     j = judged(t)
-    return cost.caps(j).join(cost.reference_profile(j).select("tool", F.round("rate", 6).alias("rate")), "tool", "left")
+    return cost.caps(j).join(cost.reference_profile(j).select("tool", "kind", F.round("rate", 6).alias("rate")), "tool", "left")
 
 
 @query("q144_payload_compaction", f"""WITH {CALLS}, l AS (SELECT *, list_filter(string_split(payload, chr(10)), lambda x: trim(x) <> '') AS l, CASE turn % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'head' WHEN 2 THEN 'hint' ELSE 'cap' END AS policy FROM ca),
