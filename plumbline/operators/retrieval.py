@@ -22,6 +22,8 @@ SENT = 200_000
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 ARTICLE = "第[一二三四五六七八九十百千]+条"
 LABEL, LATIN_LABEL = r"^[\u4e00-\u9fffA-Za-z0-9，、（）()\s%．.]{1,14}$", r"^[\sA-Za-z0-9$_(),.%/\-'\"]{1,48}$"
+# Cells of flattened tables, and ends of sentences.
+CELL, SENTENCE_END = r"^[\sA-Za-z0-9$_(),.%:/×\-—–&;'\"]{1,60}$", r"[.。;；]\s*$"
 # Terms that stand for each other in queries.
 SYNONYMS = (
     ("revenue", "revenues", "net sales", "total revenue", "net revenues"), ("net income", "net earnings", "net profit"), ("operating income", "income from operations", "operating profit"),
@@ -228,18 +230,31 @@ def coverage(evidence: DataFrame, contexts: DataFrame, threshold: float = 0.8) -
     return j.groupBy("q_id", "k").agg(F.max(c).alias("coverage")).withColumn("hit", F.col("coverage") >= threshold)
 
 
-def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8, most: int = 24) -> DataFrame:
-    """doc_id, text: runs of at least `least` short cell lines become piped rows of `width` cells."""
-    l = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    cell = (F.length(F.trim("line")) > 0) & (F.length(F.trim("line")) <= most) & ~F.col("line").contains("|")
-    w = W.partitionBy("doc_id").orderBy("pos")
-    l = l.withColumn("cell", cell).withColumn("run", F.sum((F.col("cell") != F.coalesce(F.lag("cell").over(w), ~F.col("cell"))).cast("int")).over(w))
-    r = W.partitionBy("doc_id", "run")
-    l = l.withColumn("n", F.count("*").over(r)).withColumn("i", F.row_number().over(r.orderBy("pos")) - 1)
-    row = F.when(F.col("cell") & (F.col("n") >= least), F.floor(F.col("i") / width)).otherwise(F.col("i"))
-    g = l.groupBy("doc_id", "run", row.alias("row")).agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("line")))).alias("x"), F.max(F.col("cell") & (F.col("n") >= least)).alias("table"), F.min_by("line", "pos").alias("line"))
-    g = g.withColumn("line", F.when(F.col("table"), F.array_join(F.transform("x", lambda s: s["line"]), " | ")).otherwise(F.col("line")))
-    return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("text"))
+def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8) -> DataFrame:
+    """doc_id, text: runs of at least `least` cell lines, blank lines between them aside, become piped rows of `width` cells.
+
+    A cell is a short line of letters, digits and signs that doesn't end a sentence. Cells of shorter runs
+    stay, with a blank line between them; three and more ends of line become two.
+    """
+    l = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("whole")).select("doc_id", F.substring("whole", -1, 1).alias("end"), F.posexplode_outer(lines_of(F.col("whole"))).alias("pos", "line"))
+    bare = _bare(F.col("line"))
+    cell = (F.length(bare) <= 60) & bare.rlike("[A-Za-z0-9]") & ~F.col("line").rlike(SENTENCE_END) & bare.rlike(CELL)
+    l = l.withColumn("bare", bare).withColumn("kind", F.when(F.col("line").isNull(), None).when(bare == "", "blank").when(cell, "cell").otherwise("text"))
+    # a segment: a line of text and the cells and blank lines after it
+    l = l.withColumn("segment", F.sum((F.col("kind") == "text").cast("int")).over(W.partitionBy("doc_id").orderBy("pos")))
+    g = l.groupBy("doc_id", "end", "segment").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("pos", "kind", "line", "bare")))).alias("x"))
+    g = g.withColumn("last", F.col("segment").eqNullSafe(F.max("segment").over(W.partitionBy("doc_id"))))
+    of = lambda kind, name: F.transform(F.filter("x", lambda s: s["kind"] == kind), lambda s: s[name])
+    g = g.select("doc_id", "end", "segment", "last", of("text", "line").alias("text"), of("cell", "bare").alias("cells"), of("cell", "pos").alias("at"), of("blank", "pos").alias("blanks"))
+    lead = F.transform(F.filter("blanks", lambda i: i < F.coalesce(F.get("at", F.lit(0)), F.lit(1 << 30))), lambda i: F.lit(""))
+    n, none = F.size("cells"), _none()
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))), lambda i: F.concat(F.lit("| "), F.array_join(F.slice("cells", i * width + 1, F.lit(width)), " | "), F.lit(" |")))
+    kept = F.concat(F.split(F.array_join("cells", "\n\n"), "\n"), F.when(F.col("last"), none).otherwise(F.array(F.lit(""))))
+    table = F.when(n >= least, F.concat(rows, F.array(F.lit("")))).when(n > 0, kept).otherwise(none)
+    g = g.select("doc_id", "end", "segment", F.concat("text", lead, table).alias("lines"))
+    out = g.groupBy("doc_id", "end").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", "lines"))), lambda s: s["lines"])).alias("lines"))
+    text = F.regexp_replace(F.array_join("lines", "\n"), r"\n{3,}", "\n\n")
+    return out.select("doc_id", F.concat(text, F.when((F.col("end") == "\n") & ~text.endswith("\n"), "\n").otherwise("")).alias("text"))
 
 
 def masked(text: Column) -> Column:

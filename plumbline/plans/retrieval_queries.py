@@ -171,10 +171,20 @@ def _(t):
     return re_.coverage(b, top.select(F.col("query_id").alias("q_id"), F.lit(4).alias("k"), "text")).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("q164_flattened_tables")
+# Every third document is a flattened table of its words.
+FLAT = r"""fl AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', chr(10)) ELSE text END AS text FROM documents), li AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM fl WHERE text <> ''))),
+ki AS (SELECT *, trim(line) AS bare, CASE WHEN trim(line) = '' THEN 'blank' WHEN length(trim(line)) <= 60 AND regexp_matches(line, '[A-Za-z0-9]') AND NOT regexp_matches(line, '[.。;；]\s*$') AND regexp_full_match(trim(line), '[\sA-Za-z0-9$_(),.%:/×\-—–&;''"]{1,60}') THEN 'cell' ELSE 'text' END AS kind FROM li),
+sg AS (SELECT *, sum((kind = 'text')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM ki), sn AS (SELECT *, count(*) FILTER (kind = 'cell') OVER (PARTITION BY doc_id, seg) AS n, min(i) FILTER (kind = 'cell') OVER (PARTITION BY doc_id, seg) AS c0, max(seg) OVER (PARTITION BY doc_id) AS top, sum((kind = 'cell')::INT) OVER (PARTITION BY doc_id, seg ORDER BY i) - 1 AS k FROM sg),
+ou AS (SELECT doc_id, seg, 0 AS a, 0.0 AS b, line FROM sn WHERE kind = 'text' UNION ALL SELECT doc_id, seg, 1, i, '' FROM sn WHERE kind = 'blank' AND (c0 IS NULL OR i < c0)
+  UNION ALL SELECT doc_id, seg, 2, k // 8, '| ' || string_agg(bare, ' | ' ORDER BY i) || ' |' FROM sn WHERE kind = 'cell' AND n >= 4 GROUP BY doc_id, seg, k // 8 UNION ALL SELECT DISTINCT doc_id, seg, 3, 0.0, '' FROM sn WHERE n >= 4 OR n > 0 AND seg < top
+  UNION ALL SELECT doc_id, seg, 2, k, bare FROM sn WHERE kind = 'cell' AND n < 4 UNION ALL SELECT doc_id, seg, 2, k + 0.5, '' FROM sn WHERE kind = 'cell' AND n < 4 AND k < n - 1),
+jo AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY seg, a, b), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM ou GROUP BY 1)"""
+
+
+@query("q164_flattened_tables", f"WITH {FLAT} SELECT doc_id, md5(coalesce(t, '') || CASE WHEN right(text, 1) = chr(10) AND NOT coalesce(t, '') LIKE '%' || chr(10) THEN chr(10) ELSE '' END) AS rebuilt FROM fl LEFT JOIN jo USING (doc_id)")
 def _(t):
-    cells = F.concat(F.lit("intro line that is surely longer than a cell\n"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("\n")))
-    return re_.rebuilt_tables(t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, cells).otherwise(F.col("text")).alias("text")))
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.col("text"))
+    return re_.rebuilt_tables(t.documents.select("doc_id", text.alias("text"))).select("doc_id", F.md5("text").alias("rebuilt"))
 
 
 MASK_CTE = []

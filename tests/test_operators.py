@@ -118,18 +118,93 @@ def test_any_spec_that_explains_a_call_is_enough(spark):
     assert got == {1: [], 2: ["missing:a", "unknown:c"], 3: ["not_found:u"]}
 
 
-def test_long_blocks_are_split_without_loss(spark):
-    lines = [f"line {i} " + "x" * (i % 37) for i in range(120)] + ["y" * 950]
-    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(retrieval.split_long(F.split("t", "\n"), 200).alias("p")).first()["p"]
-    assert all(len(p) <= 200 for p in got) and len(got) > 10
-    seen = {x for p in got for x in p.split("\n")}
-    assert set(lines[:-1]) <= seen and "".join(x for p in got for x in p.split("\n") if set(x) == {"y"}).count("y") >= 950
+def pieces_of(lines, cap):
+    out, now = [], []
+    for line in lines:
+        if len(line) > cap:
+            out += ["\n".join(now)] if now else []
+            out += [line[i : i + cap] for i in range(0, len(line), cap)]
+            now = []
+        else:
+            if now and sum(map(len, now)) + len(line) > cap:
+                out.append("\n".join(now))
+                now = now[-2:]
+            now = [*now, line]
+    if now and out and len("\n".join(now)) < cap // 4:
+        out[-1] += "\n" + "\n".join(now)
+    elif now:
+        out.append("\n".join(now))
+    return out
+
+
+def test_long_blocks_are_split_as_by_a_fold(spark):
+    import random
+
+    r = random.Random(4)
+    cases = [["x" * r.choice((0, 1, 9, 40, 90, 130, 450)) + str(i) for i in range(r.randrange(1, 30))] for _ in range(60)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, l array<string>").select("i", retrieval.split_long(F.col("l"), 200).alias("p"))
+    assert {x["i"]: x["p"] for x in df.collect()} == {i: pieces_of(c, 200) for i, c in enumerate(cases)}
+    assert any(len(p) > 1 for p in (pieces_of(c, 200) for c in cases))
+    text = "# Title\nfirst\n## One \n" + "\n".join(["a" * 150] * 3) + "\n## Empty\n\n## Two\r\nlast\n"
+    got = [tuple(x) for x in retrieval.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "only")], "doc_id int, text string"), 200).orderBy("doc_id", "chunk_no").collect()]
+    a = "a" * 150
+    assert got == [(1, 1, "Title", "first", True), *[(1, n + 2, "One", f"（{n + 1}/{len(p)}）\n{x}", False) for p in [pieces_of([a] * 3, 200)] for n, x in enumerate(p)], (1, 2 + len(pieces_of([a] * 3, 200)), "Two", "last", False)]
 
 
 def test_flattened_tables(spark):
-    d = spark.createDataFrame([(1, "this line is much too long for a cell of a table\n" + "\n".join(f"c{i}" for i in range(10)) + "\nanother line that is too long to be a cell"), (2, "a\nb\nc"), (3, None)], "doc_id int, text string")
+    cells = "\n\n".join(f"c{i}" for i in range(10))
+    texts = {"This is a sentence.\n" + cells + "\n\nAnother one.": "This is a sentence.\n| c0 | c1 | c2 | c3 | c4 | c5 | c6 | c7 |\n| c8 | c9 |\n\nAnother one.", "a\nb\nc": "a\n\nb\n\nc", "": "", "\n\nx y\n\nEnd.\n": "\n\nx y\n\nEnd.\n", "第一条。\na": "第一条。\na"}
+    d = spark.createDataFrame([*[(i, t) for i, t in enumerate(texts)], (99, None)], "doc_id int, text string")
     got = {r["doc_id"]: r["text"] for r in retrieval.rebuilt_tables(d).collect()}
-    assert got[1].split("\n")[1:3] == ["c0 | c1 | c2 | c3 | c4 | c5 | c6 | c7", "c8 | c9"] and got[2] == "a\nb\nc" and got[3] == ""
+    assert got == {**dict(enumerate(texts.values())), 99: ""}
+
+
+def test_expansion_fields_and_scores(spark):
+    q = {"net  Sales of eps?": "net  Sales of eps? revenue revenues total revenue net revenues earnings per share diluted eps", "epsilon": "epsilon", "R&D": "R&D research and development"}
+    got = {r["q"]: r["e"] for r in spark.createDataFrame([(x,) for x in q], "q string").select("q", retrieval.expand(F.col("q")).alias("e")).collect()}
+    assert got == q
+    f = spark.range(1).select(retrieval.field_tokens(F.lit("Head"), F.lit("Total net sales\n12 | 2018 x | a long sentence that is surely no label since it has too many characters\n营业收入")).alias("f")).first()["f"]
+    assert f == ["head", "total", "net", "sal", "2018", "x", "营业", "业收", "收入"]
+    import math
+
+    chunked = spark.createDataFrame([(1, 1, "t", "pre revenue", True), (1, 2, "a", "red red blue", False), (1, 3, "b", "green", False), (2, 1, "c", "red", True)], "doc_id int, chunk_no long, header string, text string, is_preamble boolean")
+    scores = {(r["doc_id"], r["chunk_no"]): r["score"] for r in retrieval.bm25(retrieval.units(chunked), spark.createDataFrame([(1, "red")], "query_id int, text string")).collect()}
+    body, field = [["red", "red", "blue"], ["green"], ["red"]], [["a", "red", "red", "blue"], ["b", "green"], ["c", "red"]]
+
+    def okapi(docs, token):
+        n, mean = len(docs), sum(map(len, docs)) / len(docs)
+        raw = {t: math.log((n - sum(t in d for d in docs) + 0.5) / (sum(t in d for d in docs) + 0.5)) for t in {t for d in docs for t in d}}
+        idf = raw[token] if raw[token] >= 0 else 0.25 * sum(raw.values()) / len(raw)
+        return [idf * d.count(token) * 2.5 / (d.count(token) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for d in docs]
+
+    want = [b + 2 * f for b, f in zip(okapi(body, "red"), okapi(field, "red"))]
+    assert scores == {(1, 2): pytest.approx(want[0]), (2, 1): pytest.approx(want[2])}
+
+
+def test_segments_by_tool(spark):
+    fence = "```python\nimport x\n\n@deco\n# note\ndef one():\n    pass\nclass Two:\n    pass\n```"
+    rows = [("list_files", "a.py\n\n b/c.py", "ok"), ("read_file", fence, "ok"), ("read_file", "```\nintro\n# A\nx\n## B\ny\n```", "ok"), ("read_file", "File not found", "ok"), ("search_code", "2 hits\n### a\nx\n### b", "ok"), ("search_code", "No hits", "ok"), ("get_signature", "# m.py\n\ndef f(a)", "ok"), ("web", "anything", "ok"), ("list_files", "No files", "error")]
+    df = spark.createDataFrame([(1, i, 0, t, p, c) for i, (t, p, c) in enumerate(rows)], "task int, turn int, call int, tool string, payload string, result_code string")
+    got = [(r["turn"], r["kind"], r["text"]) for r in cost.segments(df).orderBy("turn", "seg").collect()]
+    assert got == [
+        (0, "path", "a.py"), (0, "path", "b/c.py"), (1, "block", "@deco\n# note\ndef one():\n    pass"), (1, "block", "class Two:\n    pass"), (2, "section", "A\nx\n"), (2, "section", "B\ny"),
+        (4, "header", "2 hits"), (4, "hit", "### a\nx"), (4, "hit", "### b"), (6, "header", "# m.py"), (6, "sig", "def f(a)"),
+    ]
+    t = spark.range(1).select(cost.value_tokens(F.lit("See a.b.c, src/x/y.py:12 and 1234567 Def ::")).alias("t")).first()["t"]
+    assert t == ["12", "1234567", "a.b.c", "and", "def", "see", "src/x/y.py:12"]
+    r = spark.range(1).select(cost.field_record(F.lit("alpha_one beta_two src 12345 123456"), F.array(F.lit("beta_two"), F.lit("src"))).alias("r")).first()["r"]
+    assert r["tokens"] == ["123456", "alpha_one"] and r["n_preexisting"] == 1 and r["n_indistinct"] == 2
+
+
+def test_percentiles_by_ranges(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(k, float(r.choice((r.randrange(20), r.random() * 1e6)))) for k in "ab" for _ in range(301)] + [("c", 5.0)]
+    got = {x["k"]: (x["p10"], x["p50"], x["p90"]) for x in cost.nearest_index(spark.createDataFrame(rows, "k string, v double"), "v", (0.1, 0.5, 0.9), ("k",)).collect()}
+    for k in "abc":
+        v = sorted(x for n, x in rows if n == k)
+        assert got[k] == tuple(v[round(q * (len(v) - 1))] for q in (0.1, 0.5, 0.9))
 
 
 def test_tokens_and_masks(spark):
