@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod
+from plumbline.llm.common import crc_mod, own_names
 
 TOKEN = re.compile(r"[^\W\d_]+")
 N_GRAMS = (1, 2, 3, 4)
@@ -240,14 +240,13 @@ def training_runs(rows: list[tuple[str, str]], labels: list[str], max_words: int
     return plain + spliced
 
 
-def fit(documents: DataFrame, max_docs: int = 250, max_words: int = 300, steps: int = 120) -> Field:
-    """Fits on a bounded sample of the documents whose crc32(doc_id) mod 4 is not 2; the sample is in the order of a digest of doc_id."""
+def fit(documents: DataFrame, max_docs: int = 250, max_words: int = 300, read_chars: int = 6000, steps: int = 120) -> Field:
+    """Fits on a bounded sample of the documents whose crc32(doc_id) mod 4 is not 2, in the order of a digest of doc_id: at most max_docs rows of a language, of each the first max_words words within the first read_chars characters."""
     rows = documents.where("doc_id is not null and lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2)
-    key = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    picked = key.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= max_docs).select(F.col("doc_id").alias("picked_id")).distinct()
-    # a word of the sample has a few letters: a beginning of max_words words is enough to read
-    text = F.substring("text", 1, max_words * 20)
-    sample = sorted((r["lang"], r["text"]) for r in rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("lang", text.alias("text")).collect())
+    first = lambda d: d.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= max_docs)
+    picked = first(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))).select(F.col("doc_id").alias("picked_id")).distinct()
+    found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "lang", F.substring("text", 1, read_chars).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    sample = sorted((r["lang"], r["text"]) for r in first(found).select("lang", "text").collect())
     labels = sorted({lang for lang, _ in sample})
     counts = Counter(w for _, t in sample for w in tokens(t)[:max_words])
     field = Field(labels, {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEXICON))})
@@ -256,7 +255,7 @@ def fit(documents: DataFrame, max_docs: int = 250, max_words: int = 300, steps:
 
 
 def label(documents: DataFrame, field: Field) -> DataFrame:
-    """The documents' columns, lang_pred and lang_score."""
+    """The documents' columns, lang_pred and lang_score; columns of those names are replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(field)  # bounded by BUCKETS and the sample
 
     @F.pandas_udf("lang string, score double")
@@ -265,8 +264,9 @@ def label(documents: DataFrame, field: Field) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([x for i in range(0, len(texts), 1000) for x in own(list(texts[i : i + 1000]))], columns=["lang", "score"])
 
-    rows = documents.withColumn("lang_crf", labelled("text"))
-    return rows.withColumn("lang_pred", F.col("lang_crf.lang")).withColumn("lang_score", F.col("lang_crf.score")).drop("lang_crf")
+    (own,) = own_names(documents, "lang_crf")
+    rows = documents.withColumn(own, labelled("text"))
+    return rows.withColumn("lang_pred", F.col(f"{own}.lang")).withColumn("lang_score", F.col(f"{own}.score")).drop(own)
 
 
 def label_words(documents: DataFrame, field: Field) -> DataFrame:

@@ -41,6 +41,11 @@ def chi_square(dims: int, confidence: float) -> float:
     return dims * (1 - c + z * c**0.5) ** 3
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that squares neither overflow nor vanish; cosines stay the same."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None])
+
+
 def matrix(length: int, dims: int, seed: int = 17) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((length, dims))
 
@@ -94,10 +99,10 @@ def _search(k: int, factor: float):
         out = []
         if len(entries) and len(asked):
             entries = entries.sort_values("id")
-            x, px = np.stack(entries["v"]), np.stack(entries["p"])
+            x, px = scaled(np.stack(entries["v"])), np.stack(entries["p"])
             norm, ids = np.linalg.norm(x, axis=1), list(entries["ids"])
             for q in asked.itertuples(index=False):
-                v, d2 = np.asarray(q.v), ((px - np.asarray(q.p)) ** 2).sum(axis=1)
+                v, d2 = scaled(np.asarray(q.v)[None])[0], ((px - np.asarray(q.p)) ** 2).sum(axis=1)
                 order, size, best, reach = np.argsort(d2, kind="stable"), np.linalg.norm(v), [], q.reach
                 at, block = 0, 32
                 while at < len(order) and d2[order[at]] <= factor * reach:
@@ -133,6 +138,7 @@ def neighbours(vectors: DataFrame, query_rows=None, k: int = 5, dims: int = DIMS
     def projected(batches):
         for b in batches:
             v = np.stack(b["v"]) if len(b) else np.empty((0, length))
+            v = scaled(v)
             u = v / np.linalg.norm(v, axis=1, keepdims=True)
             yield b.assign(p=list(u @ p))
 
@@ -187,16 +193,3 @@ def neighbours(vectors: DataFrame, query_rows=None, k: int = 5, dims: int = DIMS
 
 def query(vectors: DataFrame) -> DataFrame:
     return neighbours(vectors)
-
-
-def brute_force(rows: list[tuple[int, list[float]]], k: int = 5, every: int = 50) -> list[tuple[int, int, int, float]]:
-    """The exact lists; for tests."""
-    ids = np.array([r[0] for r in rows])
-    x = np.array([r[1] for r in rows], np.float64)
-    norm = np.linalg.norm(x, axis=1)
-    out = []
-    for i in np.flatnonzero(ids % every == 0):
-        score = (x * x[i]).sum(axis=1) / (norm * norm[i])
-        order = sorted((-s, j) for s, j, m in zip(score, ids, range(len(ids))) if m != i)[:k]
-        out += [(int(ids[i]), r + 1, int(j), float(-s)) for r, (s, j) in enumerate(order)]
-    return out

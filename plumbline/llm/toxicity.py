@@ -26,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod
+from plumbline.llm.common import crc_mod, own_names
 
 TOKEN = re.compile(r"[^\W_]+")
 RUN = 10
@@ -151,7 +152,7 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: int = 12_000_000) -> Model:
-    """Fits on a bounded sample of the rows of labels whose crc32(doc_id) mod 5 is not 0."""
+    """Fits on a bounded sample of the rows of labels whose crc32(doc_id) mod 5 is not 0: of each class at most max_docs rows and max_chars characters, and no text of more than a tenth of these."""
     rows = labels.where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", 5) != 0).select("doc_id", (F.col("toxic") != 0).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -159,18 +160,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars
     for y in (0, 1):
         some = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         picked = some if picked is None else picked.union(some)
-    texts = documents.where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    found = texts.join(F.broadcast(picked), F.col("id") == F.col("doc_id")).select("id", "text", "y").where(F.length("text") <= max_chars // 10)
-    sample, used = [], [0, 0]
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r["y"], r["id"], r["text"])):
-        if used[r["y"]] + len(r["text"]) <= max_chars:
-            used[r["y"]] += len(r["text"])
-            sample.append(r)
+    texts = documents.where("text is not null").select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= max_chars // 10)
+    found = texts.join(F.broadcast(picked.distinct()), F.col("id") == F.col("doc_id")).select("text", "y", F.xxhash64("id").alias("key"), "id", F.length("text").alias("n"))
+    order = W.partitionBy("y").orderBy("key", "id", F.xxhash64("text"), "n")
+    # rows that share a doc_id count one by one, so what comes to the driver is bounded
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs).withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= max_chars)
+    sample = found.select("text", "y", "place").orderBy("y", "place").collect()
     return Model([r["text"] for r in sample], [r["y"] for r in sample], share)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents' columns and toxic_score."""
+def score(documents: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
+    """The documents' columns and toxic_score, or whatever column is called; one of that name is replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
 
     @F.pandas_udf("double")
@@ -179,7 +179,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return documents.withColumn("toxic_score", scored("text"))
+    return documents.withColumn(column, scored("text"))
+
+
+def without_toxic(documents: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents that score below the limit, with their columns as they were."""
+    (column,) = own_names(documents, "toxic_score")
+    return score(documents, model, column).where(F.col(column) < limit).drop(column)
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -60,9 +60,26 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
+def exact_lists(rows, k=5, every=50):
+    """(query, rank, vec_id, score) by comparison with all."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    norm, out = np.linalg.norm(x, axis=1), []
+    for i in np.flatnonzero(ids % every == 0):
+        score = (x * x[i]).sum(axis=1) / (norm * norm[i])
+        order = sorted((-s, j) for s, j, m in zip(score, ids, range(len(ids))) if m != i)[:k]
+        out += [(int(ids[i]), r + 1, int(j), float(-s)) for r, (s, j) in enumerate(order)]
+    return out
+
+
+def test_nearest_of_very_large_and_small_components(spark):
+    rows = [(50, [1e200, 0.0, 1e200], 0), (1, [1e200, 0.0, 9e199], 0), (2, [1e-200, 1e-200, 0.0], 0), (3, [3.0, 0.0, -3.0], 0)]
+    got = [(r["vec_id"], round(r["score"], 9)) for r in nearest.neighbours(vectors(spark, rows)).orderBy("rank").collect()]
+    assert got == [(1, round(1.9 / (2 * 1.81) ** 0.5, 9)), (2, 0.5), (3, 0.0)]
+
+
 def test_nearest_recall_and_scores(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    exact = nearest.brute_force([(r["vec_id"], r["embedding"]) for r in e.collect()])
+    exact = exact_lists([(r["vec_id"], r["embedding"]) for r in e.collect()])
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest.neighbours(e, leaf=256).collect()}
     want = {(q, v): s for q, _, v, s in exact}
     assert len(got) == len(want) and len(got.keys() & want.keys()) / len(want) >= 0.9
@@ -75,7 +92,7 @@ def test_nearest_ties_copies_and_odd_vectors(spark):
     rows = [(i, same, 0) for i in range(120)] + [(200 + i, [r.gauss(0, 1) for _ in range(4)], 0) for i in range(60)]
     rows += [(300, None, 0), (350, [0.0] * 4, 0), (400, [1.0, None, 1.0, 1.0], 0), (450, [float("nan")] * 4, 0), (500, [1.0], 0), (None, same, 0), (7, same, 0)]
     got = [tuple(x) for x in nearest.neighbours(vectors(spark, rows), leaf=32).orderBy("query_id", "rank").collect()]
-    exact = nearest.brute_force([(i, v) for i, v, _ in rows[:180]])
+    exact = exact_lists([(i, v) for i, v, _ in rows[:180]])
     assert [g[:3] for g in got if g[0] < 200] == [x[:3] for x in exact if x[0] < 200] and {g[0] for g in got} == {0, 50, 100, 200, 250}
     assert nearest.neighbours(vectors(spark, rows).limit(0)).count() == 0 and nearest.neighbours(vectors(spark, [(50, same, 0)])).count() == 0
 

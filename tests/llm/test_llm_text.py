@@ -100,7 +100,7 @@ def test_buckets_with_several_groups_lose_no_link(spark, monkeypatch):
     member = spark.range(1, len(rows)).select("id", F.lit(1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("leader"), F.lit(len(rows)).cast("long").alias("size"))
     edges = spark.createDataFrame([(0, i) for i in want if i and want[i] == 0 and i % 2], "u long, v long")
     found = components.components(edges)
-    got = components.components(near_dedup._between(texts, member, found, 85).union(edges)).collect()
+    got = components.components(near_dedup._between(texts, near_dedup.signatures(df).withColumnRenamed("doc_id", "id"), member, found, 85).union(edges)).collect()
     assert {r["node"]: r["component"] for r in got} == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
     assert len(set(want.values())) > 15
 
@@ -210,6 +210,53 @@ def test_line_dedup_leaves_short_repeats_and_first_copies(spark):
     assert {d["doc_id"]: d["text"] for d in got.collect()} == {1: rows[0][1], 2: "c\nd", 3: "a\nb"}
 
 
+def kneser_ney(docs, labels):
+    """log p(word | previous) of both classes by plain dictionaries, for words of the model's vocabulary."""
+    d, pairs = 0.75, [{}, {}]
+    for words, y in zip(docs, labels):
+        for v, w in zip(["", *words[:-1]], words):
+            pairs[y][v, w] = pairs[y].get((v, w), 0) + 1
+    vocabulary = {"", *(w for words in docs for w in words)}
+    both = {}
+    for v, w in {*pairs[0], *pairs[1]}:
+        both[w] = both.get(w, 0) + 1
+    total = sum(both.get(w, 0) + 0.5 for w in vocabulary)
+
+    def log_p(y, v, w):
+        before = sum(1 for _, x in pairs[y] if x == w)
+        kinds = len({x for _, x in pairs[y]})
+        after = (max(before - d, 0) + d * max(kinds, 1) * (both.get(w, 0) + 0.5) / total) / max(len(pairs[y]), 1)
+        follow = {x: n for (u, x), n in pairs[y].items() if u == v}
+        if not follow:
+            return math.log(after)
+        count = follow.get(w, 0)
+        spread = sum(d if n > 1 else 1 for n in follow.values())
+        return math.log(((count - d if count > 1 else 0) + spread * after) / sum(follow.values()))
+
+    return log_p
+
+
+def test_likelihoods_equal_those_of_plain_dictionaries():
+    r = random.Random(12)
+    words = ["ann", "bob", "cat", "dog", "eel"]
+    docs = [[r.choice(words[: 4 + i % 2]) for _ in range(r.randrange(3, 12))] for i in range(40)]
+    labels = [i % 2 for i in range(40)]
+    model, log_p = toxicity.KneserNey(docs, toxicity.np.array(labels)), kneser_ney(docs, labels)
+    assert model.size == len(words) + 1
+    for text in (["ann", "bob", "bob"], ["eel", "eel", "dog", "cat", "ann"]):
+        pairs, _ = model.evidence(text)
+        want = [log_p(1, v, w) - log_p(0, v, w) for v, w in zip(["", *text[:-1]], text)]
+        assert list(pairs) == pytest.approx(want)
+
+
+def test_columns_of_the_operators_names_are_kept(spark):
+    rows = [(i, " ".join(f"w{i * j}" for j in range(60)), "s") for i in range(40)]
+    df = frame(spark, rows).select("*", *[F.lit(7).alias(n) for n in ("toxic_score", "gone_id", "mix_source", "lines_own", "lang_crf", "spread_key", "node")])
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    for got in (toxicity.without_toxic(df, model, 2.0), near_dedup.drop_near_duplicates(df), line_dedup.dedup_lines(df).drop("lines_runs"), mixing.mix(df).select(*df.columns)):
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
