@@ -4,11 +4,13 @@ toxicity      documents that the model rejects (score of 0.5 or more) go
 line_dedup    later repeats of passages are cut out of the texts; a document that is nothing else goes
 near_dedup    of each group of near duplicates (similarity of 0.80 or more) one document stays, the one
               with the smallest doc_id
-mixing        sources are passed so often as their weights ask; every document is passed at least once
+mixing        sources are passed so often as their weights ask, in permuted blocks; every document is passed
+              at least once
 encoding      each text is encoded and decoded; digests of both
 
 SQL can't express the stages (a fitted model, extended matches, connected components), so ORACLE_SQL is
-None and tests hold each stage against a brute-force version.
+None. Tests hold every operator against a brute-force version, and the chain against the same rules in
+plain Python on a small table.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, near_dedup, piece_bpe
 from plumbline.llm import toxicity as tox
-from plumbline.llm.common import ensure_checkpoint_dir, table
+from plumbline.llm.common import table
+from plumbline.shared import written
 
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = tox.score(docs, tox.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("toxic_score < 0.5").select(*docs.columns)
+    return tox.without_toxic(docs, tox.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +54,7 @@ STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("near_dedup", near), (
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what a stage returns is written beside the checkpoints and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
