@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import trading_calendar as cal
+from plumbline.operators.intervals import as_of
+from plumbline.shared import written
 
 KEY = ["probe", "table_name", "symbol", "metric", "start", "end"]
 # Causes that clear a finding.
@@ -81,20 +83,24 @@ def _diagnosed(rows: DataFrame, severity: dict[str, Column], confidence: dict[st
 def window_ratios(findings: DataFrame, series: DataFrame, value: str = "volume", same: bool = False) -> DataFrame:
     """For each finding and entity with rows in its window: mean in the window over the mean of the 30 rows before.
 
-    Prefix sums over an entity's rows make any mean a difference of two of them, so a finding meets an
-    entity's first and last row of the window and not all its rows. same: the finding's own entity alone.
+    Running sums over an entity's rows (one a day) make any mean a difference of two of them. A window
+    meets an entity's first row on or after its start and last on or before its end, found by ordered
+    passes, once for all findings of the window. same: the finding's own entity alone.
     """
     w = W.partitionBy("entity").orderBy("date")
     s = series.select(F.col("symbol").alias("entity"), "date", F.col(value).cast("double").alias("v"))
     s = s.withColumn("place", F.row_number().over(w)).withColumn("sum", F.sum(F.coalesce("v", F.lit(0.0))).over(w)).withColumn("n", F.count("v").over(w))
     back = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0))
     s = s.withColumn("past", F.when(F.col("place") > 30, (back("sum", 1) - back("sum", 31)) / (back("n", 1) - back("n", 31)))).withColumn("sum0", back("sum", 1).cast("double")).withColumn("n0", back("n", 1))
+    s = written(s.select("entity", "date", "past", "sum0", "n0", "sum", "n"))
     f = findings.select(*KEY).distinct()
-    near = F.col("date").between(F.col("start"), F.col("end"))
-    joined = f.join(s, near & (F.col("entity") == F.col("symbol"))) if same else f.withColumn("month", F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month")))).join(s.withColumn("month", F.trunc("date", "month")), "month").where(near)
-    edges = joined.groupBy(*KEY, "entity").agg(F.min(F.struct("place", "past", "sum0", "n0")).alias("a"), F.max(F.struct("place", "sum", "n")).alias("b"))
-    mean = (F.col("b.sum") - F.col("a.sum0")) / F.nullif(F.col("b.n") - F.col("a.n0"), F.lit(0))
-    return edges.select(*KEY, "entity", mean.alias("window_mean"), F.col("a.past").alias("past_mean"), F.when(F.col("a.past") > 0, mean / F.col("a.past")).alias("ratio"))
+    windows = f.select(F.col("symbol").alias("entity"), "start", "end").distinct() if same else f.select("start", "end").distinct().crossJoin(s.select("entity").distinct())  # every entity is asked for
+    low = as_of(windows, s, "entity", "start", "date", ["past", "sum0", "n0"], after=True)
+    low = low.select("entity", "start", "end", *[F.col(f"found_{c}").alias(f"a_{c}") for c in ("date", "past", "sum0", "n0")])
+    edges = as_of(low, s, "entity", "end", "date", ["sum", "n"]).where("a_date <= end and found_date >= start")
+    mean = (F.col("found_sum") - F.col("a_sum0")) / F.nullif(F.col("found_n") - F.col("a_n0"), F.lit(0))
+    edges = edges.select("entity", "start", "end", mean.alias("window_mean"), F.col("a_past").alias("past_mean"), F.when(F.col("a_past") > 0, mean / F.col("a_past")).alias("ratio"))
+    return f.join(edges, ["start", "end"]).where((F.col("entity") == F.col("symbol")) if same else F.lit(True)).select(*KEY, "entity", "window_mean", "past_mean", "ratio")
 
 
 def co_movement(findings: DataFrame, series: DataFrame, sectors: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -184,8 +190,9 @@ def recent_signals(signals: DataFrame, days: int, asof: Column | None = None) ->
 
 
 def present_on(days: DataFrame, universe: DataFrame, series: DataFrame) -> DataFrame:
-    """For each day how many entities have a row, and which lack one."""
-    pairs = days.select("date").distinct().crossJoin(universe.select("symbol").distinct())  # days asked for x the declared universe
-    have = series.select("symbol", "date").distinct().withColumn("there", F.lit(True))
-    j = pairs.join(have, ["symbol", "date"], "left")
-    return j.groupBy("date").agg(F.count("there").alias("present"), F.array_sort(F.collect_set(F.when(F.col("there").isNull(), F.col("symbol")))).alias("lacking"))
+    """date, present, symbol: how many entities have a row on a day, with a row for each entity that lacks one (a null symbol where none does)."""
+    d, have = days.select("date").distinct(), series.select("symbol", "date").distinct()
+    known = universe.select("symbol").distinct()
+    present = have.join(known, "symbol", "left_semi").groupBy("date").agg(F.count("*").alias("present"))
+    lacking = d.crossJoin(known).join(have, ["symbol", "date"], "left_anti")  # days asked for x the declared universe
+    return d.join(present, "date", "left").join(lacking, "date", "left").select("date", F.coalesce("present", F.lit(0)).alias("present"), "symbol")

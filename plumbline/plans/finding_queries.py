@@ -266,12 +266,12 @@ def _(t):
 
 
 @query("q085_alert_day_presence", f"""WITH {S}, {ISLANDS}, dd AS (SELECT DISTINCT date FROM m), u AS (SELECT DISTINCT symbol FROM s)
-SELECT dd.date, count(s.symbol) AS present, coalesce(string_agg(CASE WHEN s.symbol IS NULL THEN u.symbol END, ',' ORDER BY u.symbol), '') AS lacking FROM dd CROSS JOIN u LEFT JOIN s ON s.symbol = u.symbol AND s.date = dd.date GROUP BY 1""", "date")
+SELECT dd.date, (SELECT count(*) FROM s WHERE s.date = dd.date) AS present, la.symbol FROM dd LEFT JOIN (SELECT d2.date, u.symbol FROM dd d2 CROSS JOIN u WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = u.symbol AND s.date = d2.date)) la ON la.date = dd.date""", "date")
 def _(t):
     s = series(t)
     first = s.groupBy("symbol").agg(F.min("date").alias("first"))
     days = first.join(F.broadcast(calendar(t)), (F.col("date") >= F.col("first")) & (F.col("date") <= day())).select("symbol", "date").join(s.select("symbol", "date"), ["symbol", "date"], "left_anti")
-    return at.present_on(days, s, s).withColumn("lacking", F.array_join("lacking", ","))
+    return at.present_on(days, s, s)
 
 
 # Badges.
