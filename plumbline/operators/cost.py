@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.places import ranked, value_at
 from plumbline.operators.retrieval import lines_of
 
 # Words that say nothing about where a text came from; patterns of identifiers and paths, and of numbers.
@@ -21,8 +22,6 @@ IDENTIFIER, NUMBER = r"[A-Za-z_][A-Za-z0-9_.:/<>-]*", r"\d+(?:\.\d+)?"
 # Patterns of a fenced file, of its top-level definitions and of its headings.
 FENCED, TOP_LEVEL, HEADING = r"(?s)^```[a-zA-Z]*\n(.*)\n```$", r"(?U)^(?:async\s+def|def|class)\s+(\w+)", r"(?m)^#{1,4} "
 LARGE, SMALL_SUM = 200, 2000
-#: Ranges of values in which places are counted.
-RANGES = 10_000
 
 
 def value_tokens(text: Column) -> Column:
@@ -123,26 +122,8 @@ def per_tool(calls: DataFrame, judged_segments: DataFrame) -> DataFrame:
 
 
 def nearest_index(rows: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by nearest index: the value at place round(q * (n - 1)) of the order, half to even.
-
-    Equal values are counted first, and values are put into RANGES ranges between least and largest, so
-    that places come from sums over ranges and from sums within a range; no task orders a whole key.
-    """
-    k = [F.col(c) for c in keys]
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    both = counts.alias("a").join(ends.alias("b"), on) if keys else counts.alias("a").crossJoin(ends.alias("b"))  # one row
-    spread = F.col("_hi") - F.col("_lo")
-    placed = both.select(*[F.col(f"a.{c}").alias(c) for c in keys], "_v", "_c", "_n", F.when(spread > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / spread * RANGES), F.lit(RANGES - 1))).otherwise(0).alias("_r"))
-    sums = placed.groupBy(*k, "_r").agg(F.sum("_c").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.partitionBy(*(k or [F.lit(0)])).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_r").alias("_q"), before.alias("_before"))
-    joined = placed.join(sums, [F.col("_r") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]])
-    upto = F.col("_before") + F.sum("_c").over(W.partitionBy(*k, "_r").orderBy("_v"))
-    joined = joined.withColumn("_last", upto - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    at = lambda q: F.bround(q * (F.col("_n") - 1))
-    return joined.groupBy(*k).agg(*[F.max(F.when(at(q).between(F.col("_first"), F.col("_last")), F.col("_v"))).alias(f"p{int(q * 100)}") for q in shares])
+    """Percentiles by nearest index: the value at place round(q * (n - 1)) of the order, half to even."""
+    return ranked(rows, value, keys).groupBy(*keys).agg(*[value_at(F.bround(q * (F.col("n") - 1))).alias(f"p{int(q * 100)}") for q in shares])
 
 
 def chars_per_token(turns: DataFrame) -> DataFrame:
@@ -290,11 +271,18 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.length(text).alias("chars"), F.sha2(text, 256).alias("digest"))
 
 
-def manifest_digest(entries: DataFrame, fan: int = 4096) -> DataFrame:
-    """files, chars and one digest over all entries, in two levels so that no task holds all paths: by path bucket, then over the buckets in order."""
-    b = entries.withColumn("bucket", F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(fan)))
+def manifest_digest(entries: DataFrame, fan: int = 4096, most: int = 1024) -> DataFrame:
+    """files, chars and one digest over all entries, in as many levels as keep about `most` paths or `fan` digests in a task: by path bucket, then over the buckets in order."""
+    size, n = fan, entries.count()
+    while n > most * size and size * fan <= 1 << 32:
+        size *= fan
+    b = entries.withColumn("bucket", F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(size)))
     g = b.groupBy("bucket").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "digest"))), "\n"), 256).alias("d"))
-    return g.agg(F.sum("files").alias("files"), F.sum("chars").alias("chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    inner = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256)
+    while size > fan:
+        size //= fan
+        g = g.groupBy(F.floor(F.col("bucket") / fan).alias("up")).agg(F.sum("files").alias("files"), F.sum("chars").alias("chars"), inner.alias("d")).withColumnRenamed("up", "bucket")
+    return g.agg(F.sum("files").alias("files"), F.sum("chars").alias("chars"), inner.alias("digest"))
 
 
 def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.places import quantile, ranked
+
 
 @dataclass(frozen=True)
 class Declared:
@@ -100,8 +101,7 @@ def _numeric(rows: DataFrame, spec: Spec) -> DataFrame:
 def outliers(rows: DataFrame, spec: Spec, fence: float = 1.5, least: int = 20) -> DataFrame:
     """Share outside Tukey's fences in the worst group; exact, linear quartiles."""
     x = _numeric(rows, spec)
-    q = x.groupBy("grp", "name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
-    q = q.select("grp", "name", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = ranked(x, "value", ("grp", "name")).where(F.col("n") >= least).groupBy("grp", "name").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
     width = F.col("q3") - F.col("q1")
     outside = ((F.col("value") < F.col("q1") - fence * width) | (F.col("value") > F.col("q3") + fence * width)) & (width > 0)
     worst = x.join(q, ["grp", "name"]).groupBy("grp", "name").agg(F.avg(outside.cast("double")).alias("rate")).groupBy("name").agg(F.max("rate").alias("rate"))
@@ -113,11 +113,18 @@ def level_shift(rows: DataFrame, spec: Spec, up: float = 3.0, recent: float = 0.
     """Mean of the latest fifth over the mean of the rows before, in the worst group."""
     if not spec.time or spec.time not in rows.columns:
         return rows.sparkSession.createDataFrame([], SHAPE)
-    x = _numeric(rows, spec).where("ts is not null")
-    w = W.partitionBy("grp", "name")
-    placed = x.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("ts", "value")))
+    x = _numeric(rows, spec).where("ts is not null").withColumn("t", F.unix_micros("ts"))
+    keys = ("grp", "name")
+    # the time of the last of the older rows, and how many of its rows are old: those with the smallest values
     cut = F.floor(F.col("n") * (1 - recent))
-    means = placed.where(F.col("n") >= history + 5).groupBy("grp", "name").agg(F.avg(F.when(F.col("place") > cut, F.col("value"))).alias("new"), F.avg(F.when(F.col("place") <= cut, F.col("value"))).alias("old"), F.first(cut).alias("cut"))
+    edge = ranked(x, "t", keys).where(F.col("n") >= history + 5).where((cut > F.col("first")) & (cut <= F.col("last") + 1))
+    edge = edge.select(*keys, F.col("v").alias("edge"), "n", cut.alias("cut"), (cut - F.col("first")).alias("old_here"))
+    j = x.join(edge, list(keys))
+    apart = j.groupBy(*keys).agg(F.first("n").alias("rows"), F.first("cut").alias("cut"), F.sum(F.when(F.col("t") < F.col("edge"), F.col("value")).otherwise(0.0)).alias("before"), F.sum(F.when(F.col("t") > F.col("edge"), F.col("value")).otherwise(0.0)).alias("after"))
+    here = ranked(j.where("t = edge").select(*keys, "value"), "value", keys).join(edge.select(*keys, "old_here"), list(keys))
+    olds = F.greatest(F.lit(0), F.least(F.col("c"), F.col("old_here") - F.col("first")))
+    here = here.groupBy(*keys).agg(F.sum(F.col("v") * olds).alias("old_edge"), F.sum(F.col("v") * (F.col("c") - olds)).alias("new_edge"))
+    means = apart.join(here, list(keys)).select(*keys, "cut", ((F.col("after") + F.col("new_edge")) / (F.col("rows") - F.col("cut"))).alias("new"), ((F.col("before") + F.col("old_edge")) / F.col("cut")).alias("old"))
     ratio = means.where((F.col("cut") >= history) & (F.col("old") > 0)).withColumn("ratio", F.col("new") / F.col("old")).where((F.col("ratio") >= up) | (F.col("ratio") <= 1 / up))
     worst = ratio.groupBy("name").agg(F.max_by("ratio", F.greatest("ratio", 1 / F.col("ratio"))).alias("ratio"))
     return worst.select(F.lit("outlier").alias("probe"), F.col("name").alias("column"), F.concat(F.lit("level_shift::"), F.col("name")).alias("metric"), F.bround("ratio", 4).alias("value"), F.lit(up).alias("threshold"), F.lit("P1").alias("severity"))
