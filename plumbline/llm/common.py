@@ -23,9 +23,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(checkpoint_folder(spark))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df by its checkpoint; rows: about how many narrow rows it has, where known, so that few rows make few files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // 500_000 + 1)).checkpoint(eager=True)
 
 
 def crc_mod(column: str, divisor: int) -> Column:
@@ -62,7 +63,11 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, by: tuple[str, ...],
         return big.join(small, on, how)
     limit = max(least, rows // shares)
     key, deals, deal = own_names(big, "spread_key", "spread_deals", "spread_deal")
-    hot = checkpointed(counted.groupBy(F.col(on).alias(key)).agg(F.count("*").alias(deals)).where(F.col(deals) > limit).withColumn(deals, F.ceil(F.col(deals) / limit).cast("int")))
+    hot = counted.groupBy(F.col(on).alias(key)).agg(F.count("*").alias(deals)).where(F.col(deals) > limit).withColumn(deals, F.ceil(F.col(deals) / limit).cast("int"))
+    found = hot.collect()  # at most `shares` rows
+    if not found:
+        return big.join(small, on, how)
+    hot = big.sparkSession.createDataFrame(found, hot.schema)
     dealt = big.join(F.broadcast(hot), F.col(on) == F.col(key), "left").withColumn(deal, F.pmod(F.xxhash64(*by), F.coalesce(deals, F.lit(1))).cast("int")).drop(key, deals)
     held = small.join(F.broadcast(hot), F.col(on) == F.col(key), "left").withColumn(deal, F.explode(F.sequence(F.lit(0), F.coalesce(deals, F.lit(1)) - 1))).drop(key, deals)
     return dealt.join(held, [on, deal], how).drop(deal)

@@ -40,7 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges, state[0])))
+        edges = checkpointed(_small_star(_large_star(edges, state[0])), state[0])
         state, before = _state(edges), state
         if state == before:
             break

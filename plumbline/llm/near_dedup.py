@@ -214,21 +214,23 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     if wanted.isEmpty():
         return None
     rows = checkpointed(spread_join(rows.drop("size"), wanted, "bucket", ("id",)))
+    n = rows.count()
+    rows = rows.coalesce(n // 500_000 + 1)
     sets = _sets_of(texts, rows.select(F.col("id").alias("doc_id")).distinct())
 
-    pairs = checkpointed(rows.where("id <> leader").select("leader", "id").distinct())
+    pairs = checkpointed(rows.where("id <> leader").select("leader", "id").distinct(), n)
     rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
     rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
-    rows = checkpointed(rows)
+    rows = checkpointed(rows, n)
     largest = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-    rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")))
+    rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")), n)
     sizes = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # a block: members of one ring, either of the largest component or of the others
-    rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")))
+    rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")), n)
     blocks = rows.select("bucket", "block").distinct()
     others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"))
     tasks = blocks.where("block.minor").join(others, (F.col("bucket") == F.col("b2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
-    tasks = checkpointed(tasks)
+    tasks = checkpointed(tasks, n)
     left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
     right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
     signed = sets.join(reps.select("id", "signature"), "id")
