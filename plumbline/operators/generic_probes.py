@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.places import quantile, ranked
+from plumbline.shared import written
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def level_shift(rows: DataFrame, spec: Spec, up: float = 3.0, recent: float = 0.
     # the time of the last of the older rows, and how many of its rows are old: those with the smallest values
     cut = F.floor(F.col("n") * (1 - recent))
     edge = ranked(x, "t", keys).where(F.col("n") >= history + 5).where((cut > F.col("first")) & (cut <= F.col("last") + 1))
-    edge = edge.select(*keys, F.col("v").alias("edge"), "n", cut.alias("cut"), (cut - F.col("first")).alias("old_here"))
+    edge = written(edge.select(*keys, F.col("v").alias("edge"), "n", cut.alias("cut"), (cut - F.col("first")).alias("old_here")))
     j = x.join(edge, list(keys))
     apart = j.groupBy(*keys).agg(F.first("n").alias("rows"), F.first("cut").alias("cut"), F.sum(F.when(F.col("t") < F.col("edge"), F.col("value")).otherwise(0.0)).alias("before"), F.sum(F.when(F.col("t") > F.col("edge"), F.col("value")).otherwise(0.0)).alias("after"))
     here = ranked(j.where("t = edge").select(*keys, "value"), "value", keys).join(edge.select(*keys, "old_here"), list(keys))
