@@ -43,30 +43,59 @@ def _rows(stats: DataFrame, found: list[tuple[str, str, str, Column, Column, Col
     return stats.select(F.explode(F.array(*items)).alias("x")).where("x.hit").select("x.probe", "x.column", "x.metric", "x.value", "x.threshold", "x.severity")
 
 
-def conformance(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Missing and extra columns, and declared kinds that more than 1 percent of the values don't parse as."""
-    if not spec.declared:
-        return rows.sparkSession.createDataFrame([], SHAPE)
+def _columns(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Missing and extra columns."""
     names, have = [c.name for c in spec.columns], set(rows.columns)
     fixed = [("schema", n, "column_missing", 1.0, 1.0, "P1") for n in sorted(set(names) - have)] + [("schema", n, "column_extra", 1.0, 1.0, "P2") for n in sorted(have - set(names))]
-    out = rows.sparkSession.createDataFrame(fixed, SHAPE)
-    typed = [c for c in spec.columns if c.name in have and c.kind in ("numeric", "datetime")]
-    if typed:
-        parsed = {"numeric": lambda c: F.expr(f"try_cast(`{c}` as double)"), "datetime": lambda c: F.expr(f"try_cast(`{c}` as timestamp)")}
-        stats = rows.agg(*[F.avg(F.when(F.col(c.name).isNotNull(), parsed[c.kind](c.name).isNull().cast("double"))).alias(c.name) for c in typed])
-        out = out.union(_rows(stats, [("schema", c.name, f"type_mismatch::{c.name}", F.col(c.name), F.lit(0.01), F.lit("P1"), F.col(c.name) > 0.01) for c in typed]))
-    return out
+    return rows.sparkSession.createDataFrame(fixed if spec.declared else [], SHAPE)
+
+
+# What one pass over the rows can tell: aggregates, and the findings that follow from them.
+
+
+def _kinds(rows: DataFrame, spec: Spec) -> tuple[list, list]:
+    typed = [c for c in spec.columns if spec.declared and c.name in rows.columns and c.kind in ("numeric", "datetime")]
+    parsed = {"numeric": lambda c: F.expr(f"try_cast(`{c}` as double)"), "datetime": lambda c: F.expr(f"try_cast(`{c}` as timestamp)")}
+    rates = [F.avg(F.when(F.col(c.name).isNotNull(), parsed[c.kind](c.name).isNull().cast("double"))).alias(f"kind_{i}") for i, c in enumerate(typed)]
+    return rates, [("schema", c.name, f"type_mismatch::{c.name}", F.col(f"kind_{i}"), F.lit(0.01), F.lit("P1"), F.col(f"kind_{i}") > 0.01) for i, c in enumerate(typed)]
+
+
+def _null_rates(rows: DataFrame, spec: Spec) -> tuple[list, list]:
+    have, found = [c for c in spec.columns if c.name in rows.columns], []
+    for i, c in enumerate(have):
+        rate, strict = F.col(f"null_{i}"), not c.nullable
+        found.append(("completeness", c.name, f"null_rate::{c.name}", rate, F.lit(0.0 if strict else c.tolerance), F.lit("P1" if strict else "P2"), rate > (0 if strict else c.tolerance)))
+    return [F.avg(F.col(c.name).isNull().cast("double")).alias(f"null_{i}") for i, c in enumerate(have)], found
+
+
+def _age(rows: DataFrame, spec: Spec, asof: Column) -> tuple[list, list]:
+    if not spec.time or spec.time not in rows.columns:
+        return [], []
+    stale = F.floor((F.unix_timestamp(asof.cast("timestamp")) - F.unix_timestamp("latest")) / 86400)
+    return [F.max(F.expr(f"try_cast(`{spec.time}` as timestamp)")).alias("latest")], [
+        ("freshness", "*", "stale_days", stale, F.lit(spec.fresh_days), F.lit("P1"), stale > spec.fresh_days),
+        ("freshness", "*", "future_timestamps", -stale, F.lit(0), F.lit("P2"), stale < 0),
+    ]
+
+
+def _told(rows: DataFrame, *parts: tuple[list, list]) -> DataFrame:
+    aggregates, found = [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
+    return _rows(rows.agg(*aggregates), found) if aggregates else rows.sparkSession.createDataFrame([], SHAPE)
+
+
+def conformance(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Missing and extra columns, and declared kinds that more than 1 percent of the values don't parse as."""
+    return _columns(rows, spec).union(_told(rows, _kinds(rows, spec)))
 
 
 def nulls(rows: DataFrame, spec: Spec) -> DataFrame:
     """Null rates, all columns in one pass."""
-    have = [c for c in spec.columns if c.name in rows.columns]
-    stats = rows.agg(*[F.avg(F.col(c.name).isNull().cast("double")).alias(c.name) for c in have])
-    found = []
-    for c in have:
-        rate, strict = F.col(c.name), not c.nullable
-        found.append(("completeness", c.name, f"null_rate::{c.name}", rate, F.lit(0.0 if strict else c.tolerance), F.lit("P1" if strict else "P2"), rate > (0 if strict else c.tolerance)))
-    return _rows(stats, found)
+    return _told(rows, _null_rates(rows, spec))
+
+
+def freshness(rows: DataFrame, spec: Spec, asof: Column) -> DataFrame:
+    """Days since the latest time, and times in the future."""
+    return _told(rows, _age(rows, spec, asof))
 
 
 def key_uniqueness(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -77,18 +106,6 @@ def key_uniqueness(rows: DataFrame, spec: Spec) -> DataFrame:
     return _rows(stats, [("uniqueness", "*", "duplicate_keys", F.col("surplus"), F.lit(0), F.lit("P0"), F.col("surplus") > 0)])
 
 
-def freshness(rows: DataFrame, spec: Spec, asof: Column) -> DataFrame:
-    if not spec.time or spec.time not in rows.columns:
-        return rows.sparkSession.createDataFrame([], SHAPE)
-    last = rows.agg(F.max(F.expr(f"try_cast(`{spec.time}` as timestamp)")).alias("last"))
-    stale = F.floor((F.unix_timestamp(asof.cast("timestamp")) - F.unix_timestamp("last")) / 86400)
-    stats = last.select(stale.alias("stale"))
-    return _rows(stats, [
-        ("freshness", "*", "stale_days", F.col("stale"), F.lit(spec.fresh_days), F.lit("P1"), F.col("stale") > spec.fresh_days),
-        ("freshness", "*", "future_timestamps", -F.col("stale"), F.lit(0), F.lit("P2"), F.col("stale") < 0),
-    ])
-
-
 def _numeric(rows: DataFrame, spec: Spec) -> DataFrame:
     """grp, name, value and ts of all declared numbers, in one pass."""
     names = [c.name for c in spec.columns if c.kind == "numeric" and c.name in rows.columns]
@@ -144,8 +161,8 @@ def skipped(spark, spec: Spec) -> DataFrame:
 
 
 def run(rows: DataFrame, spec: Spec, asof: Column) -> DataFrame:
-    """All generic findings."""
-    parts = [conformance(rows, spec), nulls(rows, spec), key_uniqueness(rows, spec), freshness(rows, spec, asof), outliers(rows, spec), level_shift(rows, spec)]
+    """All generic findings; kinds, nulls and freshness by one pass."""
+    parts = [_columns(rows, spec), _told(rows, _kinds(rows, spec), _null_rates(rows, spec), _age(rows, spec, asof)), key_uniqueness(rows, spec), outliers(rows, spec), level_shift(rows, spec)]
     return reduce(DataFrame.unionByName, parts)
 
 
