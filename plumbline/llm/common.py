@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most so many rows, so that what is made of them stays small in a worker."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of df is called so (names don't differ by case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import own_names, spread_join
+from plumbline.llm.common import own_names, slices, spread_join
 from plumbline.shared import written
 
 MIN_WORDS = 50
@@ -97,7 +97,7 @@ PICKS = "doc_id long, text_hash long, key long, firsts array<int>, lasts array<i
 
 def _picks(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 hashes, numbers, words = line_hashes(text)

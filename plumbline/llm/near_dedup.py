@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed, own_names, spread_join
+from plumbline.llm.common import checkpointed, own_names, slices, spread_join
 from plumbline.llm.components import components
 from plumbline.shared import written
 
@@ -106,7 +106,7 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sign(n: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, (a, b) = _Hashes(), _family(MINIMA)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingles(text, hashes)
@@ -120,7 +120,7 @@ def _sign(n: int, width: int):
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
-    for batch in batches:
+    for batch in slices(batches):
         yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(t, hashes).view(np.int64) for t in batch["text"]]})
 
 
