@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import fixity, language_id, line_dedup, mixing, near_dedup, nearest, piece_bpe, quality_ledger, token_alignment, toxicity, wrappers
+from plumbline.llm import fixity, language_id, line_dedup, mixing, near_dedup, nearest, piece_bpe, quality_ledger, secret_scan, spelling, token_alignment, toxicity, wrappers
 from plumbline.llm.common import table
 
 
@@ -19,7 +19,9 @@ def queries() -> dict:
         "op8_temperature_mix": lambda s, d: mixing.query(docs(s, d)),
         "op9_nearest": lambda s, d: nearest.query(table(s, d, "embeddings")),
         "op10_piece_bpe": lambda s, d: piece_bpe.query(docs(s, d)),
+        "op11_guess_cost": lambda s, d: secret_scan.query(docs(s, d)),
         "op12_token_alignment": lambda s, d: token_alignment.query(docs(s, d)),
+        "op13_fm_spelling": lambda s, d: spelling.query(docs(s, d)),
     }
 
 
