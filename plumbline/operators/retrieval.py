@@ -21,6 +21,8 @@ SENT = 200_000
 # Ends of lines; tokens of articles; short labels, with and without CJK characters.
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 ARTICLE = "第[一二三四五六七八九十百千]+条"
+# Fixed value: how citations are marked.
+BRACKET = "【([^【】]+)】"
 LABEL, LATIN_LABEL = r"^[\u4e00-\u9fffA-Za-z0-9，、（）()\s%．.]{1,14}$", r"^[\sA-Za-z0-9$_(),.%/\-'\"]{1,48}$"
 # Cells of flattened tables, and ends of sentences.
 CELL, SENTENCE_END = r"^[\sA-Za-z0-9$_(),.%:/×\-—–&;'\"]{1,60}$", r"[.。;；]\s*$"
@@ -202,10 +204,11 @@ def fused(a: DataFrame, b: DataFrame, weight_a: float = 1.0, weight_b: float = 1
 
 
 def hash_embedding(rows: DataFrame, dims: int = 256) -> DataFrame:
-    """id, bucket, weight: character bigrams hashed by sha256, L2 normalised, 6 decimals (rows: id, text). Sparse; hash_vectors makes arrays."""
-    g = rows.select("id", F.lower("text").alias("t")).where(F.length("t") >= 2)
-    g = g.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("g"))
-    bucket = F.conv(F.substring(F.sha2("g", 256), 14, 3), 16, 10).cast("int") % dims
+    """id, bucket, weight: bigrams within Latin words and of CJK characters in a row, hashed by sha256, L2 normalised, 6 decimals (rows: id, text). Sparse; hash_vectors makes arrays."""
+    grams = lambda t: F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))).otherwise(_none())
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    g = rows.select("id", F.explode(F.concat(F.flatten(F.transform(words, grams)), grams(F.regexp_replace("text", "[^一-鿿]", "")))).alias("g"))
+    bucket = (F.conv(F.substring(F.sha2("g", 256), 1, 16), 16, 10).cast("decimal(20,0)") % dims).cast("int")
     n = g.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     norm = n.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
     return n.join(norm, "id").select("id", "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))
@@ -277,31 +280,40 @@ def _masking(pattern: str, joined):
 
 
 def is_verbatim(header: Column, text: Column) -> Column:
-    """Articles, and texts of which four hundredths are digits."""
-    digits = F.length(text) - F.length(F.regexp_replace(text, r"\d", ""))
-    return header.rlike(r"^## *第.+条") | (digits >= 0.04 * F.greatest(F.length(text), F.lit(1)))
+    """Articles, and texts of which four hundredths are digits (of any script)."""
+    digits = F.length(text) - F.length(F.regexp_replace(text, r"(?U)\d", ""))
+    return header.rlike(f"^{ARTICLE}$") | (digits >= 0.04 * F.greatest(F.length(text), F.lit(1)))
 
 
-def factlines_of(facts: DataFrame) -> DataFrame:
-    """q_id, doc_id, header, chars of lines "[doc|header] text"; other lines have no doc_id."""
-    l = facts.select("q_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    p = r"^\[([^|\]]+)\|([^\]]*)\]\s*(.*)$"
-    ours = F.col("line").rlike(p)
-    return l.groupBy("q_id", F.when(ours, F.regexp_extract("line", p, 1)).alias("doc_id"), F.when(ours, F.regexp_extract("line", p, 2)).alias("header")).agg(F.sum(F.when(ours, F.length(F.regexp_extract("line", p, 3))).otherwise(F.length("line"))).alias("chars"))
+def fact_lines(facts: DataFrame) -> DataFrame:
+    """q_id, line_no, doc_id, header, chars of lines that begin with 【doc·header】; other lines have no doc_id and header, and their characters can't be attributed."""
+    l = facts.select("q_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+    inside = F.regexp_extract(_bare(F.col("line")), "^【([^【】]+)】", 1)
+    ours = F.contains(inside, F.lit("·"))
+    doc = F.substring_index(inside, "·", 1)
+    header = F.substring(inside, F.length(doc) + 2, F.length(inside))
+    return l.select("q_id", "line_no", F.when(ours, _bare(doc)).alias("doc_id"), F.when(ours, _bare(header)).alias("header"), F.length("line").alias("chars"))
 
 
 def citations(reply: Column) -> Column:
-    """Bracketed strings, then section numbers outside of brackets."""
-    inside = F.regexp_extract_all(reply, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
-    outside = F.regexp_extract_all(F.regexp_replace(reply, r"\[[^\[\]]+\]", " "), F.lit(r"(?:Article|Section) \d+(?:\.\d+)*"), F.lit(0))
-    return F.array_distinct(F.concat(inside, outside))
+    """What stands in 【】, then article numbers and numbers like 3.2 outside of them; as often as they stand there."""
+    all_of = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    outside = F.regexp_replace(reply, BRACKET, " ")
+    return F.concat(all_of(reply, BRACKET, 1), all_of(outside, ARTICLE, 0), all_of(outside, r"(?U)\d+\.\d+", 0))
 
 
 def match_citations(cited: DataFrame, units: DataFrame) -> DataFrame:
-    """q_id, doc_id, header of fed units (q_id, rank, doc_id, header) that a citation (q_id, citation) names by document or by the beginning of the header."""
-    u = units.select(F.col("q_id").alias("u_q"), "rank", "doc_id", "header")
-    on = (F.col("q_id") == F.col("u_q")) & (F.expr("citation = doc_id") | ((F.col("header") != "") & (F.expr("startswith(header, citation)") | F.expr("startswith(citation, header)"))))
-    return cited.join(u, on).select("q_id", "rank", "doc_id", "header").distinct()
+    """q_id, rank, doc_id, header of fed units (q_id, rank, doc_id, header) that a citation (q_id, citation) names.
+
+    Spaces don't count. "doc · header" names a unit whose document it holds on the left and whose header and it
+    begin alike; without the dot the header alone decides, in all documents.
+    """
+    close = lambda c: F.regexp_replace(c, "[ \u3000]", "")
+    c = cited.select("q_id", close(F.col("citation")).alias("cite")).distinct().withColumn("doc", F.when(F.contains("cite", F.lit("·")), F.substring_index("cite", "·", 1)))
+    c = c.withColumn("head", F.when(F.col("doc").isNull(), F.col("cite")).otherwise(F.expr("substring(cite, length(doc) + 2)"))).where("head <> ''")
+    u = units.select(F.col("q_id").alias("u_q"), "rank", "doc_id", "header", close(F.col("header")).alias("h"), close(F.col("doc_id").cast("string")).alias("d"))
+    alike = F.startswith("h", "head") | F.startswith("head", "h")
+    return c.join(u, (F.col("q_id") == F.col("u_q")) & (F.col("doc").isNull() | F.contains("doc", "d")) & alike).select("q_id", "rank", "doc_id", "header").distinct()
 
 
 def usage(units: DataFrame, used: DataFrame) -> DataFrame:

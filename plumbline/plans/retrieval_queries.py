@@ -147,8 +147,8 @@ def _(t):
     return rounded(re_.fused(re_.top(d, 20, ["query_id"], "id"), b, 1.0, 0.5), 8)
 
 
-@query("q161_hash_embedding", """WITH g AS (SELECT item_id AS id, substr(lower(text), i, 2) AS g FROM (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark)), b AS (SELECT id, ('0x' || substr(sha256(g), 14, 3))::INT % 256 AS bucket, count(*) AS n FROM g GROUP BY 1, 2)
-SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM b""")
+@query("q161_hash_embedding", """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), g AS (SELECT id, substr(w, i, 2) AS g FROM (SELECT id, w, unnest(range(1, length(w))) AS i FROM w)),
+b AS (SELECT id, ('0x' || substr(sha256(g), 15, 2))::INT AS bucket, count(*) AS n FROM g GROUP BY 1, 2) SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM b""")
 def _(t):
     return re_.hash_embedding(t.benchmark.select(F.col("item_id").alias("id"), "text"))
 
@@ -199,45 +199,62 @@ def _(t):
     return t.documents.select("doc_id", re_.masked(F.col("text")).alias("m")).select("doc_id", F.col("m.hits").cast("long").alias("hits"), F.md5("m.text").alias("masked"))
 
 
-@query("q166_verbatim_flag", "SELECT doc_id, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) >= 0.04 * greatest(length(text), 1) AS verbatim FROM documents")
+# Headers of chunks; every seventh document's are article numbers, or nearly.
+VERBATIM = f"{CHUNKS}, vb AS (SELECT doc_id, chunk_no, CASE WHEN doc_id % 7 = 0 THEN CASE chunk_no % 3 WHEN 0 THEN '第十二条' WHEN 1 THEN '第三条 总则' ELSE '第五章' END ELSE header END AS header, text FROM ck)"
+
+
+@query("q166_verbatim_flag", f"WITH {VERBATIM} SELECT doc_id, chunk_no, regexp_full_match(header, '第[一二三四五六七八九十百千]+条') OR length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) >= 0.04 * greatest(length(text), 1) AS verbatim FROM vb")
 def _(t):
-    return t.documents.select("doc_id", re_.is_verbatim(F.lit(""), F.col("text")).alias("verbatim"))
+    third = F.col("chunk_no") % 3
+    header = F.when(F.col("doc_id") % 7 == 0, F.when(third == 0, "第十二条").when(third == 1, "第三条 总则").otherwise("第五章")).otherwise(F.col("header"))
+    return re_.chunks(md(t)).select("doc_id", "chunk_no", re_.is_verbatim(header, F.col("text")).alias("verbatim"))
 
 
-FACTS = "fa AS (SELECT o_orderkey AS q_id, CASE WHEN o_orderkey % 3 = 0 THEN 'free words' ELSE '[d' || (o_custkey % 5) || '|h' || (o_custkey % 3) || '] fact ' || o_custkey || chr(10) || 'other' END AS text FROM orders)"
+FACTS = """fa AS (SELECT o_orderkey AS q_id, CASE o_orderkey % 3 WHEN 0 THEN 'free words 【d|h】' || chr(10) || o_orderpriority ELSE ' 【d' || (o_custkey % 5) || ' · h' || (o_custkey % 3) || '·x 】 fact ' || o_orderpriority || chr(10) || chr(10) || 'other' END AS text FROM orders),
+fl AS (SELECT q_id, unnest(range(len(l)))::INT AS line_no, unnest(l) AS line FROM (SELECT q_id, string_split(text, chr(10)) AS l FROM fa)), fp AS (SELECT q_id, line_no, line, regexp_extract(trim(line), '^【([^【】]+)】', 1) AS inside FROM fl)"""
 
 
 def facts(t):
     c = F.col("o_custkey")
-    text = F.when(F.col("o_orderkey") % 3 == 0, "free words").otherwise(F.concat(F.lit("[d"), (c % 5).cast("string"), F.lit("|h"), (c % 3).cast("string"), F.lit("] fact "), c.cast("string"), F.lit("\nother")))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("free words 【d|h】\n"), "o_orderpriority")).otherwise(F.concat(F.lit(" 【d"), (c % 5).cast("string"), F.lit(" · h"), (c % 3).cast("string"), F.lit("·x 】 fact "), "o_orderpriority", F.lit("\n\nother")))
     return t.orders.select(F.col("o_orderkey").alias("q_id"), text.alias("text"))
 
 
-@query("q167_fact_lines", "SELECT o_orderkey AS q_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'd' || (o_custkey % 5) END AS doc_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'h' || (o_custkey % 3) END AS header, CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE length('fact ' || o_custkey) END AS chars FROM orders UNION ALL SELECT o_orderkey, NULL, NULL, 5 FROM orders WHERE o_orderkey % 3 <> 0")
+@query("q167_fact_lines", f"WITH {FACTS} SELECT q_id, line_no, CASE WHEN contains(inside, '·') THEN trim(split_part(inside, '·', 1)) END AS doc_id, CASE WHEN contains(inside, '·') THEN trim(substr(inside, instr(inside, '·') + 1)) END AS header, length(line) AS chars FROM fp")
 def _(t):
     return re_.fact_lines(facts(t))
 
 
-REPLY = "rp AS (SELECT o_orderkey AS q_id, 'see [d' || (o_custkey % 5) || '] and Section ' || (o_custkey % 3) || '.1 but [x]' AS reply, o_custkey AS c FROM orders)"
+DIGIT = "CASE {x} WHEN 0 THEN '一' WHEN 1 THEN '二' ELSE '三十' END"
+REPLY = f"""rp AS (SELECT o_orderkey AS q_id, '依据【d' || (o_custkey % 5) || ' · 第 ' || {DIGIT.format(x="o_custkey % 3")} || ' 条】 and ' || (o_custkey % 4) || '.1 but 【x】, 第' || {DIGIT.format(x="(o_custkey + 1) % 3")} || '条 and 12.50, see ' || o_orderpriority AS reply FROM orders),
+ro AS (SELECT q_id, reply, regexp_replace(reply, '【[^【】]+】', ' ', 'g') AS outside FROM rp), ci AS (SELECT q_id, list_concat(list_concat(regexp_extract_all(reply, '【([^【】]+)】', 1), regexp_extract_all(outside, '第[一二三四五六七八九十百千]+条')), regexp_extract_all(outside, '[0-9]+[.][0-9]+')) AS cs FROM ro)"""
+
+
+def _numeral(x):
+    return F.when(x == 0, "一").when(x == 1, "二").otherwise("三十")
 
 
 def replies(t):
     c = F.col("o_custkey")
-    return t.orders.select(F.col("o_orderkey").alias("q_id"), F.concat(F.lit("see [d"), (c % 5).cast("string"), F.lit("] and Section "), (c % 3).cast("string"), F.lit(".1 but [x]")).alias("reply"))
+    parts = [F.lit("依据【d"), (c % 5).cast("string"), F.lit(" · 第 "), _numeral(c % 3), F.lit(" 条】 and "), (c % 4).cast("string"), F.lit(".1 but 【x】, 第"), _numeral((c + 1) % 3), F.lit("条 and 12.50, see "), F.col("o_orderpriority")]
+    return t.orders.select(F.col("o_orderkey").alias("q_id"), F.concat(*parts).alias("reply"))
 
 
-@query("q168_citation_extract", f"WITH {REPLY} SELECT q_id, 'd' || (c % 5) || ',x,Section ' || (c % 3) || '.1' AS citations FROM rp")
+@query("q168_citation_extract", f"WITH {REPLY} SELECT q_id, array_to_string(cs, ';') AS citations FROM ci")
 def _(t):
-    return replies(t).select("q_id", F.array_join(re_.citations(F.col("reply")), ",").alias("citations"))
+    return replies(t).select("q_id", F.array_join(re_.citations(F.col("reply")), ";").alias("citations"))
 
 
-UNITS = "un AS (SELECT o_orderkey AS q_id, r AS rank, 'd' || (o_custkey + r) % 5 AS doc_id, CASE WHEN r = 3 THEN 'Section ' || (o_orderkey % 3) || '.1 scope' ELSE '' END AS header, 10 * r AS chars FROM orders, (VALUES (1), (2), (3)) AS x(r))"
-USED = "us AS (SELECT un.q_id, rank, doc_id, header FROM un JOIN orders ON o_orderkey = q_id WHERE doc_id = 'd' || (o_custkey % 5) OR (header <> '' AND header LIKE 'Section ' || (o_custkey % 3) || '.1%'))"
+UNITS = f"""un AS (SELECT o_orderkey AS q_id, r AS rank, 'd' || (o_custkey + r) % 5 AS doc_id, CASE r WHEN 1 THEN '第' || {DIGIT.format(x="o_orderkey % 3")} || '条' WHEN 3 THEN (o_orderkey % 4) || '.1 scope' WHEN 4 THEN '第' || {DIGIT.format(x="o_custkey % 3")} || '条 总则' ELSE '' END AS header, 10 * r AS chars
+  FROM orders, (VALUES (1), (2), (3), (4), (5)) AS x(r))"""
+USED = f"""{REPLY}, cc AS (SELECT DISTINCT q_id, replace(replace(unnest(cs), ' ', ''), '　', '') AS cite FROM ci), cd AS (SELECT q_id, CASE WHEN contains(cite, '·') THEN split_part(cite, '·', 1) END AS doc, CASE WHEN contains(cite, '·') THEN substr(cite, instr(cite, '·') + 1) ELSE cite END AS head FROM cc),
+us AS (SELECT DISTINCT un.q_id, rank, doc_id, header FROM un JOIN cd USING (q_id) WHERE head <> '' AND (doc IS NULL OR contains(doc, doc_id)) AND (starts_with(replace(header, ' ', ''), head) OR starts_with(head, replace(header, ' ', ''))))"""
 
 
 def units(t):
-    o = t.orders.select("o_orderkey", "o_custkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
-    head = F.when(F.col("rank") == 3, F.concat(F.lit("Section "), (F.col("o_orderkey") % 3).cast("string"), F.lit(".1 scope"))).otherwise("")
+    o = t.orders.select("o_orderkey", "o_custkey", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("rank"))
+    article = lambda x, end: F.concat(F.lit("第"), _numeral(x % 3), F.lit(end))
+    head = F.when(F.col("rank") == 1, article(F.col("o_orderkey"), "条")).when(F.col("rank") == 3, F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit(".1 scope"))).when(F.col("rank") == 4, article(F.col("o_custkey"), "条 总则")).otherwise("")
     return o.select(F.col("o_orderkey").alias("q_id"), "rank", F.concat(F.lit("d"), ((F.col("o_custkey") + F.col("rank")) % 5).cast("string")).alias("doc_id"), head.alias("header"), (10 * F.col("rank")).alias("chars"))
 
 
