@@ -99,11 +99,12 @@ class Index:
         self.alphabet, self.text = np.unique(text, return_inverse=True)
         self.n, self.size = len(text), len(self.alphabet)
         self.word_at = np.cumsum(text == 10) - 1  # the word that a delimiter opens
-        self.order, self.occ, self.less = self._ranks(self.text)
-        _, self.back, _ = self._ranks(self.text[::-1])
+        self.less = np.append(0, np.cumsum(np.bincount(self.text, minlength=self.size)))[:-1]
+        self.order, self.below = self._ranks(self.text)
+        self.back = self._ranks(self.text[::-1])[1]
 
-    def _ranks(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix order by doubling, occurrences of each letter before each rank, and letters that are smaller."""
+    def _ranks(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order by doubling; and, before each rank, how many letters are smaller than each letter (a column more than letters)."""
         n, rank, step = len(text), text.astype(np.int64), 1
         while True:
             key = rank * (n + 1)
@@ -115,26 +116,31 @@ class Index:
             if rank[order[-1]] == n - 1:
                 break
             step *= 2
-        occ = np.zeros((n + 1, self.size), np.int32)
-        occ[np.arange(1, n + 1), text[order - 1]] = 1  # the letter before a suffix; before the first, the last
-        np.cumsum(occ, axis=0, out=occ)
-        return order, occ, np.append(0, np.cumsum(np.bincount(text, minlength=self.size)))[:-1]
-
-    def all_steps(self, iv: np.ndarray, left: bool) -> np.ndarray:
-        """(m, 3) intervals -> (m, letters, 3): each by one letter more on that side. Reversed sides swap the two indexes."""
-        occ = self.occ if left else self.back
-        size = iv[:, 1] - iv[:, 0]
-        low = iv[:, 0] if left else iv[:, 2]
-        other = iv[:, 2] if left else iv[:, 0]
-        first, last = occ[low], occ[low + size]
-        found = last - first
-        new = self.less + first
-        beside = other[:, None] + np.cumsum(found, axis=1) - found
-        a, b = (new, beside) if left else (beside, new)
-        return np.stack([a, a + found, b], axis=2)
+        below = np.zeros((n + 1, self.size + 1), np.int32)
+        below[np.arange(1, n + 1), text[order - 1] + 1] = 1  # the letter before a suffix; before the first, the last
+        np.cumsum(below, axis=0, out=below)
+        np.cumsum(below, axis=1, out=below)
+        return order, below
 
     def step(self, iv: np.ndarray, letter: np.ndarray, left: bool) -> np.ndarray:
-        return self.all_steps(iv, left)[np.arange(len(iv)), letter]
+        """(m, 3) intervals, each by one letter more on that side. On the right the two indexes change places."""
+        below = self.below if left else self.back
+        low, other = (iv[:, 0], iv[:, 2]) if left else (iv[:, 2], iv[:, 0])
+        high = low + iv[:, 1] - iv[:, 0]
+        first, last = below[low, letter], below[high, letter]
+        before = below[low, letter + 1] - first  # occurrences of the letter before the interval
+        found = below[high, letter + 1] - last - before
+        new, beside = self.less[letter] + before, other + last - first
+        out = np.empty_like(iv)
+        out[:, 0], out[:, 2] = (new, beside) if left else (beside, new)
+        out[:, 1] = out[:, 0] + found
+        return out
+
+    def letters(self, iv: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, letter) of all letters that stand on that side of the intervals' places."""
+        below = self.below if left else self.back
+        low = iv[:, 0] if left else iv[:, 2]
+        return np.nonzero(np.diff(below[low + iv[:, 1] - iv[:, 0]] - below[low], axis=1))
 
 
 def search(index: Index, query: np.ndarray, start: np.ndarray, stop: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -158,44 +164,31 @@ def search(index: Index, query: np.ndarray, start: np.ndarray, stop: np.ndarray,
     live = iv[:, 1] > iv[:, 0]
     q, place, iv, made = number[live], place[live], iv[live], np.zeros(int(live.sum()), bool)
     out_q, out_word = [], []
-    while len(q):
+    while True:
         over = (place < 0) | (place >= length[q])
         done = over & made
-        if done.any():
-            out_q.append(q[done])  # the interval is one delimited word, and its rank tells where that begins
-            out_word.append(index.word_at[index.order[iv[done, 0]]])
-        q, place, iv, made = q[~over], place[~over], iv[~over], made[~over]  # without an error it is the word itself
+        out_q.append(q[done])  # the interval is one delimited word, and its rank tells where that begins
+        out_word.append(index.word_at[index.order[iv[done, 0]]])
+        # without an error, an interval of one place holds the query's own word alone
+        go = ~over & (made | (iv[:, 1] - iv[:, 0] > 1))
+        q, place, iv, made = q[go], place[go], iv[go], made[go]
         if not len(q):
-            break
-        steps = index.all_steps(iv, left)
-        full = steps[:, :, 1] > steps[:, :, 0]
+            return np.concatenate(out_q), np.concatenate(out_word)
         letter = query[q, place]
-        rows = np.arange(len(q))
-        next_q, next_place, next_iv, next_made = [], [], [], []
-
-        def add(which: np.ndarray, intervals: np.ndarray, to: np.ndarray, error: np.ndarray) -> None:
-            next_q.append(q[which])
-            next_iv.append(intervals)
-            next_place.append(to)
-            next_made.append(error)
-
-        same = np.flatnonzero(full[rows, letter])
-        add(same, steps[same, letter[same]], place[same] + sign, made[same])
         free = np.flatnonzero(~made)
-        inner = free[letter[free] != 0]  # a delimiter is neither replaced nor deleted
-        add(inner, iv[inner], place[inner] + sign, np.ones(len(inner), bool))  # deleted
-        r, c = np.nonzero(full[free])
+        r, c = index.letters(iv[free], left)
         r = free[r]
-        letters = c != 0
-        r, c = r[letters], c[letters]
-        add(r, steps[r, c], place[r], np.ones(len(r), bool))  # inserted before it
+        r, c = r[c != 0], c[c != 0]  # a delimiter is neither inserted, replaced nor deleted
+        inner = free[letter[free] != 0]
         other = (c != letter[r]) & (letter[r] != 0)
-        r, c = r[other], c[other]
-        add(r, steps[r, c], place[r] + sign, np.ones(len(r), bool))  # replaced
-        q, place, iv, made = np.concatenate(next_q), np.concatenate(next_place), np.concatenate(next_iv), np.concatenate(next_made)
-    if not out_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_q), np.concatenate(out_word)
+        every = np.arange(len(q))
+        by = np.concatenate([every, r, r[other]])  # the letter itself, one inserted before it, another in its place
+        stepped = index.step(iv[by], np.concatenate([letter, c, c[other]]), left)
+        to = np.concatenate([place + sign, place[r], place[r[other]] + sign])
+        error = np.concatenate([made, np.ones(len(by) - len(every), bool)])
+        full = stepped[:, 1] > stepped[:, 0]
+        by, stepped, to, error = by[full], stepped[full], to[full], error[full]
+        q, place, iv, made = np.concatenate([q[by], q[inner]]), np.concatenate([to, place[inner] + sign]), np.concatenate([stepped, iv[inner]]), np.concatenate([error, np.ones(len(inner), bool)])
 
 
 def _first_difference(a: str, b: str) -> int:
