@@ -6,12 +6,14 @@ are two findings: the metric is part of the key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import trading_calendar as cal
-from plumbline.operators.intervals import as_of
+from plumbline.operators.intervals import as_of, overlapping
 from plumbline.shared import written
 
 KEY = ["probe", "table_name", "symbol", "metric", "start", "end"]
@@ -20,16 +22,22 @@ BENIGN = ("benign_suspension", "benign_non_trading_day", "benign_new_listing", "
 
 
 def failed_loads(findings: DataFrame, runs: DataFrame) -> DataFrame:
-    """key, run_id of the first failed load of the table that names the symbol or no symbol (also by broken parameters)."""
-    failed = runs.where("status = 'failed'").select("run_id", "started_at", F.col("target_table").alias("table_name"), F.get_json_object("params", "$.symbol").alias("of"))
-    hit = findings.select(*KEY).join(failed, "table_name").where(F.col("of").isNull() | (F.col("of") == F.col("symbol")))
-    return hit.groupBy(*KEY).agg(F.min_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+    """key, run_id of the first failed load of the table that names the symbol or no symbol (also by broken parameters).
+
+    Only the first load of each table and symbol counts, so a finding meets two rows at most.
+    """
+    failed = runs.where("status = 'failed'").select("run_id", "started_at", F.col("target_table").alias("table_name"), F.get_json_object("params", "$.symbol").alias("symbol"))
+    first = failed.groupBy("table_name", "symbol").agg(F.min(F.struct("started_at", "run_id")).alias("first"))
+    own = first.where("symbol is not null").withColumnRenamed("first", "own")
+    every = first.where("symbol is null").select("table_name", F.col("first").alias("every"))
+    hit = findings.select(*KEY).distinct().join(own, ["table_name", "symbol"], "left").join(every, "table_name", "left")
+    return hit.select(*KEY, F.least("own", "every")["run_id"].alias("run_id")).where("run_id is not null")
 
 
 def has_event(findings: DataFrame, events: DataFrame, kind: str) -> DataFrame:
     """Keys of findings with an event of the kind in their window."""
-    e = events.where(F.col("kind") == kind).select(F.col("symbol").alias("e_symbol"), F.col("date").alias("e_date"))
-    return findings.select(*KEY).join(e, (F.col("symbol") == F.col("e_symbol")) & F.col("e_date").between(F.col("start"), F.col("end")), "left_semi")
+    e = events.where(F.col("kind") == kind).select(F.col("symbol").alias("e_symbol"), F.col("date").alias("e_date")).distinct()
+    return overlapping(findings.select(*KEY), e, {"symbol": "e_symbol"}, ("start", "end"), ("e_date", "e_date")).select(*KEY).distinct()
 
 
 def gaps(findings: DataFrame, calendar: DataFrame, halted: DataFrame, runs: DataFrame) -> DataFrame:
@@ -80,45 +88,125 @@ def _diagnosed(rows: DataFrame, severity: dict[str, Column], confidence: dict[st
     return rows.select(*KEY, "value", "root_cause", level.alias("severity"), sure.alias("confidence"), F.col("root_cause").isin(*BENIGN).alias("suppressed"), *(keep or []))
 
 
-def window_ratios(findings: DataFrame, series: DataFrame, value: str = "volume", same: bool = False) -> DataFrame:
-    """For each finding and entity with rows in its window: mean in the window over the mean of the 30 rows before.
+def window_ratios(findings: DataFrame, series: DataFrame, value: str = "volume") -> DataFrame:
+    """Of each finding with rows of its entity in its window: mean in the window over the mean of the 30 rows before.
 
     Running sums over an entity's rows (one a day) make any mean a difference of two of them. A window
-    meets an entity's first row on or after its start and last on or before its end, found by ordered
-    passes, once for all findings of the window. same: the finding's own entity alone.
+    meets its entity's first row on or after its start and last on or before its end, found by ordered
+    passes, once for all findings of the window.
     """
     w = W.partitionBy("entity").orderBy("date")
     s = series.select(F.col("symbol").alias("entity"), "date", F.col(value).cast("double").alias("v"))
     s = s.withColumn("place", F.row_number().over(w)).withColumn("sum", F.sum(F.coalesce("v", F.lit(0.0))).over(w)).withColumn("n", F.count("v").over(w))
     back = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0))
-    s = s.withColumn("past", F.when(F.col("place") > 30, (back("sum", 1) - back("sum", 31)) / (back("n", 1) - back("n", 31)))).withColumn("sum0", back("sum", 1).cast("double")).withColumn("n0", back("n", 1))
+    past = (back("sum", 1) - back("sum", PAST + 1)) / F.nullif(back("n", 1) - back("n", PAST + 1), F.lit(0))
+    s = s.withColumn("past", F.when(F.col("place") > PAST, past)).withColumn("sum0", back("sum", 1).cast("double")).withColumn("n0", back("n", 1))
     s = written(s.select("entity", "date", "past", "sum0", "n0", "sum", "n"))
     f = findings.select(*KEY).distinct()
-    windows = f.select(F.col("symbol").alias("entity"), "start", "end").distinct() if same else f.select("start", "end").distinct().crossJoin(s.select("entity").distinct())  # every entity is asked for
+    windows = f.select(F.col("symbol").alias("entity"), "start", "end").distinct()
     low = as_of(windows, s, "entity", "start", "date", ["past", "sum0", "n0"], after=True)
     low = low.select("entity", "start", "end", *[F.col(f"found_{c}").alias(f"a_{c}") for c in ("date", "past", "sum0", "n0")])
     edges = as_of(low, s, "entity", "end", "date", ["sum", "n"]).where("a_date <= end and found_date >= start")
     mean = (F.col("found_sum") - F.col("a_sum0")) / F.nullif(F.col("found_n") - F.col("a_n0"), F.lit(0))
-    edges = edges.select("entity", "start", "end", mean.alias("window_mean"), F.col("a_past").alias("past_mean"), F.when(F.col("a_past") > 0, mean / F.col("a_past")).alias("ratio"))
-    return f.join(edges, ["start", "end"]).where((F.col("entity") == F.col("symbol")) if same else F.lit(True)).select(*KEY, "entity", "window_mean", "past_mean", "ratio")
+    edges = edges.select(F.col("entity").alias("symbol"), "start", "end", mean.alias("window_mean"), F.col("a_past").alias("past_mean"), F.when(F.col("a_past") > 0, mean / F.col("a_past")).alias("ratio"))
+    return f.join(edges, ["symbol", "start", "end"]).select(*KEY, "window_mean", "past_mean", "ratio")
+
+
+#: Rows before a window that make its past; windows that go to every task at once; rows of entities in a task, about.
+PAST, SENT, TASK_ROWS = 30, 100_000, 500_000
+THRESHOLDS = (1.5, 2.0, 3.0, 5.0)
+
+
+def _counted(shared):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of the task's entities, by window and sector: how many have a ratio, how many reach each threshold, and the largest."""
+        begin, end = shared.value
+        sums: dict[str, np.ndarray] = {}
+        top: dict[str, np.ndarray] = {}
+        for (sector, _), own in rows.sort_values(["entity", "day"]).groupby(["sector", "entity"], sort=True):
+            day, v = own["day"].to_numpy(), own["v"].to_numpy(float)
+            total, n = np.append(0, np.cumsum(np.nan_to_num(v))), np.append(0, np.cumsum(~np.isnan(v)))
+            i, j = np.searchsorted(day, begin, "left"), np.searchsorted(day, end, "right")
+            at = np.flatnonzero((i < j) & (i >= PAST))
+            i, j = i[at], j[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mean, past = (total[j] - total[i]) / (n[j] - n[i]), (total[i] - total[i - PAST]) / (n[i] - n[i - PAST])
+                ratio = np.where(past > 0, mean / past, np.nan)
+            some = ~np.isnan(ratio)
+            at, ratio = at[some], ratio[some]
+            counts = sums.setdefault(sector, np.zeros((len(begin), 1 + len(THRESHOLDS)), np.int64))
+            counts[at, 0] += 1
+            for k, least in enumerate(THRESHOLDS):
+                counts[at, k + 1] += (ratio > least) if least == THRESHOLDS[0] else (ratio >= least)
+            best = top.setdefault(sector, np.full(len(begin), -np.inf))
+            best[at] = np.maximum(best[at], ratio)
+        out = []
+        for sector, counts in sums.items():
+            for k in np.flatnonzero(counts[:, 0]):
+                out.append((int(begin[k]), int(end[k]), sector, *counts[k].tolist(), float(top[sector][k])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COUNTS.split(", ")])
+
+    return run
+
+
+COUNTS = "first long, last long, sector string, n long, over_1_5 long, ge_2 long, ge_3 long, ge_5 long, largest double"
+
+
+def window_counts(findings: DataFrame, series: DataFrame, sectors: DataFrame | None = None, value: str = "volume") -> DataFrame:
+    """start, end, sector ('' where unknown), n, over_1_5, ge_2, ge_3, ge_5, largest: of the entities of a sector with a ratio in a window, how many reach each threshold.
+
+    Entities stay together (an entity has one row a day) and meet the distinct windows, SENT of them at a time, within
+    a task, which gives back its counts by window and sector; no row for an entity and a window is made.
+    """
+    spark = series.sparkSession
+    number = lambda c: F.datediff(c, F.lit("1970-01-01")).cast("long")
+    windows = written(findings.select(number(F.col("start")).alias("first"), number(F.col("end")).alias("last")).distinct())
+    s = series.select(F.col("symbol").alias("entity"), number(F.col("date")).alias("day"), F.col(value).cast("double").alias("v"))
+    named = sectors.select(F.col("symbol").alias("entity"), F.coalesce("sector", F.lit("")).alias("sector")) if sectors is not None else s.select("entity").distinct().withColumn("sector", F.lit(""))
+    s = s.join(named, "entity", "left").na.fill("", ["sector"])
+    s = s.withColumn("task", F.pmod(F.xxhash64("entity"), F.lit(s.count() // TASK_ROWS + 1)))
+    groups = windows.count() // SENT + 1
+    parts = None
+    for g in range(groups):
+        own = windows.where(F.pmod(F.xxhash64("first", "last"), F.lit(groups)) == g).toPandas()  # about SENT rows
+        shared = spark.sparkContext.broadcast((own["first"].to_numpy(np.int64), own["last"].to_numpy(np.int64)))
+        found = s.groupBy("task").applyInPandas(_counted(shared), COUNTS)
+        parts = found if parts is None else parts.union(found)
+    day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
+    sums = [F.sum(c).alias(c) for c in ("n", "over_1_5", "ge_2", "ge_3", "ge_5")]
+    return parts.groupBy("first", "last", "sector").agg(*sums, F.max("largest").alias("largest")).select(day("first").alias("start"), day("last").alias("end"), "sector", "n", "over_1_5", "ge_2", "ge_3", "ge_5", "largest")
 
 
 def co_movement(findings: DataFrame, series: DataFrame, sectors: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Of each finding: entities with a ratio, those that doubled, peers of the sector that doubled, the largest index ratio."""
-    own = sectors.select(F.col("symbol"), F.col("sector").alias("own_sector"))
-    peer = sectors.select(F.col("symbol").alias("entity"), F.col("sector").alias("peer_sector"))
-    r = window_ratios(findings, series).where("ratio is not null").join(own, "symbol", "left").join(peer, "entity", "left")
-    same = (F.col("own_sector") == F.col("peer_sector")) & (F.col("own_sector") != "") & (F.col("entity") != F.col("symbol"))
-    out = r.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(F.col("ratio") >= 2).alias("n_ge2"), F.count_if(F.col("ratio") >= 3).alias("n_ge3"), F.count_if(F.col("ratio") >= 5).alias("n_ge5"), F.count_if((F.col("ratio") >= 2) & same).alias("sector_peers"))
+    """Of each finding: entities with a ratio, those that doubled, peers of the sector that doubled, the largest index ratio.
+
+    From counts by window and sector; what the finding's own entity adds to its sector is taken off.
+    """
+    f = findings.select(*KEY).distinct()
+    counts = written(window_counts(f, series, sectors))
+    total = counts.groupBy("start", "end").agg(*[F.sum(c).alias(a) for c, a in (("n", "n"), ("ge_2", "n_ge2"), ("ge_3", "n_ge3"), ("ge_5", "n_ge5"))])
+    peers = counts.where("sector <> ''").select("start", "end", "sector", F.col("ge_2").alias("_peers"))
+    own = window_ratios(f, series).select(*KEY, (F.col("ratio") >= 2).alias("_own"))
+    rows = f.join(total, ["start", "end"]).join(sectors.select("symbol", "sector"), "symbol", "left").join(peers, ["start", "end", "sector"], "left").join(own, KEY, "left")
+    out = rows.select(*KEY, "n", "n_ge2", "n_ge3", "n_ge5", F.coalesce(F.col("_peers") - F.coalesce("_own", F.lit(False)).cast("int"), F.lit(0)).alias("sector_peers"))
     if index is not None:
-        top = window_ratios(findings, index).groupBy(*KEY).agg(F.max("ratio").alias("index_ratio"))
-        out = out.join(top, KEY, "left")
+        top = window_counts(f, index).groupBy("start", "end").agg(F.max("largest").alias("index_ratio"))
+        out = out.join(top, ["start", "end"], "left").select(*out.columns, "index_ratio")
     else:
         out = out.withColumn("index_ratio", F.lit(None).cast("double"))
     market = (F.col("n_ge2") >= 0.5 * F.col("n")) | F.coalesce(F.col("index_ratio") >= 1.5, F.lit(False))
     return out.withColumn("market_hit", market).withColumn("sector_hit", F.col("sector_peers") >= 2)
 
 
+def peers_moved(findings: DataFrame, series: DataFrame, most: int = 30) -> DataFrame:
+    """key, peers: other entities whose ratio in the window is over 1.5, at most `most`."""
+    f = findings.select(*KEY).distinct()
+    total = window_counts(f, series).select("start", "end", "over_1_5")
+    own = window_ratios(f, series).select(*KEY, (F.col("ratio") > 1.5).alias("_own"))
+    rows = f.join(total, ["start", "end"]).join(own, KEY, "left")
+    return rows.select(*KEY, F.least(F.lit(most), F.col("over_1_5") - F.coalesce("_own", F.lit(False)).cast("int")).alias("peers"))
+
+
 def sector_of(universe: DataFrame, industries: DataFrame) -> DataFrame:
     """symbol, sector: the mapped one, else the industry itself, else ''."""
     m = F.broadcast(industries.select(F.col("industry").alias("m_industry"), F.col("sector").alias("m_sector")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.intervals import overlapping
+
 # Weights of levels and penalties of severities.
 WEIGHT = {"verified": 1.0, "baseline": 1.0, "caution": 0.5, "unusable": 0.0}
 PENALTY = {"P0": 3, "P1": 2, "P2": 1}
@@ -69,8 +71,8 @@ def compare_boards(domain: DataFrame, generic: DataFrame) -> DataFrame:
 def matches(findings: DataFrame, labels: DataFrame) -> DataFrame:
     """Findings that overlap a label of the same symbol and table (labels of table 'event' match any)."""
     l = labels.select("label_id", F.col("symbol").alias("l_symbol"), F.col("table_name").alias("l_table"), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "expected_cause", "expected_severity", "fault")
-    on = (F.col("symbol") == F.col("l_symbol")) & ((F.col("l_table") == "event") | (F.col("table_name") == F.col("l_table"))) & (F.col("start") <= F.col("l_end")) & (F.col("l_start") <= F.col("end"))
-    return findings.join(l, on)
+    met = overlapping(findings, l, {"symbol": "l_symbol"}, ("start", "end"), ("l_start", "l_end"))
+    return met.where((F.col("l_table") == "event") | (F.col("table_name") == F.col("l_table")))
 
 
 def detection(diagnoses: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ result_code, payload), segments (parts of calls' payloads: task, turn, call, too
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.places import ranked, value_at
 from plumbline.operators.retrieval import lines_of
@@ -36,14 +40,6 @@ def distinctive(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) >= F.when(w.rlike(r"^\d+$"), 6).otherwise(5)))
 
 
-def field_record(text: Column, before: Column, most: int = 120) -> Column:
-    """Tokens that tell something and are new in the context, with counts of those that tell nothing, and of those that do but were there."""
-    t = value_tokens(text)
-    telling = distinctive(t)
-    new = F.array_except(telling, before)
-    return F.struct(F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.slice(F.array_sort(new), 1, most).alias("tokens"), (F.size(new) > most).alias("truncated"), (F.size(telling) - F.size(new)).alias("n_preexisting"), (F.size(t) - F.size(telling)).alias("n_indistinct"))
-
-
 def _segment(kind: str, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
@@ -75,50 +71,124 @@ def _signatures(lines: Column) -> Column:
     return F.when(F.get(filled, F.lit(0)).startswith("# "), F.transform(filled, lambda l, i: F.struct(F.when(i == 0, "header").otherwise("sig").alias("kind"), l.alias("text"))))
 
 
-def segments(calls: DataFrame) -> DataFrame:
-    """Parts of the payloads whose result is ok, by tool: paths, definitions or sections of a file, hits, signatures. A payload of unknown shape has none."""
-    c = calls.where("result_code = 'ok' and payload <> ''").withColumn("_l", lines_of(F.col("payload"))).withColumn("_b", F.when(F.col("payload").rlike(FENCED), F.regexp_extract("payload", FENCED, 1)))
+def segment_list(tool: Column, payload: Column, result_code: Column) -> Column:
+    """Parts of a payload whose result is ok, by tool: paths, definitions or sections of a file, hits, signatures. Null for a payload of unknown shape."""
     kind = "array<struct<kind:string,text:string>>"
-    paths = F.transform(F.filter("_l", lambda l: F.trim(l) != ""), lambda l: _segment("path", F.trim(l)))
-    blocks = _definitions(lines_of(F.col("_b")))
-    of = F.when(F.col("tool") == "list_files", paths.cast(kind)).when((F.col("tool") == "read_file") & F.col("_b").isNotNull(), F.when(F.size(blocks) > 0, blocks.cast(kind)).otherwise(_sections(F.col("_b")).cast(kind)))
-    of = of.when(F.col("tool") == "search_code", _hits(F.col("_l")).cast(kind)).when(F.col("tool") == "get_signature", _signatures(F.col("_l")).cast(kind))
-    return c.select("task", "turn", "call", "tool", F.posexplode(of).alias("seg", "x")).select("task", "turn", "call", "tool", "seg", "x.kind", "x.text")
-
-
-def contexts(turns_text: DataFrame) -> DataFrame:
-    """task, turn, before and after: token sets of the texts of earlier and of later turns. turns_text: task, turn, text."""
-    w = W.partitionBy("task").orderBy("turn")
-    t = turns_text.groupBy("task", "turn").agg(F.array_distinct(F.flatten(F.collect_list(value_tokens(F.col("text"))))).alias("t"))
-    gathered = lambda frame: F.array_sort(F.array_distinct(F.flatten(F.collect_list("t").over(frame))))
-    return t.select("task", "turn", gathered(w.rangeBetween(W.unboundedPreceding, -1)).alias("before"), gathered(w.rangeBetween(1, W.unboundedFollowing)).alias("after"))
+    lines = lines_of(payload)
+    body = F.when(payload.rlike(FENCED), F.regexp_extract(payload, FENCED, 1))
+    paths = F.transform(F.filter(lines, lambda l: F.trim(l) != ""), lambda l: _segment("path", F.trim(l)))
+    blocks = _definitions(lines_of(body))
+    of = F.when(tool == "list_files", paths.cast(kind)).when((tool == "read_file") & body.isNotNull(), F.when(F.size(blocks) > 0, blocks.cast(kind)).otherwise(_sections(body).cast(kind)))
+    of = of.when(tool == "search_code", _hits(lines).cast(kind)).when(tool == "get_signature", _signatures(lines).cast(kind))
+    return F.when((result_code == "ok") & (payload != ""), of)
 
 
-def judged(records: DataFrame, min_hits: int = 1) -> DataFrame:
-    """Adds hits and verdict to records (tokens, after): referenced, not_referenced_this_run, or unverifiable without tokens."""
-    hits = F.size(F.array_intersect("tokens", "after"))
-    return records.withColumn("hits", hits).withColumn("verdict", F.when(F.size("tokens") == 0, "unverifiable").when(F.col("hits") >= min_hits, "referenced").otherwise("not_referenced_this_run"))
-
-
-def hit_split(tokens: Column, later: Column, answer: Column, most: int = 5) -> Column:
-    """Tokens seen in later arguments, and those seen only in the answer."""
-    a = F.array_intersect(tokens, later)
-    b = F.array_except(F.array_intersect(tokens, answer), a)
-    return F.struct(F.size(a).alias("in_arguments"), F.size(b).alias("only_in_answer"), F.slice(F.array_sort(a), 1, most).alias("sample_arguments"), F.slice(F.array_sort(b), 1, most).alias("sample_answer"))
-
-
-def tool_flow(records: DataFrame, calls: DataFrame) -> DataFrame:
-    """from_tool, to_tool, token hits and segments: tokens of one tool's output in the arguments of later calls. Token equality, both sides lower-cased."""
-    a = records.select("task", "turn", "call", "seg", F.col("tool").alias("from_tool"), F.explode("tokens").alias("token"))
-    b = calls.select(F.col("task").alias("b_task"), F.col("turn").alias("b_turn"), F.col("tool").alias("to_tool"), F.explode(value_tokens(F.col("args"))).alias("b_token"))
-    j = a.join(b, (F.col("task") == F.col("b_task")) & (F.col("token") == F.col("b_token")) & (F.col("b_turn") > F.col("turn")))
-    return j.groupBy("from_tool", "to_tool").agg(F.count("*").alias("token_hits"), F.count_distinct("task", "turn", "call", "seg").alias("segments"))
+def segments(calls: DataFrame) -> DataFrame:
+    """The parts of calls' payloads, a row for each."""
+    found = calls.select("task", "turn", "call", "tool", F.posexplode(segment_list(F.col("tool"), F.col("payload"), F.col("result_code"))).alias("seg", "x"))
+    return found.select("task", "turn", "call", "tool", "seg", "x.kind", "x.text")
+
+
+def lifetimes(texts: DataFrame) -> DataFrame:
+    """task, token, first, last, in_answer: the first and the last turn whose text (task, turn, text) holds a token, and whether the task's last text does.
+
+    A token was in the context before a turn if its first turn is earlier, and comes later if its last turn is
+    later, so a task of any number of turns has one row for each token.
+    """
+    t = texts.select("task", "turn", F.explode(value_tokens(F.col("text"))).alias("token"))
+    end = texts.groupBy("task").agg(F.max("turn").alias("_end"))
+    g = t.groupBy("task", "token").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    return g.join(end, "task").select("task", "token", "first", "last", (F.col("last") == F.col("_end")).alias("in_answer"))
+
+
+def context_sizes(texts: DataFrame, lives: DataFrame) -> DataFrame:
+    """task, turn, before and after: how many tokens earlier and later turns hold, from counts by first and last turn."""
+    turns = texts.select("task", "turn").distinct()
+    begun = lives.groupBy("task", F.col("first").alias("turn")).agg(F.count("*").alias("b"))
+    ended = lives.groupBy("task", F.col("last").alias("turn")).agg(F.count("*").alias("e"))
+    rows = turns.join(begun, ["task", "turn"], "left").join(ended, ["task", "turn"], "left").na.fill(0, ["b", "e"])
+    w = W.partitionBy("task").orderBy("turn")  # a row for each turn
+    total = lambda c, frame: F.coalesce(F.sum(c).over(frame), F.lit(0))
+    return rows.select("task", "turn", total("b", w.rangeBetween(W.unboundedPreceding, -1)).alias("before"), total("e", w.rangeBetween(1, W.unboundedFollowing)).alias("after"))
+
+
+def records(parts: DataFrame, lives: DataFrame, most: int = 120) -> DataFrame:
+    """The parts (of `segments`) with chars; tokens: up to `most` that tell something and are new in the context, as (token, last, in_answer); truncated; n_preexisting; n_indistinct."""
+    key = ["task", "turn", "call", "seg"]
+    told = parts.withColumn("_all", value_tokens(F.col("text"))).withColumn("_told", distinctive(F.col("_all")))
+    each = told.select(*key, F.explode("_told").alias("token")).join(lives, ["task", "token"], "left")
+    new = F.coalesce(F.col("first") >= F.col("turn"), F.lit(True))
+    g = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(new, F.struct("token", "last", "in_answer")))).alias("_new"), F.count_if(~new).alias("n_preexisting"))  # a part's own
+    out = told.join(g, key, "left")
+    found = F.coalesce("_new", F.expr("array()").cast(g.schema["_new"].dataType))
+    kept = [c for c in parts.columns if c != "text"]
+    return out.select(*kept, F.length("text").alias("chars"), F.slice(found, 1, most).alias("tokens"), (F.size(found) > most).alias("truncated"), F.coalesce("n_preexisting", F.lit(0)).alias("n_preexisting"), (F.size("_all") - F.size("_told")).alias("n_indistinct"))
+
+
+def _later() -> Column:
+    return F.filter("tokens", lambda t: t["last"] > F.col("turn"))
+
+
+def judged(recorded: DataFrame, min_hits: int = 1) -> DataFrame:
+    """Adds hits and verdict to records: referenced, not_referenced_this_run, or unverifiable without tokens."""
+    out = recorded.withColumn("hits", F.size(_later()))
+    return out.withColumn("verdict", F.when(F.size("tokens") == 0, "unverifiable").when(F.col("hits") >= min_hits, "referenced").otherwise("not_referenced_this_run"))
+
+
+def hit_split(recorded: DataFrame, most: int = 5) -> DataFrame:
+    """Adds in_arguments and only_in_answer, tokens of records that later turns hold and those that only the answer does, with up to `most` samples of each."""
+    names = lambda found: F.transform(found, lambda t: t["token"])
+    later = names(_later())
+    answer = names(F.filter("tokens", lambda t: t["in_answer"] & (t["last"] <= F.col("turn"))))
+    return recorded.withColumns({"in_arguments": F.size(later), "only_in_answer": F.size(answer), "sample_arguments": F.slice(later, 1, most), "sample_answer": F.slice(answer, 1, most)})
+
+
+#: Length of the pieces by which tokens are looked up in texts; no token that tells something is shorter.
+GRAM = 5
+
+
+def tokens_in(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """task, token and the columns of texts (task, id, text, ...): which texts of a task hold its tokens (task, token; of GRAM characters or more).
+
+    Texts are told by their pieces of GRAM characters. A token with a piece that no text of the task has is held
+    by none; the others meet only the texts that have their rarest piece, and are then looked for.
+    """
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
+    grams = texts.where(F.length("text") >= GRAM).select("task", "id", F.explode(pieces(F.col("text"))).alias("gram"))
+    frequency = grams.groupBy("task", "gram").agg(F.count("*").alias("df"))
+    wanted = tokens.distinct().withColumn("n", F.size(pieces(F.col("token"))))
+    of = wanted.select("task", "token", "n", F.explode(pieces(F.col("token"))).alias("gram")).join(frequency, ["task", "gram"])
+    rare = of.groupBy("task", "token", "n").agg(F.count("*").alias("known"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).where("known = n")
+    return rare.select("task", "token", "gram").join(grams, ["task", "gram"]).select("task", "token", "id").join(texts, ["task", "id"]).where(F.contains("text", F.col("token")))
+
+
+def tool_flow(parts: DataFrame, calls: DataFrame, most: int = 400, samples: int = 8) -> DataFrame:
+    """from_tool, to_tool, token_hits, segments, samples: telling tokens of one tool's parts within the arguments of later calls; the first `most` of a part, in order.
+
+    Both sides are lower-cased. Samples are the first distinct tokens in the order of task, turn, call, part and token.
+    """
+    a = parts.select("task", "turn", "call", "seg", F.col("tool").alias("from_tool"), F.explode(F.slice(F.array_sort(distinctive(value_tokens(F.col("text")))), 1, most)).alias("token"))
+    b = calls.select("task", F.struct("turn", "call").alias("id"), F.lower("args").alias("text"), F.col("tool").alias("to_tool"), F.col("turn").alias("b_turn"))
+    last = tokens_in(a.select("task", "token"), b).groupBy("task", "token", "to_tool").agg(F.max("b_turn").alias("until"))
+    hits = a.join(last, ["task", "token"]).where(F.col("until") > F.col("turn"))
+    segment = F.struct("task", "turn", "call", "seg")
+    each = hits.groupBy("from_tool", "to_tool", "token").agg(F.count("*").alias("n"), F.min(segment).alias("at"))
+    w = W.partitionBy("from_tool", "to_tool").orderBy("at", "token")
+    first = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= samples).groupBy("from_tool", "to_tool").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("samples"))
+    counts = each.groupBy("from_tool", "to_tool").agg(F.sum("n").alias("token_hits"))
+    fed = hits.select("from_tool", "to_tool", "task", "turn", "call", "seg").distinct().groupBy("from_tool", "to_tool").agg(F.count("*").alias("segments"))
+    return counts.join(fed, ["from_tool", "to_tool"]).join(first, ["from_tool", "to_tool"])
 
 
 def per_tool(calls: DataFrame, judged_segments: DataFrame) -> DataFrame:
-    a = calls.groupBy("tool").agg(F.count("*").alias("calls"), F.sum(F.length("payload")).alias("payload_chars"), F.count_if(F.col("result_code") == "ok").alias("ok"))
-    b = judged_segments.groupBy("tool").agg(F.count("*").alias("segments"), F.sum("chars").alias("segment_chars"), F.count_if(F.col("verdict") == "referenced").alias("referenced"), F.sum(F.when(F.col("verdict") == "referenced", F.col("chars")).otherwise(0)).alias("referenced_chars"))
-    return a.join(b, "tool", "left").na.fill(0)
+    """tool, calls, payload_chars, ok, codes (calls by result code), and of its segments number and characters, in all and by verdict, and calls with and without any."""
+    codes = calls.groupBy("tool", "result_code").agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("chars"))
+    a = codes.groupBy("tool").agg(F.sum("n").alias("calls"), F.sum("chars").alias("payload_chars"), F.sum(F.when(F.col("result_code") == "ok", F.col("n")).otherwise(0)).alias("ok"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("result_code", "n")))).alias("codes"))
+    of = {"referenced": "referenced", "not_referenced": "not_referenced_this_run", "unverifiable": "unverifiable"}
+    sums = [F.count("*").alias("segments"), F.sum("chars").alias("segment_chars"), *[F.count_if(F.col("verdict") == v).alias(k) for k, v in of.items()], *[F.sum(F.when(F.col("verdict") == v, F.col("chars")).otherwise(0)).alias(f"{k}_chars") for k, v in of.items()]]
+    shaped = judged_segments.select("tool", "task", "turn").distinct().groupBy("tool").agg(F.count("*").alias("calls_with_segments"))
+    out = a.join(judged_segments.groupBy("tool").agg(*sums), "tool", "left").join(shaped, "tool", "left").na.fill(0)
+    return out.withColumn("calls_no_shape", F.greatest(F.lit(0), F.col("calls") - F.col("calls_with_segments")))
 
 
 def nearest_index(rows: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -237,14 +307,56 @@ def caps(judged_segments: DataFrame) -> DataFrame:
     return nearest_index(n, "n", (0.5, 0.9), ("tool",)).withColumn("cap", F.greatest(F.lit(1), F.col("p90")))
 
 
-def compact(payload: Column, tool: Column, policy: Column, cap: Column) -> Column:
-    """none, head (500 characters), hint (one line) or cap (first segments and a line on the rest); a form that isn't shorter is not taken."""
-    lines = F.filter(F.split(payload, "\n"), lambda x: F.trim(x) != "")
-    head = F.concat(F.substring(payload, 1, 500), F.lit("\n[cut]"))
-    hint = F.format_string("[%s returned %d characters]", tool, F.length(payload))
-    kept = F.concat_ws("\n", F.array_join(F.slice(lines, 1, cap), "\n"), F.format_string("[%d more]", F.size(lines) - cap))
-    out = F.when(policy == "head", head).when(policy == "hint", hint).when((policy == "cap") & (F.size(lines) > cap), kept).otherwise(payload)
-    return F.when(F.length(out) < F.length(payload), out).otherwise(payload)
+HEAD_CHARS = 500
+
+
+def _without(payload: str, parts: list, cap: int) -> tuple[str, int, int]:
+    """The payload without the parts beyond the first cap, and how many were kept and found.
+
+    Each part is looked for behind the one before it; what stands between parts stays. A run of parts left out that are
+    of one kind becomes one line on how many and how long they were, in front of the next part, or at the run's end.
+    """
+    marks, at = [], 0  # where parts begin and end, and the kind of those left out
+    for n, part in enumerate(parts):
+        begin = payload.find(part["text"], at) if part["text"] else -1
+        if begin >= 0:
+            marks.append((at, begin, begin + len(part["text"]), None if n < cap else part["kind"]))
+            at = marks[-1][2]
+    out, line = [], ""
+    for kind, run in groupby(marks, key=lambda m: m[3]):
+        run = list(run)
+        for i, (gap, begin, end, _) in enumerate(run):
+            out += [payload[gap:begin], line if i == 0 else "", payload[begin:end] if kind is None else ""]
+        line = "" if kind is None else f"-- {len(run)} {kind} ({sum(m[2] - m[1] for m in run)} chars omitted) --\n"
+    return "".join([*out, line, payload[at:]]), sum(m[3] is None for m in marks), len(marks)
+
+
+@F.pandas_udf(T.StructType().add("text", "string").add("n_kept", "integer").add("n_mapped", "integer"))
+def _capped(payload: pd.Series, parts: pd.Series, cap: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_without(*row) for row in zip(payload, parts, cap)], columns=["text", "n_kept", "n_mapped"])
+
+
+def compact(calls: DataFrame, caps: DataFrame, head_chars: int = HEAD_CHARS) -> DataFrame:
+    """task, turn, call, text, applied, chars_before, chars_after, n_segments, n_kept, n_mapped of calls' payloads under their policy.
+
+    none: as it is. head: the first characters and a line, if it is longer. hint: one line. cap: the first parts of
+    the tool's cap (caps: tool, cap) and lines on the others; as it was without a cap, without parts, or if it wouldn't be shorter.
+    """
+    c = calls.join(caps.select("tool", F.col("cap").cast("int").alias("cap")), "tool", "left").withColumn("parts", segment_list(F.col("tool"), F.col("payload"), F.col("result_code")))
+    n, before = F.greatest(F.size("parts"), F.lit(0)), F.length("payload")
+    head = F.concat(F.substring("payload", 1, head_chars), F.format_string(f"\n... %d chars omitted (kept the first {head_chars} of %d) ...\n", before - head_chars, before))
+    hint = F.format_string("%s: %s, %d chars, %d items (content omitted; call again with a narrower argument if needed)", "tool", "result_code", before, n)
+    is_capped = (F.col("policy") == "cap") & (F.coalesce("cap", F.lit(0)) > 0) & (n > 0)
+    capped = c.where(is_capped).withColumn("x", _capped("payload", "parts", "cap"))
+    shorter = F.length("x.text") < before
+    names = ["task", "turn", "call", "text", "applied", "chars_before", "chars_after", "n_segments", "n_kept", "n_mapped"]
+    of = lambda df, text, applied, parts, kept, mapped: df.select("task", "turn", "call", text.alias("text"), applied.alias("applied"), before.alias("chars_before"), F.length(text).alias("chars_after"), parts.cast("int").alias("n_segments"), kept.cast("int").alias("n_kept"), mapped.cast("int").alias("n_mapped"))
+    rest = c.where(~is_capped)
+    policy = F.col("policy")
+    text = F.when((policy == "head") & (before > head_chars), head).when(policy == "hint", hint).otherwise(F.col("payload"))
+    parts = F.when(policy.isin("hint", "cap"), n).otherwise(0)
+    plain = of(rest, text, (policy == "hint") | ((policy == "head") & (before > head_chars)), parts, F.when(policy == "cap", n).otherwise(0), F.lit(0))
+    return plain.unionByName(of(capped, F.when(shorter, F.col("x.text")).otherwise(F.col("payload")), shorter, n, F.col("x.n_kept"), F.col("x.n_mapped"))).select(names)
 
 
 def grade(answer: Column, groups: Column, n_calls: Column, leaked: Column) -> Column:

@@ -31,6 +31,26 @@ def run_lengths(rows: DataFrame, keys: list[str], order: list[str], value: str)
     return runs.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("length"), F.min("place").alias("first_place"))
 
 
+def overlapping(a: DataFrame, b: DataFrame, on: dict[str, str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = 32) -> DataFrame:
+    """Rows of a beside rows of b whose date spans share a day, each pair once; on: columns of a and of b that must be equal. Names of a and b must differ.
+
+    Spans are dealt to buckets of `width` days, so that a key's rows meet only within a bucket; a pair counts in the
+    first bucket that both have. A span that ends before it begins shares no day.
+    """
+    number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / width).cast("int")
+
+    def dealt(df: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
+        rows = df.where(F.col(lo) <= F.col(hi)).withColumn(f"{name}_from", number(F.col(lo)))
+        return rows.withColumn(name, F.explode(F.sequence(f"{name}_from", number(F.col(hi)))))
+
+    x, y = dealt(a, *a_span, "_bucket_a"), dealt(b, *b_span, "_bucket_b")
+    equal = [F.col(i) == F.col(j) for i, j in on.items()]
+    met = x.join(y, [*equal, F.col("_bucket_a") == F.col("_bucket_b")])
+    once = F.col("_bucket_a") == F.greatest("_bucket_a_from", "_bucket_b_from")
+    shares = (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1]))
+    return met.where(once & shares).select(*a.columns, *b.columns)
+
+
 def as_of(questions: DataFrame, facts: DataFrame, key: str, day: str, at: str, values: list[str], after: bool = False, width: int = 32) -> DataFrame:
     """For each question the values of the latest fact on or before its day (after: the first on or after it), without a many-to-many join.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import trading_calendar as cal
-from plumbline.operators.intervals import as_of, running
+from plumbline.operators.intervals import as_of, overlapping, running
 from plumbline.shared import written
 
 # Words that tell what is asked for; a price if there are none.
@@ -58,7 +58,7 @@ def guarded(questions: DataFrame, suspensions: DataFrame, calendar: DataFrame, u
     """
     h = suspensions.select(F.col("symbol").alias("h_symbol"), F.col("begin_date").alias("h_start"), F.coalesce("end_date", "begin_date").alias("h_end"))
     low = F.when(F.col("intent") == "price", F.col("end")).otherwise(F.col("start"))
-    hit = questions.join(h, (F.col("symbol") == F.col("h_symbol")) & (F.col("h_start") <= F.col("end")) & (low <= F.col("h_end"))).groupBy("q_id").agg(F.count("*").alias("overlaps"), F.min("h_start").alias("from"), F.max("h_end").alias("to"))
+    hit = overlapping(questions.select("q_id", "symbol", low.alias("low"), "end"), h, {"symbol": "h_symbol"}, ("low", "end"), ("h_start", "h_end")).groupBy("q_id").agg(F.count("*").alias("overlaps"), F.min("h_start").alias("from"), F.max("h_end").alias("to"))
     rows = questions.join(hit, "q_id", "left").join(used, "q_id", "left")
     rows = cal.trading_days_between(rows.withColumn("after", F.date_add(F.coalesce("used", "from"), 1)), calendar, "after", "end", "lag")
     touched = F.col("overlaps").isNotNull()

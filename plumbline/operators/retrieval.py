@@ -1,7 +1,7 @@
 """Text preparation and retrieval as corpus jobs.
 
 Chunks: doc_id, chunk_no, header, text, is_preamble, made of a document without a shuffle. Units are the
-chunks that are searched, with the tokens of their body and of their fields, written once. Document
+chunks that are searched, with the tokens of their body and of their fields, written once (`postings`). Document
 frequencies come from the units' distinct tokens; only tokens that queries have meet queries, summed per
 unit before anything is ranked.
 """
@@ -133,17 +133,11 @@ def field_tokens(header: Column, text: Column) -> Column:
     return F.concat(tokens(header), F.flatten(F.transform(labels, tokens)))
 
 
-def units(chunked: DataFrame) -> DataFrame:
-    """doc_id, chunk_no and the tokens of body and fields of the chunks that are searched: no preambles, but where a document has nothing else. Written once."""
-    has_more = F.max(~F.col("is_preamble")).over(W.partitionBy("doc_id"))
-    kept = chunked.withColumn("more", has_more).where("not is_preamble or not more")
-    return written(kept.select("doc_id", "chunk_no", tokens(F.col("text")).alias("body"), field_tokens(F.col("header"), F.col("text")).alias("field")))
-
-
-def bm25(searched: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(searched: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_no, score of units that share a token with a query (query_id, text): body plus FIELD_WEIGHT times fields.
 
-    Okapi; a negative idf becomes FLOOR of the channel's mean idf. Queries are expanded.
+    Okapi; a negative idf becomes FLOOR of the channel's mean idf. Queries are expanded. within: only these
+    documents (query_id, doc_id). All scores are computed; for the best k alone see `postings`.
     """
     each = lambda what: F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.size(c).alias("len"), what(c).alias("t")) for c in ("body", "field")]))
     stats = searched.select(each(lambda c: F.lit(0)).alias("x")).groupBy("x.channel").agg(F.count("*").alias("n"), F.avg("x.len").alias("mean_len"))
@@ -160,14 +154,9 @@ def bm25(searched: DataFrame, queries: DataFrame) -> DataFrame:
     tf = found.groupBy("doc_id", "chunk_no", "channel", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     weight = F.when(F.col("channel") == "field", FIELD_WEIGHT).otherwise(1.0)
-    return tf.join(few(q), ["channel", "token"]).groupBy("query_id", "doc_id", "chunk_no").agg(F.sum(weight * part).alias("score"))
-
-
-def allowed(scores: DataFrame, documents: DataFrame) -> DataFrame:
-    """Scores within the documents (query_id, doc_id) that a query names; of all documents where it names none."""
-    named = documents.select("query_id", F.lit(True).alias("names")).distinct()
-    inside = scores.join(documents.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-    return inside.unionByName(scores.join(named, "query_id", "left_anti"))
+    met = tf.join(few(q), ["channel", "token"])
+    met = met if within is None else met.join(within, ["query_id", "doc_id"], "left_semi")
+    return met.groupBy("query_id", "doc_id", "chunk_no").agg(F.sum(weight * part).alias("score"))
 
 
 def top(scores: DataFrame, k: int, per: list[str], *ties: str) -> DataFrame:
@@ -225,12 +214,38 @@ def cache_fill(texts: DataFrame, cache: DataFrame, kind: str, embed) -> DataFram
     return cache.unionByName(embed(keyed.join(cache.select("text_key"), "text_key", "left_anti")))
 
 
-def coverage(evidence: DataFrame, contexts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """q_id, k, coverage and hit: share of the evidence's words that the context (q_id, k, text) holds."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    j = contexts.select("q_id", "k", words(F.col("text")).alias("c")).join(evidence.select("q_id", words(F.col("text")).alias("e")), "q_id")
-    c = F.size(F.array_intersect("c", "e")) / F.greatest(F.size("e"), F.lit(1))
-    return j.groupBy("q_id", "k").agg(F.max(c).alias("coverage")).withColumn("hit", F.col("coverage") >= threshold)
+def recall(evidence: DataFrame, contexts: DataFrame, ks: tuple[int, ...] = (4, 8, 16), threshold: float = 0.8) -> DataFrame:
+    """q_id, k, coverage, hit, answered: what the first k contexts (q_id, rank, text) hold of the evidence (q_id, text, answer).
+
+    coverage is the share of the evidence's words; each word counts from the least rank that holds it, so all k
+    come from one aggregate. An answer is held if one of its numbers is, without signs and thousands marks; one
+    without numbers if the contexts, put together, hold its text. answered is null without an answer.
+    """
+    split = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    words = lambda c: split(F.lower(c), "[a-z0-9]+")
+    numbers = lambda c: split(F.regexp_replace(F.coalesce(c, F.lit("")), "[,$%]", ""), r"\d+(?:\.\d+)?")
+    terms = lambda w, n: F.explode(F.concat(F.transform(w, lambda x: F.concat(F.lit("w"), x)), F.transform(n, lambda x: F.concat(F.lit("n"), x)))).alias("term")
+    c = contexts.where(F.col("rank") <= max(ks))
+    held = c.select("q_id", "rank", terms(words(F.col("text")), numbers(F.col("text")))).groupBy("q_id", "term").agg(F.min("rank").alias("at"))
+    found = evidence.select("q_id", terms(words(F.col("text")), numbers(F.col("answer")))).join(held, ["q_id", "term"], "left")
+    of, least = F.col("term").startswith("w"), F.coalesce("at", F.lit(1 << 30))
+    ranks = found.groupBy("q_id").agg(F.count_if(of).alias("n"), *[F.count_if(of & (least <= k)).alias(f"w{k}") for k in ks], F.min(F.when(~of, least)).alias("number_at"))
+    plain = lambda t: _bare(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))
+    wordy = evidence.where((F.coalesce("answer", F.lit("")) != "") & (F.size(numbers(F.col("answer"))) == 0)).select("q_id", plain(F.col("answer")).alias("a"))
+    together = c.join(wordy, "q_id").groupBy("q_id", "a").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))  # as many texts as the largest k
+    joined = lambda k: plain(F.array_join(F.transform(F.filter("x", lambda s: s["rank"] <= k), lambda s: s["text"]), "\n"))
+    texts = together.select("q_id", *[F.contains(joined(k), F.col("a")).alias(f"t{k}") for k in ks])
+    rows = evidence.select("q_id", "answer").join(c.select("q_id").distinct(), "q_id", "left_semi").join(ranks, "q_id", "left").join(texts, "q_id", "left")
+    answered = lambda k: F.when(F.coalesce("answer", F.lit("")) != "", F.when(F.size(numbers(F.col("answer"))) > 0, F.coalesce(F.col("number_at") <= k, F.lit(False))).otherwise(F.coalesce(f"t{k}", F.lit(False))))
+    cover = lambda k: F.coalesce(F.col(f"w{k}") / F.nullif("n", F.lit(0)), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), cover(k).alias("coverage"), (cover(k) >= threshold).alias("hit"), answered(k).alias("answered")) for k in ks])).alias("x")
+    return rows.select("q_id", each).select("q_id", "x.*")
+
+
+def recall_rates(rows: DataFrame) -> DataFrame:
+    """k, evaluated, hits, answers and their rates, four decimals (rows: of recall)."""
+    g = rows.groupBy("k").agg(F.count("*").alias("evaluated"), F.count_if("hit").alias("hits"), F.count_if("answered").alias("answers"))
+    return g.withColumn("recall", F.round(F.col("hits") / F.col("evaluated"), 4)).withColumn("answer_rate", F.round(F.col("answers") / F.col("evaluated"), 4))
 
 
 def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8) -> DataFrame:

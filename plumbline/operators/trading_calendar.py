@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.intervals import islands
+from plumbline.operators.intervals import islands, overlapping
 
 
 def numbered(days: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def coverage(windows: DataFrame, calendar: DataFrame, days: DataFrame, keys: lis
     """Share of a window's trading days that are in days (symbol, date); 0 without a trading day. keys name a window."""
     total = trading_days_between(windows, calendar, "start", "end", "window_days")
     d = days.select(F.col("symbol").alias("d_symbol"), F.col("date").alias("d_date"))
-    hit = windows.join(d, (F.col("symbol") == F.col("d_symbol")) & F.col("d_date").between(F.col("start"), F.col("end"))).groupBy(*keys).agg(F.count("*").alias("covered_days"))
+    hit = overlapping(windows.select(*keys), d, {"symbol": "d_symbol"}, ("start", "end"), ("d_date", "d_date")).groupBy(*keys).agg(F.count("*").alias("covered_days"))
     out = total.join(hit, keys, "left").withColumn("covered_days", F.coalesce("covered_days", F.lit(0)))
     return out.withColumn("coverage", F.when(F.col("window_days") > 0, F.col("covered_days") / F.col("window_days")).otherwise(0.0))
 

@@ -58,9 +58,7 @@ BASE = f"WITH {CALLS}, {SEGS}, {CTX}, {RECORDS}"
 
 
 def records(t):
-    s = cost.segments(calls(t)).join(cost.contexts(texts(t)), ["task", "turn"])
-    r = s.withColumn("r", cost.field_record(F.col("text"), F.col("before")))
-    return r.select("task", "turn", "call", "tool", "seg", "kind", "after", "r.*")
+    return cost.records(cost.segments(calls(t)), cost.lifetimes(texts(t)))
 
 
 def judged(t):
@@ -69,7 +67,7 @@ def judged(t):
 
 @query("q123_field_records", f"{BASE} SELECT task, turn, seg::INT AS seg, chars, array_to_string(tokens, ' ') AS tokens, n_preexisting, n_indistinct FROM rc")
 def _(t):
-    return records(t).select("task", "turn", "seg", F.col("chars").cast("long").alias("chars"), F.array_join("tokens", " ").alias("tokens"), *[F.col(c).cast("long").alias(c) for c in ("n_preexisting", "n_indistinct")])
+    return records(t).select("task", "turn", "seg", F.col("chars").cast("long").alias("chars"), F.array_join("tokens.token", " ").alias("tokens"), *[F.col(c).cast("long").alias(c) for c in ("n_preexisting", "n_indistinct")])
 
 
 @query("q124_payload_segments", f"WITH {CALLS}, {SEGS} SELECT task, turn, seg::INT AS seg, tool, kind, text FROM sg")
@@ -84,7 +82,7 @@ def _(t):
 
 @query("q126_before_after_context", f"WITH {CTX} SELECT task, turn, len(coalesce(before, [])) AS before, len(coalesce(after, [])) AS after FROM cx")
 def _(t):
-    return cost.contexts(texts(t)).select("task", "turn", F.size("before").cast("long").alias("before"), F.size("after").cast("long").alias("after"))
+    return cost.context_sizes(texts(t), cost.lifetimes(texts(t)))
 
 
 LAST = f"an AS (SELECT task, {toks('arg_max(text, turn)')} AS answer FROM (SELECT conv_id AS task, turn, text FROM conversations) GROUP BY 1)"
@@ -92,19 +90,26 @@ LAST = f"an AS (SELECT task, {toks('arg_max(text, turn)')} AS answer FROM (SELEC
 
 @query("q127_hit_split", f"{BASE}, {LAST} SELECT task, turn, seg::INT AS seg, len(list_intersect(tokens, after)) AS in_arguments, len(list_filter(list_intersect(tokens, answer), lambda w: NOT list_contains(after, w))) AS only_in_answer FROM rc JOIN an USING (task)")
 def _(t):
-    a = texts(t).groupBy("task").agg(cost.value_tokens(F.max_by("text", "turn")).alias("answer"))
-    r = records(t).join(a, "task").withColumn("h", cost.hit_split(F.col("tokens"), F.col("after"), F.col("answer")))
-    return r.select("task", "turn", "seg", F.col("h.in_arguments").cast("long").alias("in_arguments"), F.col("h.only_in_answer").cast("long").alias("only_in_answer"))
+    return cost.hit_split(records(t)).select("task", "turn", "seg", F.col("in_arguments").cast("long").alias("in_arguments"), F.col("only_in_answer").cast("long").alias("only_in_answer"))
 
 
-@query("q128_tool_flow", f"{BASE}, a AS (SELECT task, turn, call, seg, tool, unnest(tokens) AS w FROM rc), b AS (SELECT task, turn, tool, unnest({toks('payload')}) AS w FROM ca) SELECT a.tool AS from_tool, b.tool AS to_tool, count(*) AS token_hits, count(DISTINCT (a.task, a.turn, a.call, a.seg)) AS segments FROM a JOIN b ON a.task = b.task AND a.w = b.w AND b.turn > a.turn GROUP BY 1, 2")
+# Tokens within payloads of later calls of the task, whether they are words there or not.
+@query("q128_tool_flow", f"""WITH {CALLS}, {SEGS}, a AS (SELECT task, turn, call, seg, tool, unnest(list_sort({dist(toks('text'))})[1:400]) AS w FROM sg), b AS (SELECT task, turn, tool, lower(payload) AS args FROM ca),
+h AS (SELECT DISTINCT a.tool AS from_tool, b.tool AS to_tool, a.task, a.turn, a.call, a.seg, w FROM a JOIN b ON a.task = b.task AND b.turn > a.turn AND contains(b.args, w)), f AS (SELECT from_tool, to_tool, w, min((task, turn, call, seg)) AS pos FROM h GROUP BY 1, 2, 3),
+s AS (SELECT from_tool, to_tool, string_agg(w, ' ' ORDER BY pos, w) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY from_tool, to_tool ORDER BY pos, w) AS r FROM f) WHERE r <= 8 GROUP BY 1, 2)
+SELECT from_tool, to_tool, count(*) AS token_hits, count(DISTINCT (task, turn, call, seg)) AS segments, any_value(samples) AS samples FROM h JOIN s USING (from_tool, to_tool) GROUP BY 1, 2""")
 def _(t):
-    return cost.tool_flow(records(t), calls(t).withColumn("args", F.col("payload")))
+    return cost.tool_flow(cost.segments(calls(t)), calls(t).withColumn("args", F.col("payload"))).withColumn("samples", F.array_join("samples", " "))
 
 
-@query("q129_per_tool", f"{BASE}, x AS (SELECT tool, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars, count(*) FILTER (result_code = 'ok') AS ok FROM ca GROUP BY 1), y AS (SELECT tool, count(*) AS segments, sum(chars)::BIGINT AS segment_chars, count(*) FILTER (verdict = 'referenced') AS referenced, coalesce(sum(chars) FILTER (verdict = 'referenced'), 0)::BIGINT AS referenced_chars FROM ju GROUP BY 1) SELECT x.*, coalesce(segments, 0) AS segments, coalesce(segment_chars, 0) AS segment_chars, coalesce(referenced, 0) AS referenced, coalesce(referenced_chars, 0) AS referenced_chars FROM x LEFT JOIN y USING (tool)")
+STATES = ("referenced", "not_referenced_this_run", "unverifiable")
+
+
+@query("q129_per_tool", f"{BASE}, k AS (SELECT tool, result_code, count(*) AS n FROM ca GROUP BY 1, 2), x AS (SELECT tool, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars, count(*) FILTER (result_code = 'ok') AS ok FROM ca GROUP BY 1), c AS (SELECT tool, string_agg(result_code || '=' || n, ',' ORDER BY result_code) AS codes FROM k GROUP BY 1), y AS (SELECT tool, count(*) AS segments, sum(chars)::BIGINT AS segment_chars, count(DISTINCT (task, turn)) AS calls_with_segments, "
+  + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v.removesuffix('_this_run')}, coalesce(sum(chars) FILTER (verdict = '{v}'), 0)::BIGINT AS {v.removesuffix('_this_run')}_chars" for v in STATES)
+  + " FROM ju GROUP BY 1) SELECT x.*, codes, coalesce(segments, 0) AS segments, coalesce(segment_chars, 0) AS segment_chars, coalesce(calls_with_segments, 0) AS calls_with_segments, greatest(0, calls - coalesce(calls_with_segments, 0)) AS calls_no_shape, " + ", ".join(f"coalesce({v.removesuffix('_this_run')}{e}, 0) AS {v.removesuffix('_this_run')}{e}" for v in STATES for e in ("", "_chars")) + " FROM x JOIN c USING (tool) LEFT JOIN y USING (tool)")
 def _(t):
-    return cost.per_tool(calls(t), judged(t))
+    return cost.per_tool(calls(t), judged(t)).withColumn("codes", F.array_join(F.transform(F.map_entries("codes"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("q130_chars_per_token", f"WITH {CALLS}, r AS (SELECT prompt_tokens / chars AS r, row_number() OVER (ORDER BY prompt_tokens / chars) - 1 AS i, count(*) OVER () AS n FROM tu WHERE prompt_tokens > 0 AND chars > 0) SELECT round((SELECT sum(prompt_tokens) / sum(chars) FROM tu WHERE prompt_tokens > 0), 6) AS total, max(n) AS turns, " + ", ".join(f"round(max(r) FILTER (i = round_even({q} * (n - 1), 0)), 6) AS p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM r")
@@ -214,13 +219,27 @@ def _(t):
     return cost.caps(j).join(cost.reference_profile(j).select("tool", "kind", F.round("rate", 6).alias("rate")), "tool", "left")
 
 
-@query("q144_payload_compaction", f"""WITH {CALLS}, l AS (SELECT *, list_filter(string_split(payload, chr(10)), lambda x: trim(x) <> '') AS l, CASE turn % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'head' WHEN 2 THEN 'hint' ELSE 'cap' END AS policy FROM ca),
-o AS (SELECT *, CASE WHEN policy = 'head' THEN substr(payload, 1, 500) || chr(10) || '[cut]' WHEN policy = 'hint' THEN '[' || tool || ' returned ' || length(payload) || ' characters]' WHEN policy = 'cap' AND len(l) > 2 THEN array_to_string(l[1:2], chr(10)) || chr(10) || '[' || (len(l) - 2) || ' more]' ELSE payload END AS x FROM l)
-SELECT task, turn, CASE WHEN length(x) < length(payload) THEN x ELSE payload END AS compact FROM o""")
-def _(t):
+# Each tool but search has a cap; parts beyond it lie behind one another, so one line stands for them where the last of them ended.
+COMPACT = f"""{CALLS}, {SEGS}, po AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'head' WHEN 1 THEN 'cap' WHEN 2 THEN 'hint' ELSE 'cap' END AS policy, CASE tool WHEN 'list_files' THEN 2 WHEN 'read_file' THEN 1 END AS cap FROM ca),
+ns AS (SELECT task, turn, count(*) AS n FROM sg GROUP BY 1, 2), pl AS (SELECT po.*, coalesce(n, 0) AS n FROM po LEFT JOIN ns USING (task, turn)),
+li AS (SELECT task, turn, cap, n, i, l[i] AS line FROM (SELECT *, string_split(payload, chr(10)) AS l, unnest(range(1, len(string_split(payload, chr(10))) + 1)) AS i FROM pl WHERE policy = 'cap' AND cap > 0 AND n > 0)),
+sn AS (SELECT sk.task, sk.turn, i, kind, row_number() OVER (PARTITION BY sk.task, sk.turn ORDER BY i) AS seg, CASE tool WHEN 'list_files' THEN trim(l[i]) ELSE l[i] END AS text FROM sk),
+om AS (SELECT li.*, seg, kind, text, sum(length(text)) FILTER (seg > cap AND text <> '') OVER (PARTITION BY li.task, li.turn) AS omitted, max(seg) FILTER (text <> '') OVER (PARTITION BY li.task, li.turn) AS final FROM li LEFT JOIN sn USING (task, turn, i)),
+nl AS (SELECT task, turn, i, CASE WHEN seg IS NULL OR seg <= cap OR text = '' THEN line WHEN seg = final THEN replace(line, text, '-- ' || (count(*) FILTER (seg > cap AND text <> '') OVER (PARTITION BY task, turn)) || ' ' || kind || ' (' || omitted || ' chars omitted) --' || chr(10)) ELSE replace(line, text, '') END AS line FROM om),
+cp AS (SELECT task, turn, string_agg(line, chr(10) ORDER BY i) AS capped FROM nl GROUP BY 1, 2),
+rs AS (SELECT pl.*, CASE WHEN policy = 'head' AND length(payload) > 500 THEN substr(payload, 1, 500) || chr(10) || '... ' || (length(payload) - 500) || ' chars omitted (kept the first 500 of ' || length(payload) || ') ...' || chr(10)
+  WHEN policy = 'hint' THEN tool || ': ' || result_code || ', ' || length(payload) || ' chars, ' || n || ' items (content omitted; call again with a narrower argument if needed)' WHEN policy = 'cap' AND length(capped) < length(payload) THEN capped END AS shorter FROM pl LEFT JOIN cp USING (task, turn))"""
+
+
+def compacted(t):
     m = F.col("turn") % 4
-    policy = F.when(m == 0, "none").when(m == 1, "head").when(m == 2, "hint").otherwise("cap")
-    return calls(t).select("task", "turn", cost.compact(F.col("payload"), F.col("tool"), policy, F.lit(2)).alias("compact"))
+    c = calls(t).withColumn("policy", F.when(m == 0, "head").when(m == 2, "hint").otherwise("cap"))
+    return cost.compact(c, t.spark.createDataFrame([("list_files", 2), ("read_file", 1)], "tool string, cap int"))
+
+
+@query("q144_payload_compaction", f"WITH {COMPACT} SELECT task, turn, coalesce(shorter, payload) AS compact, shorter IS NOT NULL AS applied, length(payload) AS chars_before, length(coalesce(shorter, payload)) AS chars_after FROM rs")
+def _(t):
+    return compacted(t).select("task", "turn", F.col("text").alias("compact"), "applied", *[F.col(c).cast("long").alias(c) for c in ("chars_before", "chars_after")])
 
 
 GRADE = "CASE WHEN regexp_replace(lower(text), '\\s+', '', 'g') = '' THEN 'empty' WHEN conv_id % 17 = 0 THEN 'leaked' WHEN conv_id % 7 = 0 THEN 'no_lookup' WHEN NOT (contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'the') OR contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'der')) OR NOT contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'in') THEN 'missing_fact' ELSE 'ok' END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import attribution as at
 from plumbline.operators import badges, metrics, probes, questions
 from plumbline.operators import trading_calendar as cal
+from plumbline.operators.intervals import overlapping
 from plumbline.plans.inputs import ASOF, SERIES, series, suspensions
 from plumbline.plans.registry import query
 from plumbline.shared import written
@@ -156,7 +157,7 @@ def drifts(t):
 
 @query("q074_window_volume_ratio", f"WITH {S}, {DRIFT_CTE}, {F3}, {RATIO} SELECT {KEYED}, round(wm, 4) AS window_mean, round(wm / past, 4) AS ratio FROM ra WHERE entity = symbol", "start end")
 def _(t):
-    return at.window_ratios(drifts(t), series(t), same=True).select(*at.KEY, F.round("window_mean", 4).alias("window_mean"), F.round("ratio", 4).alias("ratio"))
+    return at.window_ratios(drifts(t), series(t)).select(*at.KEY, F.round("window_mean", 4).alias("window_mean"), F.round("ratio", 4).alias("ratio"))
 
 
 MOVED = """co AS (SELECT ra.probe, ra.table_name, ra.symbol, ra.metric, ra.start, ra."end", count(*) AS n, count(*) FILTER (wm / past >= 2) AS n_ge2, count(*) FILTER (wm / past >= 2 AND o.sector = p.sector AND entity <> ra.symbol) AS sector_peers
@@ -202,16 +203,16 @@ def _(t):
 SELECT f3.probe, f3.table_name, f3.symbol, f3.metric, f3.start, f3."end", round(avg(v) / CASE WHEN min(i) > 30 THEN arg_min(past, i) END, 3) AS ratio FROM f3 JOIN pl ON pl.symbol = f3.symbol AND pl.date BETWEEN start AND "end" GROUP BY ALL""", "start end")
 def _(t):
     s = series(t).withColumn("per", F.col("volume") / F.nullif("amount", F.lit(0.0)))
-    return at.window_ratios(drifts(t), s, "per", same=True).select(*at.KEY, F.round("ratio", 3).alias("ratio"))
+    return at.window_ratios(drifts(t), s, "per").select(*at.KEY, F.round("ratio", 3).alias("ratio"))
 
 
 @query("q078_evidence_features", f"""WITH {S}, {DRIFT_CTE}, {F3}, {RATIO}, {RIGHTS} SELECT {KEYED}, "end" >= DATE '{ASOF}' AS at_tail, (SELECT count(*) FROM s WHERE s.symbol = f3.symbol AND s.date BETWEEN start AND "end") AS days_present, (SELECT count(*) FROM c WHERE c.date BETWEEN start AND "end") AS days_expected,
 least(30, (SELECT count(*) FROM ra WHERE ra.symbol = f3.symbol AND ra.start = f3.start AND ra."end" = f3."end" AND entity <> f3.symbol AND wm / past > 1.5)) AS peers, EXISTS (SELECT 1 FROM ev WHERE ev.symbol = f3.symbol AND ev.date BETWEEN start AND "end") AS ex_rights FROM f3""", "start end")
 def _(t):
     d = drifts(t)
-    peers = at.window_ratios(d, series(t)).where("entity <> symbol").groupBy(*at.KEY).agg(F.least(F.lit(30), F.count_if(F.col("ratio") > 1.5)).alias("peers"))
+    peers = at.peers_moved(d, series(t))
     s = series(t).select(F.col("symbol").alias("x"), "date")
-    present = d.join(s, (F.col("symbol") == F.col("x")) & F.col("date").between(F.col("start"), F.col("end"))).groupBy(*at.KEY).agg(F.count("*").alias("days_present"))
+    present = overlapping(d.select(*at.KEY), s, {"symbol": "x"}, ("start", "end"), ("date", "date")).groupBy(*at.KEY).agg(F.count("*").alias("days_present"))
     ev = at.has_event(d, events(t), "ex_rights").withColumn("ex_rights", F.lit(True))
     rows = cal.trading_days_between(d.select(*at.KEY), calendar(t), "start", "end", "days_expected")
     rows = rows.join(peers, at.KEY, "left").join(present, at.KEY, "left").join(ev, at.KEY, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import postings
 from plumbline.operators import retrieval as re_
 from plumbline.plans.registry import query
 
@@ -84,7 +85,12 @@ sc AS (SELECT query_id, doc_id, chunk_no, sum(CASE channel WHEN 'field' THEN 2.0
 
 
 def bm25(t):
-    return re_.bm25(re_.units(labelled(t)), asked(t))
+    return re_.bm25(postings.units(labelled(t)), asked(t))
+
+
+def best(t, k, named=None):
+    units = postings.units(labelled(t))
+    return postings.top_units(postings.index(units), asked(t), k, named, units)
 
 
 def rounded(df, places):
@@ -109,7 +115,7 @@ NAMED = "al AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents
 def _(t):
     sevens = t.documents.select("doc_id", (F.col("doc_id") % 7).alias("seven"))
     names = t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("seven")).join(sevens, "seven").select("query_id", "doc_id")
-    return re_.top(re_.allowed(rounded(bm25(t), 6), names), 8, ["query_id"], "doc_id", "chunk_no").select("query_id", "doc_id", "chunk_no", "rank")
+    return best(t, 8, names).select("query_id", "doc_id", "chunk_no", "rank")
 
 
 RANKED = f"{BM25}, rk AS (SELECT query_id // 4 AS group_id, query_id AS query_no, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sc QUALIFY rank <= 8)"
@@ -117,7 +123,7 @@ RANKED = f"{BM25}, rk AS (SELECT query_id // 4 AS group_id, query_id AS query_no
 
 @query("q158_rotating_merge", f"WITH {RANKED}, f AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY group_id, doc_id, chunk_no ORDER BY rank, query_no) = 1) SELECT group_id, doc_id, chunk_no, row_number() OVER (PARTITION BY group_id ORDER BY rank, query_no) AS place FROM f QUALIFY place <= 12")
 def _(t):
-    r = re_.top(rounded(bm25(t), 6), 8, ["query_id"], "doc_id", "chunk_no")
+    r = best(t, 8)
     return re_.rotating(r.select(F.floor(F.col("query_id") / 4).alias("group_id"), F.col("query_id").alias("query_no"), "doc_id", "chunk_no", "rank"), 12)
 
 
@@ -160,15 +166,23 @@ def _(t):
     return re_.cache_fill(d.select("text"), old, "len", lambda new: new.select("text_key", F.length("text").cast("double").alias("v")))
 
 
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
+# Answers: a number of every chunk, one of few, and the beginning of the passage as words.
+WORDS = "list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+NUMBERS = r"list_distinct(regexp_extract_all(regexp_replace({x}, '[,$%]', '', 'g'), '[0-9]+(?:\.[0-9]+)?'))"
+SPACED = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+RECALL = f"""{BM25}, tk AS (SELECT query_id AS q_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sc QUALIFY rank <= 16),
+ev AS (SELECT item_id AS q_id, text, CASE item_id % 4 WHEN 0 THEN 'about $2,018' WHEN 1 THEN item_id || '%' WHEN 2 THEN upper(substr(text, 1, 24)) END AS answer FROM benchmark),
+cx AS (SELECT q_id, k, string_agg(fi.text, chr(10) ORDER BY rank) AS text FROM tk JOIN fi USING (doc_id, chunk_no) JOIN (VALUES (4), (8), (16)) AS x(k) ON rank <= k GROUP BY 1, 2),
+rc AS (SELECT q_id, k, len(list_intersect({WORDS.format(x="ev.text")}, {WORDS.format(x="cx.text")})) / greatest(len({WORDS.format(x="ev.text")}), 1) AS coverage,
+  CASE WHEN answer <> '' THEN CASE WHEN len({NUMBERS.format(x="answer")}) > 0 THEN len(list_intersect({NUMBERS.format(x="answer")}, {NUMBERS.format(x="cx.text")})) > 0 ELSE contains({SPACED.format(x="cx.text")}, {SPACED.format(x="answer")}) END END AS answered FROM cx JOIN ev USING (q_id))"""
 
 
-@query("q163_evidence_coverage", f"""WITH {BM25}, tk AS (SELECT query_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_no) AS rank FROM sc QUALIFY rank <= 4), x AS (SELECT query_id AS q_id, text FROM tk JOIN fi USING (doc_id, chunk_no)),
-j AS (SELECT q_id, {WORDS.format(x='x.text')} AS c, {WORDS.format(x='b.text')} AS e FROM x JOIN benchmark b ON b.item_id = q_id) SELECT q_id, 4 AS k, round(max(len(list_intersect(c, e)) / greatest(len(e), 1)), 6) AS coverage, max(len(list_intersect(c, e)) / greatest(len(e), 1)) >= 0.8 AS hit FROM j GROUP BY 1""")
+@query("q163_evidence_coverage", f"WITH {RECALL} SELECT q_id, k, round(coverage, 6) AS coverage, coverage >= 0.8 AS hit, answered FROM rc")
 def _(t):
-    top = re_.top(rounded(bm25(t), 6), 4, ["query_id"], "doc_id", "chunk_no").join(labelled(t).select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
-    b = t.benchmark.select(F.col("item_id").alias("q_id"), "text")
-    return re_.coverage(b, top.select(F.col("query_id").alias("q_id"), F.lit(4).alias("k"), "text")).withColumn("coverage", F.round("coverage", 6))
+    top = best(t, 16).select(F.col("query_id").alias("q_id"), "rank", "doc_id", "chunk_no").join(labelled(t).select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
+    kind = F.col("item_id") % 4
+    answer = F.when(kind == 0, "about $2,018").when(kind == 1, F.concat(F.col("item_id").cast("string"), F.lit("%"))).when(kind == 2, F.upper(F.substring("text", 1, 24)))
+    return re_.recall(t.benchmark.select(F.col("item_id").alias("q_id"), "text", answer.alias("answer")), top).withColumn("coverage", F.round("coverage", 6))
 
 
 # Every third document is a flattened table of its words.
