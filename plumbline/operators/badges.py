@@ -106,14 +106,16 @@ def replay(expected: DataFrame, diagnoses: DataFrame) -> DataFrame:
 
 
 def market_facts(series: DataFrame, top: int = 3) -> DataFrame:
-    """On the latest day: the best by change and by amount (fact, rank, symbol, value)."""
-    last = series.join(F.broadcast(series.agg(F.max("date").alias("date"))), "date")
+    """fact, rank, symbol, value, close: the best of the latest day by change (with their close) and by amount, how many entities it has (symbols), and how many days there are (days)."""
+    day = series.agg(F.max("date").alias("date"))
+    last = series.join(F.broadcast(day), "date")  # one row
 
-    def best(column: str) -> DataFrame:
+    def best(column: str, close: Column) -> DataFrame:
         rows = last.where(F.col(column).isNotNull()).orderBy(F.desc(column), "symbol").limit(top)
-        return rows.select(F.lit(column).alias("fact"), F.row_number().over(W.orderBy(F.desc(column), "symbol")).alias("rank"), "symbol", F.col(column).cast("double").alias("value"))
+        return rows.select(F.lit(column).alias("fact"), F.row_number().over(W.orderBy(F.desc(column), "symbol")).alias("rank"), "symbol", F.col(column).cast("double").alias("value"), close.cast("double").alias("close"))
 
-    return best("pct_chg").unionByName(best("amount"))
+    one = lambda df, name, n: df.agg(n.cast("double").alias("value")).select(F.lit(name).alias("fact"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("symbol"), "value", F.lit(None).cast("double").alias("close"))
+    return best("pct_chg", F.col("close")).unionByName(best("amount", F.lit(None))).unionByName(one(last, "symbols", F.count_distinct("symbol"))).unionByName(one(series, "days", F.count_distinct("date")))
 
 
 def reviewed(drafts: DataFrame, badges: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators.places import ranked, value_at
 from plumbline.operators.retrieval import lines_of
+from plumbline.shared import written
 
 # Words that say nothing about where a text came from; patterns of identifiers and paths, and of numbers.
 STOPWORDS = (
@@ -208,11 +209,20 @@ def remaining(rows: DataFrame, turns: DataFrame) -> DataFrame:
     return rows.join(n, "task").withColumn("left", F.greatest(F.lit(0), F.col("_last") - F.col("turn"))).drop("_last")
 
 
+def offered(lists: DataFrame, turns: DataFrame) -> DataFrame:
+    """name, tool, definition of the first list (name, tool, pos, definition) whose definitions as a JSON array are as long as a turn's tools_chars; none if no list is."""
+    size = lists.groupBy("name").agg((F.sum(F.length("definition")) + 2 * F.count("*")).alias("chars"))  # brackets, and a comma and a space between
+    seen = turns.where("tools_chars > 0").select(F.col("tools_chars").alias("chars")).distinct()
+    first = size.join(seen, "chars", "left_semi").agg(F.min("name").alias("name"))
+    return lists.join(F.broadcast(first), "name").select("name", "tool", "definition")  # one row
+
+
 def uncalled_tools(tools: DataFrame, calls: DataFrame, turns: DataFrame) -> DataFrame:
-    """Definitions of tools that are never called, times the turns that carried them."""
+    """Definitions of tools that are never called, times the turns that carried them; and their names."""
     idle = tools.join(calls.select("tool").distinct(), "tool", "left_anti")
     n = turns.agg(F.count("*").alias("turns"))
-    return idle.agg(F.count("*").alias("tools"), F.coalesce(F.sum(F.length("definition")), F.lit(0)).alias("chars")).crossJoin(n).withColumn("saving", F.col("chars") * F.col("turns"))  # one row each
+    sums = idle.agg(F.count("*").alias("tools"), F.coalesce(F.sum(F.length("definition")), F.lit(0)).alias("chars"), F.array_join(F.array_sort(F.collect_list("tool")), ",").alias("names"))  # of one list
+    return sums.crossJoin(n).withColumn("saving", F.col("chars") * F.col("turns"))  # one row each
 
 
 def large_unreferenced(judged_segments: DataFrame, turns: DataFrame) -> DataFrame:
@@ -238,12 +248,23 @@ def binomial_two_sided(k: Column, n: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def binomial_one_sided(k: Column, n: Column) -> Column:
+    """The tail of Binomial(n, 1/2) up to k: for "the second is no worse", where k pairs favour the first. 1 without pairs."""
+    return F.when(n == 0, 1.0).otherwise(F.when(2 * k < n, binomial_two_sided(k, n) / 2).when(k >= n, 1.0).otherwise(1 - binomial_two_sided(n - k - 1, n) / 2))
+
+
+def resolution(n: Column) -> Column:
+    """The smallest two-sided p that n discordant pairs can give, 2^(1 - n); 1 without pairs. Where it is over the level asked for, the test can't tell the arms apart."""
+    return F.when(n == 0, 1.0).otherwise(F.pow(F.lit(2.0), 1 - n))
+
+
 def paired(before: DataFrame, after: DataFrame, value: str) -> DataFrame:
-    """Tasks of both arms: totals, cheaper, dearer and equal, tasks of one arm only, sign test."""
+    """Tasks of both arms: totals, cheaper, dearer and equal, tasks of one arm only, sign test (two-sided, and one-sided for "no dearer") and its resolution."""
     j = before.select("task", F.col(value).alias("a")).join(after.select("task", F.col(value).alias("b")), "task", "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     out = j.agg(F.count_if(both).alias("pairs"), F.sum(F.when(both, F.col("a"))).alias("before"), F.sum(F.when(both, F.col("b"))).alias("after"), F.count_if(both & (F.col("b") < F.col("a"))).alias("cheaper"), F.count_if(both & (F.col("b") > F.col("a"))).alias("dearer"), F.count_if(both & (F.col("a") == F.col("b"))).alias("equal"), F.count_if(~both).alias("unpaired"))
-    return out.withColumn("p", binomial_two_sided(F.col("cheaper"), F.col("cheaper") + F.col("dearer")))
+    n = F.col("cheaper") + F.col("dearer")
+    return out.withColumn("p", binomial_two_sided(F.col("cheaper"), n)).withColumn("p_one_sided", binomial_one_sided(F.col("dearer"), n)).withColumn("resolution", resolution(n))
 
 
 def payload_drift(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -272,7 +293,8 @@ def discordant(runs: DataFrame, a: str, b: str, tiers: tuple[str, ...] = ("hit",
     j = x.join(y, "task")
     rows = j.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(f"{t}_{a}").alias("a"), F.col(f"{t}_{b}").alias("b")) for t in tiers])).alias("x")).select("x.*")
     out = rows.groupBy("tier").agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
-    return out.withColumn("p", binomial_two_sided(F.col("only_a"), F.col("only_a") + F.col("only_b")))
+    n = F.col("only_a") + F.col("only_b")
+    return out.withColumn("p", binomial_two_sided(F.col("only_a"), n)).withColumn("p_one_sided", binomial_one_sided(F.col("only_b"), n)).withColumn("resolution", resolution(n))
 
 
 def compare_setups(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
@@ -291,20 +313,31 @@ def noise_floor(a: DataFrame, b: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def bill(turns: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row: turns, calls, prompt tokens, payload and definition characters."""
-    return turns.agg(F.count("*").alias("turns"), F.sum("prompt_tokens").alias("tokens"), F.sum("tools_chars").alias("definition_chars")).crossJoin(calls.agg(F.count("*").alias("calls"), F.sum(F.length("payload")).alias("payload_chars")))
+    """One row: turns, prompt tokens, definition characters (resent every turn), calls, characters of payloads, of what of them went into the context (text), and saved."""
+    chars, kept = F.sum(F.length("payload")), F.sum(F.length(F.coalesce("text", "payload")))
+    c = calls.agg(F.count("*").alias("calls"), chars.alias("payload_chars"), kept.alias("compacted_chars")).withColumn("saved_chars", F.greatest(F.lit(0), F.col("payload_chars") - F.col("compacted_chars")))
+    return turns.agg(F.count("*").alias("turns"), F.sum("prompt_tokens").alias("tokens"), F.sum("tools_chars").alias("definition_chars")).crossJoin(c)  # one row each
+
+
+def tool_bill(calls: DataFrame) -> DataFrame:
+    """tool, calls, payload_chars, avg_chars (one decimal), codes: calls by result code."""
+    g = calls.groupBy("tool", "result_code").agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("chars"))
+    out = g.groupBy("tool").agg(F.sum("n").alias("calls"), F.sum("chars").alias("payload_chars"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("result_code", "n")))).alias("codes"))
+    return out.withColumn("avg_chars", F.bround(F.col("payload_chars") / F.col("calls"), 1))
 
 
 def reference_profile(judged_segments: DataFrame) -> DataFrame:
-    """tool, kind, share of verifiable segments that are referenced."""
-    v = judged_segments.where("verdict <> 'unverifiable'")
-    return v.groupBy("tool", "kind").agg(F.avg((F.col("verdict") == "referenced").cast("double")).alias("rate"), F.count("*").alias("n"))
+    """tool, kind, share of verifiable segments that are referenced, and numbers and characters of all and of those."""
+    v, hit = judged_segments.where("verdict <> 'unverifiable'"), F.col("verdict") == "referenced"
+    return v.groupBy("tool", "kind").agg(F.avg(hit.cast("double")).alias("rate"), F.count("*").alias("n"), F.count_if(hit).alias("n_ref"), F.sum("chars").alias("chars"), F.sum(F.when(hit, F.col("chars")).otherwise(0)).alias("chars_ref"))
 
 
 def caps(judged_segments: DataFrame) -> DataFrame:
-    """tool, p50, p90, cap of referenced segments per call; the cap is p90, at least 1."""
-    n = judged_segments.groupBy("tool", "task", "turn", "call").agg(F.count_if(F.col("verdict") == "referenced").alias("n"))
-    return nearest_index(n, "n", (0.5, 0.9), ("tool",)).withColumn("cap", F.greatest(F.lit(1), F.col("p90")))
+    """tool, calls, p50, p90, most, cap: referenced segments of a call with verifiable ones; calls of one tool in a turn count as one. The cap is p90, at least 1."""
+    v = judged_segments.where("verdict <> 'unverifiable'")
+    n = written(v.groupBy("tool", "task", "turn").agg(F.count_if(F.col("verdict") == "referenced").alias("n")))
+    most = n.groupBy("tool").agg(F.count("*").alias("calls"), F.max("n").alias("most"))
+    return nearest_index(n, "n", (0.5, 0.9), ("tool",)).join(most, "tool").withColumn("cap", F.greatest(F.lit(1), F.col("p90")))
 
 
 HEAD_CHARS = 500

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.places import quantile, ranked
+from plumbline.operators.places import placed, quantile, ranked
 from plumbline.shared import written
 
 
@@ -116,35 +116,45 @@ def _numeric(rows: DataFrame, spec: Spec) -> DataFrame:
     return x.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("grp").isNotNull())
 
 
-def outliers(rows: DataFrame, spec: Spec, fence: float = 1.5, least: int = 20) -> DataFrame:
-    """Share outside Tukey's fences in the worst group; exact, linear quartiles."""
-    x = _numeric(rows, spec)
-    q = ranked(x, "value", ("grp", "name")).where(F.col("n") >= least).groupBy("grp", "name").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+def outliers(rows: DataFrame, spec: Spec, fence: float = 1.5, least: int = 20, numbers: DataFrame | None = None) -> DataFrame:
+    """Share outside Tukey's fences in the worst group; exact, linear quartiles. numbers: what _numeric gives, where it was written.
+
+    Values are counted once; quartiles and the share outside both come from the counts.
+    """
+    x = _numeric(rows, spec) if numbers is None else numbers
+    counts = written(x.groupBy("grp", "name", F.col("value").alias("v")).agg(F.count("*").alias("c")))
+    q = placed(counts, ("grp", "name")).where(F.col("n") >= least).groupBy("grp", "name").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
     width = F.col("q3") - F.col("q1")
-    outside = ((F.col("value") < F.col("q1") - fence * width) | (F.col("value") > F.col("q3") + fence * width)) & (width > 0)
-    worst = x.join(q, ["grp", "name"]).groupBy("grp", "name").agg(F.avg(outside.cast("double")).alias("rate")).groupBy("name").agg(F.max("rate").alias("rate"))
+    outside = ((F.col("v") < F.col("q1") - fence * width) | (F.col("v") > F.col("q3") + fence * width)) & (width > 0)
+    rate = F.sum(F.when(outside, F.col("c")).otherwise(0)) / F.sum("c")
+    worst = counts.join(q, ["grp", "name"]).groupBy("grp", "name").agg(rate.alias("rate")).groupBy("name").agg(F.max("rate").alias("rate"))
     hit = worst.where(F.col("rate") > spec.outliers)
     return hit.select(F.lit("outlier").alias("probe"), F.col("name").alias("column"), F.concat(F.lit("outlier_rate::"), F.col("name")).alias("metric"), F.col("rate").alias("value"), F.lit(spec.outliers).alias("threshold"), F.lit("P2").alias("severity"))
 
 
-def level_shift(rows: DataFrame, spec: Spec, up: float = 3.0, recent: float = 0.2, history: int = 20, order: str | None = None) -> DataFrame:
-    """Mean of the latest fifth over the mean of the rows before, in the worst group."""
+def level_shift(rows: DataFrame, spec: Spec, up: float = 3.0, recent: float = 0.2, history: int = 20, numbers: DataFrame | None = None) -> DataFrame:
+    """Mean of the latest fifth over the mean of the rows before, in the worst group.
+
+    Rows are summed by time once; the edge and what lies before and behind it come from these sums, and only the rows of
+    the edge's own time are looked at again: the old ones among them are those with the smallest values.
+    """
     if not spec.time or spec.time not in rows.columns:
         return rows.sparkSession.createDataFrame([], SHAPE)
-    x = _numeric(rows, spec).where("ts is not null").withColumn("t", F.unix_micros("ts"))
     keys = ("grp", "name")
-    # the time of the last of the older rows, and how many of its rows are old: those with the smallest values
+    x = (_numeric(rows, spec) if numbers is None else numbers).where("ts is not null").withColumn("t", F.unix_micros("ts"))
+    times = written(x.groupBy(*keys, "t").agg(F.count("*").alias("c"), F.sum("value").alias("s")))
     cut = F.floor(F.col("n") * (1 - recent))
-    edge = ranked(x, "t", keys).where(F.col("n") >= history + 5).where((cut > F.col("first")) & (cut <= F.col("last") + 1))
+    edge = placed(times.select(*keys, F.col("t").alias("v"), "c"), keys).where(F.col("n") >= history + 5).where((cut > F.col("first")) & (cut <= F.col("last") + 1))
     edge = written(edge.select(*keys, F.col("v").alias("edge"), "n", cut.alias("cut"), (cut - F.col("first")).alias("old_here")))
-    j = x.join(edge, list(keys))
-    apart = j.groupBy(*keys).agg(F.first("n").alias("rows"), F.first("cut").alias("cut"), F.sum(F.when(F.col("t") < F.col("edge"), F.col("value")).otherwise(0.0)).alias("before"), F.sum(F.when(F.col("t") > F.col("edge"), F.col("value")).otherwise(0.0)).alias("after"))
-    here = ranked(j.where("t = edge").select(*keys, "value"), "value", keys).join(edge.select(*keys, "old_here"), list(keys))
+    apart = times.join(edge, list(keys)).groupBy(*keys).agg(F.first("n").alias("rows"), F.first("cut").alias("cut"), F.sum(F.when(F.col("t") < F.col("edge"), F.col("s")).otherwise(0.0)).alias("before"), F.sum(F.when(F.col("t") > F.col("edge"), F.col("s")).otherwise(0.0)).alias("after"))
+    there = x.join(edge.select(*keys, F.col("edge").alias("t"), "old_here"), [*keys, "t"])
+    here = ranked(there, "value", keys).join(edge.select(*keys, "old_here"), list(keys))
     olds = F.greatest(F.lit(0), F.least(F.col("c"), F.col("old_here") - F.col("first")))
     here = here.groupBy(*keys).agg(F.sum(F.col("v") * olds).alias("old_edge"), F.sum(F.col("v") * (F.col("c") - olds)).alias("new_edge"))
-    means = apart.join(here, list(keys)).select(*keys, "cut", ((F.col("after") + F.col("new_edge")) / (F.col("rows") - F.col("cut"))).alias("new"), ((F.col("before") + F.col("old_edge")) / F.col("cut")).alias("old"))
+    means = apart.join(here, list(keys)).select(*keys, "cut", ((F.col("after") + F.col("new_edge")) / F.nullif(F.col("rows") - F.col("cut"), F.lit(0))).alias("new"), ((F.col("before") + F.col("old_edge")) / F.nullif(F.col("cut"), F.lit(0))).alias("old"))
     ratio = means.where((F.col("cut") >= history) & (F.col("old") > 0)).withColumn("ratio", F.col("new") / F.col("old")).where((F.col("ratio") >= up) | (F.col("ratio") <= 1 / up))
-    worst = ratio.groupBy("name").agg(F.max_by("ratio", F.greatest("ratio", 1 / F.col("ratio"))).alias("ratio"))
+    away = F.greatest("ratio", F.when(F.col("ratio") != 0, 1 / F.col("ratio")).otherwise(F.lit(float("inf"))))
+    worst = ratio.groupBy("name").agg(F.max_by("ratio", away).alias("ratio"))
     return worst.select(F.lit("outlier").alias("probe"), F.col("name").alias("column"), F.concat(F.lit("level_shift::"), F.col("name")).alias("metric"), F.bround("ratio", 4).alias("value"), F.lit(up).alias("threshold"), F.lit("P1").alias("severity"))
 
 
@@ -161,8 +171,9 @@ def skipped(spark, spec: Spec) -> DataFrame:
 
 
 def run(rows: DataFrame, spec: Spec, asof: Column) -> DataFrame:
-    """All generic findings; kinds, nulls and freshness by one pass."""
-    parts = [_columns(rows, spec), _told(rows, _kinds(rows, spec), _null_rates(rows, spec), _age(rows, spec, asof)), key_uniqueness(rows, spec), outliers(rows, spec), level_shift(rows, spec)]
+    """All generic findings; kinds, nulls and freshness by one pass, numbers written once for outliers and shifts."""
+    numbers = written(_numeric(rows, spec)) if any(c.kind == "numeric" and c.name in rows.columns for c in spec.columns) else None
+    parts = [_columns(rows, spec), _told(rows, _kinds(rows, spec), _null_rates(rows, spec), _age(rows, spec, asof)), key_uniqueness(rows, spec), *([outliers(rows, spec, numbers=numbers), level_shift(rows, spec, numbers=numbers)] if numbers is not None else [])]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -179,10 +190,12 @@ def infer(rows: DataFrame, sample: int = 50) -> DataFrame:
         else:
             fixed.append((name, "text"))
     out = rows.sparkSession.createDataFrame(fixed, "column string, kind string")
-    for name in strings:
-        x = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("v")).limit(sample)
-        s = x.agg(F.count("*").alias("n"), F.avg(F.expr("try_cast(v as double)").isNotNull().cast("double")).alias("num"), F.avg((F.expr("try_cast(v as timestamp)").isNotNull() & (F.length("v") >= 8)).cast("double")).alias("day"))
-        total = rows.agg(F.count_distinct(name).alias("kinds"), F.count(name).alias("all"))
-        kind = F.when(F.col("n") == 0, "text").when(F.col("num") >= 0.9, "numeric").when(F.col("day") >= 0.9, "datetime").when(F.col("kinds") <= F.greatest(F.lit(20), F.col("all") / 10), "categorical").otherwise("text")
-        out = out.union(s.crossJoin(total).select(F.lit(name).alias("column"), kind.alias("kind")))
-    return out
+    if not strings:
+        return out
+    parses = {"num": lambda v: F.expr(f"try_cast({v} as double)").isNotNull(), "day": lambda v: F.expr(f"try_cast({v} as timestamp)").isNotNull() & F.expr(f"length({v}) >= 8")}
+    whole = rows.agg(*[x for i, c in enumerate(strings) for x in (F.count_distinct(c).alias(f"kinds_{i}"), F.count(c).alias(f"all_{i}"))])
+    heads = reduce(DataFrame.unionByName, [rows.where(F.col(c).isNotNull()).select(F.lit(i).alias("i"), F.col(c).alias("v")).limit(sample) for i, c in enumerate(strings)])
+    told = heads.groupBy("i").agg(F.count("*").alias("n"), *[F.avg(of("v").cast("double")).alias(name) for name, of in parses.items()])
+    totals = whole.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"kinds_{i}").alias("kinds"), F.col(f"all_{i}").alias("all")) for i, c in enumerate(strings)])).alias("x")).select("x.*")
+    kind = F.when(F.coalesce("n", F.lit(0)) == 0, "text").when(F.col("num") >= 0.9, "numeric").when(F.col("day") >= 0.9, "datetime").when(F.col("kinds") <= F.greatest(F.lit(20), F.col("all") / 10), "categorical").otherwise("text")
+    return out.union(totals.join(told, "i", "left").select("column", kind.alias("kind")))

@@ -6,29 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of values in which places are counted.
-RANGES = 256
+from plumbline.shared import written
+
+#: Distinct values that one task brings into order, about.
+RANGE = 1_000_000
 
 
 def ranked(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, v, c, first, last, n: each distinct value with its count, its first and last place (from 0) and the rows of its key; null values don't count.
+    """keys, v, c, first, last, n: each distinct value with its count, its first and last place (from 0) and the rows of its key; null values don't count."""
+    k = [F.col(c) for c in keys]
+    return placed(rows.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).alias("v")).agg(F.count("*").alias("c")), keys)
+
 
-    Equal values are counted first. A sketch of the distinct values of a key cuts them into ranges of
-    about equal size; places then follow from sums over ranges and from sums within a range.
+def placed(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same from counted values (keys, v, c; each once).
+
+    More than RANGE values are cut into ranges of about that many; places then follow from sums over ranges and from sums
+    within a range, so no task orders a key that is larger.
     """
-    k = [F.col(c) for c in keys]
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cuts = F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10_000)
-    ends = counts.groupBy(*k).agg(cuts.alias("_cuts"), F.sum("c").alias("n"))
-    ends = ends.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], "_cuts", "n")
-    both = counts.join(ends, [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(keys)]) if keys else counts.crossJoin(F.broadcast(ends))  # one row
-    placed = both.select(*k, "v", "c", "n", F.size(F.filter("_cuts", lambda x: x < F.col("v"))).alias("_range"))
-    sums = placed.groupBy(*k, "_range").agg(F.sum("c").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*(k or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    sums = sums.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(keys)], F.col("_range").alias("_of"), before.alias("_before"))
-    joined = placed.join(sums, [F.col("_range") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(keys)]])
+    counts = written(counts)
+    ranges = counts.count() // RANGE + 1
+    k = [F.col(c) for c in keys] or [F.lit(0)]
+    whole = W.partitionBy(*k)
+    if ranges == 1:
+        last = F.sum("c").over(whole.orderBy("v")) - 1
+        return counts.withColumn("last", last).withColumn("n", F.sum("c").over(whole)).select(*keys, "v", "c", (F.col("last") - F.col("c") + 1).alias("first"), "last", "n")
+    dealt = written(counts.repartitionByRange(ranges, *keys, "v").withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("c").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sums = sums.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(keys)], F.col("_range").alias("_of"), before.alias("_before"), F.sum("_sum").over(whole).alias("n"))
+    joined = dealt.join(sums, [F.col("_range") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(keys)]])
     upto = F.col("_before") + F.sum("c").over(W.partitionBy(*k, "_range").orderBy("v"))
-    return joined.withColumn("last", upto - 1).select(*k, "v", "c", (F.col("last") - F.col("c") + 1).alias("first"), "last", "n")
+    return joined.withColumn("last", upto - 1).select(*keys, "v", "c", (F.col("last") - F.col("c") + 1).alias("first"), "last", "n")
 
 
 def value_at(place: Column) -> Column:

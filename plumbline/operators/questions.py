@@ -71,10 +71,16 @@ def guarded(questions: DataFrame, suspensions: DataFrame, calendar: DataFrame, u
 
 
 def trap_scores(answers: DataFrame, expected: DataFrame) -> DataFrame:
-    """tp, fp, fn, tn of flagged against expected, with recall, specificity and precision."""
+    """tp, fp, fn, tn of flagged (answers: q_id, flag, message) against expected (q_id, trap, must_mention), with recall, specificity and precision, and how many say all that they must.
+
+    An answer that must mention nothing is right if it isn't flagged.
+    """
     j = expected.join(answers, "q_id", "left")
     got = F.coalesce(F.col("flag") != "none", F.lit(False))
-    out = j.agg(F.count_if(got & F.col("trap")).alias("tp"), F.count_if(got & ~F.col("trap")).alias("fp"), F.count_if(~got & F.col("trap")).alias("fn"), F.count_if(~got & ~F.col("trap")).alias("tn"))
+    must = F.coalesce("must_mention", F.expr("array()").cast("array<string>"))
+    said = F.forall(must, lambda m: F.contains(F.coalesce("message", F.lit("")), m))
+    right = F.when(F.size(must) > 0, said).otherwise(~got)
+    out = j.agg(F.count_if(got & F.col("trap")).alias("tp"), F.count_if(got & ~F.col("trap")).alias("fp"), F.count_if(~got & F.col("trap")).alias("fn"), F.count_if(~got & ~F.col("trap")).alias("tn"), F.count_if(right).alias("right"), F.round(F.avg(right.cast("double")), 6).alias("correction"))
     rate = lambda a, b: F.round(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)), 6)
     return out.withColumn("recall", rate("tp", "fn")).withColumn("specificity", rate("tn", "fp")).withColumn("precision", rate("tp", "fp"))
 

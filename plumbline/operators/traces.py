@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Words by which a description says that a value has a default, or may be left out.
-CLAIMS_VALUE = ("default", "defaults to")
-CLAIMS_OPTIONAL = ("optional", "if not provided", "if omitted")
+CLAIMS_VALUE = ("default", "默认值", "缺省")
+CLAIMS_OPTIONAL = ("optional", "可选", "if not provided")
 CLAIMED_NUMBER = r"default\s*(?:is|value\s+is|=|:)?\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
 # What becomes of a sample, by category.
 VERDICTS = {
@@ -175,11 +175,15 @@ def training_example(record: Column, query: Column, answers: Column, tools: Colu
     return F.to_json(F.struct(record.alias("id"), F.array(user, said).alias("messages"), tools.alias("tools")))
 
 
-def defect_tally(steps: DataFrame) -> DataFrame:
-    """kind, tool, param, hits, first_detail and up to three sample records of schema-side issues, most hits first by sorting on read."""
+def defect_tally(steps: DataFrame, samples: int = 3) -> DataFrame:
+    """kind, tool, param, hits, first_detail and samples (up to three distinct records, the smallest) of schema-side issues, most hits first by sorting on read."""
     x = steps.where("status = 'error'").select("record", "name", F.explode(F.split("error", "; ")).alias("issue"))
     x = x.withColumn("kind", F.split("issue", ":")[0]).withColumn("param", F.split("issue", ":")[1]).where(F.col("kind").isin("misplaced", "contradiction_value", "contradiction_optional"))
-    return x.groupBy("kind", F.col("name").alias("tool"), "param").agg(F.count("*").alias("hits"), F.min_by("issue", "record").alias("first_detail"), F.min("record").alias("first_record"))
+    key = ["kind", "name", "param"]
+    each = x.groupBy(*key, "record").agg(F.count("*").alias("n"), F.min("issue").alias("issue"))
+    total = each.groupBy(*key).agg(F.sum("n").alias("hits"), F.min_by("issue", "record").alias("first_detail"))
+    first = each.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("record"))).where(F.col("r") <= samples).groupBy(*key).agg(F.array_sort(F.collect_list("record")).alias("samples"))
+    return total.join(first, key).withColumnRenamed("name", "tool")
 
 
 def filtered(calls: DataFrame, params: DataFrame, strict: bool = True) -> DataFrame:

@@ -118,12 +118,23 @@ def _(t):
     return r.select(F.round("total", 6).alias("total"), "turns", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
 
 
-TOOLS = tuple((n, "d" * (10 + i)) for i, n in enumerate(("list_files", "read_file", "search_code", "get_signature", "run_tests", "write_file")))
+# Lists of tools from brands and types of parts, their definitions a part's; turns say how long the list was that they carried: the one of size 7.
+LISTS = """tl AS (SELECT 's' || p_size AS name, p_type AS tool, '{"name": "' || p_type || '", "n": ' || count(*) || '}' AS definition FROM part WHERE p_size IN (5, 7, 9) GROUP BY p_size, p_type),
+td AS (SELECT * FROM tl UNION ALL SELECT DISTINCT name, 'read_file', '{"name": "read_file"}' FROM tl), sz AS (SELECT name, sum(length(definition)) + 2 * count(*) AS chars FROM td GROUP BY 1),
+tn AS (SELECT tu.* REPLACE ((SELECT chars FROM sz WHERE name = 's7') AS tools_chars) FROM tu), of AS (SELECT * FROM td WHERE name = (SELECT min(name) FROM sz WHERE chars IN (SELECT tools_chars FROM tn)))"""
 
 
-@query("q131_uncalled_tools", f"WITH {CALLS}, tl AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in TOOLS) + ") AS x(tool, definition)), i AS (SELECT * FROM tl WHERE tool NOT IN (SELECT tool FROM ca)) SELECT count(*) AS tools, coalesce(sum(length(definition)), 0)::BIGINT AS chars, (SELECT count(*) FROM tu) AS turns, (coalesce(sum(length(definition)), 0) * (SELECT count(*) FROM tu))::BIGINT AS saving FROM i")
+def lists(t):
+    p = t.part.where("p_size in (5, 7, 9)").groupBy(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("tool")).agg(F.count("*").alias("n"))
+    rows = p.select("name", "tool", F.concat(F.lit('{"name": "'), "tool", F.lit('", "n": '), F.col("n").cast("string"), F.lit("}")).alias("definition"))
+    return rows.unionByName(p.select("name", F.lit("read_file").alias("tool"), F.lit('{"name": "read_file"}').alias("definition")).distinct())
+
+
+@query("q131_uncalled_tools", f"WITH {CALLS}, {LISTS}, i AS (SELECT * FROM of WHERE tool NOT IN (SELECT tool FROM ca)) SELECT count(*) AS tools, coalesce(sum(length(definition)), 0)::BIGINT AS chars, coalesce(string_agg(tool, ',' ORDER BY tool), '') AS names, (SELECT count(*) FROM tu) AS turns, (coalesce(sum(length(definition)), 0) * (SELECT count(*) FROM tu))::BIGINT AS saving FROM i")
 def _(t):
-    return cost.uncalled_tools(t.spark.createDataFrame(list(TOOLS), "tool string, definition string"), calls(t), turns(t))
+    size = lists(t).where("name = 's7'").agg((F.sum(F.length("definition")) + 2 * F.count("*")).alias("tools_chars"))
+    carried = turns(t).drop("tools_chars").crossJoin(F.broadcast(size))  # one row
+    return cost.uncalled_tools(cost.offered(lists(t), carried), calls(t), turns(t))
 
 
 LEFT = "lf AS (SELECT ju.*, greatest(0, (SELECT max(turn) FROM tu WHERE tu.task = ju.task) - turn) AS rest FROM ju)"
@@ -160,13 +171,23 @@ def sign_p(k, n):
 
 @query("q135_paired_arms", f"WITH {ARMS}, j AS (SELECT aa.tokens AS a, bb.tokens AS b FROM aa FULL JOIN bb USING (task)) SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS pairs, (sum(a) FILTER (b IS NOT NULL))::BIGINT AS before, (sum(b) FILTER (a IS NOT NULL))::BIGINT AS after, count(*) FILTER (b < a) AS cheaper, count(*) FILTER (b > a) AS dearer, count(*) FILTER (a = b) AS equal, count(*) FILTER (a IS NULL OR b IS NULL) AS unpaired FROM j")
 def _(t):
-    return cost.paired(arm(t, 0), arm(t, 1), "tokens").drop("p")
+    return cost.paired(arm(t, 0), arm(t, 1), "tokens").drop("p", "p_one_sided", "resolution")
+
+
+GRADED = "gr AS (SELECT 'a' || (o_orderkey % 3) AS arm, o_custkey AS task, sum(o_orderkey % 100)::BIGINT AS tokens, bool_or(o_orderstatus = 'F') AS hit, bool_or(o_orderstatus = 'O') AS clean FROM orders GROUP BY 1, 2)"
+
 
+def graded(t):
+    return t.orders.groupBy(F.concat(F.lit("a"), (F.col("o_orderkey") % 3).cast("string")).alias("arm"), F.col("o_custkey").alias("task")).agg(F.sum(F.col("o_orderkey") % 100).alias("tokens"), F.bool_or(F.col("o_orderstatus") == "F").alias("hit"), F.bool_or(F.col("o_orderstatus") == "O").alias("clean"))
 
-@query("q136_sign_test", f"WITH {ARMS}, j AS (SELECT count(*) FILTER (bb.tokens < aa.tokens) AS k, count(*) FILTER (bb.tokens <> aa.tokens) AS n FROM aa JOIN bb USING (task)) SELECT k, n, round({sign_p('k', 'n')}, 6) AS p FROM j")
+
+# Users' tokens in both arms, and orders' customers whose two graded runs disagree.
+@query("q136_sign_test", f"WITH {ARMS}, {GRADED}, j AS (SELECT 'sign' AS test, count(*) FILTER (bb.tokens < aa.tokens) AS a, count(*) FILTER (bb.tokens > aa.tokens) AS b FROM aa JOIN bb USING (task) UNION ALL SELECT 'mcnemar ' || tier, a, b FROM (SELECT 'hit' AS tier, count(*) FILTER (x.hit AND NOT y.hit) AS a, count(*) FILTER (NOT x.hit AND y.hit) AS b FROM gr x JOIN gr y USING (task) WHERE x.arm = 'a0' AND y.arm = 'a1' UNION ALL SELECT 'clean', count(*) FILTER (x.clean AND NOT y.clean), count(*) FILTER (NOT x.clean AND y.clean) FROM gr x JOIN gr y USING (task) WHERE x.arm = 'a0' AND y.arm = 'a1'))"
+  f" SELECT test, a, a + b AS n, round({sign_p('a', '(a + b)')}, 6) AS p, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, b + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))) END, 6) AS p_one_sided, CASE WHEN a + b = 0 THEN 1.0 ELSE pow(2.0, 1 - (a + b)) END AS resolution FROM j")
 def _(t):
-    p = cost.paired(arm(t, 0), arm(t, 1), "tokens")
-    return p.select(F.col("cheaper").alias("k"), (F.col("cheaper") + F.col("dearer")).alias("n"), F.round("p", 6).alias("p"))
+    p = cost.paired(arm(t, 0), arm(t, 1), "tokens").select(F.lit("sign").alias("test"), F.col("cheaper").alias("a"), F.col("dearer").alias("b"), "p", "p_one_sided", "resolution")
+    q = cost.discordant(graded(t), "a0", "a1").select(F.concat(F.lit("mcnemar "), "tier"), F.col("only_a"), F.col("only_b"), "p", "p_one_sided", "resolution")
+    return p.union(q).select("test", "a", (F.col("a") + F.col("b")).alias("n"), F.round("p", 6).alias("p"), F.round("p_one_sided", 6).alias("p_one_sided"), "resolution")
 
 
 @query("q137_payload_drift", f"WITH {CALLS}, f AS (SELECT task, tool, args, arg_min(length(payload), turn) AS n FROM ca GROUP BY 1, 2, 3), b AS (SELECT task, tool, args, n + CASE WHEN task % 5 = 0 THEN 1 ELSE 0 END AS n FROM f WHERE task % 7 <> 0 UNION ALL SELECT task + 1000000, tool, args, n FROM f WHERE task % 11 = 0), j AS (SELECT f.n AS x, b.n AS y FROM f FULL JOIN b USING (task, tool, args)) SELECT CASE WHEN x IS NULL THEN 'only_b' WHEN y IS NULL THEN 'only_a' WHEN x = y THEN 'shared' ELSE 'drifted' END AS state, count(*) AS n FROM j GROUP BY 1")
@@ -184,16 +205,9 @@ def _(t):
     return cost.interaction(c, "v").drop("p").withColumn("mean", F.round("mean", 6))
 
 
-GRADED = "gr AS (SELECT 'a' || (o_orderkey % 3) AS arm, o_custkey AS task, sum(o_orderkey % 100)::BIGINT AS tokens, bool_or(o_orderstatus = 'F') AS hit, bool_or(o_orderstatus = 'O') AS clean FROM orders GROUP BY 1, 2)"
-
-
-def graded(t):
-    return t.orders.groupBy(F.concat(F.lit("a"), (F.col("o_orderkey") % 3).cast("string")).alias("arm"), F.col("o_custkey").alias("task")).agg(F.sum(F.col("o_orderkey") % 100).alias("tokens"), F.bool_or(F.col("o_orderstatus") == "F").alias("hit"), F.bool_or(F.col("o_orderstatus") == "O").alias("clean"))
-
-
 @query("q139_arm_table", f"WITH {GRADED}, j AS (SELECT x.hit AS xh, y.hit AS yh, x.clean AS xc, y.clean AS yc FROM gr x JOIN gr y USING (task) WHERE x.arm = 'a0' AND y.arm = 'a1') SELECT 'hit' AS tier, count(*) FILTER (xh AND NOT yh) AS only_a, count(*) FILTER (NOT xh AND yh) AS only_b FROM j UNION ALL SELECT 'clean', count(*) FILTER (xc AND NOT yc), count(*) FILTER (NOT xc AND yc) FROM j")
 def _(t):
-    return cost.discordant(graded(t), "a0", "a1").drop("p")
+    return cost.discordant(graded(t), "a0", "a1").drop("p", "p_one_sided", "resolution")
 
 
 @query("q140_setup_comparison", "SELECT o_orderkey AS key, unnest(['status', 'priority']) AS field, unnest([CASE WHEN o_orderkey % 5 = 0 THEN 'unverified' ELSE 'equal' END, CASE WHEN o_orderkey % 5 = 0 THEN 'unverified' WHEN o_orderkey % 4 = 0 THEN 'mismatch' ELSE 'equal' END]) AS state FROM orders")
@@ -208,17 +222,6 @@ def _(t):
     return cost.noise_floor(arm(t, 0), arm(t, 1), ["tokens"]).drop("p").withColumn("mean", F.round("mean", 6)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("q142_context_bill", f"WITH {CALLS} SELECT (SELECT count(*) FROM tu) AS turns, (SELECT sum(prompt_tokens)::BIGINT FROM tu) AS tokens, (SELECT sum(tools_chars)::BIGINT FROM tu) AS definition_chars, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars FROM ca")
-def _(t):
-    return cost.bill(turns(t), calls(t))
-
-
-@query("q143_reference_profile", f"{BASE}, n AS (SELECT tool, count(*) FILTER (verdict = 'referenced') AS n FROM ju GROUP BY tool, task, turn, call), p AS (SELECT tool, n, row_number() OVER (PARTITION BY tool ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY tool) AS m FROM n), q AS (SELECT tool, max(n) FILTER (i = round_even(0.5 * (m - 1), 0)) AS p50, max(n) FILTER (i = round_even(0.9 * (m - 1), 0)) AS p90 FROM p GROUP BY 1), f AS (SELECT tool, kind, round(avg((verdict = 'referenced')::INT), 6) AS rate FROM ju WHERE verdict <> 'unverifiable' GROUP BY 1, 2) SELECT q.*, greatest(1, p90) AS cap, kind, rate FROM q LEFT JOIN f USING (tool)")
-def _(t):
-    j = judged(t)
-    return cost.caps(j).join(cost.reference_profile(j).select("tool", "kind", F.round("rate", 6).alias("rate")), "tool", "left")
-
-
 # Each tool but search has a cap; parts beyond it lie behind one another, so one line stands for them where the last of them ended.
 COMPACT = f"""{CALLS}, {SEGS}, po AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'head' WHEN 1 THEN 'cap' WHEN 2 THEN 'hint' ELSE 'cap' END AS policy, CASE tool WHEN 'list_files' THEN 2 WHEN 'read_file' THEN 1 END AS cap FROM ca),
 ns AS (SELECT task, turn, count(*) AS n FROM sg GROUP BY 1, 2), pl AS (SELECT po.*, coalesce(n, 0) AS n FROM po LEFT JOIN ns USING (task, turn)),
@@ -242,6 +245,20 @@ def _(t):
     return compacted(t).select("task", "turn", F.col("text").alias("compact"), "applied", *[F.col(c).cast("long").alias(c) for c in ("chars_before", "chars_after")])
 
 
+@query("q142_context_bill", f"WITH {COMPACT}, k AS (SELECT tool, result_code, count(*) AS n FROM ca GROUP BY 1, 2), c AS (SELECT tool, string_agg(result_code || '=' || n, ',' ORDER BY result_code) AS codes FROM k GROUP BY 1) SELECT 'all' AS tool, count(*) AS calls, sum(length(payload))::BIGINT AS payload_chars, sum(length(coalesce(shorter, payload)))::BIGINT AS compacted_chars, NULL AS codes, NULL::DOUBLE AS avg_chars, (SELECT count(*) FROM tu) AS turns, (SELECT sum(prompt_tokens)::BIGINT FROM tu) AS tokens, (SELECT sum(tools_chars)::BIGINT FROM tu) AS definition_chars FROM rs UNION ALL SELECT tool, count(*), sum(length(payload))::BIGINT, NULL, any_value(codes), round_even(sum(length(payload)) / count(*), 1), NULL, NULL, NULL FROM ca JOIN c USING (tool) GROUP BY 1")
+def _(t):
+    c = calls(t).join(compacted(t).select("task", "turn", "text"), ["task", "turn"])
+    whole = cost.bill(turns(t), c).withColumn("tool", F.lit("all")).drop("saved_chars")
+    tools = cost.tool_bill(calls(t)).withColumn("codes", F.array_join(F.transform(F.map_entries("codes"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+    return whole.unionByName(tools, allowMissingColumns=True)
+
+
+@query("q143_reference_profile", f"{BASE}, n AS (SELECT tool, count(*) FILTER (verdict = 'referenced') AS n FROM ju WHERE verdict <> 'unverifiable' GROUP BY tool, task, turn), p AS (SELECT tool, n, row_number() OVER (PARTITION BY tool ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY tool) AS m FROM n), q AS (SELECT tool, any_value(m) AS calls, max(n) FILTER (i = round_even(0.5 * (m - 1), 0)) AS p50, max(n) FILTER (i = round_even(0.9 * (m - 1), 0)) AS p90, max(n) AS most FROM p GROUP BY 1), f AS (SELECT tool, kind, round(avg((verdict = 'referenced')::INT), 6) AS rate, count(*) AS n, count(*) FILTER (verdict = 'referenced') AS n_ref, sum(chars)::BIGINT AS chars, coalesce(sum(chars) FILTER (verdict = 'referenced'), 0)::BIGINT AS chars_ref FROM ju WHERE verdict <> 'unverifiable' GROUP BY 1, 2) SELECT q.*, greatest(1, p90) AS cap, kind, rate, n, n_ref, chars, chars_ref FROM q LEFT JOIN f USING (tool)")
+def _(t):
+    j = judged(t)
+    return cost.caps(j).join(cost.reference_profile(j).withColumn("rate", F.round("rate", 6)), "tool", "left")
+
+
 GRADE = "CASE WHEN regexp_replace(lower(text), '\\s+', '', 'g') = '' THEN 'empty' WHEN conv_id % 17 = 0 THEN 'leaked' WHEN conv_id % 7 = 0 THEN 'no_lookup' WHEN NOT (contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'the') OR contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'der')) OR NOT contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'in') THEN 'missing_fact' ELSE 'ok' END"
 
 

@@ -11,7 +11,7 @@ from plumbline.operators.intervals import overlapping
 from plumbline.plans.inputs import ASOF, SERIES, series, suspensions
 from plumbline.plans.registry import query
 from plumbline.shared import written
-from plumbline.plans.series_queries import COMPLETE, DEPTH, DRIFT, DRIFT_CTE, FAULTY, FRESH, ISLANDS, NULLED, RAW, SHORT, UNIQUE, VALID, S, calendar, day, faulty, limits, nulled, raw, short
+from plumbline.plans.series_queries import COMPLETE, DEPTH, DRIFT, DRIFT_CTE, FAULTY, FRESH, ISLANDS, NULLED, RAW, SHORT, UNIQUE, VALID, D, S, calendar, day, faulty, generic_probes, later_day, limits, nulled, outlier_sql, raw, shift_sql, short
 
 ONE = "1998-06-15"
 LO, HI = "1997-03-03", "1999-10-29"
@@ -379,11 +379,12 @@ def _(t):
     return badges.replay(expected, d).select("symbol", "start", "end", "ok")
 
 
-@query("q097_market_facts", f"""WITH s AS ({SERIES}), {FAULTY}, a AS (SELECT s.symbol, s.date, s.amount, x.pct_chg FROM s JOIN x USING (symbol, date) WHERE s.date = (SELECT max(date) FROM s))
-SELECT 'pct_chg' AS fact, row_number() OVER (ORDER BY pct_chg DESC, symbol) AS rank, symbol, round(pct_chg::DOUBLE, 2) AS value FROM a WHERE pct_chg IS NOT NULL QUALIFY rank <= 3
-UNION ALL SELECT 'amount', row_number() OVER (ORDER BY amount DESC, symbol) AS r, symbol, round(amount::DOUBLE, 2) FROM a WHERE amount IS NOT NULL QUALIFY r <= 3""")
+@query("q097_market_facts", f"""WITH s AS ({SERIES}), {FAULTY}, a AS (SELECT s.symbol, s.date, s.amount, x.close, x.pct_chg FROM s JOIN x USING (symbol, date) WHERE s.date = (SELECT max(date) FROM s))
+SELECT 'pct_chg' AS fact, row_number() OVER (ORDER BY pct_chg DESC, symbol) AS rank, symbol, round(pct_chg::DOUBLE, 2) AS value, round(close::DOUBLE, 2) AS close FROM a WHERE pct_chg IS NOT NULL QUALIFY rank <= 3
+UNION ALL SELECT 'amount', row_number() OVER (ORDER BY amount DESC, symbol) AS r, symbol, round(amount::DOUBLE, 2), NULL FROM a WHERE amount IS NOT NULL QUALIFY r <= 3
+UNION ALL SELECT 'symbols', 1, NULL, count(DISTINCT symbol)::DOUBLE, NULL FROM a UNION ALL SELECT 'days', 1, NULL, count(DISTINCT date)::DOUBLE, NULL FROM s""")
 def _(t):
-    return badges.market_facts(faulty(t)).withColumn("value", F.round("value", 2))
+    return badges.market_facts(faulty(t)).withColumn("value", F.round("value", 2)).withColumn("close", F.round("close", 2))
 
 
 @query("q098_cited_number_review", r"""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'total ' || o_custkey || '.5 [badge:orders.total]' WHEN 1 THEN 'total ' || o_custkey || '.5' WHEN 2 THEN 'on 1998-01-02 we had ' || o_custkey || ' rows' ELSE 'share ' || o_custkey || '% [badge:orders.none]' END AS line FROM orders)
@@ -439,11 +440,16 @@ def _(t):
     return answered(t)
 
 
-@query("q103_trap_evaluation", f"""{GUARD}, e AS (SELECT flag <> 'none' AS got, q_id % 7 = 0 OR flag <> 'none' AS trap FROM gd), n AS (SELECT count(*) FILTER (got AND trap) AS tp, count(*) FILTER (got AND NOT trap) AS fp, count(*) FILTER (NOT got AND trap) AS fn, count(*) FILTER (NOT got AND NOT trap) AS tn FROM e)
-SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fp, 0), 6) AS precision FROM n""")
+# A message names the flag and the lag; questions of every fifth order want "1 days", all others the kind of trap if there is one.
+@query("q103_trap_evaluation", f"""{GUARD}, ms AS (SELECT q_id, flag, flag || ': ' || coalesce((CASE WHEN flag = 'stale_price' THEN (SELECT count(*) FROM c WHERE c.date > used AND c.date <= "end") END)::VARCHAR, 'no') || ' days' AS message FROM gd),
+e AS (SELECT flag <> 'none' AS got, q_id % 7 = 0 OR flag <> 'none' AS trap, CASE WHEN q_id % 7 <> 0 AND flag = 'none' THEN NOT (flag <> 'none') WHEN q_id % 5 = 0 THEN contains(message, '1 days') AND contains(message, 'price') ELSE contains(message, '_') END AS fine FROM ms),
+n AS (SELECT count(*) FILTER (got AND trap) AS tp, count(*) FILTER (got AND NOT trap) AS fp, count(*) FILTER (NOT got AND trap) AS fn, count(*) FILTER (NOT got AND NOT trap) AS tn, count(*) FILTER (fine) AS "right", round(avg(fine::INT), 6) AS correction FROM e)
+SELECT tp, fp, fn, tn, "right", correction, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fp, 0), 6) AS precision FROM n""")
 def _(t):
-    a = written(answered(t))
-    return questions.trap_scores(a, a.select("q_id", ((F.col("q_id") % 7 == 0) | (F.col("flag") != "none")).alias("trap")))
+    a = written(answered(t).withColumn("message", F.concat("flag", F.lit(": "), F.coalesce(F.col("lag").cast("string"), F.lit("no")), F.lit(" days"))))
+    trap = (F.col("q_id") % 7 == 0) | (F.col("flag") != "none")
+    must = F.when(~trap, F.expr("array()").cast("array<string>")).when(F.col("q_id") % 5 == 0, F.array(F.lit("1 days"), F.lit("price"))).otherwise(F.array(F.lit("_")))
+    return questions.trap_scores(a, a.select("q_id", trap.alias("trap"), must.alias("must_mention")))
 
 
 # Question texts of six forms; names stand in texts too.
@@ -476,14 +482,24 @@ def _(t):
     return questions.slot_diff(parsed(t), asked(t), ["symbol", "intent", "start"])
 
 
-# The flagship: may the columns of lineitem be quoted?
-@query("q088_badge_board", """WITH n AS (SELECT count(*) > 0 AS dup FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)), cols AS (SELECT unnest(['l_orderkey', 'l_linenumber', 'l_extendedprice', 'l_quantity', 'l_shipdate', 'l_returnflag']) AS "column")
-SELECT 'lineitem' AS table_name, "column", CASE WHEN dup THEN 'unusable' WHEN "column" = 'l_shipdate' THEN 'caution' ELSE 'baseline' END AS level FROM n, cols""")
-def _(t):
-    from plumbline.plans.series_queries import D, generic_probes, later_day
+# The flagship: may the columns of lineitem be quoted? Every finding of every probe is computed from the rows; a P0 makes unusable, any other caution.
+NUMBERS = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+LINE_COLUMNS = (*NUMBERS, "l_shipdate", "l_returnflag")
+_rate = lambda c, kind: f"avg((try_cast({c} AS {kind}) IS NULL)::INT) FILTER ({c} IS NOT NULL)"
+BOARD = f"""WITH cols AS (SELECT unnest({list(LINE_COLUMNS)}) AS "column"), li AS (SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 AND l_returnflag = 'N' THEN l_extendedprice * 40 ELSE l_extendedprice END AS l_extendedprice, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity) FROM lineitem),
+one AS ({" UNION ALL ".join(f"SELECT '{c}' AS column, 'P1' AS severity FROM li HAVING avg(({c} IS NULL)::INT) > 0" for c in LINE_COLUMNS)} UNION ALL {" UNION ALL ".join(f"SELECT '{c}', 'P1' FROM li HAVING {_rate(c, 'DOUBLE')} > 0.01" for c in NUMBERS)}
+  UNION ALL SELECT 'l_shipdate', 'P1' FROM li HAVING {_rate('l_shipdate', 'TIMESTAMP')} > 0.01 UNION ALL SELECT '*', 'P0' FROM (SELECT count(*) AS n FROM li GROUP BY l_orderkey, l_linenumber) HAVING sum(n - 1) > 0
+  UNION ALL SELECT '*', 'P1' FROM li HAVING floor(epoch(TIMESTAMP '2002-06-29' - max(l_shipdate::TIMESTAMP)) / 86400) > 7 UNION ALL SELECT '*', 'P2' FROM li HAVING floor(epoch(TIMESTAMP '2002-06-29' - max(l_shipdate::TIMESTAMP)) / 86400) < 0),
+ol AS (WITH {{outliers}}), sh AS (WITH {{shifts}}), al AS (SELECT * FROM one UNION ALL SELECT "column", severity FROM ol UNION ALL SELECT "column", severity FROM sh)
+SELECT 'lineitem' AS table_name, cols."column", CASE WHEN bool_or(severity = 'P0') THEN 'unusable' WHEN count(severity) > 0 THEN 'caution' ELSE 'baseline' END AS level FROM cols LEFT JOIN al ON al.column = cols."column" OR al.column = '*' GROUP BY ALL""".replace(
+    "{outliers}", outlier_sql("li", "l_returnflag", NUMBERS, 0.05)).replace("{shifts}", shift_sql("li", "l_returnflag", "l_shipdate", NUMBERS))
+
 
+@query("q088_badge_board", BOARD)
+def _(t):
     spec = generic_probes.Spec("lineitem", tuple(D(c, k, False) for c, k in (("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("l_extendedprice", "numeric"), ("l_quantity", "numeric"), ("l_shipdate", "datetime"), ("l_returnflag", "text"))), ("l_orderkey", "l_linenumber"), "l_shipdate", "l_returnflag")
-    rows = t.lineitem.select(*[c.name for c in spec.columns])
+    price = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_returnflag") == "N"), F.col("l_extendedprice") * 40).otherwise(F.col("l_extendedprice"))
+    rows = t.lineitem.withColumns({"l_extendedprice": price, "l_quantity": F.when(F.col("l_linenumber") % 7 != 0, F.col("l_quantity"))}).select(*[c.name for c in spec.columns])
     found = at.generic(generic_probes.run(rows, spec, later_day()), rules(t)).withColumn("table_name", F.lit("lineitem")).withColumn("suppressed", F.lit(False))
     observed = t.spark.createDataFrame([("lineitem", c.name) for c in spec.columns], "table_name string, column string")
     every = found.where(F.col("column") == "*").drop("column").join(F.broadcast(observed), "table_name")

@@ -275,9 +275,14 @@ SHIFTY = "SELECT event_id, ts, event_type, CASE WHEN event_type = 'click' AND ts
 SHIFT = generic_probes.Spec("events", (D("event_id", "numeric"), D("value", "numeric")), ("event_id",), "ts", "event_type")
 
 
-@query("q057_level_shift", f"""WITH e AS ({SHIFTY}), x AS (SELECT event_type AS g, 'value' AS name, ts, value::DOUBLE AS v FROM e UNION ALL SELECT event_type, 'event_id', ts, event_id FROM e),
-p AS (SELECT *, count(*) OVER (PARTITION BY g, name) AS n, row_number() OVER (PARTITION BY g, name ORDER BY ts, v) AS i FROM x), m AS (SELECT g, name, avg(v) FILTER (i > floor(n * 0.8)) / avg(v) FILTER (i <= floor(n * 0.8)) AS r FROM p WHERE n >= 25 GROUP BY g, name HAVING avg(v) FILTER (i <= floor(n * 0.8)) > 0 AND any_value(floor(n * 0.8)) >= 20)
-SELECT 'outlier' AS probe, name AS "column", 'level_shift::' || name AS metric, round(arg_max(r, greatest(r, 1 / r)), 3) AS value, 3.0::DOUBLE AS threshold, 'P1' AS severity FROM m WHERE r >= 3 OR r <= 1.0 / 3 GROUP BY name""")
+def shift_sql(table, group, time, columns):
+    parts = [f"SELECT {group} AS g, '{c}' AS name, {time} AS ts, {c}::DOUBLE AS v FROM {table} WHERE {c} IS NOT NULL AND {group} IS NOT NULL AND {time} IS NOT NULL" for c in columns]
+    return f"""sx AS ({" UNION ALL ".join(parts)}), sp AS (SELECT *, count(*) OVER (PARTITION BY g, name) AS n, row_number() OVER (PARTITION BY g, name ORDER BY ts, v) AS i FROM sx),
+sm AS (SELECT g, name, avg(v) FILTER (i > floor(n * 0.8)) / avg(v) FILTER (i <= floor(n * 0.8)) AS r FROM sp WHERE n >= 25 GROUP BY g, name HAVING avg(v) FILTER (i <= floor(n * 0.8)) > 0 AND any_value(floor(n * 0.8)) >= 20)
+SELECT 'outlier' AS probe, name AS "column", 'level_shift::' || name AS metric, round(arg_max(r, greatest(r, 1 / r)), 3) AS value, 3.0::DOUBLE AS threshold, 'P1' AS severity FROM sm WHERE r >= 3 OR r <= 1.0 / 3 GROUP BY name"""
+
+
+@query("q057_level_shift", f"WITH e AS ({SHIFTY}), {shift_sql('e', 'event_type', 'ts', ['value', 'event_id'])}")
 def _(t):
     e = t.events.select("event_id", "ts", "event_type", F.when((F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-25").cast("timestamp")), F.col("value") * 20).otherwise(F.col("value")).alias("value"))
     return generic_probes.level_shift(e, SHIFT).withColumn("value", F.round("value", 3))

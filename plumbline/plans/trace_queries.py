@@ -92,12 +92,22 @@ def _(t):
     return tr.summary(diagnosed(t))
 
 
-# Tool calls: two for each order.
+# Tool calls: two for each order. Specs that stand fixed, and one tool for each part brand, whose parameters and defaults come from its parts.
 PARAMS = (
-    ("t0", 1, "a", "the amount", None), ("t0", 1, "b", "the unit", "1"), ("t1", 1, "perm", "permittivity, default is 8.85e-12", None), ("t1", 1, "charge", "the charge", "8.85e-12"), ("t1", 1, "dist", "distance", "8.85e-12"),
-    ("t2", 1, "limit", "Rows to return. Defaults to 10", None), ("t3", 1, "note", "Optional remark", None), ("t4", 1, "x", "the x", None), ("t4", 2, "y", "the y", None),
+    ("t0", 1, "a", "the amount", None), ("t0", 1, "b", "the unit", "1"), ("t1", 1, "perm", "permittivity, default is 8.85e-12", None), ("t1", 1, "charge", "the charge", "8.85e-12"), ("t1", 1, "dist", "distance", "0.00000000000885"),
+    ("t2", 1, "limit", "Rows to return. Defaults to 10", None), ("t2", 1, "a", "返回条数，缺省 10", None), ("t3", 1, "note", "Optional remark", None), ("t3", 1, "x", "可选的备注", None), ("t4", 1, "x", "the x, 0 if omitted", None), ("t4", 2, "y", "the y", None),
 )
 PARAM_SQL = "pa AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s}, '{p}', '{d}', {f"'{v}'" if v else 'CAST(NULL AS VARCHAR)'})" for n, s, p, d, v in PARAMS) + ") AS x(name, spec_no, param, description, dflt))"
+# Each part is a parameter of its brand's tool; every third says in words which default it has, the others have one.
+BRAND_SQL = """bp AS (SELECT p_brand AS name, 1 AS spec_no, 'p' || p_partkey AS param, CASE WHEN p_partkey % 3 = 0 THEN 'size, default is ' || p_size || '.0' ELSE p_type END AS description, CASE WHEN p_partkey % 3 <> 0 THEN p_size::VARCHAR END AS dflt FROM part)"""
+
+
+def brand_params(t):
+    third = F.col("p_partkey") % 3 == 0
+    size = F.col("p_size").cast("string")
+    return t.part.select(F.col("p_brand").alias("name"), F.lit(1).alias("spec_no"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("param"), F.when(third, F.concat(F.lit("size, default is "), size, F.lit(".0"))).otherwise(F.col("p_type")).alias("description"), F.when(~third, size).alias("default"))
+
+
 CALLS = """ca AS (SELECT o_orderkey AS record, pos, 't' || (CASE WHEN pos = 2 AND o_orderkey % 9 = 0 THEN o_custkey ELSE o_custkey + pos - 1 END) % 6 AS name,
 CASE (CASE WHEN pos = 2 AND o_orderkey % 9 = 0 THEN o_orderkey ELSE o_orderkey + pos - 1 END) % 4 WHEN 0 THEN ['a'] WHEN 1 THEN ['x'] WHEN 2 THEN ['a', 'y'] ELSE ['limit', 'perm'] END AS keys FROM orders, (VALUES (1), (2)) AS p(pos))"""
 
@@ -117,13 +127,13 @@ def calls(t):
     return o.select(F.col("o_orderkey").alias("record"), "pos", F.concat(F.lit("t"), ((F.col("o_custkey") + shift) % 6).cast("string")).alias("name"), arguments.alias("arguments"))
 
 
-@query("q111_misplaced_defaults", f"WITH {PARAM_SQL} SELECT 't1' AS name, 1 AS spec_no, 'perm' AS param, 'charge/dist' AS holders, count(*) AS calls FROM orders, (VALUES (1), (2)) AS p(pos) WHERE (CASE WHEN pos = 2 AND o_orderkey % 9 = 0 THEN o_custkey ELSE o_custkey + pos - 1 END) % 6 = 1")
+@query("q111_misplaced_defaults", f"""WITH {PARAM_SQL}, {BRAND_SQL}, al AS (SELECT * FROM pa UNION ALL SELECT * FROM bp), w AS (SELECT *, regexp_extract(lower(description), 'default\\s*(?:is|value\\s+is|=|:)?\\s*([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)', 1) AS claimed FROM al WHERE dflt IS NULL)
+SELECT w.name, w.spec_no, w.param, w.claimed, string_agg(DISTINCT h.param, '/' ORDER BY h.param) AS holders FROM w JOIN al h ON h.name = w.name AND h.spec_no = w.spec_no AND h.param <> w.param AND h.dflt IS NOT NULL AND try_cast(h.dflt AS DOUBLE) = try_cast(w.claimed AS DOUBLE) WHERE w.claimed <> '' GROUP BY 1, 2, 3, 4""")
 def _(t):
-    m = tr.misplaced_defaults(params(t))
-    return calls(t).groupBy("name").agg(F.count("*").alias("calls")).join(m, "name").select("name", "spec_no", "param", "holders", "calls")
+    return tr.misplaced_defaults(params(t).unionByName(brand_params(t)))
 
 
-ISSUES = """iss AS (SELECT record, pos, spec_no, CASE WHEN pa.param = 'perm' THEN 'misplaced' WHEN description LIKE '%efault%' THEN 'contradiction_value' WHEN description LIKE 'Optional%' THEN 'contradiction_optional' ELSE 'missing' END AS kind, param FROM ca JOIN pa USING (name) WHERE dflt IS NULL AND NOT list_contains(keys, param)
+ISSUES = """iss AS (SELECT record, pos, spec_no, CASE WHEN pa.param = 'perm' THEN 'misplaced' WHEN regexp_matches(lower(description), 'default|默认值|缺省') THEN 'contradiction_value' WHEN regexp_matches(lower(description), 'optional|可选|if not provided') THEN 'contradiction_optional' ELSE 'missing' END AS kind, param FROM ca JOIN pa USING (name) WHERE dflt IS NULL AND NOT list_contains(keys, param)
 UNION ALL SELECT record, pos, spec_no, 'unknown', k FROM (SELECT record, pos, name, unnest(keys) AS k FROM ca) c JOIN (SELECT DISTINCT name, spec_no FROM pa) s USING (name) WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.name = c.name AND pa.spec_no = s.spec_no AND pa.param = k))"""
 
 
@@ -154,10 +164,10 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("record"), tr.training_example(F.col("o_orderkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), answers, F.lit("[]")).alias("example"))
 
 
-@query("q119_tool_defect_tally", f"""{CHECKED}, i AS (SELECT record, name, unnest(string_split(error, '; ')) AS issue FROM ste) SELECT string_split(issue, ':')[1] AS kind, name AS tool, string_split(issue, ':')[2] AS param, count(*) AS hits, arg_min(issue, record) AS first_detail, min(record) AS first_record
-FROM i WHERE issue LIKE 'misplaced%' OR issue LIKE 'contradiction%' GROUP BY 1, 2, 3""")
+@query("q119_tool_defect_tally", f"""{CHECKED}, i AS (SELECT record, name, unnest(string_split(error, '; ')) AS issue FROM ste), k AS (SELECT string_split(issue, ':')[1] AS kind, name AS tool, string_split(issue, ':')[2] AS param, record, issue FROM i WHERE issue LIKE 'misplaced%' OR issue LIKE 'contradiction%')
+SELECT kind, tool, param, count(*) AS hits, arg_min(issue, record) AS first_detail, array_to_string(list_sort(list(DISTINCT record))[1:3], ',') AS samples FROM k GROUP BY 1, 2, 3""")
 def _(t):
-    return tr.defect_tally(tr.record_steps(calls(t), params(t)))
+    return tr.defect_tally(tr.record_steps(calls(t), params(t))).withColumn("samples", F.array_join("samples", ","))
 
 
 FILTERED = """fl AS (SELECT record, count(*) AS n_calls, bool_or(error LIKE '%misplaced%' OR error LIKE '%contradiction%') AS sch, bool_or(error LIKE 'not_found%') AS nf, bool_or(error LIKE '%missing%') AS mi, bool_or(error LIKE '%unknown%') AS un, bool_or(error = 'duplicate call') AS du FROM ste GROUP BY 1),
