@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.intervals import overlapping
+
 from plumbline.operators.intervals import run_lengths
 
 
@@ -81,7 +83,7 @@ def filing_windows(names: DataFrame, filings: DataFrame) -> DataFrame:
     p = names.select("doc_name", F.regexp_extract("doc_name", r"^(.+)_(\d{4})(?:Q\d)?_([0-9A-Z]+)$", 1).alias("company"), F.expr(r"try_cast(regexp_extract(doc_name, '^(.+)_(\\d{4})(?:Q\\d)?_([0-9A-Z]+)$', 2) as int)").alias("year"), F.regexp_extract("doc_name", r"^(.+)_(\d{4})(?:Q\d)?_([0-9A-Z]+)$", 3).alias("form"))
     p = p.where("year is not null").withColumn("lo", F.make_date("year", F.lit(6), F.lit(1))).withColumn("hi", F.make_date(F.col("year") + 1, F.lit(5), F.lit(31)))
     f = filings.select(F.col("company").alias("f_company"), F.col("form").alias("f_form"), "report_date", "filing")
-    return p.join(f, (F.col("company") == F.col("f_company")) & (F.col("form") == F.col("f_form")) & F.col("report_date").between(F.col("lo"), F.col("hi"))).select("doc_name", "company", "year", "form", "report_date", "filing")
+    return overlapping(p, f, {"company": "f_company", "form": "f_form"}, ("lo", "hi"), ("report_date", "report_date"), width=366).select("doc_name", "company", "year", "form", "report_date", "filing")
 
 
 def blocks(docs: DataFrame, start: str, key: str = "doc_id", text: str = "text") -> DataFrame:

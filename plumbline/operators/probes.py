@@ -114,14 +114,26 @@ def history_depth(series: DataFrame, least: int = 30, table: str = "daily") -> D
     return _finding(rows, "history_depth", table, F.lit("history_trading_days"), F.col("n"), F.lit(least), F.lit("P2"))
 
 
-def union(*plans) -> DataFrame:
-    """All findings; a probe whose plan can't be built is left out (missing columns), the others stay."""
+def union(**plans) -> DataFrame:
+    """All findings of named probes (functions without arguments). One whose plan lacks a column gives a finding `skipped` that names it and says why; any other error is raised."""
     from pyspark.errors import AnalysisException
+    from pyspark.sql import SparkSession
 
-    out = []
-    for plan in plans:
+    out, lacking = [], []
+    for name, plan in plans.items():
         try:
             out.append(plan())
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if not str(e.getCondition()).startswith("UNRESOLVED_COLUMN"):
+                raise
+            lacking.append((name, str((e.getMessageParameters() or {}).get("objectName", "")).strip("`")))
+    if lacking:
+        rows = SparkSession.getActiveSession().createDataFrame(lacking, "table_name string, symbol string").withColumn("start", F.lit(None)).withColumn("end", F.lit(None))
+        out.append(_skipped(rows))
     return reduce(DataFrame.unionByName, out)
+
+
+def _skipped(rows: DataFrame) -> DataFrame:
+    """Findings for probes (table_name) that lack a column (symbol)."""
+    found = _finding(rows.withColumnRenamed("table_name", "_of"), "skipped", "", F.concat_ws("::", "_of", F.concat(F.lit("column_missing::"), F.col("symbol"))), F.lit(None), F.lit(None), F.lit("P2"))
+    return found.withColumn("symbol", F.lit(None).cast("string"))

@@ -212,10 +212,10 @@ def _(t):
     return flat(probes.history_depth(short(t)))
 
 
-@query("q051_probe_union", f"WITH {S}, {ISLANDS}, {SHORT}, {FAULTY}, raw AS ({RAW}) " + " UNION ALL ".join(shaped(x) for x in (FRESH, COMPLETE, UNIQUE, VALID, DEPTH)), "start end")
+@query("q051_probe_union", f"WITH {S}, {ISLANDS}, {SHORT}, {FAULTY}, raw AS ({RAW}) " + " UNION ALL ".join([*[shaped(x) for x in (FRESH, COMPLETE, UNIQUE, VALID, DEPTH)], shaped("SELECT 'skipped' AS probe, '' AS table_name, NULL::VARCHAR AS symbol, 'no_close::column_missing::close' AS metric, NULL::DATE AS start, NULL::DATE AS \"end\", NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, 'P2' AS severity")]), "start end")
 def _(t):
     s = series(t)
-    return flat(probes.union(lambda: probes.freshness(s, calendar(t), day()), lambda: probes.completeness(s, calendar(t), day()), lambda: probes.uniqueness({"raw": raw(t)}), lambda: probes.validity(faulty(t), limits(t)), lambda: probes.history_depth(short(t)), lambda: probes.validity(s.drop("close"), None)))
+    return flat(probes.union(fresh=lambda: probes.freshness(s, calendar(t), day()), complete=lambda: probes.completeness(s, calendar(t), day()), unique=lambda: probes.uniqueness({"raw": raw(t)}), valid=lambda: probes.validity(faulty(t), limits(t)), depth=lambda: probes.history_depth(short(t)), no_close=lambda: probes.unit_shift(s.drop("close"), "close")))
 
 
 # Generic probes.

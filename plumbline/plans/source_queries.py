@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import intervals, prepare
@@ -12,11 +14,19 @@ from plumbline.sources import io
 from plumbline.streaming import streams
 
 
-@query("q001_csv_scan", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, 'csv:supplier' AS source FROM supplier")
+# The same table in four dialects; names hold the delimiter, and one file has no header.
+CSV = {"comma": (",", '"', True), "semicolon": (";", '"', True), "tab,no_header": ("\t", '"', False), "bar,single": ("|", "'", True)}
+
+
+@query("q001_csv_scan", " UNION ALL ".join(f"SELECT s_suppkey, s_name || '{d} x' AS s_name, round(s_acctbal, 2) AS s_acctbal, 'csv:supplier:{n}' AS source FROM supplier" for n, (d, _, _) in CSV.items()))
 def _(t):
-    path = shared_folder(t.spark)
-    t.supplier.select("s_suppkey", "s_name", "s_acctbal").write.option("header", True).csv(path)
-    return io.scan_csv(t.spark, path, "s_suppkey long, s_name string, s_acctbal double", label="supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"), "source")
+    out = []
+    for delimiter, quote, header in CSV.values():
+        path = shared_folder(t.spark)
+        rows = t.supplier.select("s_suppkey", F.concat("s_name", F.lit(f"{delimiter} x")).alias("s_name"), "s_acctbal")
+        rows.write.option("header", header).option("sep", delimiter).option("quote", quote).csv(path)
+        out.append(io.scan_csv_sniffed(t.spark, path, "s_suppkey long, s_name string, s_acctbal double", label="supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"), "source"))
+    return reduce(lambda a, b: a.union(b), out)
 
 
 @query("q002_snapshot_with_seeds", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'nation', count(*) + 1 FROM nation UNION ALL SELECT 'customer', count(*) FROM customer")
@@ -28,8 +38,6 @@ def _(t):
 
 
 def _counts(s):
-    from functools import reduce
-
     return reduce(lambda a, b: a.union(b), [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, d in s.items()])
 
 
@@ -58,11 +66,11 @@ def _(t):
     return s.select("run_id", F.col("s.seq").alias("seq"), F.col("s.name").alias("name"), F.md5(F.col("s.arguments")["text"]).alias("text"), "schema_version")
 
 
-@query("q006_trace_sink", "SELECT count(DISTINCT conv_id) AS lines FROM conversations")
+@query("q006_trace_sink", "SELECT count(DISTINCT conv_id) AS lines, count(DISTINCT conv_id) AS told FROM conversations")
 def _(t):
     path = shared_folder(t.spark)
-    io.sink_traces(traces(t), path)
-    return t.spark.read.text(path).agg(F.count("*").alias("lines"))
+    told = io.sink_traces(traces(t), path)
+    return t.spark.read.text(path).agg(F.count("*").alias("lines"), F.lit(told).cast("long").alias("told"))
 
 
 @query("q007_tool_call_scan", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS answers, CASE WHEN o_orderkey % 5 <> 0 THEN 't' || (o_custkey % 6) END AS tool FROM orders")
@@ -115,9 +123,9 @@ def _(t):
     return f(good, "good").union(f(bad, "rejected"))
 
 
-@query("q012_question_validation", "SELECT o_orderkey // 2 AS qid, concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY o_orderkey // 2) > 1 THEN 'duplicate' END, CASE WHEN o_custkey % 3 = 0 THEN 'options' END, CASE WHEN o_custkey % 5 = 0 THEN 'gold' END) AS reasons FROM orders WHERE o_orderkey % 7 < 4")
+@query("q012_question_validation", "SELECT o_orderkey // 2 AS qid, concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY o_orderkey // 2) > 1 THEN 'duplicate' END, CASE WHEN o_custkey % 3 = 0 THEN 'options' END, CASE WHEN o_custkey % 5 = 0 THEN 'gold' END) AS reasons FROM orders")
 def _(t):
-    o = t.orders.where("o_orderkey % 7 < 4")
+    o = t.orders
     options = F.when(F.col("o_custkey") % 3 == 0, F.create_map(F.lit("A"), F.lit("x"))).otherwise(F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y")))
     q = o.select(F.floor(F.col("o_orderkey") / 2).alias("qid"), options.alias("options"), F.when(F.col("o_custkey") % 5 == 0, "a").otherwise("AB").alias("gold"), F.array(F.lit("d")).alias("doc_ids"))
     good, bad, _ = io.checked_questions(q, t.spark.createDataFrame([("d",)], "doc_id string"))
@@ -139,14 +147,17 @@ def _(t):
 
 @query("q015_run_lineage", "SELECT 'success' AS status, count(*) AS rows_written FROM orders UNION ALL SELECT 'failed', 0")
 def _(t):
-    good = io.tracked(t.spark, "table", "orders", lambda: t.orders.count())
-    return good.unionByName(io.tracked(t.spark, "table", "none", lambda: t.orders.select("no_such_column").count())).select("status", "rows_written")
+    load = lambda rows: lambda note: note(rows()).write.parquet(shared_folder(t.spark))
+    good = io.tracked(t.spark, "table", "orders", load(lambda: t.orders.select("o_orderkey")))
+    return good.unionByName(io.tracked(t.spark, "table", "none", load(lambda: t.orders.select("no_such_column")))).select("status", "rows_written")
 
 
-@query("q016_signal_history", "SELECT o_orderkey % 500 AS finding_key, 'm' || (o_orderkey % 2) AS metric, count(*) > 0 AS there FROM orders GROUP BY 1, 2")
+# Two days of signals; the second run of the second day has other values for some keys.
+@query("q016_signal_history", "WITH s AS (SELECT '2024-01-0' || (1 + o_orderkey % 2) AS \"asof\", o_custkey AS finding_key, o_orderpriority AS metric, max(o_orderkey) AS value FROM orders GROUP BY 1, 2, 3) SELECT \"asof\", finding_key, metric, CASE WHEN \"asof\" = '2024-01-02' AND finding_key % 3 = 0 THEN -value ELSE value END AS value FROM s")
 def _(t):
-    s = t.orders.select(F.lit("2024-01-01").alias("asof"), (F.col("o_orderkey") % 500).alias("finding_key"), F.concat(F.lit("m"), (F.col("o_orderkey") % 2).cast("string")).alias("metric"), F.lit(True).alias("there"))
-    return io.record_signals(io.record_signals(s.limit(0), s), s.where("finding_key < 100")).drop("asof")
+    s = t.orders.groupBy(F.concat(F.lit("2024-01-0"), (1 + F.col("o_orderkey") % 2).cast("string")).alias("asof"), F.col("o_custkey").alias("finding_key"), F.col("o_orderpriority").alias("metric")).agg(F.max("o_orderkey").alias("value"))
+    again = s.where("asof = '2024-01-02' and finding_key % 3 = 0").withColumn("value", -F.col("value"))
+    return io.record_signals(io.record_signals(s.limit(0), s), again.unionByName(again))
 
 
 VERDICTS = "CASE o_orderkey % 6 WHEN 0 THEN 'positive' WHEN 1 THEN 'review' WHEN 2 THEN 'discard' WHEN 3 THEN 'not_failure' WHEN 4 THEN 'schema_defect' ELSE 'odd' END"
@@ -240,11 +251,11 @@ def _(t):
     return t.pages.select("page_id", F.md5(prepare.plain_text(F.col("html"))).alias("text"))
 
 
-@query("q030_filing_windows", "WITH n AS (SELECT DISTINCT 'C' || (o_custkey % 50) || '_' || year(o_orderdate) || '_10K' AS doc_name, 'C' || (o_custkey % 50) AS company, year(o_orderdate)::INT AS y FROM orders), f AS (SELECT 'C' || (o_custkey % 50) AS company, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders WHERE o_orderkey % 20 = 0) SELECT doc_name, o_orderkey AS filing FROM n JOIN f USING (company) WHERE d BETWEEN make_date(y, 6, 1) AND make_date(y + 1, 5, 31)")
+@query("q030_filing_windows", "WITH n AS (SELECT DISTINCT 'C' || (o_custkey % 50) || '_' || year(o_orderdate) || '_10K' AS doc_name, 'C' || (o_custkey % 50) AS company, year(o_orderdate)::INT AS y FROM orders), f AS (SELECT 'C' || (o_custkey % 50) AS company, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders) SELECT doc_name, o_orderkey AS filing FROM n JOIN f USING (company) WHERE d BETWEEN make_date(y, 6, 1) AND make_date(y + 1, 5, 31)")
 def _(t):
     c = F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string"))
     names = t.orders.select(F.concat_ws("_", c, F.year("o_orderdate").cast("string"), F.lit("10K")).alias("doc_name")).distinct()
-    filings = t.orders.where("o_orderkey % 20 = 0").select(c.alias("company"), F.lit("10K").alias("form"), F.to_date("o_orderdate").alias("report_date"), F.col("o_orderkey").alias("filing"))
+    filings = t.orders.select(c.alias("company"), F.lit("10K").alias("form"), F.to_date("o_orderdate").alias("report_date"), F.col("o_orderkey").alias("filing"))
     return prepare.filing_windows(names, filings).select("doc_name", "filing")
 
 
@@ -275,10 +286,8 @@ def _stream(t, df, parts=4):
 @query("s01_stream_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def _(t):
     rows, out = _stream(t, t.events.select("user_id", "event_id", "value"), 1)
-    q = streams.sink_upsert(rows, out, ["user_id"], f"{out}-check", "event_id")
-    streams.to_end(q)
-    last = (q.lastProgress or {}).get("batchId", 0)
-    return t.spark.read.parquet(f"{out}/v{last}").select("user_id", "event_id", "value")
+    streams.to_end(streams.sink_upsert(rows, out, ["user_id"], f"{out}-check", "event_id"))
+    return t.spark.read.parquet(out).select("user_id", "event_id", "value")
 
 
 @query("s02_stream_windows", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

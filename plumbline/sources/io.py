@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import re
+from collections import Counter
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from plumbline.sources.arrays import scan_array
 
 STEP = "struct<seq:int,name:string,arguments:map<string,string>,result:map<string,string>,status:string,error:string,latency_ms:double>"
 TRACE = f"schema_version string, run_id string, agent string, parser string, task string, steps array<{STEP}>, outcome map<string,string>, golden map<string,string>"
@@ -22,6 +30,59 @@ def scan_csv(spark: SparkSession, path: str, schema: str, delimiter: str = ",",
     return rows.withColumn("source", F.lit(f"csv:{label or path.rstrip('/').rsplit('/', 1)[-1]}"))
 
 
+#: Lines by which a dialect is told, and what is tried.
+HEAD_LINES, DELIMITERS, QUOTES = 200, (",", ";", "\t", "|"), ('"', "'")
+
+
+@dataclass(frozen=True)
+class Dialect:
+    delimiter: str = ","
+    quote: str = '"'
+    header: bool = True
+
+    def label(self) -> str:
+        name = {"\t": "tab", ",": "comma", ";": "semicolon", "|": "bar"}[self.delimiter]
+        return f"{name}{'' if self.quote == QUOTES[0] else ',single'}{'' if self.header else ',no_header'}"
+
+
+def _cells(line: str, delimiter: str, quote: str) -> list[str]:
+    return next(csv.reader([line], delimiter=delimiter, quotechar=quote), [])
+
+
+def sniff(lines: list[str]) -> Dialect:
+    """The dialect that cuts lines most evenly: the largest share of lines with the usual number of cells, then the fewest quotes left in cells, then the most cells.
+
+    The first line is a header if it has no number where most other lines have one, or if no column has any.
+    """
+    best = None
+    for delimiter in DELIMITERS:
+        for quote in QUOTES:
+            rows = [_cells(x, delimiter, quote) for x in lines if x.strip()]
+            (usual, often), = Counter(map(len, rows)).most_common(1) or [(0, 0)]
+            if usual > 1:
+                left = sum(q in c for r in rows for c in r for q in QUOTES)
+                score = (often / len(rows), -left, usual)
+                if best is None or score > best[0]:
+                    best = (score, delimiter, quote, [r for r in rows if len(r) == usual])
+    if best is None:
+        return Dialect()
+    _, delimiter, quote, rows = best
+    number = re.compile(r"\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*")
+    numeric = [[bool(number.fullmatch(c)) for c in r] for r in rows]
+    columns = [i for i in range(len(rows[0])) if 2 * sum(r[i] for r in numeric[1:]) > len(numeric) - 1]
+    return Dialect(delimiter, quote, not any(numeric[0][i] for i in columns))
+
+
+def scan_csv_sniffed(spark: SparkSession, path: str, schema: str, label: str | None = None) -> DataFrame:
+    """As scan_csv; where the default parse of the first lines doesn't give the declared number of columns, the dialect is told from them. All rows are read then; source says what was found."""
+    lines = [r[0] for r in spark.read.text(path).limit(HEAD_LINES).collect()]
+    columns = len(StructType.fromDDL(schema).fields)
+    fine = lines and all(len(_cells(x, ",", '"')) == columns for x in lines if x.strip())
+    found = Dialect() if fine else sniff(lines)
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("header", found.header).option("sep", found.delimiter).option("quote", found.quote).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    return rows.withColumn("source", F.lit(f"csv:{label or path.rstrip('/').rsplit('/', 1)[-1]}:{found.label()}"))
+
+
 def snapshot(spark: SparkSession, folder: str, tables: dict[str, str]) -> dict[str, DataFrame]:
     """Named Parquet tables; a table that can't be read becomes an empty one with the declared columns."""
     from pyspark.errors import AnalysisException
@@ -51,14 +112,22 @@ def scan_traces(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("steps", F.coalesce("steps", F.expr(f"cast(array() as array<{STEP}>)"))).withColumn("schema_version", F.coalesce("schema_version", F.lit("1")))
 
 
-def sink_traces(traces: DataFrame, path: str) -> None:
-    """One JSON object a line, without null fields."""
-    traces.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and what tells its number of rows once it was written, without another pass."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def sink_traces(traces: DataFrame, path: str) -> int:
+    """One JSON object a line, without null fields; how many were written."""
+    rows, seen = observed(traces)
+    rows.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    return seen.get["rows"]
 
 
 def scan_tool_calls(spark: SparkSession, path: str) -> DataFrame:
-    """id, query, answers, tools, tools_json of a JSON array of records whose answers and tools are JSON texts; broken or null texts are empty lists."""
-    r = spark.read.schema("id bigint, query string, answers string, tools string").option("multiLine", True).json(path)
+    """id, query, answers, tools, tools_json of JSON arrays of records whose answers and tools are JSON texts; broken or null texts are empty lists. A file is read in as many parts as it has splits."""
+    r = scan_array(spark, path).select(F.from_json("text", "id bigint, query string, answers string, tools string").alias("r")).select("r.*")
     a = F.coalesce(F.from_json("answers", f"array<{CALL}>"), F.expr(f"cast(array() as array<{CALL}>)"))
     n = F.coalesce(F.from_json("tools", "array<struct<name:string,description:string>>"), F.expr("cast(array() as array<struct<name:string,description:string>>)"))
     return r.select("id", "query", a.alias("answers"), n.alias("tools"), F.col("tools").alias("tools_json"))
@@ -126,9 +195,17 @@ def increments(batch: DataFrame, target: DataFrame, key: str, day: str, default:
 
 
 def tracked(spark: SparkSession, source: str, table: str, load) -> DataFrame:
-    """One row on a load: status, rows and error (2000 characters at most). load writes and returns the number of rows."""
+    """One row on a load: status, rows and error (2000 characters at most). load(note) writes note(df) for what it loads; the rows are those that were written. A failed load has none."""
+    seen: list[Observation] = []
+
+    def note(df: DataFrame) -> DataFrame:
+        rows, watched = observed(df)
+        seen.append(watched)
+        return rows
+
     try:
-        rows, status, error = int(load()), "success", None
+        load(note)
+        rows, status, error = sum(s.get["rows"] for s in seen), "success", None
     except Exception as e:  # noqa: BLE001  the log takes any failure
         rows, status, error = 0, "failed", str(e)[:2000]
     return spark.createDataFrame([(source, table, status, rows, error)], "source string, target_table string, status string, rows_written long, error string")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.sources.io import TRACE, upsert
 
@@ -27,17 +27,45 @@ def increments(rows: DataFrame, keys: list[str], event_time: str, delay: str) ->
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def sink_upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: str):
-    """Each micro-batch is upserted into a Parquet folder by key; the later row of a key in a batch counts. A batch that is repeated changes nothing."""
+class _Files:
+    """What there is at a path of any file system that Spark reads."""
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("_r")).select(*keys, "_r.*")
-        here, there = f"{path}/v{number - 1}", f"{path}/v{number}"
-        old = spark.read.parquet(here) if number else newest.limit(0)
-        upsert(old, newest.select(*old.columns), keys).write.mode("overwrite").parquet(there)
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def there(self) -> bool:
+        return self.system.exists(self.path)
+
+    def remove(self) -> None:
+        self.system.delete(self.path, True)
+
+
+def upsert_batch(batch: DataFrame, number: int, path: str, keys: list[str], order: str, buckets: int) -> None:
+    """Upserts a micro-batch into a Parquet folder of key buckets: only buckets that it touches are rewritten.
+
+    Their new content is staged under the batch's number first. A batch that comes again with a stage takes that, so one that was
+    interrupted while buckets were exchanged is brought to its end, and one that was done changes nothing.
+    """
+    spark, stage = batch.sparkSession, f"{path}-stage/{number}"
+    if not _Files(spark, f"{stage}/_SUCCESS").there():
+        rest = [c for c in batch.columns if c not in keys]
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(batch.columns)
+        newest = newest.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged = newest
+        if _Files(spark, path).there():
+            touched = [r[0] for r in newest.select("_bucket").distinct().collect()]  # at most `buckets`
+            old = spark.read.schema(newest.schema).parquet(path).where(F.col("_bucket").isin(touched))
+            merged = upsert(old, newest, keys)
+        merged.write.mode("overwrite").partitionBy("_bucket").parquet(stage)
+    staged = spark.read.parquet(stage)
+    staged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    _Files(spark, f"{path}-stage/{number - 2}").remove()  # the one before may still be asked for
+
+
+def sink_upsert(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: str, buckets: int = 16):
+    """Each micro-batch is upserted by key; the later row of a key in a batch counts."""
+    return rows.writeStream.foreachBatch(lambda batch, number: upsert_batch(batch, number, path, keys, order, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tally(issues: DataFrame) -> DataFrame:
@@ -45,30 +73,40 @@ def tally(issues: DataFrame) -> DataFrame:
     return issues.groupBy("tool", "param").agg(F.count("*").alias("hits"), F.min("record").alias("first_record"))
 
 
+MEMORY = "fingerprint string, root_cause string, label string, status string, weight double, hits long"
+
+
+class _Experience(StatefulProcessor):
+    """Per fingerprint a map from cause to its label, hits and weight, in the state store; one entry is read or written at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.causes = handle.getMapState("causes", "root_cause string", "label string, hits long, weight double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        touched = set()
+        for r in pd.concat(list(rows)).sort_values(["asof", "root_cause"]).itertuples(index=False):
+            for (cause,), (label, hits, weight) in list(self.causes.iterator()):
+                if hits >= 2 and label != r.label:
+                    self.causes.updateValue((cause,), (label, hits, weight / 2))
+                    touched.add(cause)
+            known = (r.root_cause,)
+            label, hits, weight = self.causes.getValue(known) if self.causes.containsKey(known) else (r.label, 0, 1.0)
+            self.causes.updateValue(known, (label, hits + 1, weight))
+            touched.add(r.root_cause)
+        out = [(key[0], cause, *self.causes.getValue((cause,))) for cause in sorted(touched)]
+        yield pd.DataFrame([(f, c, label, "confirmed" if hits >= 2 else "pending", weight, hits) for f, c, label, hits, weight in out], columns=[c.split()[0] for c in MEMORY.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
 def memory(observations: DataFrame) -> DataFrame:
     """Experience as state per fingerprint: pending, confirmed by the second sight, halved by each later sight of another label.
 
-    Inside a micro-batch observations are taken in order of (asof, root_cause).
+    Gives the entries that a micro-batch changed. Inside one, observations are taken in order of (asof, root_cause). Needs the
+    RocksDB state store.
     """
-    out = "fingerprint string, root_cause string, label string, status string, weight double, hits long"
-    state = "causes array<string>, labels array<string>, hits array<long>, weights array<double>"
-
-    def step(key: tuple, batches, s: GroupState):
-        causes, labels, hits, weights = (list(x) for x in s.get) if s.exists else ([], [], [], [])
-        for r in pd.concat(list(batches)).sort_values(["asof", "root_cause"]).itertuples(index=False):
-            for i, label in enumerate(labels):
-                if hits[i] >= 2 and label != r.label:
-                    weights[i] /= 2
-            if r.root_cause not in causes:
-                causes.append(r.root_cause)
-                labels.append(r.label)
-                hits.append(0)
-                weights.append(1.0)
-            hits[causes.index(r.root_cause)] += 1
-        s.update((causes, labels, hits, weights))
-        yield pd.DataFrame({"fingerprint": key[0], "root_cause": causes, "label": labels, "status": ["confirmed" if h >= 2 else "pending" for h in hits], "weight": weights, "hits": hits})
-
-    return observations.groupBy("fingerprint").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
+    return observations.groupBy("fingerprint").transformWithStateInPandas(_Experience(), MEMORY, "Update", "None")
 
 
 def to_end(query, seconds: int | None = None, done: Callable[[], None] | None = None) -> None:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, badges, cost, intervals, metrics, prepare, probes, questions, retrieval, traces
+from plumbline.operators import attribution, badges, cost, intervals, metrics, postings, prepare, probes, questions, retrieval, traces
 from plumbline.operators import trading_calendar as cal
 from plumbline.sources import io
 from plumbline.streaming import streams
@@ -168,7 +168,7 @@ def test_expansion_fields_and_scores(spark):
     import math
 
     chunked = spark.createDataFrame([(1, 1, "t", "pre revenue", True), (1, 2, "a", "red red blue", False), (1, 3, "b", "green", False), (2, 1, "c", "red", True)], "doc_id int, chunk_no long, header string, text string, is_preamble boolean")
-    scores = {(r["doc_id"], r["chunk_no"]): r["score"] for r in retrieval.bm25(retrieval.units(chunked), spark.createDataFrame([(1, "red")], "query_id int, text string")).collect()}
+    scores = {(r["doc_id"], r["chunk_no"]): r["score"] for r in retrieval.bm25(postings.units(chunked), spark.createDataFrame([(1, "red")], "query_id int, text string")).collect()}
     body, field = [["red", "red", "blue"], ["green"], ["red"]], [["a", "red", "red", "blue"], ["b", "green"], ["c", "red"]]
 
     def okapi(docs, token):
@@ -192,8 +192,11 @@ def test_segments_by_tool(spark):
     ]
     t = spark.range(1).select(cost.value_tokens(F.lit("See a.b.c, src/x/y.py:12 and 1234567 Def ::")).alias("t")).first()["t"]
     assert t == ["12", "1234567", "a.b.c", "and", "def", "see", "src/x/y.py:12"]
-    r = spark.range(1).select(cost.field_record(F.lit("alpha_one beta_two src 12345 123456"), F.array(F.lit("beta_two"), F.lit("src"))).alias("r")).first()["r"]
-    assert r["tokens"] == ["123456", "alpha_one"] and r["n_preexisting"] == 1 and r["n_indistinct"] == 2
+    texts = spark.createDataFrame([(1, 0, "beta_two src"), (1, 1, "alpha_one beta_two src 12345 123456"), (1, 2, "alpha_one")], "task int, turn int, text string")
+    parts = spark.createDataFrame([(1, 1, 1, "t", 0, "k", "alpha_one beta_two src 12345 123456")], "task int, turn int, call int, tool string, seg int, kind string, text string")
+    r = cost.hit_split(cost.judged(cost.records(parts, cost.lifetimes(texts)))).first()
+    assert [x["token"] for x in r["tokens"]] == ["123456", "alpha_one"] and r["n_preexisting"] == 1 and r["n_indistinct"] == 2
+    assert r["hits"] == 1 and r["verdict"] == "referenced" and r["sample_arguments"] == ["alpha_one"]
 
 
 def test_percentiles_by_ranges(spark):
@@ -248,17 +251,6 @@ def test_plain_text_and_blocks(spark):
     assert [(r["header"], r["body"]) for r in b] == [(None, "pre"), ("## A", "## A\nx"), ("## B", "## B")]
 
 
-def test_memory_in_a_stream_equals_the_batch(spark, tmp_path):
-    rows = [("f1", "a", "real", 0.9, 1), ("f1", "a", "real", 0.7, 2), ("f1", "b", "false", 0.5, 3), ("f1", "b", "false", 0.6, 4), ("f1", "a", "real", 0.9, 5), ("f2", "c", "real", 0.9, 6)]
-    df = spark.createDataFrame(rows, "fingerprint string, root_cause string, label string, confidence double, asof long")
-    want = {(r["fingerprint"], r["root_cause"], r["status"], r["weight"], r["hits"]) for r in attribution.memory(df).collect()}
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = streams.memory(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("update").format("memory").queryName("mem").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r["fingerprint"], r["root_cause"], r["status"], r["weight"], r["hits"]) for r in spark.table("mem").collect()} == want
-
-
 def test_streamed_tally(spark, tmp_path):
     df = spark.createDataFrame([("t", "p", 3), ("t", "p", 1), ("u", "q", 2)], "tool string, param string, record long")
     df.write.parquet(f"{tmp_path}/in")
