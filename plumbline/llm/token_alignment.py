@@ -13,10 +13,10 @@ are cut into ranges of so many bytes wherever these fall, also inside a token; t
 different tasks, and fragments are composed `FAN` at a time until one is left. Other texts are one
 range.
 
-A range is encoded unit by unit: a unit begins at spaces or line ends that follow anything but white space,
-and neither tokenizer has a token over such a place (A's words begin there; no piece of B has a space mark
-behind another character, or a line end). So units give the very tokens of the whole text, and
-units seen before are looked up. A range without such a place goes on to the next one.
+A range is encoded unit by unit: a unit begins at spaces or line ends that follow anything but white space, and at
+usual punctuation that follows a letter. Neither tokenizer has a token over such a place (A's words end there; no
+piece of B has a space mark or punctuation behind a letter, or a line end). So units give the very tokens of
+the whole text, and units seen before are looked up. A range without such a place goes on to the next one.
 
 The count of an id pair needs a table of all pairs. Two tokens that end together are suffixes of one another,
 so there are at most as many pairs as both vocabularies have bytes (`most_pairs`, about 600,000 for the
@@ -34,6 +34,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,12 @@ CHUNK = 32_768
 FAN = 8
 #: Units whose tokens a worker keeps.
 CACHE = 200_000
-UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+PUNCTUATION = ".,!?;:#$%&*)"
+#: Where units begin.
+CUT = re.compile(rf"(?=[ \n])(?<=\S)|(?=[{PUNCTUATION}])(?<=[A-Za-zÀ-ÖØ-öø-ɏА-я])")
+#: Text for which all libraries agree on what is a letter; and the usual split into words, a fixed value.
+LATIN = re.compile("[\\t\\n\\r -~\u00a1-\u024f]+")
+WORDS_OF_A = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RESULT = "n_a long, n_b long, n_groups long"
 FRAGMENT = f"key long, doc_id long, no int, whole boolean, {RESULT}, n_best long, count_sum long, ended boolean, before_a string, before_b string, groups string, after_a string, after_b string"
 
@@ -100,6 +107,23 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain_encoder(path: str):
+    """A faster encoder of the same vocabulary for Latin text, where the file is merges in the order of their ids and the usual split into words; else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocabulary, merges, letters = spec["model"]["vocab"], spec["model"]["merges"], _byte_alphabet()
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    before = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or [vocabulary.get(t) for t in made] != list(range(256, 256 + len(made))):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(made)}
+    return tiktoken.Encoding("plain", pat_str=WORDS_OF_A, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens, and the units seen so far."""
 
@@ -111,17 +135,21 @@ class Pair:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.plain = _plain_encoder(path_a)
         letters, size = _byte_alphabet(), self.b.get_piece_size()
         self.bytes_a: list[bytes] = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
-            raise ValueError("a piece holds a space mark inside or a line end; texts can't be encoded by units")
+        if any(MARK in p.lstrip(MARK) or "\n" in p or CUT.search(p) for p in pieces):
+            raise ValueError("a piece holds a place where units begin; texts can't be encoded by units")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id(MARK)
-        self.size_b = size
-        self.known: dict[str, tuple | None] = {}
+        self.sizes_a, self.sizes_b, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b)), size
+        self.names = np.array([[f"{i}{behind}" for i in range(max(size, len(self.bytes_a)))] for behind in (",", "|", ";", "")], dtype=object)
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.void: set[str] = set()
 
     def most_pairs(self) -> int:
         """No two tokens end together but where one is a suffix of the other."""
@@ -129,57 +157,88 @@ class Pair:
 
     def ids(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each unit, as they are within a text."""
-        found_a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        found_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        plain = self.plain
+        if plain is None:
+            found_a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        else:
+            others = [u for u in units if not LATIN.fullmatch(u)]
+            known = dict(zip(others, [x.ids for x in self.a.encode_batch_fast(others, add_special_tokens=False)]))
+            found_a = [known[u] if u in known else plain(u) for u in units]
+        # encoding puts a mark in front, of a line end too; other units are encoded behind a line end
+        found_b = self.b.encode([u[1:] if u[0] == " " else u if u[0] == "\n" else "\n" + u for u in units], num_threads=1)
         for unit, a, b in zip(units, found_a, found_b):
-            if unit[0] != " ":  # encoding puts a mark in front of a line end too
-                b = b[1:]
-            elif unit == " ":
-                b = [self.mark]
-            yield a.ids, b
+            yield a, [self.mark] if unit == " " else b if unit[0] == " " else b[1 if unit[0] == "\n" else 2 :]
 
     def ends(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum([len(self.bytes_a[i]) for i in a]), np.cumsum([len(self.bytes_b[i]) for i in b])
+        return np.cumsum([self.sizes_a[i] for i in a]), np.cumsum([self.sizes_b[i] for i in b])
 
     def covers(self, unit: str, a: list[int], b: list[int]) -> bool:
         raw = unit.encode("utf-8", "surrogatepass")
         return b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
     def learn(self, units: set[str]) -> None:
-        """Keeps groups, packed counts and links of these units; None for one that its tokens don't cover."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(units)
-        for unit, (a, b) in zip(new, self.ids(new)):
-            if not self.covers(unit, a, b):
-                self.known[unit] = None
-                continue
-            groups, links, i, k, end_a, end_b = [], [], 0, 0, 0, 0
-            x, y = [], []
-            while i < len(a) or k < len(b):
-                if end_a <= end_b:
-                    end_a += len(self.bytes_a[a[i]])
-                    x.append(str(a[i]))
-                    i += 1
-                else:
-                    end_b += len(self.bytes_b[b[k]])
-                    y.append(str(b[k]))
-                    k += 1
-                if end_a == end_b:
-                    groups.append(f"{','.join(x)}|{','.join(y)}")
-                    links.append(a[i - 1] * self.size_b + b[k - 1])
-                    x, y = [], []
-            self.known[unit] = (";".join(groups), len(a) << 80 | len(b) << 40 | len(groups), np.array(links, np.int32).tobytes())
+        """Keeps groups, packed counts and links of these units; notes those that their tokens don't cover. Units of the last but one generation go."""
+        if len(self.known) + len(units) > CACHE // 2:
+            self.known, self.older, self.void = {}, self.known, set()
+        new = units.difference(self.known, self.void)
+        again = new & self.older.keys()
+        for unit in again:
+            self.known[unit] = self.older[unit]
+        new = list(new - again)
+        found = list(self.ids(new))
+        raws = [u.encode("utf-8", "surrogatepass") for u in new]
+        if not self._fit(found, raws):
+            fits = [self.covers(u, a, b) for u, (a, b) in zip(new, found)]
+            self.void.update(u for u, fit in zip(new, fits) if not fit)
+            new, found, raws = ([x for x, fit in zip(xs, fits) if fit] for xs in (new, found, raws))
+        if new:
+            self.known.update(zip(new, self._aligned(found, raws)))
+
+    def _fit(self, found: list, raws: list[bytes]) -> bool:
+        """Do the tokens of all units cover them?"""
+        for side, of, sizes in ((0, self.bytes_a, self.sizes_a), (1, self.bytes_b, self.sizes_b)):
+            ids = list(chain.from_iterable([x[side] for x in found]))
+            ends = np.append(0, np.cumsum(np.take(sizes, ids)))[np.cumsum([len(x[side]) for x in found])] if ids else np.empty(0, np.int64)
+            if b"".join([of[i] for i in ids]) != b"".join(raws) or not np.array_equal(ends, np.cumsum(list(map(len, raws)))):
+                return False
+        return True
+
+    def _aligned(self, found: list, raws: list[bytes]) -> Iterator[tuple]:
+        """Groups, counts and links of units, aligned as one text; units end together, so none shares a group with the next."""
+        all_a, all_b = (np.array(list(chain.from_iterable([x[side] for x in found]))) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(np.take(self.sizes_a, all_a)), np.cumsum(np.take(self.sizes_b, all_b))
+        unit_ends = np.cumsum(list(map(len, raws)))
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        unit = np.searchsorted(unit_ends, common)
+        closes = common == unit_ends[unit]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = ends_a == common[group_a], ends_b == common[group_b]
+        # what follows an id: a comma within a side, a bar between sides, a semicolon between groups, nothing at the end
+        behind = np.concatenate([np.where(last_a, 1, 0), np.where(last_b, np.where(closes[group_b], 3, 2), 0)])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written_ids = self.names[behind[order], np.concatenate([all_a, all_b])[order]].tolist()
+        links = (all_a[last_a] * self.size_b + all_b[last_b]).astype(np.int32).tobytes()
+        at = link = 0
+        for (a, b), n in zip(found, np.bincount(unit, minlength=len(raws)).tolist()):
+            end = at + len(a) + len(b)
+            yield "".join(written_ids[at:end]), len(a) << 80 | len(b) << 40 | n, links[link : link + 4 * n]
+            at, link = end, link + 4 * n
 
     def units_of(self, units: list[str]) -> tuple | None:
         """Groups, counts and links of units that make up a text or a range of it; None if their tokens don't cover them."""
-        known = self.known
-        found = [known[u] for u in units]
-        if None in found:
+        if self.void and not self.void.isdisjoint(units):
             return None
-        counts = sum([f[1] for f in found])
-        return ";".join([f[0] for f in found]), (counts >> 80, counts >> 40 & (1 << 40) - 1, counts & (1 << 40) - 1), np.frombuffer(b"".join([f[2] for f in found]), np.int32)
+        if not units:
+            return "", (0, 0, 0), np.empty(0, np.int32)
+        groups, counts, links = zip(*map(self.known.__getitem__, units))
+        n = sum(counts)
+        return ";".join(groups), (n >> 80, n >> 40 & (1 << 40) - 1, n & (1 << 40) - 1), np.frombuffer(b"".join(links), np.int32)
+
+
+@lru_cache(1)
+def pair_of(path_a: str, path_b: str) -> Pair:
+    """A worker's own, for all its tasks."""
+    return Pair(path_a, path_b)
 
 
 # ---- Spark
@@ -189,15 +248,15 @@ def _short(path_a: str, path_b: str, keep_groups: bool):
     """Texts of one range each: all that is known without the corpus, and the links."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = Pair(path_a, path_b)
+        pair = pair_of(path_a, path_b)
         for batch in slices(batches, 256):
-            texts = [UNIT.findall(" " + t) if t else [] for t in batch["text"]]
+            texts = [CUT.split(" " + t) if t else [] for t in batch["text"]]
             gc.disable()  # units are many small objects, and none of them is in a cycle
             try:
                 rows, at = [], 0
                 while at < len(texts):  # as many texts at a time as the table of units takes
                     units, start = set(), at
-                    while at < len(texts) and (at == start or len(units) < CACHE // 2):
+                    while at < len(texts) and (at == start or len(units) < CACHE // 4):
                         units.update(texts[at])
                         at += 1
                     pair.learn(units)
@@ -217,7 +276,7 @@ def cut(text: str, chunk: int) -> list[tuple[str, int, int]]:
     text = " " + text
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     byte_of = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-    starts = np.fromiter((m.start() for m in UNIT.finditer(text)), np.int64)
+    starts = np.append(0, np.fromiter((m.start() for m in CUT.finditer(text)), np.int64))
     places = np.append(byte_of[starts], len(raw))  # bytes where units begin, and the end
     chars = np.append(starts, len(text))
     bounds, reached = [0], 0
@@ -247,7 +306,7 @@ def _ranges(path_a: str, path_b: str):
     """Fragment and links of each range of a long text."""
 
     def of(pair: Pair, part: str, low: int, high: int) -> tuple:
-        units = UNIT.findall(part)
+        units = CUT.split(part)
         size = len(part.encode("utf-8", "surrogatepass"))
         edge = [low > 0, high < size]  # first and last unit lie in the range only in part
         inner = units[edge[0] : len(units) - edge[1]] if len(units) > 1 or not any(edge) else []
@@ -282,7 +341,7 @@ def _ranges(path_a: str, path_b: str):
         return (ok, *counts, *compose(pieces), np.array(links, np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = Pair(path_a, path_b)
+        pair = pair_of(path_a, path_b)
         for batch in slices(batches, 32):
             rows = [(key, doc_id, no, *of(pair, part, low, high)) for key, doc_id, no, part, low, high in batch[["key", "doc_id", "no", "part", "low", "high"]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["key", "doc_id", "no", "whole", "n_a", "n_b", "n_groups", "ended", "before_a", "before_b", "groups", "after_a", "after_b", "links"]).astype({"doc_id": "Int64"})
@@ -329,7 +388,7 @@ def align(documents: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, ke
     )
     void = ranges.where(~F.col("whole")).select("key").distinct()  # texts that their tokens don't cover
 
-    size_b = Pair(path_a, path_b).size_b
+    size_b = pair_of(path_a, path_b).size_b
     links = short.select(F.explode("links").alias("code")).union(ranges.join(void, "key", "left_anti").select(F.explode("links")))
     pairs = links.groupBy("code").agg(F.count("*").alias("n"))
     pairs = written(pairs)
