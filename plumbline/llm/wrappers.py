@@ -15,9 +15,9 @@ count, constants don't. Elements whose text is mostly links are menus, unless th
 Names of elements (nav, footer, aside, form), classes and ids are evidence against an element. Where
 slots in article or main elements hold at least half of the text of the host's slots, only those are main text.
 A page is then aligned with its host's wrapper, and gives the texts of the slots that were found to be
-main text; a constant in an article must be on 2 * MIN_PAGES pages and on most pages of the host. A page
-of another shape than most, whose main slots hold less than half of its slots' text, gives all of its
-slots; if it has none, the texts of its article.
+main text; what recurs within articles stays, as it is theirs. A page of another shape than most, whose main
+slots hold less than half of its slots' text, gives all of its slots; if it has none, the texts of its
+article.
 
 Names with digits differ by them alone count as one (post-12, post-13). Beyond LONGEST children of an
 element, children of one name become one repeated element; names that one page only has become the
@@ -26,8 +26,10 @@ bare element. So nothing is dropped, and a wrapper stays bounded by the names th
 Defined results: null and empty html give an empty text. A null or odd url belongs to the host "". With
 fewer than MIN_PAGES pages of an element nothing counts as constant. Pages are extracted row by row, so
 repeated rows and null ids are kept. Extra columns don't matter. Broken markup never fails: unclosed
-elements end with their parent, stray ends are passed over, an unclosed script ends with the page;
-containers deeper than DEPTH belong to the one at that depth.
+elements end with their parent, stray ends are passed over, an unclosed script ends with the page. The tree
+has DEPTH levels; text of deeper containers belongs to the one at that depth, and is left out where a deeper
+one is named like something that isn't main text. Groups of more than WIDEST elements that repeat aren't folded:
+their elements stay single, and none of their text is lost.
 """
 
 from __future__ import annotations
@@ -67,13 +69,13 @@ NEUTRAL = frozenset("html body header h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Class and id names, and roles, of what is not main text.
 NOT_MAIN = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "ad ads adsense adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation "
+    "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond response responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets complementary contentinfo alert login".split()
 )
 
 # What may stand beside such names in a longer one, as in site-footer or related-posts.
-BESIDE = frozenset("area articles bar block body bottom box btn button buttons container form global inner item items left links list primary post posts right secondary section site text top wrap wrapper".split())
+BESIDE = frozenset("area article articles bar block body bottom box btn button buttons card container form global group inner item items left links list primary post posts reader readers results right row secondary section site slot table text thread top unit user users wrap wrapper".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -145,7 +147,9 @@ def parsed(page: str | None) -> tuple[Node, list[str]]:
 
     def push(name: str, label: str | None, gone: bool) -> None:
         node = stack[-1][1]
-        if label is not None and not gone and len(stack) <= DEPTH:
+        if label is not None and not gone and len(stack) > DEPTH:
+            gone = _evidence(label, 0, True)[0] > 0
+        elif label is not None and not gone:
             node.kids.append(Node(label))
             node = node.kids[-1]
         stack.append((name, node, gone))
@@ -379,8 +383,7 @@ def decided(wrapper: Node) -> Node:
             if k.label != "#":
                 walk(k, *_evidence(k.label, out, main))
                 continue
-            enough = k.pages >= 2 * MIN_PAGES and 2 * k.pages > wrapper.pages if main else k.pages >= MIN_PAGES
-            k.texts = k.texts if enough else {}
+            k.texts = k.texts if k.pages >= MIN_PAGES and not main else {}  # what recurs in articles is theirs
             slot = k.chars - k.pages * sum(k.texts.values())
             k.role = "out" if out or (2 * k.linked > k.chars and not main) else "slot"
             if k.role == "slot" and slot > 0:

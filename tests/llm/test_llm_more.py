@@ -212,7 +212,10 @@ def texts_of(spark, pages):
 def test_wrapper_decides_inside_and_beside_an_article(spark):
     inside = [f"<body><article><h1>Head {i}</h1><p>Text {i}</p><p>Share this with friends</p><div class=bio>Written by our desk</div></article></body>" for i in range(90)]
     got = texts_of(spark, inside)
-    assert all(got[i] == f"Head {i}\n\nText {i}" for i in range(90))
+    # what recurs within an article is the article's
+    assert all(got[i] == f"Head {i}\n\nText {i}\n\nShare this with friends\n\nWritten by our desk" for i in range(90))
+    summary = [f"<body><article><h2>Summary</h2><p>Text {i}</p></article></body>" for i in range(30)]
+    assert texts_of(spark, summary)[7] == "Summary\n\nText 7"
     beside = [f"<body><div class=story><p>{'Long main text ' * 9}{i}</p><p>Always here</p></div><article><p>Teaser {i}</p></article></body>" for i in range(90)]
     got = texts_of(spark, beside)
     assert all(f"{'Long main text ' * 9}{i}" in got[i] and "Always here" not in got[i] for i in range(90))
@@ -228,6 +231,14 @@ def test_class_names_count_as_whole_tokens_and_never_above_an_article():
     assert alone("<div class='site-footer'><p>x</p></div><div class=comments><article class=comment><p>me</p></article></div><p>Text</p>") == "Text"
 
 
+def test_comments_and_adverts_under_longer_names_and_at_any_depth():
+    for name in ("user-comments", "reader-responses", "comment-table", "adsense", "ad-slot", "promo-article", "search-results", "comments-thread"):
+        assert alone(f"<article><h1>Head</h1><p>Text</p><div class='{name}'><p>other</p></div></article>") == "Head\n\nText", name
+    deep = "<div>" * 90
+    for inner in ("<aside><p>side</p></aside>", "<div class=comments><p>me</p></div>", "<nav><p>menu</p></nav>"):
+        assert alone(f"<article><p>Text</p>{deep}<p>Deep</p>{inner}<p>End</p>{'</div>' * 90}</article>") == "Text\n\nDeep\n\nEnd", inner
+
+
 def test_long_irregular_pages_lose_no_text():
     letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
     page = lambda i: "<body>" + "".join(f"<div class=k{letters(1000 * i + j)}><p>t{i} {j}</p></div>" for j in range(900)) + f"<div class=note><p>Always here</p></div><div class=story><p>Story {i}</p></div><div class=note><p>Always here</p></div><div class=story><p>More {i}</p></div></body>"
