@@ -240,9 +240,11 @@ def training_runs(rows: list[tuple[str, str]], labels: list[str], max_words: int
     return plain + spliced
 
 
-def fit(documents: DataFrame, max_docs: int = 250, max_words: int = 300, read_chars: int = 6000, steps: int = 120) -> Field:
-    """Fits on a bounded sample of the documents whose crc32(doc_id) mod 4 is not 2, in the order of a digest of doc_id: at most max_docs rows of a language, of each the first max_words words within the first read_chars characters."""
+def fit(documents: DataFrame, max_docs: int = 250, max_words: int = 300, read_chars: int = 6000, steps: int = 120, max_langs: int = 100) -> Field:
+    """Fits on a bounded sample of the documents whose crc32(doc_id) mod 4 is not 2, in the order of a digest of doc_id: at most max_docs rows of a language, of each the first max_words words within the first read_chars characters. Of more than max_langs languages the most frequent are learned (of equal ones, those that come first)."""
     rows = documents.where("doc_id is not null and lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2)
+    most = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    rows = rows.where(F.col("lang").isin(most)) if most else rows.limit(0)
     first = lambda d: d.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= max_docs)
     picked = first(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))).select(F.col("doc_id").alias("picked_id")).distinct()
     found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "lang", F.substring("text", 1, read_chars).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
