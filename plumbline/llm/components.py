@@ -32,8 +32,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that can be reached) for all nodes of edges (u, v), longs.
 
     Null ends and loops are ignored; repeated edges count once. Every round ends in a checkpoint, and
-    no neighbourhood is gathered anywhere: minima are aggregated and joined back, those of a node with
-    very many neighbours in several tasks.
+    no neighbourhood is gathered anywhere: minima are aggregated and joined back. Where large-star does so,
+    a node with very many neighbours is dealt to several tasks; small-star's rows are two numbers each, and a join
+    that is skewed is left to adaptive execution to split.
     """
     edges = checkpointed(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)

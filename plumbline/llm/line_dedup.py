@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import own_names, slices, spread_join
+from plumbline.llm.common import give_back, own_names, slices, spread_join
 from plumbline.shared import written
 
 MIN_WORDS = 50
@@ -109,6 +109,7 @@ def _picks(min_words: int):
                 for at, spans in winnowed(hashes, windows(words, min_words)).items():
                     rows.append((doc_id, own, _signed(hashes[at]), [numbers[a] for a, _ in spans], [numbers[b] for _, b in spans], [numbers[b + 1] for _, b in spans], [xxhash.xxh3_128_digest(raw[8 * a : 8 * b + 8]) for a, b in spans]))
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "firsts", "lasts", "nexts", "digests"]).astype({"doc_id": "Int64"})
+        give_back()
 
     return run
 

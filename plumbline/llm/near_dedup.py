@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpointed, own_names, slices, spread_join
+from plumbline.llm.common import checkpointed, give_back, own_names, slices, spread_join
 from plumbline.llm.components import components
 from plumbline.shared import written
 
@@ -42,6 +42,8 @@ MINIMA = 100
 NO_BAND, NO_SIFT = 1e-5, 1e-4
 #: Members and shingles of a block when a bucket is compared member by member, about.
 BLOCK, BLOCK_SHINGLES = 128, 200_000
+#: Blocks of a bucket that meet all its blocks in one task.
+PAIRED = 64
 #: Word hashes that a worker keeps.
 CACHE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,6 +116,8 @@ def _sign(n: int, width: int):
                 bands = [xxhash.xxh64_intdigest(m[i * width : (i + 1) * width].tobytes(), seed=i) - (1 << 63) for i in range(n)] if len(s) else None
                 rows.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, m.tobytes() if len(s) else None, bands))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "signature", "bands"]).astype({"doc_id": "Int64"})
+        del hashes
+        give_back()
 
     return run
 
@@ -122,6 +126,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for batch in slices(batches):
         yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(t, hashes).view(np.int64) for t in batch["text"]]})
+    del hashes
+    give_back()
 
 
 def signatures(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -228,8 +234,11 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     # a block: members of one ring, either of the largest component or of the others
     rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")), n)
     blocks = rows.select("bucket", "block").distinct()
-    others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"))
-    tasks = blocks.where("block.minor").join(others, (F.col("bucket") == F.col("b2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
+    # the list of a bucket's pairs of blocks is made in parts, so that no task makes it for a very large bucket alone
+    blocks = blocks.join(blocks.groupBy("bucket").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts")), "bucket")
+    mine = blocks.where("block.minor").withColumn("deal", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d2"))
+    tasks = mine.join(others, (F.col("bucket") == F.col("b2")) & (F.col("deal") == F.col("d2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
     tasks = checkpointed(tasks, n)
     left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
     right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))

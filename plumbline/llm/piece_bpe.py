@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import give_back
+
 MARK = "▁"
 #: Words whose ids a worker keeps.
 CACHE = 250_000
@@ -247,6 +249,8 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             finally:
                 gc.enable()  # the worker goes on to other tasks
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+        del codec
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
