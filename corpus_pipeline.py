@@ -8,6 +8,10 @@ mixing        sources are passed so often as their weights ask, in permuted bloc
               at least once
 encoding      each text is encoded and decoded; digests of both
 
+Every stage but the last gives back the columns of documents, also those that are named like a column that it makes
+itself, with their values. Null and empty texts, null ids, repeated rows and empty tables go through every stage; what
+each does with them is stated in the operators' modules.
+
 SQL can't express the stages (a fitted model, extended matches, connected components), so ORACLE_SQL is
 None. Tests hold every operator against a brute-force version, and the chain against the same rules in
 plain Python on a small table.
@@ -15,26 +19,34 @@ plain Python on a small table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, near_dedup, piece_bpe
 from plumbline.llm import toxicity as tox
-from plumbline.llm.common import table
+from plumbline.llm.common import own_names, table
 from plumbline.shared import written
 
 ORACLE_SQL = None
 
 
+def kept(docs: DataFrame, made: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stage gives, with the columns of docs alone; those that are named like one that the stage makes keep their values."""
+    own = [c for c in docs.columns if c.lower() in made]
+    away = dict(zip(own, own_names(docs, *[f"{c}_" for c in own])))
+    rows = stage(docs.withColumnsRenamed(away))
+    return rows.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.without_toxic(docs, tox.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(docs, drop_emptied=True)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = kept(docs, ("lines_runs",), lambda d: line_dedup.dedup_lines(d, drop_emptied=True))
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return kept(docs, ("mix_pass", "mix_block", "mix_place", "mix_key"), mixing.mix)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
