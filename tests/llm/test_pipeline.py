@@ -32,13 +32,15 @@ def test_stages_in_their_order(spark, tmp_path):
             words[3] = "changed"
         rows.append((200 + i, " ".join(words), "s1"))
     rows += [(300, None, None), (301, "", "s2")]
-    docs = frame(spark, rows).select("*", *[F.lit(1).alias(c) for c in ("toxic_score", "gone_id", "mix_source", "lines_own", "mix_pass")])
+    docs = frame(spark, rows).select("*", *[F.lit(1).alias(c) for c in ("toxic_score", "gone_id", "mix_source", "lines_own", "mix_pass", "Mix_Key", "lines_runs", "mix_block", "mix_pass_")])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels = frame(spark, rows).where("doc_id < 200").select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        assert {tuple(r) for r in found.select(*[c for c in docs.columns if c.lower().split("_")[0] in ("toxic", "gone", "mix", "lines")]).distinct().collect()} == {(1,) * 9}, name
 
     model = toxicity.fit(docs, labels)
     left = [(i, t, s) for i, t, s in rows if model.score(t) < 0.5]
