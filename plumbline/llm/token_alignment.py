@@ -31,14 +31,16 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +109,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _plain_encoder(path: str):
+def _plain_encoder(spec: dict):
     """A faster encoder of the same vocabulary for Latin text, where the file is merges in the order of their ids and the usual split into words; else None."""
-    import json
-
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     vocabulary, merges, letters = spec["model"]["vocab"], spec["model"]["merges"], _byte_alphabet()
     made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
     before = spec.get("pre_tokenizer") or {}
@@ -128,17 +126,17 @@ class Pair:
     """Both tokenizers, the bytes of their tokens, and the units seen so far."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.path_a = path_a
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = _plain_encoder(spec)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.plain = _plain_encoder(path_a)
         letters, size = _byte_alphabet(), self.b.get_piece_size()
-        self.bytes_a: list[bytes] = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        found = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        self.bytes_a: list[bytes] = [b""] * (max(found.values()) + 1)
+        for token, i in found.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         if any(MARK in p.lstrip(MARK) or "\n" in p or CUT.search(p) for p in pieces):
@@ -151,6 +149,16 @@ class Pair:
         self.older: dict[str, tuple] = {}
         self.void: set[str] = set()
 
+    @cached_property
+    def a(self):
+        """Loaded for the first unit that the plain encoder doesn't take."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path_a)
+        out.encode_special_tokens = True
+        return out
+
     def most_pairs(self) -> int:
         """No two tokens end together but where one is a suffix of the other."""
         return sum(map(len, self.bytes_a)) + sum(map(len, self.bytes_b))
@@ -162,7 +170,7 @@ class Pair:
             found_a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
         else:
             others = [u for u in units if not LATIN.fullmatch(u)]
-            known = dict(zip(others, [x.ids for x in self.a.encode_batch_fast(others, add_special_tokens=False)]))
+            known = dict(zip(others, [x.ids for x in self.a.encode_batch_fast(others, add_special_tokens=False)])) if others else {}
             found_a = [known[u] if u in known else plain(u) for u in units]
         # encoding puts a mark in front, of a line end too; other units are encoded behind a line end
         found_b = self.b.encode([u[1:] if u[0] == " " else u if u[0] == "\n" else "\n" + u for u in units], num_threads=1)
@@ -245,28 +253,33 @@ def pair_of(path_a: str, path_b: str) -> Pair:
 
 
 def _short(path_a: str, path_b: str, keep_groups: bool):
-    """Texts of one range each: all that is known without the corpus, and the links."""
+    """Texts of one range each: all that is known without the corpus, and the links. Arrow batches are taken in small parts, so that few texts are held twice."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(path_a, path_b)
-        for batch in slices(batches, 256):
-            texts = [CUT.split(" " + t) if t else [] for t in batch["text"]]
-            gc.disable()  # units are many small objects, and none of them is in a cycle
-            try:
-                rows, at = [], 0
-                while at < len(texts):  # as many texts at a time as the table of units takes
-                    units, start = set(), at
-                    while at < len(texts) and (at == start or len(units) < CACHE // 4):
-                        units.update(texts[at])
-                        at += 1
-                    pair.learn(units)
-                    for doc_id, found in zip(batch["doc_id"].iloc[start:at], texts[start:at]):
-                        got = pair.units_of(found) if found else None
-                        groups, counts, links = got or ("", (0, 0, 0), np.empty(0, np.int32))
-                        rows.append((doc_id, *counts, hashlib.sha256(groups.encode()).hexdigest() if got else "", groups if keep_groups else None, links))
-            finally:
-                gc.enable()
-            yield pd.DataFrame(rows, columns=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "links"]).astype({"doc_id": "Int64"})
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [CUT.split(" " + t) if t else [] for t in part.column("text").to_pylist()]
+                gc.disable()  # units are many small objects, and none of them is in a cycle
+                try:
+                    rows, at = [], 0
+                    while at < len(texts):  # as many texts at a time as the table of units takes
+                        units, start = set(), at
+                        while at < len(texts) and (at == start or len(units) < CACHE // 4):
+                            units.update(texts[at])
+                            at += 1
+                        pair.learn(units)
+                        for found in texts[start:at]:
+                            got = pair.units_of(found) if found else None
+                            groups, counts, links = got or ("", (0, 0, 0), np.empty(0, np.int32))
+                            rows.append((*counts, hashlib.sha256(groups.encode()).hexdigest() if got else "", groups if keep_groups else None, links))
+                finally:
+                    gc.enable()
+                *numbers, digests, groups, links = zip(*rows)
+                ends = np.append(0, np.cumsum(list(map(len, links)))).astype(np.int32)
+                columns = [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array(digests, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(ends, np.concatenate(links))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "links"])
 
     return run
 
@@ -379,7 +392,7 @@ def align(documents: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, ke
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
-    short = written(docs.where(~long).mapInPandas(_short(path_a, path_b, keep_groups), f"doc_id long, {RESULT}, groups_sha256 string, groups string, links array<int>"))
+    short = written(docs.where(~long).mapInArrow(_short(path_a, path_b, keep_groups), f"doc_id long, {RESULT}, groups_sha256 string, groups string, links array<int>"))
     cuts = written(docs.where(long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInPandas(_cut(chunk), "key long, doc_id long, no int, part string, low long, high long"))
     ranges = written(
         cuts.repartition("key", "no").mapInPandas(
