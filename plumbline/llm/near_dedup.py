@@ -143,6 +143,27 @@ def _sifted(least: int):
     return run
 
 
+def _best(percent: int):
+    least = sift(percent)
+
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        """For each member of the task's first block the one of another component whose signature is most like its own, where the sift lets the pair through."""
+        task = task.sort_values(["side", "id"]).reset_index(drop=True)
+        ids, component = task["id"].to_numpy(np.int64), task["component"].to_numpy(np.int64)
+        signs = np.stack([np.frombuffer(x, np.uint32) for x in task["signature"]])
+        out = []
+        for x in np.flatnonzero(task["side"] == 0):
+            others = np.flatnonzero(component != component[x])
+            if len(others):
+                equal = (signs[others] == signs[x]).sum(axis=1)
+                y = int(equal.argmax())
+                if equal[y] >= least:
+                    out.append((ids[x], ids[others[y]], int(equal[y])))
+        return pd.DataFrame(out, columns=["leader", "id", "equal"]).astype({"leader": "int64", "id": "int64", "equal": "int32"})
+
+    return run
+
+
 def _joined_between(percent: int):
     least = sift(percent)
 
@@ -206,7 +227,9 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     Distance is 1 - similarity, a metric: two members can only be linked if their distances to the centre
     differ by no more than linked members are apart. So members are put in rings of that width around
     the centre, and only those of equal and neighbouring rings are compared; of the bucket's largest
-    component, no two members are. Pairs are sifted by their signatures before their sets are compared.
+    component, no two members are. First only signatures are sent, and each member is held against the
+    one of another component that is most like it; sets are sent and compared, pairs sifted by signatures, where
+    components are apart after that.
     """
     if percent >= 100:
         return None
@@ -228,10 +251,31 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
     rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = checkpointed(rows, n)
+
+    # most members are linked with the one that their signature is most like; what that joins needn't be compared
+    dealt, tasks = _dealt(rows, n)
+    best = _sides(dealt, tasks, reps.select("id", "signature")).groupBy("bucket", "block", "other").applyInPandas(_best(percent), "leader long, id long, equal int")
+    best = checkpointed(best.groupBy("leader").agg(F.max_by("id", F.struct("equal", "id")).alias("id")), n)
+    linked = _with_both(best, sets).where(100 * F.col("both") >= percent * (F.col("n") + F.col("ln") - F.col("both")))
+    part_of = lambda node, name: rows.select(F.col("id").alias(node), F.col("component").alias(name)).distinct()
+    edges = checkpointed(linked.select("leader", "id").join(part_of("leader", "u"), "leader").join(part_of("id", "v"), "id").select("u", "v").distinct(), n)
+    if not edges.isEmpty():
+        names = components(edges).withColumnRenamed("component", "whole")
+        rows = checkpointed(spread_join(rows, names.withColumnRenamed("node", "component"), "component", ("id",), how="left").withColumn("component", F.coalesce("whole", "component")).drop("whole"), n)
+        still = rows.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("bucket")
+        rows = checkpointed(spread_join(rows, checkpointed(still, n), "bucket", ("id",)), n)
+        if rows.isEmpty():
+            return edges
+        dealt, tasks = _dealt(rows, n)
+    signed = sets.join(reps.select("id", "signature"), "id")
+    return edges.union(_sides(dealt, tasks, signed).groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long"))
+
+
+def _dealt(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, id, component, ring, n) in blocks of one ring, either of the bucket's largest component or of the others; and the pairs of blocks that are to be compared."""
     largest = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
     rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")), n)
     sizes = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # a block: members of one ring, either of the largest component or of the others
     rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")), n)
     blocks = rows.select("bucket", "block").distinct()
     # the list of a bucket's pairs of blocks is made in parts, so that no task makes it for a very large bucket alone
@@ -239,11 +283,14 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     mine = blocks.where("block.minor").withColumn("deal", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
     others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d2"))
     tasks = mine.join(others, (F.col("bucket") == F.col("b2")) & (F.col("deal") == F.col("d2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
-    tasks = checkpointed(tasks, n)
+    return rows, checkpointed(tasks, n)
+
+
+def _sides(rows: DataFrame, tasks: DataFrame, what: DataFrame) -> DataFrame:
+    """The members of both blocks of each task, with what is to be compared (id, ...)."""
     left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
     right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
-    signed = sets.join(reps.select("id", "signature"), "id")
-    return left.union(right).join(signed, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
+    return left.union(right).join(what, "id")
 
 
 def joined(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:
