@@ -8,6 +8,10 @@ unit before anything is ranked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,15 +179,53 @@ def rotating(ranked: DataFrame, cap: int, ids: tuple[str, ...] = ("doc_id", "chu
     return first.withColumn("place", F.row_number().over(W.partitionBy("group_id").orderBy("rank", "query_no"))).where(F.col("place") <= cap).select("group_id", *ids, "place")
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 256) -> DataFrame:
-    """query_id, id, score, rank: the k nearest (id, v) of each query (query_id, q), by comparison with all. Queries meet vectors in blocks; each task keeps k for a query before anything is shuffled."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    blocks = F.lit(max(1, -(-queries.count() // block)))
-    q = queries.select("query_id", unit(F.col("q").cast("array<double>")).alias("q")).groupBy(F.pmod(F.xxhash64("query_id"), blocks).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    v = vectors.select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    dot = lambda x: F.aggregate(F.zip_with("v", x, lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
-    pairs = v.crossJoin(q).select("id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"]), 6).alias("score")))).alias("x"))  # a stated query set against all rows, in blocks
-    return top(pairs.select("x.query_id", "id", "x.score"), k, ["query_id"], "id")
+#: Queries that go to every task at once.
+AT_ONCE = 4096
+
+
+def _nearest(shared, k: int):
+    """The k nearest of each query among a task's vectors; by score, then by id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]
+        for rows in batches:
+            for i in range(0, len(rows), 2048):
+                part = rows.iloc[i : i + 2048]
+                v = np.stack([np.asarray(x, float) for x in part["v"]])
+                size = np.sqrt((v * v).sum(axis=1))
+                some = size > 0
+                scores, found = np.round(q @ (v[some] / size[some, None]).T, 6), part["id"].to_numpy()[some]
+                for n, s in enumerate(scores):
+                    floor = -best[n][-1][0] if len(best[n]) == k else -np.inf
+                    if len(s) > k:
+                        floor = max(floor, np.partition(s, len(s) - k)[len(s) - k])
+                    at = np.flatnonzero(s >= floor)
+                    best[n] = sorted([*best[n], *zip((-s[at]).tolist(), found[at].tolist())])[:k]
+        out = [(ids[n], x, -s) for n, mine in enumerate(best) for s, x in mine]
+        yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    return run
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, id, score, rank: the k nearest (id, v) of each query (query_id, q), by comparison with all, six decimals; vectors that are null or zero take no part.
+
+    Queries go to every task, AT_ONCE of them at a time; a task multiplies matrices and gives back k rows for a query.
+    """
+    spark = vectors.sparkSession
+    asked = written(queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q")))
+    v = vectors.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    out, groups = None, asked.count() // AT_ONCE + 1
+    for g in range(groups):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()  # about AT_ONCE rows
+        q = np.array([r["q"] for r in rows], float).reshape(len(rows), -1)
+        size = np.sqrt((q * q).sum(axis=1))
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r, s in zip(rows, size) if s > 0], q[size > 0] / size[size > 0, None]))
+        found = v.mapInPandas(_nearest(shared, k), kinds)
+        out = found if out is None else out.union(found)
+    return top(out, k, ["query_id"], "id")
 
 
 def fused(a: DataFrame, b: DataFrame, weight_a: float = 1.0, weight_b: float = 1.0, k: int = 60) -> DataFrame:
