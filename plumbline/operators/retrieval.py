@@ -189,7 +189,7 @@ def _nearest(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         best: list[list[tuple]] = [[] for _ in ids]
-        for rows in batches:
+        for rows in batches if ids else ():
             for i in range(0, len(rows), 2048):
                 part = rows.iloc[i : i + 2048]
                 v = np.stack([np.asarray(x, float) for x in part["v"]])
@@ -220,7 +220,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     out, groups = None, asked.count() // AT_ONCE + 1
     for g in range(groups):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()  # about AT_ONCE rows
-        q = np.array([r["q"] for r in rows], float).reshape(len(rows), -1)
+        q = np.array([r["q"] for r in rows], float) if rows else np.zeros((0, 1))
         size = np.sqrt((q * q).sum(axis=1))
         shared = spark.sparkContext.broadcast(([r["query_id"] for r, s in zip(rows, size) if s > 0], q[size > 0] / size[size > 0, None]))
         found = v.mapInPandas(_nearest(shared, k), kinds)

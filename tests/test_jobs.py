@@ -80,6 +80,18 @@ def test_blocks_that_cannot_reach_the_kth_score_are_skipped():
     assert lazy.best == all_of.best and lazy.skipped == 39 and all_of.skipped == 0
 
 
+def test_nearest_vectors_in_groups_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(90, [0.0] * 4), (91, None)]
+    vectors, queries = spark.createDataFrame(v, "id int, v array<double>"), spark.createDataFrame([v[0], v[7], (90, [0.0] * 4)], "query_id int, q array<double>")
+    monkeypatch.setattr(retrieval, "AT_ONCE", 1)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.cosine(vectors, queries, 5).collect()}
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in v[:60]}
+    want = {(q, n + 1): i for q in (0, 7) for n, i in enumerate(sorted(unit, key=lambda i: (-round(float(unit[i] @ unit[q]), 6), i))[:5])}
+    assert got == want
+    assert retrieval.cosine(vectors, queries.limit(0), 5).count() == 0
+
+
 def test_recall_takes_every_k_from_the_least_rank(spark):
     contexts = spark.createDataFrame([(1, 1, "Revenue was $1,577.00 in"), (1, 5, "fiscal year two"), (2, 1, "nothing"), (3, 9, "net\n income  rose")], "q_id int, rank int, text string")
     evidence = spark.createDataFrame([(1, "revenue fiscal year 9", "1577.00"), (2, "", None), (3, "net x", "Net Income"), (4, "a", "b")], "q_id int, text string, answer string")
