@@ -7,6 +7,7 @@ range are differences of running sums, so a question never meets all rows of its
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +93,27 @@ def _day(text: Column, pattern: str, year: Column | None = None) -> Column:
     return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
 
-def named(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """q_id and the smallest symbol of a name that the text holds: texts meet names by the first two characters of the name."""
-    grams = texts.select("q_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2))))))).alias("gram"))
-    n = names.where("name <> ''").select("name", F.col("symbol").alias("n_symbol"), F.substring("name", 1, 2).alias("gram"))
-    return grams.where("text <> ''").join(n, "gram").where(F.contains("text", F.col("name"))).groupBy("q_id").agg(F.min("n_symbol").alias("named"))
+def named(text: Column, names: DataFrame) -> Column:
+    """The smallest symbol of a name that the text holds; names (name, symbol) are a small table that goes to every task.
+
+    A text meets the names by each two characters in it, which names begin with, and is neither exploded nor dealt.
+    """
+    beginning: dict[str, list[tuple[str, str]]] = {}
+    for name, symbol in names.where("name <> '' and symbol is not null").select("name", "symbol").distinct().collect():
+        beginning.setdefault(name[:2], []).append((name, symbol))
+    shared = names.sparkSession.sparkContext.broadcast(beginning)
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        known = shared.value
+
+        def smallest(t: str | None) -> str | None:
+            pieces = {t[i : i + n] for i in range(len(t)) for n in (1, 2)} & known.keys() if t else ()
+            return min((symbol for p in pieces for name, symbol in known[p] if name in t), default=None)
+
+        return texts.map(smallest)
+
+    return of(text)
 
 
 def slots(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -116,7 +133,7 @@ def slots(texts: DataFrame, names: DataFrame) -> DataFrame:
     t = t.withColumn("days", F.array_sort(F.array_distinct(F.array_compact(F.concat("whole", F.coalesce("bare", F.expr("cast(array() as array<date>)")), F.transform(found(iso), lambda x: _day(x, iso)))))))
     first = F.when(F.size("days") == 0, F.coalesce(*[F.concat_ws("-", F.regexp_extract("text", p, 1), F.lpad(F.regexp_extract("text", p, 2), 2, "0"), F.lit("01")).try_cast("date") for p in (month, iso_month)]))
     t = t.withColumn("month", first)
-    t = t.join(named(t.where("code = ''").select("q_id", "text"), names), "q_id", "left")
+    t = t.withColumn("named", named(F.when(F.col("code") == "", F.col("text")), names))
     holds = lambda words: F.lower("text").rlike("|".join(words))
     intent = F.when(holds(AGGREGATE_WORDS), "aggregate").when(holds(CHANGE_WORDS), "change").otherwise("price")
     several = F.size("days") > 1
