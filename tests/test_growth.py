@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import cost, questions
+from plumbline.operators import cost, postings, questions, retrieval
 
 
 def planned(df):
@@ -35,3 +35,26 @@ def test_the_sign_test_of_many_pairs_ends(spark, n, k):
     want = min(1.0, 2 * math.fsum(math.exp(log(i)) for i in range(max(0, k - 60_000), k + 1)))
     row = spark.range(1).select(cost.binomial_two_sided(F.lit(k) + F.col("id"), F.lit(n) + F.col("id")).alias("p"), cost.binomial_one_sided(F.lit(k) + F.col("id"), F.lit(n) + F.col("id")).alias("q")).first()
     assert row["p"] == pytest.approx(want, rel=1e-7, abs=1e-12) and (row["q"] == pytest.approx(want / 2, rel=1e-7, abs=1e-12) or 2 * k >= n)
+
+
+def test_scores_are_made_where_the_blocks_are(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 8)  # so that documents lie across blocks
+    rows = [(d, c, f"head {d}", " ".join(f"w{(d * 7 + c * i) % 23}" for i in range(1, 9)), False) for d in range(9) for c in range(1, 6)]
+    units = postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean").coalesce(1))
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 5} w{q + 9} zz") for q in range(6)] + [(9, "zz")], "query_id int, text string")
+    index, plain = postings.index(units), retrieval.bm25(units, queries)
+    got = postings.scores(index, queries)
+    assert "Exchange" not in planned(got)
+    key = lambda df: {(r["query_id"], r["doc_id"], r["chunk_no"]): r["score"] for r in df.collect()}
+    assert key(got) == pytest.approx(key(plain)) and got.count() == plain.count()
+    docs = lambda df: {(r["query_id"], r["doc_id"]): r["score"] for r in df.collect()}
+    summed = postings.document_scores(index, queries)
+    want = docs(retrieval.document_scores(plain.withColumn("score", F.round("score", 6))))
+    assert docs(summed) == pytest.approx(want) and summed.count() == len(want)
+
+
+def test_tasks_take_few_units_and_blocks_at_a_time(spark):
+    rows = [(d, 1, "h", f"word {d}", False) for d in range(1000)]
+    units = postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean").coalesce(1))
+    sizes = units.mapInPandas(lambda batches: (b.head(1).assign(n=len(b))[["n"]] for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= postings.BLOCK and sum(r["n"] for r in sizes) == 1000
