@@ -75,10 +75,14 @@ def misplaced_defaults(params: DataFrame) -> DataFrame:
 
     params: name, spec_no, param, description, default (null: none).
     """
-    a = params.where("default is null").withColumn("claimed", F.nullif(F.regexp_extract(F.lower("description"), CLAIMED_NUMBER, 1), F.lit(""))).where("claimed is not null")
-    b = params.where("default is not null").select(F.col("name").alias("b_name"), F.col("spec_no").alias("b_no"), F.col("param").alias("holder"), F.expr("try_cast(default as double)").alias("held"))
-    j = a.join(b, (F.col("name") == F.col("b_name")) & (F.col("spec_no") == F.col("b_no")) & (F.expr("try_cast(claimed as double)") == F.col("held")) & (F.col("param") != F.col("holder")))
-    return j.groupBy("name", "spec_no", "param").agg(F.first("claimed").alias("claimed"), F.array_join(F.array_sort(F.collect_set("holder")), "/").alias("holders"))
+    key = ["name", "spec_no", "_value"]
+    a = params.where("default is null and param is not null").withColumn("claimed", F.nullif(F.regexp_extract(F.lower("description"), CLAIMED_NUMBER, 1), F.lit(""))).where("claimed is not null")
+    a = a.select("name", "spec_no", "param", "claimed").distinct().withColumn("_value", F.expr("try_cast(claimed as double)"))
+    # holders of a number are listed once, not once for each that claims it, so only lists and claims are dealt
+    b = params.where("default is not null").withColumn("_value", F.expr("try_cast(default as double)")).where("_value is not null").groupBy(*key).agg(F.sort_array(F.collect_set("param")).alias("_all"))
+    j = a.join(b, key).where(F.size("_all") > F.array_contains("_all", F.col("param")).cast("int"))
+    others = F.when(F.array_contains("_all", F.col("param")), F.array_remove("_all", F.col("param"))).otherwise(F.col("_all"))
+    return j.select("name", "spec_no", "param", "claimed", F.array_join(others, "/").alias("holders"))
 
 
 def claim(description: Column) -> Column:
@@ -94,7 +98,7 @@ def call_issues(calls: DataFrame, params: DataFrame) -> DataFrame:
     Required is what has no default. In order of evidence: misplaced, contradiction_value,
     contradiction_optional (the schema contradicts itself), missing (the call lacks it), unknown (not in the spec).
     """
-    wrong = misplaced_defaults(params).select("name", "spec_no", "param", F.lit(True).alias("misplaced"))
+    wrong = misplaced_defaults(params).select("name", "spec_no", "param").distinct().withColumn("misplaced", F.lit(True))
     p = params.join(wrong, ["name", "spec_no", "param"], "left")
     required = calls.join(p, "name").where(F.col("default").isNull() & ~F.array_contains(F.map_keys("arguments"), F.col("param")))
     kind = F.when(F.col("misplaced"), "misplaced").when(claim(F.col("description")) == "value", "contradiction_value").when(claim(F.col("description")) == "optional", "contradiction_optional").otherwise("missing")

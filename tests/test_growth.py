@@ -1,11 +1,12 @@
 """What must not grow with the input: sides that go to every task, and the work of a single row."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import cost, postings, questions, retrieval
+from plumbline.operators import cost, postings, questions, retrieval, traces
 
 
 def planned(df):
@@ -58,3 +59,13 @@ def test_tasks_take_few_units_and_blocks_at_a_time(spark):
     units = postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean").coalesce(1))
     sizes = units.mapInPandas(lambda batches: (b.head(1).assign(n=len(b))[["n"]] for b in batches), "n long").collect()
     assert max(r["n"] for r in sizes) <= postings.BLOCK and sum(r["n"] for r in sizes) == 1000
+
+
+def test_holders_of_a_default_are_listed_once(spark, tmp_path):
+    rows = [("t", 1, f"c{i}", f"default is {i % 2}.0", None) for i in range(6)] + [("t", 1, f"h{i}", "a size", str(i % 2)) for i in range(4)] + [("t", 1, "c0", "again", "0"), ("t", 1, "alone", "default 7", None), ("t", 1, "alone", "itself", "7")]
+    spark.createDataFrame(rows, "name string, spec_no int, param string, description string, default string").write.parquet(str(tmp_path / "params"))
+    got = traces.misplaced_defaults(spark.read.parquet(str(tmp_path / "params")))
+    plan = planned(got)
+    want = {f"c{i}": "/".join(h for h in (["c0"] if i % 2 == 0 and i else []) + [f"h{i % 2}", f"h{i % 2 + 2}"]) for i in range(6)}
+    assert {r["param"]: r["holders"] for r in got.collect()} == want
+    assert plan.index("Join") < plan.index("Exchange")  # pairs of a claim and a holder are never dealt
