@@ -296,23 +296,25 @@ def rebuilt_tables(docs: DataFrame, least: int = 4, width: int = 8) -> DataFrame
     A cell is a short line of letters, digits and signs that doesn't end a sentence. Cells of shorter runs
     stay, with a blank line between them; three and more ends of line become two.
     """
-    l = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("whole")).select("doc_id", F.substring("whole", -1, 1).alias("end"), F.posexplode_outer(lines_of(F.col("whole"))).alias("pos", "line"))
-    bare = _bare(F.col("line"))
+    # the end is told before the lines part, as else each line would carry the whole text
+    l = docs.select("doc_id", F.right(F.coalesce(F.col("text"), F.lit("")), F.lit(1)).alias("end"), lines_of(F.col("text")).alias("_lines")).select("doc_id", "end", F.posexplode_outer("_lines").alias("pos", "line"))
+    bare = F.col("bare")  # made once for a line
     cell = (F.length(bare) <= 60) & bare.rlike("[A-Za-z0-9]") & ~F.col("line").rlike(SENTENCE_END) & bare.rlike(CELL)
-    l = l.withColumn("bare", bare).withColumn("kind", F.when(F.col("line").isNull(), None).when(bare == "", "blank").when(cell, "cell").otherwise("text"))
+    l = l.withColumn("bare", _bare(F.col("line"))).withColumn("kind", F.when(F.col("line").isNull(), None).when(bare == "", "blank").when(cell, "cell").otherwise("text"))
     # a segment: a line of text and the cells and blank lines after it
     l = l.withColumn("segment", F.sum((F.col("kind") == "text").cast("int")).over(W.partitionBy("doc_id").orderBy("pos")))
-    g = l.groupBy("doc_id", "end", "segment").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("pos", "kind", "line", "bare")))).alias("x"))
+    one = F.struct("pos", "kind", F.when(F.col("kind") == "text", F.col("line")).when(F.col("kind") == "cell", bare).alias("value"))
+    g = l.groupBy("doc_id", "end", "segment").agg(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), one))).alias("x"), F.min(F.when(F.col("kind") == "cell", F.col("pos"))).alias("at"))
     g = g.withColumn("last", F.col("segment").eqNullSafe(F.max("segment").over(W.partitionBy("doc_id"))))
-    of = lambda kind, name: F.transform(F.filter("x", lambda s: s["kind"] == kind), lambda s: s[name])
-    g = g.select("doc_id", "end", "segment", "last", of("text", "line").alias("text"), of("cell", "bare").alias("cells"), of("cell", "pos").alias("at"), of("blank", "pos").alias("blanks"))
-    lead = F.transform(F.filter("blanks", lambda i: i < F.coalesce(F.get("at", F.lit(0)), F.lit(1 << 30))), lambda i: F.lit(""))
+    of = lambda kind: F.transform(F.filter("x", lambda s: s["kind"] == kind), lambda s: s["value"])
+    g = g.select("doc_id", "end", "segment", "last", of("text").alias("text"), of("cell").alias("cells"), F.filter("x", lambda s: (s["kind"] == "blank") & (s["pos"] < F.coalesce("at", F.lit(1 << 30)))).alias("blanks"))
+    lead = F.transform("blanks", lambda i: F.lit(""))
     n, none = F.size("cells"), _none()
     rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0))), lambda i: F.concat(F.lit("| "), F.array_join(F.slice("cells", i * width + 1, F.lit(width)), " | "), F.lit(" |")))
     kept = F.concat(F.split(F.array_join("cells", "\n\n"), "\n"), F.when(F.col("last"), none).otherwise(F.array(F.lit(""))))
     table = F.when(n >= least, F.concat(rows, F.array(F.lit("")))).when(n > 0, kept).otherwise(none)
     g = g.select("doc_id", "end", "segment", F.concat("text", lead, table).alias("lines"))
-    out = g.groupBy("doc_id", "end").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", "lines"))), lambda s: s["lines"])).alias("lines"))
+    out = g.groupBy("doc_id", "end").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment", "lines"))), lambda s: s["lines"])).alias("lines"))
     text = F.regexp_replace(F.array_join("lines", "\n"), r"\n{3,}", "\n\n")
     return out.select("doc_id", F.concat(text, F.when((F.col("end") == "\n") & ~text.endswith("\n"), "\n").otherwise("")).alias("text"))
 
