@@ -92,36 +92,62 @@ def claim(description: Column) -> Column:
     return F.when(has(CLAIMS_VALUE), "value").when(has(CLAIMS_OPTIONAL), "optional").otherwise("")
 
 
+def _required(params: DataFrame) -> DataFrame:
+    """name, spec_no, param and kind, what its absence from a call is: of each that has no default."""
+    wrong = misplaced_defaults(params).select("name", "spec_no", "param").distinct().withColumn("misplaced", F.lit(True))
+    said = claim(F.col("description"))
+    kind = F.when(F.col("misplaced"), "misplaced").when(said == "value", "contradiction_value").when(said == "optional", "contradiction_optional").otherwise("missing")
+    return params.where("default is null").join(wrong, ["name", "spec_no", "param"], "left").select("name", "spec_no", "param", kind.alias("kind"))
+
+
 def call_issues(calls: DataFrame, params: DataFrame) -> DataFrame:
     """record, pos, spec_no, kind, param: what is wrong with a call under each spec of its tool.
 
     Required is what has no default. In order of evidence: misplaced, contradiction_value,
     contradiction_optional (the schema contradicts itself), missing (the call lacks it), unknown (not in the spec).
     """
-    wrong = misplaced_defaults(params).select("name", "spec_no", "param").distinct().withColumn("misplaced", F.lit(True))
-    p = params.join(wrong, ["name", "spec_no", "param"], "left")
-    required = calls.join(p, "name").where(F.col("default").isNull() & ~F.array_contains(F.map_keys("arguments"), F.col("param")))
-    kind = F.when(F.col("misplaced"), "misplaced").when(claim(F.col("description")) == "value", "contradiction_value").when(claim(F.col("description")) == "optional", "contradiction_optional").otherwise("missing")
-    lacking = required.select("record", "pos", "spec_no", kind.alias("kind"), "param")
+    required = calls.join(_required(params), "name").where(~F.array_contains(F.map_keys("arguments"), F.col("param")))
+    lacking = required.select("record", "pos", "spec_no", "kind", "param")
     names = params.groupBy("name", "spec_no").agg(F.collect_set("param").alias("known"))
     extra = calls.join(names, "name").select("record", "pos", "spec_no", F.lit("unknown").alias("kind"), F.explode(F.array_except(F.map_keys("arguments"), "known")).alias("param"))
     return lacking.union(extra)
 
 
+#: Parameters whose specs go to every task at once; of more, calls are dealt by tool.
+FEW = 100_000
+
+
+def _judged(calls: DataFrame, params: DataFrame) -> DataFrame:
+    """The calls with issues (sorted kind:param): under the spec with the fewest; a tool without a spec is one issue. A call stays one row: it meets all specs of its tool at once."""
+    required = _required(params).groupBy("name", "spec_no").agg(F.collect_list(F.struct("kind", "param")).alias("required"))
+    known = params.groupBy("name", "spec_no").agg(F.collect_set("param").alias("known"))
+    specs = known.join(required, ["name", "spec_no"], "left").groupBy("name").agg(F.collect_list(F.struct("spec_no", "required", "known")).alias("_specs"))
+    specs = F.broadcast(specs) if len(params.select("name").limit(FEW + 1).collect()) <= FEW else specs
+    empty, keys = F.expr("array()").cast("array<string>"), F.map_keys("arguments")
+
+    def issues(s: Column) -> Column:
+        lacking = F.transform(F.filter(s["required"], lambda r: ~F.array_contains(keys, r["param"])), lambda r: F.concat_ws(":", r["kind"], r["param"]))
+        extra = F.transform(F.array_except(keys, s["known"]), lambda k: F.concat_ws(":", F.lit("unknown"), k))
+        return F.sort_array(F.concat(F.coalesce(lacking, empty), F.coalesce(extra, empty)))
+
+    of = F.transform("_specs", lambda s: _sized(s["spec_no"], issues(s)))
+    fewest = F.when(F.col("_specs").isNull(), F.array(F.concat(F.lit("not_found:"), F.col("name")))).otherwise(F.array_min(of)["issues"])
+    return calls.join(specs, "name", "left").withColumn("issues", fewest).drop("_specs")
+
+
+def _sized(spec_no: Column, issues: Column) -> Column:
+    """Ordered by the number of issues, then by the spec."""
+    return F.transform(F.array(issues), lambda x: F.struct(F.size(x).alias("n"), F.coalesce(spec_no, F.lit(0)).alias("spec_no"), x.alias("issues")))[0]
+
+
 def best_issues(calls: DataFrame, params: DataFrame) -> DataFrame:
     """record, pos, name, issues (sorted kind:param): under the spec with the fewest; a tool without a spec is one issue."""
-    specs = params.select("name", "spec_no").distinct()
-    found = call_issues(calls, params).groupBy("record", "pos", "spec_no").agg(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "param"))).alias("issues"))
-    j = calls.select("record", "pos", "name").join(specs, "name", "left").join(found, ["record", "pos", "spec_no"], "left")
-    empty = F.expr("array()").cast("array<string>")
-    issues = F.when(F.col("spec_no").isNull(), F.array(F.concat(F.lit("not_found:"), F.col("name")))).otherwise(F.coalesce("issues", empty))
-    j = j.withColumn("issues", issues)
-    return j.groupBy("record", "pos", "name").agg(F.min_by("issues", F.struct(F.size("issues"), F.coalesce("spec_no", F.lit(0)))).alias("issues"))
+    return _judged(calls, params).select("record", "pos", "name", "issues")
 
 
 def record_steps(calls: DataFrame, params: DataFrame) -> DataFrame:
     """record, pos, name, status, error: issues of each call, or that it repeats an earlier one."""
-    rows = calls.join(best_issues(calls, params).drop("name"), ["record", "pos"])
+    rows = _judged(calls, params)
     rows = rows.withColumn("again", F.row_number().over(W.partitionBy("record", "name", canonical(F.col("arguments"))).orderBy("pos")))
     error = F.when(F.size("issues") > 0, F.array_join("issues", "; ")).when(F.col("again") > 1, "duplicate call")
     return rows.select("record", "pos", "name", F.when(error.isNotNull(), "error").otherwise("ok").alias("status"), error.alias("error"))
@@ -190,20 +216,28 @@ def defect_tally(steps: DataFrame, samples: int = 3) -> DataFrame:
     return total.join(first, key).withColumnRenamed("name", "tool")
 
 
-def filtered(calls: DataFrame, params: DataFrame, strict: bool = True) -> DataFrame:
-    """record, n_calls, verdict, issue kinds: the whole filter of a corpus. strict: a missing parameter counts as the call's fault."""
+def _issue_kinds(calls: DataFrame, params: DataFrame) -> DataFrame:
+    """record, n_calls and the distinct kinds of issues of its calls."""
     s = record_steps(calls, params)
     kinds = F.array_sort(F.array_distinct(F.transform(F.split("error", "; "), lambda x: F.split(x, ":")[0])))
     x = s.withColumn("kinds", F.when(F.col("error").isNotNull(), kinds).otherwise(F.expr("array()").cast("array<string>")))
-    r = x.groupBy("record").agg(F.count("*").alias("n_calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    return x.groupBy("record").agg(F.count("*").alias("n_calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+
+
+def _verdict(strict: bool) -> Column:
     has = lambda *k: F.arrays_overlap("kinds", F.array(*[F.lit(v) for v in k]))
     schema_side = has("misplaced", "contradiction_value", "contradiction_optional") if strict else has("misplaced", "contradiction_value", "contradiction_optional", "missing")
-    verdict = F.when(schema_side, "schema_defect").when(has("not_found"), "not_failure").when(has("missing", "unknown"), "discard").when(has("duplicate call"), "review").otherwise("positive")
-    return r.select("record", "n_calls", verdict.alias("verdict"), F.array_join("kinds", ",").alias("kinds"))
+    return F.when(schema_side, "schema_defect").when(has("not_found"), "not_failure").when(has("missing", "unknown"), "discard").when(has("duplicate call"), "review").otherwise("positive")
+
+
+def filtered(calls: DataFrame, params: DataFrame, strict: bool = True) -> DataFrame:
+    """record, n_calls, verdict, issue kinds: the whole filter of a corpus. strict: a missing parameter counts as the call's fault."""
+    return _issue_kinds(calls, params).select("record", "n_calls", _verdict(strict).alias("verdict"), F.array_join("kinds", ",").alias("kinds"))
 
 
 def premise_sensitivity(calls: DataFrame, params: DataFrame) -> DataFrame:
-    """verdict, strict, lenient, difference: the same corpus under two premises."""
-    both = filtered(calls, params, True).select("verdict", F.lit("strict").alias("p")).union(filtered(calls, params, False).select("verdict", F.lit("lenient")))
-    out = both.groupBy("verdict").pivot("p", ["strict", "lenient"]).count().na.fill(0)
-    return out.withColumn("difference", F.col("lenient") - F.col("strict"))
+    """verdict, strict, lenient, difference: the same corpus under two premises, from one pass."""
+    each = _issue_kinds(calls, params).groupBy("kinds").agg(F.count("*").alias("n"))
+    both = each.select("n", F.explode(F.array(*[F.struct(_verdict(x).alias("verdict"), F.lit(x).alias("strict")) for x in (True, False)])).alias("x"))
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("x.strict") == x, F.col("n"))), F.lit(0))
+    return both.groupBy("x.verdict").agg(of(True).alias("strict"), of(False).alias("lenient")).withColumn("difference", F.col("lenient") - F.col("strict"))

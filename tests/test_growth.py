@@ -100,3 +100,14 @@ def test_tables_are_rebuilt_in_the_length_of_a_segment(spark):
     docs = spark.createDataFrame([(1, "\n" * n + "\n\n".join(f"c{i}" for i in range(n)))], "doc_id int, text string")
     text = retrieval.rebuilt_tables(docs).first()["text"]
     assert text.count("|") == n + n // 8 and text.strip().startswith("| c0 | c1 |") and time.monotonic() - start < 40
+
+
+def test_both_premises_come_from_one_pass_over_calls(spark, tmp_path):
+    rows = [(1, 1, "t", {"a": "1"}), (1, 2, "t", {"a": "1"}), (2, 1, "t", {"z": "1"}), (3, 1, "u", {}), (4, 1, "t", {"b": "1"})]
+    spark.createDataFrame(rows, "record int, pos int, name string, arguments map<string,string>").write.parquet(str(tmp_path / "calls"))
+    params = spark.createDataFrame([("t", 1, "a", "the a", None), ("t", 2, "b", "the b", None)], "name string, spec_no int, param string, description string, default string")
+    calls = spark.read.parquet(str(tmp_path / "calls"))
+    got = traces.premise_sensitivity(calls, params)
+    assert planned(got).count("FileScan") == 1
+    assert {r["verdict"]: (r["strict"], r["lenient"], r["difference"]) for r in got.collect()} == {"review": (1, 1, 0), "discard": (1, 0, -1), "not_failure": (1, 1, 0), "positive": (1, 1, 0), "schema_defect": (0, 1, 1)}
+    assert sorted((r["record"], r["pos"], r["issues"]) for r in traces.best_issues(calls, params).collect()) == [(1, 1, []), (1, 2, []), (2, 1, ["missing:a", "unknown:z"]), (3, 1, ["not_found:u"]), (4, 1, [])]
