@@ -78,7 +78,8 @@ def _(t):
     path = shared_folder(t.spark)
     answers = F.when(F.col("o_orderkey") % 5 == 0, "{broken").otherwise(F.concat(F.lit('[{"name":"t'), (F.col("o_custkey") % 6).cast("string"), F.lit('","arguments":{"a":1}}]')))
     record = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit("q").alias("query"), answers.alias("answers"), F.lit(None).cast("string").alias("tools")))
-    files = t.orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    parts = max(16, -(-t.orders.count() // 100_000))  # files grow to about 100,000 records before there are more of them
+    files = t.orders.groupBy(F.pmod("o_orderkey", F.lit(parts)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
     files.write.partitionBy("part").text(path)
     return io.scan_tool_calls(t.spark, f"{path}/*").select("id", F.size("answers").alias("answers"), F.get("answers", F.lit(0))["name"].alias("tool"))
 

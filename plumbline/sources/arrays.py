@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.shared import written
+
 #: Splits whose beginnings go to every task at once.
 SENT = 100_000
 _STRING, _REST = re.compile(r'"(?:[^"\\]|\\.)*"', re.S), re.compile(r'(?:[^"\\]|\\.)*"', re.S)
@@ -111,5 +113,6 @@ def scan_array(spark: SparkSession, path: str) -> DataFrame:
         # the splits' own order must stay, so the small side goes to the rows
         pieces = lines.join(F.broadcast(own), ["file", "start"]).select("file", "start", "value", "inside", "depth").mapInPandas(_pieces, _PIECE)
         out = pieces if out is None else out.union(pieces)
+    out = written(out)  # so that splits are cut once, for whole records and for pieces
     joined = out.where("part <> 1").groupBy("file").applyInPandas(_joined, _PIECE)
     return out.where("part = 1").union(joined).select("text")

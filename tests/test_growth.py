@@ -111,3 +111,15 @@ def test_both_premises_come_from_one_pass_over_calls(spark, tmp_path):
     assert planned(got).count("FileScan") == 1
     assert {r["verdict"]: (r["strict"], r["lenient"], r["difference"]) for r in got.collect()} == {"review": (1, 1, 0), "discard": (1, 0, -1), "not_failure": (1, 1, 0), "positive": (1, 1, 0), "schema_defect": (0, 1, 1)}
     assert sorted((r["record"], r["pos"], r["issues"]) for r in traces.best_issues(calls, params).collect()) == [(1, 1, []), (1, 2, []), (2, 1, ["missing:a", "unknown:z"]), (3, 1, ["not_found:u"]), (4, 1, [])]
+
+
+def test_files_of_tool_calls_do_not_grow_in_number_with_their_records(spark, tmp_path, monkeypatch):
+    from plumbline.plans import source_queries
+    from plumbline.plans.registry import QUERIES
+
+    spark.range(150_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    files, scan = [], source_queries.io.scan_tool_calls
+    monkeypatch.setattr(source_queries.io, "scan_tool_calls", lambda s, path: files.extend(s.read.text(path).inputFiles()) or scan(s, path))
+    got = QUERIES["q007_tool_call_scan"](spark, str(tmp_path))
+    assert len(files) == 16
+    assert got.agg(F.count("*"), F.sum("answers"), F.count_if(F.col("tool") == F.concat(F.lit("t"), (F.col("id") % 7 % 6).cast("string")))).first()[:] == (150_000, 120_000, 120_000)
