@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import give_back, slices
 from plumbline.shared import written
 
 MARK = "▁"
@@ -184,6 +184,9 @@ class Pair:
         raw = unit.encode("utf-8", "surrogatepass")
         return b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
+    def forget(self) -> None:
+        self.known, self.older, self.void = {}, {}, set()
+
     def learn(self, units: set[str]) -> None:
         """Keeps groups, packed counts and links of these units; notes those that their tokens don't cover. Units of the last but one generation go."""
         if len(self.known) + len(units) > CACHE // 2:
@@ -249,6 +252,13 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+def let_go() -> None:
+    """Tokenizers and tables that this worker keeps of stages that encode go; those that follow don't need them."""
+    if pair_of.cache_info().currsize:
+        pair_of.cache_clear()
+        give_back()
+
+
 # ---- Spark
 
 
@@ -280,6 +290,7 @@ def _short(path_a: str, path_b: str, keep_groups: bool):
                 ends = np.append(0, np.cumsum(list(map(len, links)))).astype(np.int32)
                 columns = [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array(digests, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(ends, np.concatenate(links))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "links"])
+        give_back()
 
     return run
 
@@ -358,12 +369,15 @@ def _ranges(path_a: str, path_b: str):
         for batch in slices(batches, 32):
             rows = [(key, doc_id, no, *of(pair, part, low, high)) for key, doc_id, no, part, low, high in batch[["key", "doc_id", "no", "part", "low", "high"]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["key", "doc_id", "no", "whole", "n_a", "n_b", "n_groups", "ended", "before_a", "before_b", "groups", "after_a", "after_b", "links"]).astype({"doc_id": "Int64"})
+        pair.forget()
+        give_back()
 
     return run
 
 
 def _composed(rows: pd.DataFrame) -> pd.DataFrame:
     """One fragment for up to FAN neighbours."""
+    let_go()
     rows = rows.sort_values("no")
     parts = rows[["ended", "before_a", "before_b", "groups", "after_a", "after_b"]].itertuples(index=False, name=None)
     sums = [int(rows[c].sum()) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
@@ -376,6 +390,7 @@ def _weighed(table):
 
     @F.pandas_udf("n_best long, count_sum long")
     def run(links: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         codes, counts, best = table.value
         for batch in links:
             out = []

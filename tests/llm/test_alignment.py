@@ -130,3 +130,16 @@ def test_empty_table_and_repeated_rows(spark):
     assert ta.align(spark.createDataFrame([], schema), A, B).collect() == []
     rows = ta.align(spark.createDataFrame([(None, "two words"), (1, "two words"), (1, "two words"), (1, None)], schema), A, B).collect()
     assert len(rows) == 4 and {r["n_links"] for r in rows} == {0, 2} and {r["count_sum"] for r in rows} == {0, 6}
+
+
+def test_workers_keep_no_tables_for_stages_that_do_not_encode():
+    import pandas as pd
+
+    text = "Some words, cut anywhere. " * 40
+    parts = pd.DataFrame([(0, 1, no, *part) for no, part in enumerate(ta.cut(text, 64))], columns=["key", "doc_id", "no", "part", "low", "high"])
+    (found,) = ta._ranges(A, B)(iter([parts]))
+    pair = ta.pair_of(A, B)
+    assert not pair.known and not pair.older and not pair.void
+    whole = ta._composed(found.drop(columns="links").assign(n_best=0, count_sum=0))
+    assert whole["n_b"][0] == len(tokens(text)[2]) and ta.pair_of.cache_info().currsize == 0
+    assert ta.pair_of(A, B) is not pair  # made again for tasks that encode
