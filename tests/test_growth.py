@@ -123,3 +123,31 @@ def test_files_of_tool_calls_do_not_grow_in_number_with_their_records(spark, tmp
     got = QUERIES["q007_tool_call_scan"](spark, str(tmp_path))
     assert len(files) == 16
     assert got.agg(F.count("*"), F.sum("answers"), F.count_if(F.col("tool") == F.concat(F.lit("t"), (F.col("id") % 7 % 6).cast("string")))).first()[:] == (150_000, 120_000, 120_000)
+
+
+def test_quartiles_need_the_single_values_of_few_rows(spark, tmp_path, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from plumbline.operators import generic_probes, places
+
+    r = random.Random(5)
+    rows = [(i, "a", r.uniform(-50, 1000) * 3 ** r.randint(0, 9)) for i in range(20_000)] + [(i, "b", float(r.choice([-3, 0, 0, 1, 2, 900]))) for i in range(3_000)]
+    rows += [(i, "c", x) for i, x in enumerate([-math.inf, math.inf, math.nan, None, -0.0, 0.0, 5e-324, -1e308] + [float(x) for x in range(-12, 13)])] + [(1, None, 1e9), (2, "few", 1.0)]
+    spark.createDataFrame(rows, "t int, g string, v double").write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    spec = generic_probes.Spec("x", (generic_probes.Declared("v", "numeric"),), group="g", outliers=0.0)
+    counts = []
+    for module in (generic_probes, places):
+        monkeypatch.setattr(module, "written", lambda df, w=module.written: (counts.append((out := w(df)).count()), out)[1])
+
+    def share(g):
+        v = np.array([x for _, h, x in rows if h == g and x is not None and not math.isnan(x)])
+        low, high = np.quantile(v, [0.25, 0.75])
+        return float(np.mean((v < low - 1.5 * (high - low)) | (v > high + 1.5 * (high - low))))
+
+    for g in ("a", "b", "c"):
+        assert generic_probes.outliers(table.where(F.col("g") == g), spec).first()["value"] == pytest.approx(share(g), abs=1e-12)
+    assert generic_probes.outliers(table, spec).first()["value"] == pytest.approx(max(map(share, "abc")), abs=1e-12)
+    assert max(counts) < 6_000
