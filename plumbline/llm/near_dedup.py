@@ -150,6 +150,7 @@ def _joined_between(percent: int):
         """Links between the components of a task's two blocks that nothing joins yet; rows sorted, so that the result doesn't depend on their order."""
         task = task.sort_values(["side", "id"]).reset_index(drop=True)
         component, sets = [int(c) for c in task["component"]], [np.asarray(s) for s in task["s"]]
+        part = np.array(component)
         signs = np.stack([np.frombuffer(x, np.uint32) for x in task["signature"]])
         root = {c: c for c in component}
 
@@ -163,6 +164,7 @@ def _joined_between(percent: int):
         out = []
         for n, x in enumerate(first):
             others = second if len(second) else first[n + 1 :]
+            others = others[part[others] != part[x]]
             for y in others[(signs[others] == signs[x]).sum(axis=1) >= least]:
                 low, high = sorted((len(sets[x]), len(sets[y])))
                 if 100 * low < percent * high or top(component[x]) == top(component[y]):
@@ -176,9 +178,14 @@ def _joined_between(percent: int):
     return run
 
 
+def _ids(rows: DataFrame, n: int) -> DataFrame:
+    """Distinct rows (ids, of about n rows), written, so that Spark knows their size: where that is small, what they are joined with isn't shuffled."""
+    return written(rows.distinct().coalesce(n // 500_000 + 1))
+
+
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and s, the shingles, of the wanted doc_ids, written once."""
-    return written(texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, s array<long>"))
+    """id and s, the shingles, of the wanted ids, written once."""
+    return written(texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInPandas(_sets, "id long, s array<long>"))
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,13 +200,37 @@ def _stars(texts: DataFrame, reps: DataFrame, member: DataFrame, percent: int) -
     """Edges (u, v) between members of a bucket and its centre."""
     pairs = checkpointed(member.select("leader", "id").distinct())
     info = reps.select("id", "n", "signature")
-    lead = info.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("signature").alias("ls"))
+    leaders = _ids(pairs.select(F.col("leader").alias("id")), pairs.count())
+    lead = info.join(leaders, "id", "left_semi").select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("signature").alias("ls"))
     met = spread_join(pairs.join(info, "id"), lead, "leader", ("id",), counted=pairs).where(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
     near = checkpointed(met.where(_sifted(sift(percent))("signature", "ls")).select("leader", "id"))
-    sets = _sets_of(texts, near.select("leader").union(near.select("id")).distinct().withColumnRenamed("leader", "doc_id"))
+    sets = _sets_of(texts, _ids(near.select(F.col("leader").alias("id")).union(near.select("id")), near.count()))
     return checkpointed(_with_both(near, sets).where(100 * F.col("both") >= percent * (F.col("n") + F.col("ln") - F.col("both"))).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct())
 
 
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """The members of large buckets (bucket, leader, id, component) once for each pair of blocks that they are compared in: bucket, block, other, id, component, side. rows: about n."""
+    pairs = checkpointed(rows.where("id <> leader").select("leader", "id").distinct(), n)
+    rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
+    rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
+    rows = checkpointed(rows, n)
+    largest = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")), n)
+    sizes = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # a block: members of one ring, either of the largest component or of the others
+    rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")), n)
+    blocks = rows.select("bucket", "block").distinct()
+    # the list of a bucket's pairs of blocks is made in parts, so that no task makes it for a very large bucket alone
+    blocks = blocks.join(blocks.groupBy("bucket").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts")), "bucket")
+    mine = blocks.where("block.minor").withColumn("deal", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d2"))
+    tasks = mine.join(others, (F.col("bucket") == F.col("b2")) & (F.col("deal") == F.col("d2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
+    tasks = checkpointed(tasks, n)
+    left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
+    right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
+    return left.union(right)
+
+
 def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: DataFrame, percent: int) -> DataFrame | None:
     """Edges (u, v) between components that meet in a bucket and that the stars left apart; None if there are no such buckets.
 
@@ -207,6 +238,7 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     differ by no more than linked members are apart. So members are put in rings of that width around
     the centre, and only those of equal and neighbouring rings are compared; of the bucket's largest
     component, no two members are. Pairs are sifted by their signatures before their sets are compared.
+    A bucket no larger than a block goes to one task as it is, so that each of its members is sent once.
     """
     if percent >= 100:
         return None
@@ -222,28 +254,18 @@ def _between(texts: DataFrame, reps: DataFrame, member: DataFrame, component: Da
     rows = checkpointed(spread_join(rows.drop("size"), wanted, "bucket", ("id",)))
     n = rows.count()
     rows = rows.coalesce(n // 500_000 + 1)
-    sets = _sets_of(texts, rows.select(F.col("id").alias("doc_id")).distinct())
-
-    pairs = checkpointed(rows.where("id <> leader").select("leader", "id").distinct(), n)
-    rings = _with_both(pairs, sets).select("leader", "id", "n", F.expr(f"int((100 * (n + ln - 2 * both)) div ((n + ln - both) * {100 - percent}))").alias("ring")).withColumnRenamed("id", "of").withColumnRenamed("leader", "around")
-    rows = rows.join(rings, (F.col("id") == F.col("of")) & (F.col("leader") == F.col("around")), "left").select("bucket", "id", "component", F.coalesce("ring", F.lit(0)).alias("ring"), F.coalesce("n", F.lit(0)).alias("n"))
-    rows = checkpointed(rows, n)
-    largest = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-    rows = checkpointed(spread_join(rows, largest, "bucket", ("id",)).select("bucket", "id", "component", "n", F.struct("bucket", "ring", (F.col("component") != F.col("largest")).alias("minor")).alias("part")), n)
-    sizes = rows.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # a block: members of one ring, either of the largest component or of the others
-    rows = checkpointed(spread_join(rows, sizes, "part", ("id",)).select("bucket", "id", "component", F.struct("part.ring", "part.minor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("no")).alias("block")), n)
-    blocks = rows.select("bucket", "block").distinct()
-    # the list of a bucket's pairs of blocks is made in parts, so that no task makes it for a very large bucket alone
-    blocks = blocks.join(blocks.groupBy("bucket").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts")), "bucket")
-    mine = blocks.where("block.minor").withColumn("deal", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
-    others = blocks.select(F.col("bucket").alias("b2"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d2"))
-    tasks = mine.join(others, (F.col("bucket") == F.col("b2")) & (F.col("deal") == F.col("d2")) & (F.abs(F.col("block.ring") - F.col("other.ring")) <= 1)).where("not other.minor or block <= other").select("bucket", "block", "other")
-    tasks = checkpointed(tasks, n)
-    left = rows.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "id", "component", F.lit(0).alias("side"))
-    right = rows.withColumnRenamed("block", "other").join(tasks.where("block <> other"), ["bucket", "other"]).select("bucket", "block", "other", "id", "component", F.lit(1).alias("side"))
-    signed = sets.join(reps.select("id", "signature"), "id")
-    return left.union(right).join(signed, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
+    ids = _ids(rows.select("id"), n)
+    sets = _sets_of(texts, ids)
+    known = rows.join(sets.groupBy("id").agg(F.sum(F.size("s")).alias("n")), "id")
+    fits = known.groupBy("bucket").agg(((F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)).alias("fits"))
+    rows = checkpointed(spread_join(rows, fits, "bucket", ("id",), rows=n), n)
+    whole = F.struct(F.lit(0).alias("ring"), F.lit(True).alias("minor"), F.lit(0).alias("no"))
+    compared = rows.where("fits").select("bucket", whole.alias("block"), whole.alias("other"), "id", "component", F.lit(0).alias("side"))
+    rows = rows.where("not fits").drop("fits")
+    if not rows.isEmpty():
+        compared = compared.union(_blocks(rows, sets, percent, n))
+    signed = sets.join(reps.select("id", "signature").join(ids, "id", "left_semi"), "id")
+    return compared.join(signed, "id").groupBy("bucket", "block", "other").applyInPandas(_joined_between(percent), "u long, v long")
 
 
 def joined(documents: DataFrame, signed: DataFrame, percent: int = 85) -> DataFrame:

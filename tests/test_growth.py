@@ -151,3 +151,16 @@ def test_quartiles_need_the_single_values_of_few_rows(spark, tmp_path, monkeypat
         assert generic_probes.outliers(table.where(F.col("g") == g), spec).first()["value"] == pytest.approx(share(g), abs=1e-12)
     assert generic_probes.outliers(table, spec).first()["value"] == pytest.approx(max(map(share, "abc")), abs=1e-12)
     assert max(counts) < 6_000
+
+
+def test_members_of_a_small_bucket_are_sent_once(spark, monkeypatch):
+    from plumbline.llm import near_dedup
+
+    # a chain: each text is near the next one, and the ends are not near
+    words = [f"w{i}" for i in range(400)]
+    texts = [(n, " ".join(words[n * 9 : n * 9 + 200])) for n in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(near_dedup, "_blocks", lambda *a: made.append(a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 80).collect()}
+    assert set(got.values()) == {0} and not made
