@@ -7,6 +7,7 @@ import gc
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.Dat
 def give_back() -> None:
     """Hands memory that is free in this worker back to the system, so that it stays small while it waits for other tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow keeps what batches were in, apart from the C library
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that Linux has, as a rule
     if trim is not None:
         trim(0)

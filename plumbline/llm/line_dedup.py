@@ -115,8 +115,10 @@ def _picks(min_words: int):
 
 
 @F.pandas_udf(T.LongType())
-def _text_hash(text: pd.Series) -> pd.Series:
-    return pd.Series([_signed(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in text], dtype="int64")
+def _text_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield pd.Series([_signed(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in text], dtype="int64")
+    give_back()
 
 
 def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,14 +151,16 @@ def _dead(runs: str | None) -> set[int]:
 
 
 @F.pandas_udf(T.StringType())
-def _without(text: pd.Series, runs: pd.Series) -> pd.Series:
-    out = []
-    for t, r in zip(text, runs):
-        if t is not None and r:
-            dead = _dead(r)
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dead)
-        out.append(t)
-    return pd.Series(out, dtype=object)
+def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for text, runs in batches:
+        out = []
+        for t, r in zip(text, runs):
+            if t is not None and r:
+                dead = _dead(r)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dead)
+            out.append(t)
+        yield pd.Series(out, dtype=object)
+    give_back()
 
 
 @F.pandas_udf(T.LongType())

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from plumbline.llm.common import give_back
 MARK = "▁"
 #: Words whose ids a worker keeps.
 CACHE = 250_000
+#: Rows of which a task has texts and digests at a time.
+AT_A_TIME = 1000
 SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -240,19 +243,23 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; each text is encoded and its ids are decoded."""
     shared = _codec(documents, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            gc.disable()  # words that are kept are many small objects, and none of them is in a cycle
-            try:
-                rows = [(d, *codec.digest(t)) for d, t in zip(batch["doc_id"], batch["text"])]
-            finally:
-                gc.enable()  # the worker goes on to other tasks
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            for at in range(0, batch.num_rows, AT_A_TIME):  # texts are made of a part of the batch at a time
+                part = batch.slice(at, AT_A_TIME)
+                gc.disable()  # words that are kept are many small objects, and none of them is in a cycle
+                try:
+                    rows = [codec.digest(t.as_py()) for t in part.column("text")]
+                finally:
+                    gc.enable()  # the worker goes on to other tasks
+                made = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            batch = part = None  # before the next one is read
         del codec
         give_back()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod, own_names
+from plumbline.llm.common import crc_mod, give_back, own_names
 
 TOKEN = re.compile(r"[^\W_]+")
 RUN = 10
@@ -178,6 +178,7 @@ def score(documents: DataFrame, model: Model, column: str = "toxic_score") -> Da
         model = shared.value
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        give_back()
 
     return documents.withColumn(column, scored("text"))
 

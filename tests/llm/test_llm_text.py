@@ -401,3 +401,12 @@ def test_odd_rows_near_dedup_and_lines(spark):
     assert {(5, 5, True), (6, 5, False), (None, None, True), (7, 7, True), (1, 1, True)} <= got
     texts = [(r["doc_id"], r["text"]) for r in line_dedup.query(plain).collect()]
     assert (6, "") in texts and texts.count((7, "x")) == 2 and (1, None) in texts
+
+
+def test_workers_give_arrows_memory_back(monkeypatch):
+    from plumbline.llm import common
+
+    asked = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: asked.append(1)})())
+    common.give_back()
+    assert asked == [1]
