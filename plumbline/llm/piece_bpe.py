@@ -8,7 +8,8 @@ later of the two last merges again and again and asks whether what faces each ot
 have been merged before. The ids come from walking the table backwards. Time is linear in the text.
 
 No piece holds a space mark after another character, so no merge crosses the beginning of a word: the
-table is filled word by word, and words seen before are looked up. Words may be of any length.
+table is filled word by word, and words seen before are looked up. Words may be of any length. What a worker
+keeps of words is their ids as text; how a word's ids are decoded is kept only where it isn't the word itself.
 
 Characters without a piece become their bytes' pieces. Decoding joins pieces, turns marks into spaces
 and takes off the one space that encoding puts in front.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import give_back
 
 MARK = "▁"
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps, half of them from before; and pairs of pieces.
 CACHE = 250_000
 #: Rows of which a task has texts and digests at a time.
 AT_A_TIME = 1000
@@ -56,15 +57,35 @@ def load_vocabulary(path: str) -> dict:
     return {"pieces": pieces, "rank": {p: r for r, p in enumerate(order)}, "bytes": {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}, "unknown": model.unk_id()}
 
 
+class Words(dict):
+    """What `make` gives for a word, kept. `turn` lets go of all but the last words, and of those that have not been asked for since the turn before."""
+
+    def __init__(self, make: Callable[[str], str]):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> str:
+        found = self.before.pop(word, None)
+        self[word] = found = self.make(word) if found is None else found
+        return found
+
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+
 class Codec:
     def __init__(self, vocabulary: dict):
         self.ids, self.rank, self.bytes, self.unknown = vocabulary["pieces"], vocabulary["rank"], vocabulary["bytes"], vocabulary["unknown"]
         self.names = {i: p for p, i in self.ids.items()}
         self.values = {i: b for b, i in self.bytes.items()}
+        self.sizes = {i: len(p) for p, i in self.ids.items()}
         self.characters = {p for p in self.ids if len(p) == 1}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.lefts: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.words = Words(self._made)
+        self.odd: dict[str, str] = {}
 
     @cached_property
     def automaton(self):
@@ -74,7 +95,8 @@ class Codec:
         out = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if len(piece) == 1 or self.split(piece):
-                out.add_word(piece, (len(piece), i))
+                lefts = self.lefts[i] = {}  # by the piece before: are they compatible?
+                out.add_word(piece, (len(piece), i, lefts))
         out.make_automaton()
         return out
 
@@ -93,39 +115,44 @@ class Codec:
         return self.halves[piece]
 
     def compatible(self, left: str, right: str) -> bool:
+        rank, split = self.rank, self.split
         before = 1 << 60  # merges at the seam count that come before this rank
+        made_left, made_right = rank[left] if len(left) > 1 else -1, rank[right] if len(right) > 1 else -1
         while True:
-            if self.rank.get(left + right, 1 << 60) < before:
+            if rank.get(left + right, before) < before:
                 return False
-            made = (self.rank[left] if len(left) > 1 else -1, self.rank[right] if len(right) > 1 else -1)
-            if made == (-1, -1):
+            if made_left > made_right:
+                before, left = made_left, split(left)[1]
+                made_left = rank[left] if len(left) > 1 else -1
+            elif made_right == -1:
                 return True
-            if made[0] > made[1]:
-                before, left = made[0], self.split(left)[1]
             else:  # of two equal merges the left one comes first, and the seam is left of this one
-                before, right = made[1] + 1, self.split(right)[0]
+                before, right = made_right + 1, split(right)[0]
+                made_right = rank[right] if len(right) > 1 else -1
 
     def run(self, word: str) -> list[int]:
         """Ids of a run of characters that all have pieces."""
-        last, pairs, names = [0] * (len(word) + 1), self.pairs, self.names
-        for end, (size, piece) in self.automaton.iter(word):
-            if last[end + 1]:
-                continue
-            if size > end:
-                last[end + 1] = piece
+        last, names, size_of = [0] * len(word), self.names, self.sizes
+        last.append(-1)  # what is before the first character; any piece may follow
+        for end, (size, piece, lefts) in self.automaton.iter(word):
+            if last[end]:
                 continue
-            left = last[end + 1 - size]
-            fits = pairs.get(left << 20 | piece)
-            if fits is None:
-                if len(pairs) >= CACHE:
-                    pairs.clear()
-                fits = pairs[left << 20 | piece] = self.compatible(names[left], names[piece])
+            left = last[end - size]
+            try:
+                fits = lefts[left]
+            except KeyError:
+                fits = lefts[left] = left == -1 or self.compatible(names[left], names[piece])
+                self.pairs += 1
             if fits:
-                last[end + 1] = piece
-        out, at = [], len(word)
-        while at:
+                last[end] = piece
+        if self.pairs >= CACHE:
+            self.pairs = 0
+            for lefts in self.lefts.values():
+                lefts.clear()
+        out, at = [], len(word) - 1
+        while at >= 0:
             out.append(last[at])
-            at -= len(names[last[at]])
+            at -= size_of[last[at]]
         out.reverse()
         return out
 
@@ -143,13 +170,18 @@ class Codec:
                 start = at + 1
         return out
 
-    def _entry(self, word: str, key: str) -> tuple[str, int, str]:
-        """What a word gives, kept under key."""
-        if len(self.words) >= CACHE:
-            self.words.clear()
+    @staticmethod
+    def _spoken(key: str) -> str:
+        """The word that a key of digest stands for."""
+        return key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else MARK + key
+
+    def _made(self, key: str) -> str:
+        """The ids of a key's word, as text; they are decoded, and what isn't the word itself is kept in odd."""
+        word = self._spoken(key)
         ids = self.word(word)
-        found = self.words[key] = (",".join(map(str, ids)), len(ids), self._joined(ids))
-        return found
+        if (decoded := self._joined(ids)) != word.replace(MARK, " "):
+            self.odd[key] = decoded
+        return ",".join(map(str, ids))
 
     def _joined(self, ids: list[int]) -> str:
         """Text of the ids, with spaces for marks; runs of bytes are read as UTF-8, and a byte that can't be is replaced by itself."""
@@ -182,18 +214,25 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, digest of the ids and digest of the decoded text."""
-        entry, known, found = self._entry, self.words.get, []
+        text, words, odd = text or "", self.words, self.odd
+        if len(words) >= CACHE // 2:  # between texts, so that all words of a text are there
+            words.turn()
+            odd = self.odd = {k: d for k, d in odd.items() if k in words.before}
         if not text or MARK in text or "  " in text or text[0] == " ":
-            found = [known("\n\n" + w) or entry(w, "\n\n" + w) for w in self._words(text)]
+            keys = ["\n\n" + w for w in self._words(text)]
         else:  # single spaces: a word without a line end in front is one with a mark in front
+            keys = []
             for i, line in enumerate(text.split("\n")):
-                words = line.split(" ")
+                found = line.split(" ")
                 if i:
-                    words[0] = "\n" + words[0]
-                found += [known(w) or entry(w if w[:1] == "\n" else MARK + w, w) for w in words]
-        ids = ",".join([f[0] for f in found])
-        decoded = "".join([f[2] for f in found]).removeprefix(" ")
-        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+                    found[0] = "\n" + found[0]
+                keys += found
+        ids = ",".join(map(words.__getitem__, keys))  # no word is without ids
+        if odd.keys().isdisjoint(keys):
+            decoded = text.replace(MARK, " ")
+        else:
+            decoded = "".join([odd[k] if k in odd else self._spoken(k).replace(MARK, " ") for k in keys]).removeprefix(" ")
+        return (ids.count(",") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _utf8(run: bytes) -> str:

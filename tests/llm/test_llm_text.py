@@ -403,6 +403,17 @@ def test_odd_rows_near_dedup_and_lines(spark):
     assert (6, "") in texts and texts.count((7, "x")) == 2 and (1, None) in texts
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """Words that don't recur push those that do out of what a worker keeps only when these haven't been asked for."""
+    monkeypatch.setattr(piece_bpe, "CACHE", 60)
+    codec = piece_bpe.Codec(piece_bpe.load_vocabulary(piece_bpe.default_path()))
+    made, word = [], codec.word
+    monkeypatch.setattr(codec, "word", lambda w: made.append(w) or word(w))
+    for i in range(100):
+        codec.digest(f"often {' '.join(f'w{i}x{k}' for k in range(9))}")
+    assert made.count("▁often") == 1 and len(made) == 901
+
+
 def test_workers_give_arrows_memory_back(monkeypatch):
     from plumbline.llm import common
 
