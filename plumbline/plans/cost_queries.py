@@ -95,7 +95,7 @@ def _(t):
 
 
 # Tokens within payloads of later calls of the task, whether they are words there or not.
-@query("q128_tool_flow", f"""WITH {CALLS}, {SEGS}, a AS (SELECT task, turn, call, seg, tool, unnest(list_sort({dist(toks('text'))})[1:400]) AS w FROM sg), b AS (SELECT task, turn, tool, lower(payload) AS args FROM ca),
+@query("q128_tool_flow", f"""WITH {CALLS}, {SEGS}, a AS (SELECT task, turn, call, seg, tool, unnest({dist(toks('text'))}) AS w FROM sg), b AS (SELECT task, turn, tool, lower(payload) AS args FROM ca),
 h AS (SELECT DISTINCT a.tool AS from_tool, b.tool AS to_tool, a.task, a.turn, a.call, a.seg, w FROM a JOIN b ON a.task = b.task AND b.turn > a.turn AND contains(b.args, w)), f AS (SELECT from_tool, to_tool, w, min((task, turn, call, seg)) AS pos FROM h GROUP BY 1, 2, 3),
 s AS (SELECT from_tool, to_tool, string_agg(w, ' ' ORDER BY pos, w) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY from_tool, to_tool ORDER BY pos, w) AS r FROM f) WHERE r <= 8 GROUP BY 1, 2)
 SELECT from_tool, to_tool, count(*) AS token_hits, count(DISTINCT (task, turn, call, seg)) AS segments, any_value(samples) AS samples FROM h JOIN s USING (from_tool, to_tool) GROUP BY 1, 2""")

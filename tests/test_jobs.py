@@ -187,6 +187,14 @@ def test_flow_is_by_substring_and_samples_are_the_first(spark):
     assert got == [("find", "read", 2, 2, ["alpha_one", "gamma_three"])]
 
 
+def test_flow_counts_all_tokens_of_a_part(spark):
+    text = " ".join(f"token_{i:04}" for i in range(1000))  # numbers of four digits tell nothing
+    parts = spark.createDataFrame([(1, 1, 1, "find", 0, "hit", text)], "task int, turn int, call int, tool string, seg int, kind string, text string")
+    calls = spark.createDataFrame([(1, 2, 2, "read", text)], "task int, turn int, call int, tool string, args string")
+    r = cost.tool_flow(parts, calls).first()
+    assert (r["token_hits"], r["segments"], r["samples"]) == (1000, 1, [f"token_{i:04}" for i in range(8)])
+
+
 def test_paired_p_and_resolution(spark):
     a = spark.createDataFrame([(i, 10) for i in range(6)], "task int, v int")
     b = spark.createDataFrame([(i, 9 if i < 5 else 11) for i in range(6)], "task int, v int")
