@@ -1,8 +1,10 @@
 """What must not grow with the input: sides that go to every task, and the work of a single row."""
 
 import math
+import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,72 @@ def test_tasks_take_few_units_and_blocks_at_a_time(spark):
     assert max(r["n"] for r in sizes) <= postings.BLOCK and sum(r["n"] for r in sizes) == 1000
 
 
+def test_chunks_are_made_once_for_units(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            made.add(len(rows))
+            yield rows
+
+    rows = [(d, c, "h", f"word {d}", c == 1) for d in range(50) for c in range(1, 3 if d % 2 else 2)]
+    schema = "doc_id int, chunk_no long, header string, text string, is_preamble boolean"
+    units = postings.units(spark.createDataFrame(rows, schema).mapInPandas(counted, schema))
+    got = {(r["doc_id"], r["chunk_no"]) for r in units.collect()}
+    assert got == {(d, 2 if d % 2 else 1) for d in range(50)} and made.value == len(rows)
+
+
+def test_blocks_end_with_documents(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    rows = [(d, c, "h", f"word {d}", False) for d in range(40) for c in range(1, 2 + (20 if d == 7 else d % 6))]
+    units = postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean").coalesce(1))
+    blocks = [r["docs"] for r in postings.index(units).read(spark).collect()]
+    assert sum(map(len, blocks)) == len(rows) and max(map(len, blocks)) <= 8
+    assert [d for d in range(40) if sum(d in b for b in blocks) != 1] == [7]
+
+
+def test_best_documents_are_those_of_all(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    rows = [(d, c, f"head {d % 5}", " ".join(f"w{(d % 11 * 7 + c * i) % 23}" for i in range(1, 9)), False) for d in range(120) for c in range(1, 2 + (30 if d == 9 else d % 4))]
+    units = postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean").coalesce(2))
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 5} w{q + 9} zz") for q in range(6)], "query_id int, text string")
+    index = postings.index(units)
+    ranked = lambda df: {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in retrieval.top(df.withColumn("score", F.round("score", 4)), 5, ["query_id"], "doc_id").collect()}
+    all_of, few = postings.document_scores(index, queries), postings.document_scores(index, queries, k=5, places=4)
+    assert ranked(few) == ranked(all_of) and few.count() < all_of.count() / 2
+
+
+def test_documents_that_many_queries_name_meet_blocks(spark, monkeypatch):
+    rows = [(d, c, "h", f"a{d % 3} b{c} c", False) for d in range(60) for c in range(1, 4)]
+    index = postings.index(postings.units(spark.createDataFrame(rows, "doc_id int, chunk_no long, header string, text string, is_preamble boolean")))
+    queries = spark.createDataFrame([(q, f"a{q % 3} b1 c") for q in range(4)], "query_id int, text string")
+    named = spark.createDataFrame([(q, d) for q in (0, 2) for d in range(q, 60, 4)], "query_id int, doc_id int")
+    best = lambda: sorted(tuple(r) for r in postings.top_units(index, queries, 6, named).collect())
+    sent = best()
+    monkeypatch.setattr(postings, "SENT", 10)
+    assert best() == sent and len(sent) == 24
+
+
+def test_chunks_equal_blocks_by_hand(spark):
+    texts = ["", None, "title", "# Title \n\n intro \r\n## A \nx\x0by\n## \n## B\n \n##C\n## D\u2028z\x85\n\n", "\n## only\nbody", "t\x1cp\n## \u3000H\u3000\n\u2003b\u2003"]
+    got = {}
+    for r in retrieval.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_no"], r["header"], r["text"], r["is_preamble"]))
+    assert got == {3: [(1, "Title", "intro", True), (2, "A", "x\ny", False), (3, "B", "##C", False), (4, "D", "z", False)], 4: [(1, "only", "body", False)], 5: [(1, "t", "p", True), (2, "H", "b", False)]}
+
+
+def test_words_and_rounding_of_many_equal_those_of_one(spark):
+    rng = random.Random(4)
+    texts = ["", "ladies", "gasses boxes ss sses", "İstanbul KELVIN K"] + ["".join(rng.choice("aeisxyz1 \n.SEI|Éß") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    assert postings.spaced(texts).to_pylist() == [" ".join(postings.tokens(t)) for t in texts]
+    words = [" ".join(rng.choice(["a", "abcdefgh", "abcdefghi", "第一条", "营业"]) for _ in range(rng.randint(0, 5))) for _ in range(200)]
+    codes, names = postings.numbered(words)
+    assert [names[i] for i in codes] == " ".join(words).split() and len(set(names)) == len(names)
+    values = [0.0, 0.00005, 1.00005, 2.5, -0.00005, -3.00015, 1e300, 123456789.00005] + [round(rng.uniform(-50, 50), rng.randint(3, 16)) for _ in range(2000)]
+    want = [r["v"] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", F.round("v", 4).alias("v")).orderBy("i").collect()]
+    assert postings.half_up(np.array(values), 4).tolist() == want
+
+
 def test_holders_of_a_default_are_listed_once(spark, tmp_path):
     rows = [("t", 1, f"c{i}", f"default is {i % 2}.0", None) for i in range(6)] + [("t", 1, f"h{i}", "a size", str(i % 2)) for i in range(4)] + [("t", 1, "c0", "again", "0"), ("t", 1, "alone", "default 7", None), ("t", 1, "alone", "itself", "7")]
     spark.createDataFrame(rows, "name string, spec_no int, param string, description string, default string").write.parquet(str(tmp_path / "params"))
