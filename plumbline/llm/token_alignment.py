@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import give_back, slices
-from plumbline.shared import written
+from plumbline.shared import rows_at_a_time, written
 
 MARK = "▁"
 #: Texts of more bytes are cut into ranges of so many.
@@ -54,6 +54,8 @@ CHUNK = 32_768
 FAN = 8
 #: Units whose tokens a worker keeps.
 CACHE = 200_000
+#: Rows that go into Python at a time, and texts that are encoded at a time.
+ROWS, AT_ONCE = 500, 64
 PUNCTUATION = ".,!?;:#$%&*)"
 #: Where units begin.
 CUT = re.compile(rf"(?=[ \n])(?<=\S)|(?=[{PUNCTUATION}])(?<=[A-Za-zÀ-ÖØ-öø-ɏА-я])")
@@ -268,8 +270,8 @@ def _short(path_a: str, path_b: str, keep_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(path_a, path_b)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(i, AT_ONCE)
                 texts = [CUT.split(" " + t) if t else [] for t in part.column("text").to_pylist()]
                 gc.disable()  # units are many small objects, and none of them is in a cycle
                 try:
@@ -404,11 +406,11 @@ def _weighed(table):
 
 def align(documents: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, keep_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    long = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
-    short = written(docs.where(~long).mapInArrow(_short(path_a, path_b, keep_groups), f"doc_id long, {RESULT}, groups_sha256 string, groups string, links array<int>"))
-    cuts = written(docs.where(long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInPandas(_cut(chunk), "key long, doc_id long, no int, part string, low long, high long"))
+    with rows_at_a_time(documents.sparkSession, ROWS) as spark:
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        long = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
+        short = written(docs.where(~long).mapInArrow(_short(path_a, path_b, keep_groups), f"doc_id long, {RESULT}, groups_sha256 string, groups string, links array<int>"), spark)
+        cuts = written(docs.where(long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInPandas(_cut(chunk), "key long, doc_id long, no int, part string, low long, high long"), spark)
     ranges = written(
         cuts.repartition("key", "no").mapInPandas(
             _ranges(path_a, path_b), f"key long, doc_id long, no int, whole boolean, {RESULT}, ended boolean, before_a string, before_b string, groups string, after_a string, after_b string, links array<int>"

@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import token_alignment as ta
 
@@ -143,3 +144,25 @@ def test_workers_keep_no_tables_for_stages_that_do_not_encode():
     whole = ta._composed(found.drop(columns="links").assign(n_best=0, count_sum=0))
     assert whole["n_b"][0] == len(tokens(text)[2]) and ta.pair_of.cache_info().currsize == 0
     assert ta.pair_of(A, B) is not pair  # made again for tasks that encode
+
+
+def test_few_texts_go_into_python_at_a_time(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    short = ta._short
+
+    def watched(*args):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    sizes.add(b.num_rows > ta.ROWS)
+                    yield b
+
+            return short(*args)(seen())
+
+        return run
+
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(ta, "_short", watched)
+    before = spark.conf.get(conf)
+    got = ta.query(spark.range(0, 1300, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text")))
+    assert got.count() == 1300 and sizes.value == 0 and spark.conf.get(conf) == before
